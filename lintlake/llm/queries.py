@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, media, packing
+from lintlake.llm import bpe, language, media, packing, quality
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -16,10 +17,29 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def held_out(n: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves ``remainder`` modulo ``n``; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % n == remainder, F.lit(False))
+
+
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = held_out(4, 2).alias("held_out")
+    model = language.fit(docs.where(~held_out(4, 2)))
+    return language.predict(docs, model, keep=["doc_id", out])
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), size=2048, end_id=0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(5, 0))
+    scored = quality.score(docs, quality.fit(docs, labels), keep=["doc_id", held_out(5, 0).alias("held_out")])
+    return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 
