@@ -24,13 +24,14 @@ BLOCK_BYTES = 6 << 20
 FAN = 4
 
 
-def blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """``block, id, text`` and the number of blocks. A null text is an empty one."""
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> tuple[DataFrame, int]:
+    """``block, id, text, carried`` (a struct of the columns ``carry``) and the number of blocks. A null text is an empty one."""
+    more = [F.struct(*carry).alias("carried")] if carry else []
+    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
     # id and length, not the id alone: ids that repeat still spread
-    return rows.select(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"), "id", "text"), n
+    return rows.select(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"), *rows.columns), n
 
 
 def ranges(n_blocks: int, fan: int = FAN) -> int:
@@ -67,6 +68,20 @@ def unpack(value: bytes) -> dict[str, np.ndarray]:
     return out
 
 
+def pack_sorted(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Ascending 64-bit numbers as gaps of as few bytes as the largest needs."""
+    gaps = np.diff(values, prepend=values[:1])
+    width = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
+    return {"base": values[:1], "gaps": gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width], "width": np.array([width], np.int8)}
+
+
+def unpack_sorted(value: dict[str, np.ndarray]) -> np.ndarray:
+    width = int(value["width"][0])
+    wide = np.zeros((len(value["gaps"]) // width, 8), np.uint8)
+    wide[:, :width] = value["gaps"].reshape(-1, width)
+    return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + (value["base"][0] if len(value["base"]) else np.uint64(0))
+
+
 SENT = "range int, block int, data binary"
 
 

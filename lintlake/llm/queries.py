@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, fingerprint, html, language, media, packing, quality, repeats
+from lintlake.llm import bpe, fingerprint, html, jaccard, language, lm, media, packing, quality, repeats
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -47,6 +47,15 @@ def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (kept + removed).alias("n_bytes"), removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(documents(spark, sf_dir), ~held_out(5, 1))
+    return scored.withColumn("train", ~F.col("train")).withColumnRenamed("train", "held_out")
+
+
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(documents(spark, sf_dir), words=3, share=(90, 100))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(documents(spark, sf_dir))
 

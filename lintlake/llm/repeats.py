@@ -353,7 +353,8 @@ def mark(length: int):
                 else:
                     spans.append([])
                     kept.append(buf[a:b].tobytes())
-        return pa.table({"id": table["id"], "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
+        carried = {"carried": table["carried"]} if "carried" in table.column_names else {}
+        return pa.table({"id": table["id"], **carried, "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
     return finish
 
@@ -372,15 +373,17 @@ def _cover(cover: np.ndarray, at: np.ndarray, first: np.ndarray, own: np.ndarray
     np.add.at(cover, begin[early] + sizes[early] + length - 1, -1)
 
 
-def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, block_bytes: int = exchange.BLOCK_BYTES) -> DataFrame:
-    """``id_col``, the removed ``spans`` in bytes, and the ``kept`` bytes of every row."""
+def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot: int = HOT, block_bytes: int = exchange.BLOCK_BYTES) -> DataFrame:
+    """``id_col``, ``carried`` (a struct of the columns ``carry``, if any), the removed ``spans`` in bytes, and the ``kept`` bytes of every row."""
     if length < 32:
         raise ValueError("strings of at least 32 bytes are anchored")
-    docs, n_blocks = exchange.blocks(df, id_col, text_col, block_bytes)
+    full, n_blocks = exchange.blocks(df, id_col, text_col, block_bytes, carry)
+    docs = full.select("block", "id", "text")
     n, m = exchange.ranges(n_blocks), exchange.ranges(n_blocks, 2 * exchange.FAN)
     shared = exchange.answer(exchange.ask(docs, ask_anchors(length, n)), reply_anchors(hot))
     contexts = exchange.told(docs, shared, send_contexts(length, m), exchange.SENT)
     holders = exchange.answer(contexts, reply_contexts(length))
     kind = df.schema[id_col].dataType.simpleString()
-    out = exchange.told(docs, holders, mark(length), f"id {kind}, spans array<struct<begin:bigint,end:bigint>>, kept binary")
+    carried = f"carried {full.schema['carried'].dataType.simpleString()}, " if carry else ""
+    out = exchange.told(full, holders, mark(length), f"id {kind}, {carried}spans array<struct<begin:bigint,end:bigint>>, kept binary")
     return out.withColumnRenamed("id", id_col)
