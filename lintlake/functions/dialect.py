@@ -28,6 +28,21 @@ class Dialect:
     def any_of(self, col: str, values) -> str:
         return f"{col} IN ({', '.join(self.lit(v) for v in values)})"
 
+    def at(self, path: str = "path", line: str = "line") -> str:
+        """A place as text that orders by file, then line; ``file_of`` and ``line_of`` take it apart."""
+        return f"concat({path}, chr(1), lpad(CAST({line} AS STRING), 9, '0'))"
+
+    @staticmethod
+    def file_of(at: str) -> str:
+        return f"split_part({at}, chr(1), 1)"
+
+    @staticmethod
+    def line_of(at: str) -> str:
+        return f"CAST(split_part({at}, chr(1), 2) AS BIGINT)"
+
+    def values(self, rows: list[tuple[str, ...]], names: str) -> str:
+        return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(self.lit(x) for x in r) + ')' for r in rows)}) AS t_({names}))"
+
     def block(self, first: int, last: int) -> str:
         """The lines from ``first`` to ``last`` after this one (negative: before), joined by line ends."""
         frame = f"OVER (PARTITION BY path ORDER BY line ROWS BETWEEN {self._bound(first)} AND {self._bound(last)})"
@@ -77,15 +92,11 @@ class Spark(Dialect):
     def listed(self, value: str, order: str, sep: str) -> str:
         return f"array_join(transform(array_sort(collect_list(struct({order}, {value} AS v_))), x_ -> x_.v_), {self.lit(sep)})"
 
-    def distinct_list(self, value: str, order: str, sep: str) -> str:
-        """Distinct values joined in the order of their first appearance."""
-        return f"array_join(array_distinct(transform(array_sort(collect_list(struct({order}, {value} AS v_))), x_ -> x_.v_)), {self.lit(sep)})"
-
     def split(self, col: str, sep: str) -> str:
         return f"split({col}, {self.lit(sep)}, -1)"
 
-    def item(self, array: str, k: str) -> str:
-        return f"element_at({array}, {k})"
+    def split_on(self, col: str, pattern: str) -> str:
+        return f"split({col}, {self.lit(pattern)}, -1)"
 
     def table(self, name: str, sf_dir: str) -> str:
         return f"parquet.`{sf_dir}/{name}.parquet`"
@@ -132,16 +143,11 @@ class Duck(Dialect):
     def listed(self, value: str, order: str, sep: str) -> str:
         return f"string_agg({value}, {self.lit(sep)} ORDER BY {order})"
 
-    def distinct_list(self, value: str, order: str, sep: str) -> str:
-        keys = ", ".join(f"o{k}: {c.strip()}" for k, c in enumerate(order.split(",")))
-        ordered = f"list_transform(list_sort(list({{{keys}, v: {value}}})), x -> x.v)"
-        return f"array_to_string(list_filter({ordered}, (x, k) -> list_position({ordered}, x) = k), {self.lit(sep)})"
-
     def split(self, col: str, sep: str) -> str:
         return f"string_split({col}, {self.lit(sep)})"
 
-    def item(self, array: str, k: str) -> str:
-        return f"({array})[{k}]"
+    def split_on(self, col: str, pattern: str) -> str:
+        return f"string_split_regex({col}, {self.lit(pattern)})"
 
     def table(self, name: str, sf_dir: str) -> str:
         return name

@@ -40,10 +40,21 @@ _BRACE_JS = [
     "function helper(a) {\n  return a + 12345;\n}\nconst xy = (a) => a;",
     "rows.map(r => {\n  const q = db.query(r.id);\n  return q;\n});",
     "function getUserName@N(id) {\n  const cached = store.read(id);\n  if (cached) {\n    return cached;\n  }\n  const fresh = remote.fetch(id);\n  return fresh;\n}",
+    "test('should load item@N', () => {});\ndescribe('order total', () => {});",
+    "function get_user_name@N(id) { return id; }\nfunction loadUserName@N(id) { return id; }",
     "function fetch_user_name@N(id) {\n  return id;\n}\nconst magic = 'order-status-key';",
     "\n  const lazy = require('./s@K');\nlet z9 = `order-status-key`;",
     "class Box@N {\n  size() { return 3; }\n}\n\n\nexport function area@K(w, h) {\n  return w * h;\n}",
 ]
+def _long(head: str, mark: str, pad: str, tail: str, loop: tuple[str, str]) -> str:
+    """A function of over 60 lines in commented steps, with a long loop, that needs two of its parameters at first."""
+    steps = [f"{pad}{mark} Step {k}: part number {k}\n" + "".join(f"{pad}use(alpha, beta, {k}, {j});\n" for j in range(1, 10)) + "\n" for k in range(1, 6)]
+    body = f"{pad}{loop[0]}\n" + "".join(f"{pad}{pad}use(gamma, {j});\n" for j in range(12)) + (f"{pad}{loop[1]}\n" if loop[1] else "")
+    return f"{head}\n{''.join(steps)}{body}{tail}"
+
+
+_LONG_JS = _long("function runLongTask@N(alpha, beta, gamma, delta) {", "//", "  ", "}", ("for (const g of gamma) {", "}"))
+_NOUNS = "\n".join(f"function {v}{n}@N(x) {{\n  return x;\n}}" for n in ("User", "Order") for v in ("open", "print", "trim", "merge")).replace("@N(", "(")
 _TYPED = ["let v@N: any = 1;\n// @ts-ignore\nlet w = v as unknown as string;", "// @ts-nocheck\nconst n = a!.b;\nconst m = list![0];", "function plain(a, b) { return a; }\nfunction typed(a: number) { return a; }"]
 _MARKUP = [
     "<img src=\"a@N.png\">\n<img src=\"\" alt=\"x\">",
@@ -58,11 +69,12 @@ _MARKUP = [
 ]
 #: language -> snippets; @K and @N are numbers that differ from place to place.
 SNIPPETS: dict[str, list[str]] = {
-    "js": _BRACE_JS,
-    "ts": [*_BRACE_JS[:20], *_TYPED],
+    "js": [*_BRACE_JS, _LONG_JS, _NOUNS],
+    "ts": [*_BRACE_JS[:20], *_TYPED, _LONG_JS, _NOUNS],
     "jsx": [*_BRACE_JS[:16], *_MARKUP],
     "tsx": [*_BRACE_JS[10:26], *_TYPED, *_MARKUP],
     "py": [
+        _long("def run_long_task@N(alpha, beta, gamma, delta):", "#", "    ", "    return delta", ("for g in gamma:", "")),
         "from s@K import used@N, gone@K\nimport os\nvalue@N = used@N(1)",
         "from s@N import *\nimport numpy as np\nimport os",
         "def load@N(a, b=[], c={}):\n    if a is 'x':\n        print(a)\n    return b",
@@ -81,6 +93,7 @@ SNIPPETS: dict[str, list[str]] = {
         "subprocess.run(cmd, shell=True)\nos.system('ls')\nyaml.load(f)",
         "requests.get(u, verify=False)\nh = hashlib.md5(b)",
         "def fetchUser@N(id):\n    if id and id > 3:\n        for r in rows:\n            if r:\n                while r:\n                    if r > 2 or r < 1:\n                        with lock:\n                            r = r - 1\n                    elif r:\n                        pass\n    return id",
+        "def test_load_user@N():\n    assert True",
         "#\n# def old():\n#     return f(x)\n# y = g(x);\n# FIXME: repair @N",
         "def foo(x):  # type: ignore\n    return x\n\ndef q(a):\n    return a",
         "    import json\napi_key = 'abcd@K1234'\npattern = r'" + "[a-z]+" * 15 + "'",
