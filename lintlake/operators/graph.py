@@ -10,15 +10,24 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints; a temporary one only where none is set (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="lintlake-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the session's checkpoint folder."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lintlake-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
