@@ -77,5 +77,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
+#: Bytes as pairs of hexadecimal digits; all 50-byte strings, each with its least document; runs of strings at most 50 apart.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+chunks AS (SELECT doc_id, c, substr(h, 512 * c + 1, 610) AS h FROM (SELECT doc_id, h, unnest(generate_series(0, length(h) // 512)) AS c FROM d)),
+strings AS (SELECT doc_id, 256 * c + k AS k, hash(substr(h, 2 * k - 1, 100)) AS s FROM (SELECT doc_id, c, h, unnest(generate_series(1, length(h) // 2 - 49)) AS k FROM chunks)),
+least AS (SELECT s, min(doc_id) AS m FROM strings GROUP BY s),
+hits AS (SELECT doc_id, k, CASE WHEN k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) <= 50 THEN 0 ELSE 1 END AS fresh FROM strings JOIN least USING (s) WHERE m < doc_id),
+runs AS (SELECT doc_id, run, min(k) AS a, max(k) + 49 AS b FROM (SELECT doc_id, k, sum(fresh) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM hits) GROUP BY doc_id, run),
+parts AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM runs),
+kept AS (SELECT doc_id, count(*) AS n, sum(b - a + 1) AS gone, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY run) AS head FROM parts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+#: Shingle sets, links between those that meet, and what links reach.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(generate_series(1, len(w) - 2), lambda k: array_to_string(w[k:k + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT x, y FROM met JOIN n AS p ON x = p.doc_id JOIN n AS q ON y = q.doc_id WHERE 100 * o >= 90 * (p.n + q.n - o)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach AS r JOIN link AS l ON r.y = l.x),
+least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least.y, w.doc_id)) AS component_id FROM w LEFT JOIN n ON w.doc_id = n.doc_id LEFT JOIN least ON w.doc_id = least.x
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query; the others are tested against brute force, round trips and held-out rows."""
+    return {"op4_repeats": OP4_SQL, "op6_jaccard": OP6_SQL}
