@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lintlake.llm.storage import bounded
+
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A longer text without a safe place to cut counts as long unsplit text, in characters.
@@ -162,7 +164,7 @@ def encode_texts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                 ids = [coder.encode(t or "") for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part[id_col], pa.array([i.astype(np.int32) for i in ids], pa.list_(pa.int32())), pa.array([coder.decode(i).decode() for i in ids], pa.string())], [id_col, "ids", "decoded"])
 
-    source = df.select(F.col(id_col), F.col(text_col).alias("text"))
+    source = bounded(df).select(F.col(id_col), F.col(text_col).alias("text"))
     return source.mapInArrow(run, f"{id_col} {source.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
@@ -181,6 +183,6 @@ def encode_digests(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 b.append(hashlib.sha256(coder.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    source = df.select(F.col(id_col), F.col(text_col).alias("text"))
+    source = bounded(df).select(F.col(id_col), F.col(text_col).alias("text"))
     kind = source.schema[id_col].dataType.simpleString()
     return source.mapInArrow(run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled in one numpy step; bounds a worker's memory whatever the batch.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
 #: The word separators of the contracts: blank and tab to carriage return.
@@ -48,12 +48,12 @@ def slices(starts: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, i
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """M**i and M**-i modulo 2**64 for i up to n."""
-    size = 1 << max(16, int(n).bit_length())
+    size = 1 << max(20, int(n).bit_length())
     if size not in _powers:
         up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
         up[1:], down[1:] = _M, _M_INV
         made = np.cumprod(up), np.cumprod(down)
-        if size > SLICE_BYTES * 4:  # made for one very long text: not kept
+        if size > SLICE_BYTES * 2:  # made for one very long text: not kept
             return made
         _powers[size] = made
     return _powers[size]

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.bytesets import column, mix, slices, strings, word_hashes
+from lintlake.llm.storage import bounded
 
 LOW, HIGH = 0.0005, 0.2
 RATES = 8
@@ -72,7 +73,7 @@ def word_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
         for at in range(0, len(found[0]), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(found[0][at : at + (1 << 16)].view(np.int64)), pa.array(found[1][at : at + (1 << 16)].astype(np.int64))], ["word", "n"])
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded(df).select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Lexicon:
@@ -173,7 +174,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int =
     The ids are cut into ranges; the first document of a range is copied to the end of the range before it.
     Texts are shuffled once.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("id")
     parts = max(1, min(1024, -(-ids.count() // rows_per_bucket)))
     edges = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.0005))) if parts > 1 else []

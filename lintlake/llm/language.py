@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.llm.storage import kept
+from lintlake.llm.storage import bounded, kept
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -136,7 +136,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from all rows of ``df`` that have a language."""
-    rows = df.where(F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = bounded(df).where(F.col(lang_col).isNotNull()).select(F.xxhash64(F.col(id_col), F.lit(11)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
@@ -193,15 +193,17 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """``keep`` (by default the id), ``lang_pred`` and ``score`` of every row, from its text alone."""
-    source = df.select(*(keep or [id_col]), F.col(text_col).alias("_text"))
+    source = bounded(df).select(*(keep or [id_col]))
+    own = text_col in source.columns
+    source = source if own else bounded(df).select(*(keep or [id_col]), text_col)
     held = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers, whatever the corpus
-    names = source.columns[:-1]
+    names = source.columns if own else source.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = held.value
         for batch in batches:
-            said = [found.predict(t.as_py()) for t in batch["_text"]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*names, "lang_pred", "score"])
+            said = [found.predict(t.as_py()) for t in batch[text_col]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array([x[0] for x in said], pa.string()), pa.array([x[1] for x in said], pa.float64())], [*names, "lang_pred", "score"])
 
     fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names]
     return source.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double"]))

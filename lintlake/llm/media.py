@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lintlake.llm.storage import new_folder
+from lintlake.llm.storage import bounded, new_folder
 
 #: Bytes of one image line, and what payloads are padded to.
 WIDTH = 192
@@ -126,7 +126,7 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    source = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    source = bounded(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return sorted(r[0] for r in source.mapInArrow(run, "name string").collect())
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lintlake.llm.bpe import codec
-from lintlake.llm.storage import kept
+from lintlake.llm.storage import bounded, kept
 
 #: (lengths in their order in a sequence, how many such sequences)
 Plan = list[tuple[tuple[int, ...], int]]
@@ -201,7 +201,7 @@ def token_pieces(df: DataFrame, tokenizer: str, size: int, end_id: int = 0, with
                 yield pa.RecordBatch.from_arrays([*arrays, *([pa.array(out[6], pa.list_(pa.int32()))] if with_ids else [])], names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "task_rank", "task", *(["ids"] if with_ids else [])]
-    source = df.select(F.col(id_col), F.col(text_col).alias("text"))
+    source = bounded(df).select(F.col(id_col), F.col(text_col).alias("text"))
     kind = source.schema[id_col].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, task_rank long, task long" + ", ids array<int>" * with_ids)
 

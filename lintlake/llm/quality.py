@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.llm.bytesets import LOWER, column, prefix, slices, spans, words
+from lintlake.llm.storage import bounded
 
 #: Score of the quantile cut.
 CUT = 0.3
@@ -164,7 +165,7 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
         return bradley_terry(np.zeros((0, 1)), np.zeros(0))
     rate = min(1.0, 2 * sample / sum(sizes))
     chosen = wanted.where(F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(1 << 30)) < rate * (1 << 30))
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # about 2 * sample rows at most
+    rows = bounded(df).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")  # about 2 * sample rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -180,14 +181,16 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
     """``keep`` (by default the id) and ``score`` of every row, from its text alone."""
-    source = df.select(*(keep or [id_col]), F.col(text_col).alias("_text"))
-    names = source.columns[:-1]
+    source = bounded(df).select(*(keep or [id_col]))
+    own = text_col in source.columns
+    source = source if own else bounded(df).select(*(keep or [id_col]), text_col)
+    names = source.columns if own else source.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            buf, starts = column(batch["_text"])
+            buf, starts = column(batch[text_col])
             got = [model.score(features(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])) for a, b in slices(starts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(got) if got else [], pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(np.concatenate(got) if got else [], pa.float64())], [*names, "score"])
 
     fields = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in names]
     return source.mapInArrow(run, ", ".join([*fields, "score double"]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +18,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of a batch that goes to a Python worker, at most.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after lowering its session's Arrow batches to a size that workers can hold several copies of."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", conf.get(key)) or 0)
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; Spark removes it when the session ends."""
     path = f"{shared_folder(spark)}/lintlake/{name}-{uuid.uuid4().hex}"
