@@ -10,16 +10,16 @@ hold it, and no key is gathered row by row.
 from __future__ import annotations
 
 import io
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
 #: Blocks for each range.
 FAN = 4
 
@@ -53,11 +53,11 @@ def pack(level: int = 1, **arrays: np.ndarray) -> bytes:
         head = f"{name} {data.dtype.str} {len(body)}\n".encode()
         out.write(head)
         out.write(body)
-    return (b"z" + zlib.compress(out.getvalue(), level)) if level else (b"r" + out.getvalue())
+    return (b"z" + zstandard.compress(out.getvalue(), level)) if level else (b"r" + out.getvalue())
 
 
 def unpack(value: bytes) -> dict[str, np.ndarray]:
-    data = zlib.decompress(value[1:]) if value[:1] == b"z" else value[1:]
+    data = zstandard.decompress(value[1:]) if value[:1] == b"z" else value[1:]
     out, at = {}, 0
     while at < len(data):
         end = data.index(b"\n", at)

@@ -29,7 +29,7 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 #: Documents of an anchor beyond which its strings are sent one by one.
 HOT = 4096
 #: Suffixes sorted in lockstep at once, at most, and the texts that make lockstep worth its overhead.
-_LOCKSTEP, _FEW = 2 << 20, 24
+_LOCKSTEP, _FEW = 1 << 20, 24
 NO_ID = np.int64(-(1 << 63))
 
 
@@ -130,7 +130,7 @@ def ask_anchors(length: int, n: int):
             a, b = at[r], at[r + 1]
             if a < b:
                 extra = np.flatnonzero(many[a:b] > 1)
-                yield r, exchange.pack(0, h=h[a:b], i=extra.astype(np.int32), m=many[a:b][extra].astype(np.int32))
+                yield r, exchange.pack(0, **exchange.pack_sorted(h[a:b]), i=extra.astype(np.int32), m=many[a:b][extra].astype(np.int32))
 
     return make
 
@@ -146,21 +146,22 @@ def reply_anchors(hot: int):
     """For each block: its hashes that several documents have, and those that more than ``hot`` have."""
 
     def reply(values: list[dict[str, np.ndarray]]) -> list[bytes]:
-        h = np.concatenate([v["h"] for v in values])
+        every = [exchange.unpack_sorted(v) for v in values]
+        h = np.concatenate(every)
         m = np.ones(len(h), np.int64)
         at = 0
-        for v in values:
+        for v, own in zip(values, every, strict=True):
             m[at + v["i"]] = v["m"]
-            at += len(v["h"])
+            at += len(own)
         by = np.argsort(h, kind="stable")
         edge = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1]])
         per = np.empty(len(h), np.int64)
         per[by] = np.repeat(np.add.reduceat(m[by], edge), np.diff(np.r_[edge, len(h)]))
         out, at = [], 0
-        for v in values:
-            mine = per[at : at + len(v["h"])]
+        for own in every:
+            mine = per[at : at + len(own)]
             at += len(mine)
-            out.append(exchange.pack(1, h=v["h"][mine > 1], hot=v["h"][mine > hot]))
+            out.append(exchange.pack(0, **exchange.pack_sorted(own[mine > 1]), hot=own[mine > hot]))
         return out
 
     return reply
@@ -181,7 +182,8 @@ def _in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def send_contexts(length: int, n: int):
     def finish(table: pa.Table, found: dict[int, dict[str, np.ndarray]]) -> pa.Table:
-        shared, hot = _answered(found, "h"), _answered(found, "hot")
+        shared = np.concatenate([exchange.unpack_sorted(found[r]) for r in sorted(found)]) if found else np.zeros(0, np.uint64)
+        hot = _answered(found, "hot")
         entries: list[tuple] = []  # key, context hash, least id, size, bytes
         for buf, _, ids, (h, first, last, row) in _table(table, length):
             keep = _in(h, shared) >= 0
@@ -192,8 +194,11 @@ def send_contexts(length: int, n: int):
             if single.any():  # each string of a hot anchor under its own hash
                 count = (last - first + 1)[single]
                 begin = np.repeat(first[single], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                key = _hash_strings(buf, begin, length)
-                entries.append((key, key, ids[np.repeat(row[single], count)], begin, begin + length, buf))
+                key = mix(_hash_strings(buf, begin, length) * _B + np.uint64(1))
+                entries.append((key, _hash_contexts(buf, begin, begin + length), ids[np.repeat(row[single], count)], begin, begin + length, buf))
+                told = np.flatnonzero(single)[np.unique(h[single], return_index=True)[1]]  # and once the anchor's mark, so that its block knows
+                begin = first[told]
+                entries.append((_hot_mark(h[told]), _hash_contexts(buf, begin, begin + length), ids[row[told]], begin, begin + length, buf))
             plain = ~single
             if plain.any():
                 begin, end = first[plain], last[plain] + length
@@ -215,7 +220,7 @@ def send_contexts(length: int, n: int):
             for r in range(n):
                 a, b = place[r], place[r + 1]
                 if a < b:
-                    yield r, exchange.pack(1, key=key[a:b], ctx=ctx[a:b], who=who[a:b], size=size[a:b].astype(np.int16), body=_gather(body, at[a:b], at[a:b] + size[a:b]))
+                    yield r, exchange.pack(3, **exchange.pack_sorted(key[a:b]), who=who[a:b], size=size[a:b].astype(np.int16), body=_gather(body, at[a:b], at[a:b] + size[a:b]))
 
         return exchange.sent(table["block"][0].as_py(), made())
 
@@ -290,10 +295,13 @@ def least_holders(group: np.ndarray, size: np.ndarray, body: np.ndarray, who: np
 
 def reply_contexts(length: int):
     def reply(values: list[dict[str, np.ndarray]]) -> list[bytes]:
-        key, ctx, who, size = (np.concatenate([v[x] for v in values]) for x in ("key", "ctx", "who", "size"))
+        keys = [exchange.unpack_sorted(v) for v in values]
+        key = np.concatenate(keys)
+        who, size = (np.concatenate([v[x] for v in values]) for x in ("who", "size"))
         size = size.astype(np.int64)
         body = np.concatenate([v["body"] for v in values])
         at = np.cumsum(size) - size
+        ctx = _hash_contexts(body, at, at + size)
         by = np.lexsort((who, ctx, key))
         k, c = key[by], ctx[by]
         new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
@@ -310,12 +318,13 @@ def reply_contexts(length: int):
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new) - 1
         out, a = [], 0
-        for v in values:
-            mine = rank[a : a + len(v["key"])]
+        for own in keys:
+            mine = rank[a : a + len(own)]
+            name = mix(own * _A + ctx[a : a + len(own)])
             a += len(mine)
             n = runs[mine]
             pick = np.repeat(run_of[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(exchange.pack(1, name=mix(v["key"] * _A + v["ctx"]), runs=n.astype(np.int16), size=length_of[pick].astype(np.int16), who=found[edge[pick]]))
+            out.append(exchange.pack(1, **exchange.pack_sorted(own), name=name, runs=n.astype(np.int16), size=length_of[pick].astype(np.int16), who=found[edge[pick]]))
         return out
 
     return reply
@@ -324,6 +333,7 @@ def reply_contexts(length: int):
 def mark(length: int):
     def finish(table: pa.Table, found: dict[int, dict[str, np.ndarray]]) -> pa.Table:
         name, runs, size, who = (_answered(found, x, k) for x, k in (("name", np.uint64), ("runs", np.int64), ("size", np.int64), ("who", np.int64)))
+        shared = np.concatenate([exchange.unpack_sorted(found[r]) for r in sorted(found)]) if found else np.zeros(0, np.uint64)
         by = np.argsort(name, kind="stable")
         name = name[by]
         runs = runs.astype(np.int64)
@@ -331,17 +341,18 @@ def mark(length: int):
         runs, begins = runs[by], begins[by]
         spans, kept = [], []
         for buf, starts, ids, (h, first, last, row) in _table(table, length):
-            cover = np.zeros(len(buf) + 1, np.int32)
+            cover = np.zeros(len(buf) + 1, np.int64)
             if len(h) and len(name):
-                key = mix(h * _A + _hash_contexts(buf, first, last + length))
-                at = _in(key, name)
-                _cover(cover, at, first, ids[row], runs, begins, size, who, length)
-                rest = np.flatnonzero(at < 0)
-                if len(rest):  # strings of hot anchors
-                    count = (last - first + 1)[rest]
-                    begin = np.repeat(first[rest], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                    own = _hash_strings(buf, begin, length)
-                    _cover(cover, _in(mix(own * _A + own), name), begin, ids[np.repeat(row[rest], count)], runs, begins, size, who, length)
+                keep = _in(h, shared) >= 0
+                single = np.flatnonzero(_in(_hot_mark(h), shared) >= 0)
+                if keep.any():
+                    key = mix(h[keep] * _A + _hash_contexts(buf, first[keep], last[keep] + length))
+                    cover += _cover(len(buf), _in(key, name), first[keep], ids[row[keep]], runs, begins, size, who, length)
+                if len(single):  # strings of hot anchors
+                    count = (last - first + 1)[single]
+                    begin = np.repeat(first[single], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    own = mix(_hash_strings(buf, begin, length) * _B + np.uint64(1))
+                    cover += _cover(len(buf), _in(mix(own * _A + _hash_contexts(buf, begin, begin + length)), name), begin, ids[np.repeat(row[single], count)], runs, begins, size, who, length)
             gone = np.cumsum(cover[:-1]) > 0
             for k in range(len(ids)):
                 a, b = int(starts[k]), int(starts[k + 1])
@@ -359,18 +370,22 @@ def mark(length: int):
     return finish
 
 
-def _cover(cover: np.ndarray, at: np.ndarray, first: np.ndarray, own: np.ndarray, runs: np.ndarray, begins: np.ndarray, size: np.ndarray, who: np.ndarray, length: int) -> None:
-    """Add to ``cover`` the differences that cover each string whose least holder is before its own document."""
+def _hot_mark(h: np.ndarray) -> np.ndarray:
+    return mix(h * _C + np.uint64(7))
+
+
+def _cover(n: int, at: np.ndarray, first: np.ndarray, own: np.ndarray, runs: np.ndarray, begins: np.ndarray, size: np.ndarray, who: np.ndarray, length: int) -> np.ndarray:
+    """The differences that cover each string of n bytes whose least holder is before its own document."""
     hit = np.flatnonzero(at >= 0)
-    n = runs[at[hit]]
-    pick = np.repeat(begins[at[hit]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    m = runs[at[hit]]
+    pick = np.repeat(begins[at[hit]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
     sizes = size[pick].astype(np.int64)
     before = np.cumsum(sizes) - sizes
-    inner = before - np.repeat(before[np.cumsum(n) - n], n) if len(n) else before
-    begin = np.repeat(first[hit], n) + inner
-    early = who[pick] < np.repeat(own[hit], n)
-    np.add.at(cover, begin[early], 1)
-    np.add.at(cover, begin[early] + sizes[early] + length - 1, -1)
+    inner = before - np.repeat(before[np.cumsum(m) - m], m) if len(m) else before
+    begin = np.repeat(first[hit], m) + inner
+    early = who[pick] < np.repeat(own[hit], m)
+    begin, end = begin[early], (begin + sizes + length - 1)[early]
+    return np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
 
 
 def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, hot: int = HOT, block_bytes: int = exchange.BLOCK_BYTES) -> DataFrame:
