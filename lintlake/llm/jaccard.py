@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from lintlake.llm import exchange
 from lintlake.llm.bytesets import column, mix, shingles, slices, word_hashes
 from lintlake.llm.components import components
-from lintlake.llm.storage import kept
+from lintlake.llm.storage import bounded, kept
 
 #: Counters of the shingle sketch.
-SKETCH = 1 << 18
+SKETCH = 1 << 20
+_SHIFT = np.uint64(64 - 20)
 #: Shingles of a cluster that one task searches, at most; and its chunks beyond.
 CLUSTER = 8 << 20
 _MOST_BITS = 1 << 13
@@ -47,7 +48,7 @@ def sketch(df: DataFrame, words: int, text_col: str = "text") -> np.ndarray:
             buf, starts = column(batch["text"])
             for a, b in slices(starts):
                 h, row = word_hashes(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
-                total += np.bincount((shingles_raw(h, row, words) >> np.uint64(46)).astype(np.int64), minlength=SKETCH)
+                total += np.bincount((shingles_raw(h, row, words) >> _SHIFT).astype(np.int64), minlength=SKETCH)
         step = SKETCH // 16
         yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([exchange.pack(1, n=total[k * step : (k + 1) * step]) for k in range(16)], pa.binary())], ["slice", "data"])
 
@@ -55,7 +56,7 @@ def sketch(df: DataFrame, words: int, text_col: str = "text") -> np.ndarray:
         total = sum(exchange.unpack(d.as_py())["n"] for d in table["data"])
         return pa.table({"slice": table["slice"][:1], "data": pa.array([exchange.pack(1, n=total)], pa.binary())})
 
-    made = df.select(F.col(text_col).alias("text")).mapInArrow(count, "slice int, data binary")
+    made = bounded(df).select(F.col(text_col).alias("text")).mapInArrow(count, "slice int, data binary")
     made = made.withColumn("part", F.spark_partition_id() % 64)
     once = made.groupBy("slice", "part").applyInArrow(add, "slice int, data binary")
     out = np.zeros(SKETCH, np.int64)
@@ -86,8 +87,8 @@ def differ(n: np.ndarray, share: tuple[int, int]) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the shingles on each of as many bits as there are shingles, a power of two; as 64-bit words."""
-    bits = min(_MOST_BITS, max(64, 1 << int(len(s) - 1).bit_length()))
+    """Parity of the shingles on at least half as many bits as there are shingles, a power of two; as 64-bit words."""
+    bits = min(_MOST_BITS, max(64, 1 << int(len(s) // 2).bit_length()))
     odd = np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
@@ -102,8 +103,8 @@ def fold(maps: np.ndarray, size: int) -> np.ndarray:
 
 def sets(df: DataFrame, words: int, share: tuple[int, int], order: np.ndarray, id_col: str, text_col: str) -> DataFrame:
     """``id, n, cls, prefix, bits`` of every document; cls is null without shingles."""
-    held = df.sparkSession.sparkContext.broadcast(order.astype(np.uint64))  # SKETCH numbers
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    held = df.sparkSession.sparkContext.broadcast(np.minimum(16 * np.log2(order + 1), 65535).astype(np.uint16))  # SKETCH numbers
+    rows = bounded(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = held.value
@@ -112,7 +113,7 @@ def sets(df: DataFrame, words: int, share: tuple[int, int], order: np.ndarray, i
             for a, b in slices(starts):
                 h, row = word_hashes(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 s, row = shingles(h, row, words)
-                by = np.lexsort((s, rank[(s >> np.uint64(46)).astype(np.int64)], row))
+                by = np.lexsort((s, rank[(s >> _SHIFT).astype(np.int64)], row))
                 rare = s[by]
                 edge = np.searchsorted(row, np.arange(b - a + 1))
                 n, cls, prefix, bits = [], [], [], []
@@ -152,27 +153,28 @@ def ask_prefixes(n: int):
         for r in range(n):
             a, b = at[r], at[r + 1]
             if a < b:
-                yield r, exchange.pack(0, h=h[a:b], many=np.packbits(many[a:b]))
+                yield r, exchange.pack(0, **exchange.pack_sorted(h[a:b]), many=np.packbits(many[a:b]))
 
     return make
 
 
 def reply_prefixes(values: list[dict[str, np.ndarray]]) -> list[bytes]:
     """The hashes of each block that several classes have."""
-    h = np.concatenate([v["h"] for v in values])
-    many = np.concatenate([np.unpackbits(v["many"], count=len(v["h"])) for v in values]).astype(bool)
+    every = [exchange.unpack_sorted(v) for v in values]
+    h = np.concatenate(every)
+    many = np.concatenate([np.unpackbits(v["many"], count=len(k)) for v, k in zip(values, every, strict=True)]).astype(bool)
     found, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
     shared = (count > 1)[inverse] | many
     out, at = [], 0
-    for v in values:
-        out.append(exchange.pack(1, h=v["h"][shared[at : at + len(v["h"])]]))
-        at += len(v["h"])
+    for k in every:
+        out.append(exchange.pack(0, **exchange.pack_sorted(k[shared[at : at + len(k)]])))
+        at += len(k)
     return out
 
 
 def send_classes(n: int):
     def finish(table: pa.Table, found: dict[int, dict[str, np.ndarray]]) -> pa.Table:
-        shared = np.concatenate([found[r]["h"] for r in sorted(found)]) if found else np.zeros(0, np.uint64)
+        shared = np.concatenate([exchange.unpack_sorted(found[r]) for r in sorted(found)]) if found else np.zeros(0, np.uint64)
         block = table["block"][0].as_py() if table.num_rows else 0
         if not len(shared) or not table.num_rows:
             return exchange.sent(block, iter(()))
@@ -188,7 +190,7 @@ def send_classes(n: int):
                 a, b = at[r], at[r + 1]
                 if a < b:
                     used, index = np.unique(row[a:b], return_inverse=True)  # a class's bitmap goes to a range once
-                    yield r, exchange.pack(0, h=h[a:b], i=index.astype(np.int32), cls=cls[used], n=size[used], w=np.array([len(maps[k]) for k in used]), bits=np.concatenate([maps[k] for k in used]))
+                    yield r, exchange.pack(1, **exchange.pack_sorted(h[a:b]), i=index.astype(np.int32), cls=cls[used], n=size[used], w=np.array([len(maps[k]) for k in used]), bits=np.concatenate([maps[k] for k in used]))
 
         return exchange.sent(block, made())
 
@@ -200,7 +202,7 @@ def candidates(share: tuple[int, int]):
 
     def run(table: pa.Table) -> pa.Table:
         values = [exchange.unpack(d.as_py()) for d in table["data"]]
-        h = np.concatenate([v["h"] for v in values])
+        h = np.concatenate([exchange.unpack_sorted(v) for v in values])
         base = np.cumsum([0, *(len(v["cls"]) for v in values)])
         index = np.concatenate([v["i"].astype(np.int64) + base[k] for k, v in enumerate(values)])
         cls, n, w = (np.concatenate([v[x] for v in values]) for x in ("cls", "n", "w"))
@@ -377,8 +379,8 @@ def similar_components(df: DataFrame, words: int = 5, share: tuple[int, int] = (
     some = made.where("cls is not null and id is not null")
     classes = kept(some.groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "classes")
     total = classes.agg(F.sum(F.octet_length("prefix") + F.octet_length("bits"))).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // (2 << 20)))
-    n = exchange.ranges(n_blocks, 1)
+    n_blocks = max(1, -(-int(total) // (1 << 20)))
+    n = exchange.ranges(n_blocks, 12)  # few: a class sends its bitmap to each range that it shares a shingle in
     dealt = classes.select(F.pmod("cls", F.lit(n_blocks)).cast("int").alias("block"), "cls", "n", "prefix", "bits")
     shared = exchange.answer(exchange.ask(dealt, ask_prefixes(n)), reply_prefixes)
     sent = exchange.told(dealt, shared, send_classes(n), exchange.SENT)
