@@ -267,6 +267,10 @@ def _is_test(d: Dialect) -> str:
     return f"({d.match('lower(path)', 'test|spec|__tests__')} OR {d.match('lower(name)', r'^test_|_test\.(?:py|go|kt|java|cs|rb)$|\.(?:test|spec)\.(?:js|ts|jsx|tsx)$')})"
 
 
+def is_test_file(d: Dialect) -> str:
+    return f"SELECT path, CAST(CASE WHEN {_is_test(d)} THEN 1 ELSE 0 END AS BIGINT) AS is_test FROM files"
+
+
 def test_names(d: Dialect) -> str:
     """The words of the names of tests."""
     found = " UNION ALL ".join(d.unnest(f"(SELECT path, {d.extract_all('content', '(?i)' + p)} AS found FROM files WHERE {_is_test(d)})", "found", "raw", "path") for p in TEST_NAME_PATTERNS)
@@ -413,6 +417,7 @@ EXTRACTORS = {
     "import_sources": import_sources,
     "fn_names": fn_names,
     "import_edges": import_edges,
+    "test_is_test_file": is_test_file,
     "test_names": test_names,
     "test_source_fns": source_fns,
     "dep_inventory_npm": npm,

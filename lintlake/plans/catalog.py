@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lintlake.functions.dialect import DUCK, SPARK, Dialect
+from lintlake.model import CODE, JS
 from lintlake.operators import context_rules, cross_rules, file_functions, graph, line_rules
 from lintlake.plans import report
 from lintlake.sources import corpora
@@ -79,6 +81,11 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: (lambda spark, sf_dir, f=f: spark.sql(f(SPARK, sf_dir))) for k, f in _selects().items()}
     out |= {k: _walk_query(k) for k in file_functions.KEYS}
     out["fn_spans"] = lambda spark, sf_dir: file_functions.function_spans(code_files(spark, sf_dir))
+    spans = {"fn_spans_js": ("smell", JS), "fn_spans_py": ("smell", ("py",)), "fn_spans_clike": ("smell", ("java", "cs", "kt", "go", "rs", "php", "rb")), "fn_spans_cc": ("cc", CODE), "fn_spans_split": ("split", CODE), "fn_bodies": ("body", CODE)}
+    for key, (kind, langs) in spans.items():
+        out[key] = lambda spark, sf_dir, kind=kind, langs=langs: file_functions.function_spans(code_files(spark, sf_dir).where(F.col("lang").isin(*langs))).where(F.col("extractor") == kind)
+    out["cog_score_py"] = lambda spark, sf_dir: file_functions.cognitive_scores(code_files(spark, sf_dir).where("lang = 'py'"))
+    out["cog_score_brace"] = lambda spark, sf_dir: file_functions.cognitive_scores(code_files(spark, sf_dir).where("lang <> 'py'"))
     out["dup_structural_fn"] = lambda spark, sf_dir: file_functions.structural_duplicates(code_files(spark, sf_dir))
     return out | {"circular_scc": circular_scc, "circular_break": circular_break, "circular_chain": circular_chain}
 
