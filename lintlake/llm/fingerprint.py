@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.llm import exchange
 from lintlake.llm.bytesets import column, mix, slices, strings, word_hashes
 from lintlake.llm.storage import bounded
 
@@ -34,20 +35,15 @@ SUBSETS = RATES * EACH
 MOST = int(4000 / LOW)
 
 
-def word_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``word`` (64-bit hash) and ``n``, the documents that have it."""
+def band(df: DataFrame, least: float, most: float, text_col: str = "text", n_ranges: int = 16) -> DataFrame:
+    """``word`` (64-bit hash) of the words that between ``least`` and ``most`` documents have.
+
+    A task sends each range of hashes its distinct words, sorted, with their counts, in one value; a range adds them up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            h = np.concatenate([x[0] for x in held])
-            order = np.argsort(h)
-            h, n = h[order], np.concatenate([x[1] for x in held])[order]
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-            return h[first], np.add.reduceat(n, first)
-
         for batch in batches:
             buf, starts = column(batch["text"])
             for a, b in slices(starts):
@@ -56,24 +52,49 @@ def word_frequencies(df: DataFrame, text_col: str = "text") -> DataFrame:
                     continue
                 order = np.lexsort((row, h))
                 h, row = h[order], row[order]
-                new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-                h = h[new]
-                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-                held.append((h[first], np.diff(np.r_[first, len(h)])))
-                size += len(first)
-                if size > 1 << 21:
-                    held[:] = [merged()]
-                    if len(held[0][0]) > 1 << 20:
-                        yield from out(held.pop())
-                    size = len(held[0][0]) if held else 0
+                h = h[np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]]  # one for each text
+                held.append(_summed(h, np.ones(len(h), np.int64)))
+                size += len(held[-1][0])
+            if size > 1 << 21:
+                held = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                size = len(held[0][0])
+                if size > 1 << 20:
+                    yield sent(held.pop())
+                    size = 0
         if held:
-            yield from out(merged())
-
-    def out(found: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(found[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(found[0][at : at + (1 << 16)].view(np.int64)), pa.array(found[1][at : at + (1 << 16)].astype(np.int64))], ["word", "n"])
-
-    return bounded(df).select(F.col(text_col).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+            yield sent(_summed(*map(np.concatenate, zip(*held, strict=True))))
+
+    def sent(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        h, n = found
+        at = exchange.cut(h, n_ranges)
+        full = [r for r in range(n_ranges) if at[r] < at[r + 1]]
+        data = []
+        for r in full:
+            c = n[at[r] : at[r + 1]]
+            more = np.flatnonzero(c != 1)
+            data.append(exchange.pack(0, **exchange.pack_sorted(h[at[r] : at[r + 1]]), i=more.astype(np.int32), c=c[more].astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(data, pa.binary())], ["range", "data"])
+
+    def add(table: pa.Table) -> pa.Table:
+        words, counts = [], []
+        for d in table["data"]:
+            v = exchange.unpack(d.as_py())
+            words.append(exchange.unpack_sorted(v))
+            counts.append(np.ones(len(words[-1]), np.int64))
+            counts[-1][v["i"]] = v["c"]
+        h, n = _summed(np.concatenate(words), np.concatenate(counts))
+        return pa.table({"word": pa.array(h[(n >= least) & (n <= most)].view(np.int64))})
+
+    texts = bounded(df).select(F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "range int, data binary").groupBy("range").applyInArrow(add, "word long")
+
+
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, sorted, with the sums of their counts."""
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return h[first], np.add.reduceat(n, first)
 
 
 class Lexicon:
@@ -88,7 +109,7 @@ def membership(words: np.ndarray) -> np.ndarray:
     """Bit s is set if sub-lexicon s, of rate 2**-(s // EACH + 2), keeps the word."""
     bits = np.zeros(len(words), np.uint64)
     for s in range(SUBSETS):
-        draw = mix(words + np.uint64(s + 1) * np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)
+        draw = mix(words + np.uint64((s + 1) * 0xA24BAED4963EE407 % (1 << 64))) >> np.uint64(32)
         bits |= (draw < np.uint64(1 << (32 - s // EACH - 2))).astype(np.uint64) << np.uint64(s)
     return bits
 
@@ -149,8 +170,8 @@ def as_text(prints: np.ndarray) -> list[str]:
 def lexicon(df: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> Lexicon:
     """The words of ``df`` in the band, counted over all its rows."""
     total = df.count()
-    band = word_frequencies(df, text_col).where((F.col("n") >= max(2.0, low * total)) & (F.col("n") <= high * total)).select("word")
-    found = np.array([r[0] for r in band.limit(MOST + 1).collect()], np.int64)
+    words = band(df, max(2.0, low * total), high * total, text_col, max(16, total // 16384))
+    found = np.array([r[0] for r in words.limit(MOST + 1).collect()], np.int64)
     if len(found) > MOST:
         raise ValueError(f"more than {MOST} words in the band: raise its lower end")
     return Lexicon(found)
