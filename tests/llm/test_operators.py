@@ -347,6 +347,19 @@ def test_extract_pages(spark, sf):
     assert sorted((r["text"], r["n_chars"]) for r in html.extract_pages(odd).collect()) == [("", 0), ("", 0), ("x", 1)]
 
 
+def test_wrappers_come_from_all_pages(spark):
+    """Rare blocks, long pages and pages outside any sample count; the host's template is still left out."""
+    page = '<body><section>Same words</section><section class="list">%s</section><div>Text %s</div>%s</body>'
+    menu, words = "<a>One</a><a>Two</a>", "Only words here"
+    rare = {3: "<h3>Rare head</h3>", 17: "<blockquote>Said once</blockquote>", 55: "<table><tr><td>Cell</table>" + "<p>long</p>" * 2000}
+    made = [(k, f"http://h/{k}", page % (words if k == 40 else menu, k, rare.get(k, ""))) for k in range(60)]
+    made += [(100 + k, f"http://h/c{k}", made[3][2]) for k in range(20)]  # copies of a page count once
+    got = {r["page_id"]: r["text"] for r in html.extract_pages(spark.createDataFrame(made, "page_id long, url string, html string")).collect()}
+    said = {3: "Text 3 Rare head", 17: "Text 17 Said once", 40: "Only words here Text 40", 55: "Text 55 Cell" + " long" * 2000}
+    assert all(got[k] == said.get(k, f"Text {k}") for k in range(60))
+    assert {got[100 + k] for k in range(20)} == {said[3]}
+
+
 # -- 9: fingerprints
 
 
