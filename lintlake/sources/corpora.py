@@ -1,6 +1,6 @@
 """Source-code corpora: views ``files`` and ``lines`` as SQL in either dialect.
 
-``code`` derives a corpus from the tables at hand: each supplier is a file, each tenth of its line items puts a
+``code`` derives a corpus from the tables at hand: each supplier is a file, each of its line items puts a
 snippet of the file's language into it. ``prose`` reads documents, and ``pages`` web pages, as files.
 """
 
@@ -129,7 +129,7 @@ def code(d: Dialect, sf_dir: str) -> str:
     """``files`` of the code corpus, as the body of a common table expression."""
     items, suppliers = d.table("lineitem", sf_dir), d.table("supplier", sf_dir)
     sizes = "CASE f_lang " + " ".join(f"WHEN {d.lit(x)} THEN {len(SNIPPETS[x])}" for x in LANGS) + " END"
-    rows = f"SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {_lang_of(d, 'l_suppkey')} AS f_lang FROM {items} WHERE l_partkey % 10 = 0"
+    rows = f"SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {_lang_of(d, 'l_suppkey')} AS f_lang FROM {items}"
     picked = f"SELECT *, (l_partkey * 31 + l_orderkey) % ({sizes}) AS want FROM ({rows})"
     count = f"(SELECT count(*) FROM {suppliers})"
     text = f"replace(replace(snippet, '@K', CAST(1 + l_partkey % {count} AS STRING)), '@N', CAST(l_orderkey % 7 AS STRING))"

@@ -54,3 +54,15 @@ def test_every_rule_has_a_query():
     assert {r.key for r in line_rules.RULES} <= set(catalog.queries())
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) > 170
+
+
+def test_every_line_item_is_in_the_corpus(spark, tmp_path):
+    items = [(s, o, 1, p) for s in range(1, 14) for o, p in enumerate([3, 10, 7, 21, s], 1)]
+    spark.createDataFrame(items, "l_suppkey long, l_orderkey long, l_linenumber long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 14).write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {}
+    for s, o, _, p in items:
+        texts = corpora.SNIPPETS[corpora.LANGS[s % 13]]
+        want.setdefault(s, []).append(texts[(p * 31 + o) % len(texts)].replace("@K", str(1 + p % 13)).replace("@N", str(o % 7)))
+    got = {r["name"]: r["content"] for r in catalog.code_files(spark, str(tmp_path)).where("name rlike 's[0-9]+[.]'").collect()}
+    assert got == {f"{'test_' if s % 9 == 4 else ''}s{s}.{corpora.LANGS[s % 13]}": "\n".join(x) for s, x in want.items()}
