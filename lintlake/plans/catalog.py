@@ -11,6 +11,7 @@ from lintlake.functions.dialect import DUCK, SPARK, Dialect
 from lintlake.model import CODE, JS
 from lintlake.operators import context_rules, cross_rules, file_functions, graph, line_rules
 from lintlake.plans import report
+from lintlake.plans.analyze import Analysis
 from lintlake.sources import corpora
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,28 @@ def _walk_query(key: str) -> Query:
     return run
 
 
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"{corpora.views(SPARK, corpora.pages(SPARK, sf_dir))} SELECT path, name, lang, content FROM files")
+
+
+def _all_rules_query(files: Query, select: Callable[[Dialect], str]) -> Query:
+    """A report over the issues of all rules, which are found once and written for it to read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a = Analysis(files(spark, sf_dir))
+        a.issues().write.parquet(f"{a.folder}/issues")
+        return a.report(spark.read.parquet(f"{a.folder}/issues"), select)
+
+    return run
+
+
+def all_rules_queries() -> dict[str, Query]:
+    """The issue queries over all rules. They have no checking SQL: function walks and structural duplicates are not SQL."""
+    names = {k: "issues_all_rules" if k == "issues_line_rules" else f"{k}_all_rules" for k in report.ISSUE_QUERIES}
+    out = {names[k]: _all_rules_query(code_files, f) for k, f in report.ISSUE_QUERIES.items()}
+    return out | {"score_file_pages_all_rules": _all_rules_query(page_files, report.file_scores)}
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: (lambda spark, sf_dir, f=f: spark.sql(f(SPARK, sf_dir))) for k, f in _selects().items()}
     out |= {k: _walk_query(k) for k in file_functions.KEYS}
@@ -87,6 +110,7 @@ def queries() -> dict[str, Query]:
     out["cog_score_py"] = lambda spark, sf_dir: file_functions.cognitive_scores(code_files(spark, sf_dir).where("lang = 'py'"))
     out["cog_score_brace"] = lambda spark, sf_dir: file_functions.cognitive_scores(code_files(spark, sf_dir).where("lang <> 'py'"))
     out["dup_structural_fn"] = lambda spark, sf_dir: file_functions.structural_duplicates(code_files(spark, sf_dir))
+    out |= all_rules_queries()
     return out | {"circular_scc": circular_scc, "circular_break": circular_break, "circular_chain": circular_chain}
 
 
