@@ -321,12 +321,43 @@ PAGE = '<html><head><title>T</title><style>p{}</style></head><body><header>Site<
 
 def test_wrapper():
     pages = [PAGE % (f"Title {k}", "".join(f"<p>Text {k} {j} &amp; more</p>" for j in range(k + 1))) for k in range(4)]
-    wrapper = html.infer([html.tokens(p) for p in pages])
-    kinds = {n[0] for n in wrapper}
-    assert "rep" in kinds and ("slot", "") in wrapper
-    assert all(html._fits(html.infer([html.tokens(p) for p in pages]), [(k, v.strip()) if k == "t" else (k, v) for k, v in html.tokens(p) if k != "t" or v.strip()], 0) > 0 for p in pages)
-    places = html.template_places(wrapper)
-    assert html.extract(pages[1], places) == "Title 1 Text 1 0 & more Text 1 1 & more"
+    wrapper = html.infer(pages)
+    found = html.expression(wrapper)
+    assert "<div main-text><h2>#</>(<p>#</>)+</>" in found and "<header>text</>" in found
+    assert html.extract(pages[1], html.Choice(wrapper)) == "Title 1 Text 1 0 & more Text 1 1 & more"
+    parts = [html.infer(pages[:2]), html.infer(pages[2:])]
+    parts[0].merge(parts[1])
+    assert html.expression(parts[0]) == found
+
+
+def test_alignment():
+    """Optional and repeated groups, slots and constants, whatever the order of pages."""
+    made = ["<div>a</div><ul><li>1<li>2</ul>", "<div>a</div><p>x</p><ul><li>3</ul>", "<div>a</div><p>y</p><h2>q</h2><p>z</p><h2>r</h2>"]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        found = html.expression(html.infer([made[k] for k in order]))
+        assert found.count("<div>text</>") == 1 and "(<li>#</>)+" in found and "(<ul>" in found and ")?" in found, found
+        assert "((<p>#</>)?(<h2>text</>)?)+" in found
+
+
+#: Pages of two hosts without article or main, and their texts written out by hand. Nothing but the wrapper tells the texts apart.
+PLAIN = '<body><div class="x1"><b>The Daily</b> all the news</div><table><tr><td class="x2"><a href="/a">%s</a><a href="/b">%s</a></td></tr></table><div class="x3"><h1>%s</h1><div class="x4">%s<div class="x5">Read on with us every day</div></div></div><div class="x6">Made in town</div></body>'
+
+
+def _plain(n, host):
+    return [(host * 100 + k, f"http://h{host}.org/{k}", PLAIN % (f"Go {k}", f"Not {k}", f"Head {k} of {host}", f"<p>First {k * 7} words</p><p>Second {k * 3} words and more</p>" + "<p>Third</p>" * (k % 2)), f"Head {k} of {host} First {k * 7} words Second {k * 3} words and more" + " Third" * (k % 2)) for k in range(n)]
+
+
+def test_wrapper_decides(spark):
+    made = _plain(7, 1) + _plain(5, 2)
+    inside = [(300 + k, "http://h3.org/x", f'<article><p>News {k}</p><div class="y">Subscribe now for more</div><div class="related-work"><p>Related work {k}</p></div></article>', f"News {k} Related work {k}") for k in range(4)]
+    made += inside
+    made += [made[0], made[0]]  # repeated rows
+    df = spark.createDataFrame([x[:3] + (1, "q") for x in made], "page_id long, url string, html string, _host int, text string")
+    got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract_pages(df).collect())
+    assert got == sorted((x[0], x[3], len(x[3])) for x in made)
+    alone = [html.extract(x[2]) for x in made]  # without the host's wrapper
+    assert all(a != x[3] for a, x in zip(alone, made, strict=True))
+    assert html.extract_pages(df.where("false")).collect() == []
 
 
 def test_extract():
@@ -334,6 +365,15 @@ def test_extract():
     assert html.extract("<article><h1>A&nbsp;b</h1><p>c<b>d</b>e<p>f<br>g<script>var a='</p>';</script></article><p>out") == "A b cde f g"
     assert html.extract("<p>open <!-- never closed") == "open"
     assert html.extract("<article><aside>no</aside><p>yes</article>") == "yes"
+    for tag in ("button", "select", "object", "canvas", "svg", "video", "option"):
+        assert html.extract(f"<article><p>one</p><{tag}>Go<p>two</p></article>") == "one two", tag
+        assert html.extract(f"<article><p>one</p><{tag}>Go</{tag}><p>two</p></article>") == "one two", tag
+    assert html.extract("<article><p>a <math><mi>x</mi></math> b</article>") == "a x b"
+    assert html.extract('<article><div class="related-work"><p>Section text</p></div><p>More</p></article>') == "Section text More"
+    assert html.extract('<article><p>A long enough text</p><div class="comment-list"><p>Nice!</p></div></article>') == "A long enough text"
+    assert html.extract("<form id=all><div><h1>T</h1><p>text</p></div></form>") == "T text"
+    assert html.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    assert html.extract("<article>" + "<p>x</p>" * 30000 + "</article>") == " ".join("x" * 30000)
 
 
 def test_extract_pages(spark, sf):
