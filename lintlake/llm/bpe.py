@@ -1,11 +1,14 @@
 """BPE encoding by tree concatenation, and decoding, with a public tokenizer file.
 
-A text is cut where the pre-tokenizer always cuts (a white-space character after one that is not), so the
-parts are encoded apart and simply joined. What holds no such place ("long unsplit text") is split into
-pre-tokens, and a long pre-token is encoded as a tree: both halves on their own (in parallel threads for
-the top of the tree), then a growing window of tokens around the join is encoded again until its first
-token equals the one on the left and its last the one on the right. A token sequence whose every adjacent
-pair is left alone by BPE is *the* BPE encoding, so agreement on both sides makes the result exact.
+A text longer than ``LEAF`` characters is not split first: its halves are encoded on their own (in parallel threads
+for the top of the tree), and a window around the join grows until both sides agree: until it begins and ends at a
+token boundary that every context has, which the old and the new encodings then share. Such a boundary is a
+white-space character behind one that is not. What holds none ("long unsplit text": scripts without spaces, emoji,
+encoded data) is cut as the tokenizer file's own pre-tokenizer does, and a pre-token longer than ``PIECE`` bytes is
+encoded as a tree of its own: a growing window of tokens around the join is encoded again until its first token equals
+the one on the left and its last the one on the right. A token sequence whose every adjacent pair is left alone by BPE
+is *the* BPE encoding, so agreement on both sides makes the result exact. Leaves are encoded by an engine built from the
+same file, or by the tokenizers library where they hold characters whose classes the engine may see otherwise.
 
 Cases: a null text is an empty one (no ids, empty decoded text); special-token strings in a text become
 their ids, as the library does by default; repeated and tied rows are encoded alike; an empty table gives
@@ -23,7 +26,6 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +35,13 @@ from lintlake.llm.storage import bounded
 
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A longer text without a safe place to cut counts as long unsplit text, in characters.
-LEAF = 1 << 14
-#: A longer pre-token is encoded as a tree, in bytes.
-PIECE = 1 << 11
+#: Leaves of a text's tree, in characters, and of a pre-token's tree, in bytes: at most.
+LEAF = 1 << 11
+PIECE = 1 << 9
+#: First reach of a window to either side of a join, in characters.
+REACH = 64
+#: A text whose halves are encoded in threads, in characters, at least.
+PARALLEL = 1 << 16
 #: Characters for which the fast engine's Unicode tables are proven equal to the library's; others use the library.
 _PLAIN = re.compile(r"[^\x00-ɏ‐-‧‰-⁞₠-₿]")
 _CUT = re.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
@@ -80,54 +85,75 @@ class Codec:
         for text, i in special.items():
             self.bytes_of[i] = text.encode()
         self.decimal = [str(i) for i in range(size)]
-        self._split = regex.compile(PATTERN)
+        self.lengths = np.array([len(b) for b in self.bytes_of])
+        #: Joins of halves of texts and of pre-tokens.
+        self.joins = [0, 0]
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text as uint32."""
         if not text:
             return np.zeros(0, np.uint32)
-        if not self.fast or _PLAIN.search(text):
+        if not self.fast:
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
         if self._special is None or not any(s in text for s in self.special):
-            return self._ordinary(text)
-        parts = [np.array([self.special[p]], np.uint32) if p in self.special else self._ordinary(p) for p in self._special.split(text) if p]
+            return self.tree(text)
+        parts = [np.array([self.special[p]], np.uint32) if p in self.special else self.tree(p) for p in self._special.split(text) if p]
         return np.concatenate(parts)
 
-    def _ordinary(self, text: str) -> np.ndarray:
+    def _leaf(self, text: str) -> np.ndarray:
+        if _PLAIN.search(text):
+            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.engine.encode_to_numpy(text, disallowed_special=())
+
+    def tree(self, text: str, threads: bool = True) -> np.ndarray:
+        """The ids of a text without special tokens: halves apart, then joined."""
         if len(text) <= LEAF:
-            return self.engine.encode_to_numpy(text, disallowed_special=())
-        out, begin = [], 0
-        cuts = [m.start() for m in _CUT.finditer(text)] + [len(text)]
-        last = 0
-        for cut in cuts:
-            if cut - begin > LEAF and last > begin:
-                out.append(self._part(text[begin:last]))
-                begin = last
-            last = cut
-        out.append(self._part(text[begin:]))
-        return np.concatenate(out)
-
-    def _part(self, text: str) -> np.ndarray:
-        if len(text) <= 2 * LEAF and not re.search(r"\S{%d}|\s{%d}" % (PIECE, PIECE), text):
-            return self.engine.encode_to_numpy(text, disallowed_special=())
+            return self._leaf(text)
+        if _CUT.search(text) is None:
+            return self._unsplit(text)
+        halves = text[: len(text) // 2], text[len(text) // 2 :]
+        below = functools.partial(self.tree, threads=False)  # a thread of the pool starts no others
+        left, right = _THREADS.map(below, halves) if threads and len(text) > PARALLEL else map(below, halves)
+        return self.join(*halves, left, right)
+
+    def join(self, a: str, b: str, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids of a + b from those of a and of b, which are encoded again only around the join."""
+        self.joins[0] += 1
+        reach = REACH
+        begin, end = None, None
+        while begin is None or end is None:
+            if begin is None:
+                found = [m.start() for m in _CUT.finditer(a, max(0, len(a) - reach))]
+                begin = found[-1] if found else 0 if reach >= len(a) else None
+            if end is None:
+                m = _CUT.search(b, 0, reach)
+                end = m.start() if m else len(b) if reach >= len(b) else None
+            reach *= 2
+        again = self._window(a[begin:] + b[:end])
+        head = np.searchsorted(np.cumsum(self.lengths[left]), len(a[:begin].encode()), "right") if begin else 0
+        tail = np.searchsorted(np.cumsum(self.lengths[right]), len(b[:end].encode()), "left") + 1 if end < len(b) else len(right)
+        return np.concatenate([left[:head], again, right[tail:]])
+
+    def _window(self, text: str) -> np.ndarray:
+        return self._leaf(text) if len(text) <= LEAF else self._unsplit(text)
+
+    def _unsplit(self, text: str) -> np.ndarray:
+        """The ids of a text without a place where every context cuts: by the file's own pre-tokens."""
         ids: list[int] = []
-        for m in self._split.finditer(text):
-            ids += self.tree(m[0].encode())
+        for _, (begin, end) in self.library.pre_tokenizer.pre_tokenize_str(text):
+            ids += self.piece_tree(text[begin:end].encode())
         return np.asarray(ids, np.uint32)
 
-    def tree(self, data: bytes, parallel: bool = True) -> list[int]:
+    def piece_tree(self, data: bytes) -> list[int]:
         """The ids of one pre-token: halves apart, then joined."""
         if len(data) <= PIECE:
             return self.engine._encode_single_piece(data)
         middle = len(data) // 2
-        if parallel and len(data) > 16 * PIECE:
-            left, right = _THREADS.map(lambda d: self.tree(d, False), (data[:middle], data[middle:]))
-        else:
-            left, right = self.tree(data[:middle], False), self.tree(data[middle:], False)
-        return self.join(left, right)
+        return self.join_tokens(self.piece_tree(data[:middle]), self.piece_tree(data[middle:]))
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         """One encoding from two: encode a growing window around the join until both sides agree."""
+        self.joins[1] += 1
         reach = 4
         while True:
             a, b = left[-reach:], right[:reach]

@@ -30,33 +30,61 @@ from lintlake.llm.storage import bounded, kept
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-class _Sums:
-    """The index of exact complements: which one, two or three available lengths make a sum."""
+class Sums:
+    """The index of exact complements: sum -> the single, the pairs and the triples of lengths that make it.
+
+    Counts only fall, so an entry that they no longer allow is passed over for good: each list has a place up to which
+    its entries are spent. A triple's entry is its first length and the sum of the other two, whose pairs are indexed.
+    """
 
     def __init__(self, counts: np.ndarray) -> None:
-        self.left = counts
+        have = np.flatnonzero(counts).astype(np.int64)
+        self.single_sums = set(have.tolist())
+        a, b = np.meshgrid(have, have, indexing="ij")
+        keep = (a >= b) & (a + b < len(counts))
+        a, b = a[keep], b[keep]
+        by = np.lexsort((-a, a + b))  # of one sum, the longest larger part first
+        a, b = a[by], b[by]
+        sums, first = np.unique(a + b, return_index=True)
+        ends = np.append(first, len(a))[1:]
+        self.pair_sums = {int(s): list(zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)) for s, i, j in zip(sums, first, ends, strict=True)}
+        self.triple_sums: dict[int, list[tuple[int, int]]] = {}
+        for r in self.pair_sums:
+            for c in have[: np.searchsorted(have, len(counts) - r)].tolist():
+                if 3 * c >= c + r:  # the first is no less than the mean
+                    self.triple_sums.setdefault(c + r, []).append((c, r))
+        for found in self.triple_sums.values():
+            found.sort(reverse=True)
+        self.spent_pairs = dict.fromkeys(self.pair_sums, 0)
+        self.spent_triples = dict.fromkeys(self.triple_sums, 0)
 
     def single(self, gap: int, left: np.ndarray) -> tuple[int, ...]:
-        return (gap,) if left[gap] else ()
+        return (gap,) if gap in self.single_sums and left[gap] else ()
 
     def pair(self, gap: int, left: np.ndarray) -> tuple[int, ...]:
-        """The pair with the longest larger part."""
-        low = left[1 : gap // 2 + 1] > 0
-        both = low & (left[gap - 1 : gap - 1 - len(low) : -1] > 0) if len(low) else low
-        if gap % 2 == 0 and len(both) and left[gap // 2] < 2:
-            both[-1] = False
-        found = np.flatnonzero(both)
-        return (gap - 1 - int(found[0]), 1 + int(found[0])) if len(found) else ()
+        found = self.pair_sums.get(gap, ())
+        for k in range(self.spent_pairs.get(gap, 0), len(found)):
+            a, b = found[k]
+            if left[a] and left[b] and (a != b or left[a] > 1):
+                self.spent_pairs[gap] = k
+                return a, b
+        if found:
+            self.spent_pairs[gap] = len(found)
+        return ()
 
     def triple(self, gap: int, left: np.ndarray) -> tuple[int, ...]:
-        for longest in np.flatnonzero(left[: gap - 1])[::-1].tolist():
-            if 3 * longest < gap:
-                break
-            left[longest] -= 1
-            rest = self.pair(gap - longest, left)
-            left[longest] += 1
-            if rest:
-                return (longest, *rest)
+        found = self.triple_sums.get(gap, ())
+        for k in range(self.spent_triples.get(gap, 0), len(found)):
+            c, r = found[k]
+            if left[c]:
+                pairs = self.pair_sums[r]
+                for j in range(self.spent_pairs[r], len(pairs)):
+                    a, b = pairs[j]
+                    if left[a] > (a == c) and left[b] > (b == c) + (a == b):
+                        self.spent_triples[gap] = k
+                        return c, a, b
+        if found:
+            self.spent_triples[gap] = len(found)
         return ()
 
 
@@ -68,7 +96,7 @@ def plan(counts: np.ndarray, size: int) -> Plan:
     if left[size]:
         out.append(((size,), int(left[size])))
         left[size] = 0
-    sums = _Sums(left)
+    sums = Sums(left)
     rest = np.zeros(size + 1, np.int64)
     for length in range(size - 1, 0, -1):
         while left[length]:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import itertools
 import random
 import re
 import zlib
@@ -47,6 +48,44 @@ def test_bpe_is_the_library(monkeypatch):
         assert coder.decode(got).decode() == coder.library.decode(want, skip_special_tokens=False)
 
 
+def test_trees_of_unsplit_text(spark, sf):
+    """Joins happen on documents and on every script, and leave the ids that the library gives."""
+    coder = bpe.Codec(TOKENIZER)
+    library = lambda t: coder.library.encode(t, add_special_tokens=False).ids
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert all(coder.encode(t).tolist() == library(t) for t in texts)
+    assert coder.joins[0] > 20
+    rng = random.Random(5)
+    for letters in ("日本語中文字符", "👍🏽🎉", "abcab", "!?", "ab 日", "\n ", "'l "):
+        coder.joins = [0, 0]
+        for n in (3000, 20001):
+            text = "".join(rng.choice(letters) for _ in range(n))
+            assert coder.encode(text).tolist() == library(text), letters
+        assert sum(coder.joins) > 0 or letters == "\n ", letters
+
+
+def test_sums():
+    """Each gap that singles, pairs or triples of the counted lengths can fill is filled by one."""
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        left = rng.integers(0, 3, 40) * (rng.random(40) < 0.3)
+        left[0] = 0
+        sums = packing.Sums(left)
+        have = [k for k in range(40) for _ in range(left[k])]
+        for gap in range(1, 40):
+            for n, look in ((1, sums.single), (2, sums.pair), (3, sums.triple)):
+                can = any(sum(x) == gap for x in itertools.combinations(have, n))
+                found = look(gap, left)
+                assert bool(found) == can and (not found or (sum(found) == gap and all(found.count(x) <= left[x] for x in found)))
+
+
+def test_few_sequences(spark, sf):
+    """Within two hundredths of the least number of sequences that the tokens could fill."""
+    got = packing.pack_documents(spark.read.parquet(f"{sf}/documents.parquet"), TOKENIZER, 2048)
+    n, tokens = got.selectExpr("count(distinct sequence_id)", "sum(length)").first()
+    assert n <= -(-tokens // 2048) * 1.02 + 1
+
+
 def test_bpe_frame(odd, none):
     got = bpe.encode_texts(odd, TOKENIZER).collect()
     assert sorted((r["doc_id"] or 0, r["decoded"]) for r in got) == sorted((i or 0, t or "") for i, t in rows(odd))
