@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintlake.functions.dialect import SPARK
 from lintlake.model import Settings
-from lintlake.operators import context_rules, cross_rules, file_functions, graph, line_rules
+from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules
 from lintlake.plans import report
 from lintlake.sources import corpora
 
+#: Parts of the issues that are found at once.
+PARALLEL = 6
+
 
 class Analysis:
     """Issues of ``files`` (path, name, lang, content). The lines are split once and written for all rules to read."""
@@ -29,36 +34,51 @@ class Analysis:
         for name in ("files", "lines"):
             self.spark.sql(f"{both} SELECT * FROM {name}").write.parquet(f"{self.folder}/{name}")
         self.files = self.spark.read.parquet(f"{self.folder}/files")
+        self.tables = ["files", "lines"]
+        needed = {t for c, tables, _ in function_rules.RULES.values() if self.wants(c) for t in tables}
+        for name in sorted(needed):
+            self.sql(function_rules.spans(SPARK, function_rules.EXTRACTORS[name])).write.parquet(f"{self.folder}/{name}")
+        self.tables += sorted(needed)
 
     def sql(self, select: str, more: str = "") -> DataFrame:
-        tables = ", ".join(f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}`)" for n in ("files", "lines"))
+        tables = ", ".join(f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}`)" for n in self.tables)
         return self.spark.sql(f"WITH {tables}{more} {select}")
 
     def wants(self, category: str) -> bool:
         return self.categories is None or category in self.categories
 
-    def found(self) -> DataFrame:
-        """All issues, before deduplication: category, rule, file, line, severity, title."""
+    def parts(self) -> dict[str, DataFrame]:
+        """The issues before deduplication (category, rule, file, line, severity, title), in parts that are found apart."""
         names = ["category", "rule", "file", "line", "severity", "title"]
-        rules = [r for r in line_rules.RULES if self.wants(r.category)]
-        parts = [self.sql(line_rules.fused("lines", rules)).select(names)] if rules else []
+        found: dict[str, list[DataFrame]] = {}
+
+        def add(category: str, rule: str, df: DataFrame) -> None:
+            found.setdefault(category, []).append(df.select(F.lit(category).alias("category"), F.lit(rule).alias("rule"), *names[2:]))
+
         for key, (category, select) in (context_rules.RULES | cross_rules.RULES).items():
             if self.wants(category):
                 sql = context_rules.long_file(SPARK, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(SPARK, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(SPARK, self.settings.dup_window) if key == "dup_exact_block" else select(SPARK)
-                parts.append(self.sql(sql).select(F.lit(category).alias("category"), F.lit(key).alias("rule"), *names[2:]))
-        walked = tuple(k for k, c in file_functions.KEYS.items() if self.wants(c))
-        if walked:
-            parts.append(file_functions.walk(self.files, walked, self.settings).select(names))
+                add(category, key, self.sql(sql))
+        for key, (category, _, select) in function_rules.RULES.items():
+            if self.wants(category):
+                add(category, key, self.sql(select(SPARK, self.settings)))
         if self.wants("security"):
-            parts.append(self.sql(report.high_entropy(SPARK)).select(F.lit("security").alias("category"), F.lit("sec_high_entropy").alias("rule"), *names[2:]))
-        if self.wants("duplicates"):
-            parts.append(file_functions.structural_duplicates(self.files).select(F.lit("duplicates").alias("category"), F.lit("dup_structural_fn").alias("rule"), *names[2:]))
+            add("security", "sec_high_entropy", self.sql(report.high_entropy(SPARK)))
         if self.wants("circular"):
             members = graph.strong_components(self.sql(cross_rules.import_edges(SPARK)))
             sizes = graph.cycle_issues(members).withColumnRenamed("file", "scc")
-            each = members.join(sizes, "scc").select(F.col("node").alias("file"), "line", "severity", "title")  # every member carries the penalty
-            parts.append(each.select(F.lit("circular").alias("category"), F.lit("circular_scc").alias("rule"), *names[2:]))
-        return reduce(DataFrame.unionByName, parts)
+            add("circular", "circular_scc", members.join(sizes, "scc").select(F.col("node").alias("file"), "line", "severity", "title"))  # every member carries the penalty
+        out = {category: reduce(DataFrame.unionByName, dfs) for category, dfs in found.items()}
+        rules = [r for r in line_rules.RULES if self.wants(r.category)]
+        return out | ({"lines": self.sql(line_rules.fused("lines", rules)).select(names)} if rules else {})
+
+    def found(self) -> DataFrame:
+        """All issues, before deduplication. Parts are small plans that run side by side; each is written once."""
+        folder = f"{self.folder}/found-{uuid.uuid4().hex[:12]}"
+        parts = self.parts()
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(lambda x: x[1].write.parquet(f"{folder}/{x[0]}")), parts.items()))
+        return self.spark.read.parquet(*[f"{folder}/{name}" for name in parts])
 
     def issues(self) -> DataFrame:
         """Issues, one for each place and start of title where the category asks for that."""

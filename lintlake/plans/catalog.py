@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.dialect import DUCK, SPARK, Dialect
-from lintlake.model import CODE, JS
-from lintlake.operators import context_rules, cross_rules, file_functions, graph, line_rules
+from lintlake.model import Settings
+from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules
 from lintlake.plans import report
 from lintlake.plans.analyze import Analysis
 from lintlake.sources import corpora
@@ -27,9 +27,17 @@ def _selects() -> dict[str, Callable[[Dialect, str], str]]:
 
         return make
 
+    def on_functions(tables: tuple[str, ...], select: function_rules.Select, columns: tuple[str, ...] = ("*",)):
+        def make(d: Dialect, sf_dir: str) -> str:
+            return f"{corpora.views(d, corpora.code(d, sf_dir))}{function_rules.with_spans(d, tables)} SELECT {', '.join(columns)} FROM ({select(d, Settings())})"
+
+        return make
+
     out = {r.key: on(corpora.code, r.select) for r in line_rules.RULES}
     out |= {k: on(corpora.code, f) for k, (_, f) in (context_rules.RULES | cross_rules.RULES).items()}
     out |= {k: on(corpora.code, f) for k, f in (cross_rules.EXTRACTORS | report.FILE_QUERIES).items()}
+    out |= {k: on_functions(tables, f, ("file", "line", "severity", "title")) for k, (_, tables, f) in function_rules.RULES.items()}
+    out |= {k: on_functions(tables, f) for k, (tables, f) in function_rules.QUERIES.items()}
     out |= {k: on(corpora.code, f, True) for k, f in report.ISSUE_QUERIES.items()}
     out |= report.TABLE_QUERIES
     secret = next(r for r in line_rules.RULES if r.key == "sec_hardcoded_secret")
@@ -62,20 +70,30 @@ def circular_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cycle_chains(edges, graph.strong_components(edges))
 
 
-def _cycles_sql(select: str) -> str:
-    d = DUCK
-    views = corpora.views(d, corpora.code(d, "")).replace("WITH raw", "WITH RECURSIVE raw", 1)
+def _cycle_tables() -> str:
+    """Edges ``e`` and members ``m`` (node, scc) of cycles, to go behind ``files`` and ``lines``."""
     reach = "r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src)"
     member = "m AS (SELECT x.a AS node, least(x.a, min(x.b)) AS scc FROM r AS x JOIN r AS y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)"
-    inner = "inside AS (SELECT p.scc, e.src, e.dst FROM e JOIN m AS p ON e.src = p.node JOIN m AS q ON e.dst = q.node AND p.scc = q.scc)"
-    return f"{views}, e AS ({cross_rules.import_edges(d)}), {reach}, {member}, {inner} {select}"
+    return f", e AS ({cross_rules.import_edges(DUCK)}), {reach}, {member}"
 
 
-def _walk_query(key: str) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return file_functions.walk(code_files(spark, sf_dir), (key,)).select("file", "line", "severity", "title")
+_CYCLE = "CASE WHEN count(*) {over} > 3 THEN 'high' ELSE 'medium' END AS severity, concat('Circular dependency — ', CAST(count(*) {over} AS STRING), ' files') AS title"
 
-    return run
+
+def _cycles_sql(select: str) -> str:
+    views = corpora.views(DUCK, corpora.code(DUCK, "")).replace("WITH raw", "WITH RECURSIVE raw", 1)
+    inner = "inside AS (SELECT p.scc, e.src, e.dst FROM e JOIN m AS p ON e.src = p.node JOIN m AS q ON e.dst = q.node AND p.scc = q.scc)"
+    return f"{views}{_cycle_tables()}, {inner} {select}"
+
+
+def _all_rules_sql(select: Callable[[Dialect], str]) -> str:
+    """A report over the issues of all rules, in one statement."""
+    d = DUCK
+    views = corpora.views(d, corpora.code(d, "")).replace("WITH raw", "WITH RECURSIVE raw", 1) + function_rules.with_spans(d, tuple(function_rules.EXTRACTORS)) + _cycle_tables()
+    parts = [(c, k, f(d)) for k, (c, f) in (context_rules.RULES | cross_rules.RULES).items()] + [(c, k, f(d, Settings())) for k, (c, _, f) in function_rules.RULES.items()]
+    parts += [("security", "sec_high_entropy", report.high_entropy(d)), ("circular", "circular_scc", f"SELECT node AS file, CAST(NULL AS BIGINT) AS line, {_CYCLE.format(over='OVER (PARTITION BY scc)')} FROM m")]
+    found = " UNION ALL ".join([report.line_issues(d), *[f"SELECT {d.lit(c)} AS category, {d.lit(k)} AS rule, file, line, severity, title FROM ({sql})" for c, k, sql in parts]])
+    return f"{report.with_issues(d, views, found)} {select(d)}"
 
 
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +112,7 @@ def _all_rules_query(files: Query, select: Callable[[Dialect], str]) -> Query:
 
 
 def all_rules_queries() -> dict[str, Query]:
-    """The issue queries over all rules. They have no checking SQL: function walks and structural duplicates are not SQL."""
+    """The issue queries over all rules. Two of them have checking SQL, which takes minutes; the others read the same issues."""
     names = {k: "issues_all_rules" if k == "issues_line_rules" else f"{k}_all_rules" for k in report.ISSUE_QUERIES}
     out = {names[k]: _all_rules_query(code_files, f) for k, f in report.ISSUE_QUERIES.items()}
     return out | {"score_file_pages_all_rules": _all_rules_query(page_files, report.file_scores)}
@@ -102,20 +120,13 @@ def all_rules_queries() -> dict[str, Query]:
 
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {k: (lambda spark, sf_dir, f=f: spark.sql(f(SPARK, sf_dir))) for k, f in _selects().items()}
-    out |= {k: _walk_query(k) for k in file_functions.KEYS}
-    out["fn_spans"] = lambda spark, sf_dir: file_functions.function_spans(code_files(spark, sf_dir))
-    spans = {"fn_spans_js": ("smell", JS), "fn_spans_py": ("smell", ("py",)), "fn_spans_clike": ("smell", ("java", "cs", "kt", "go", "rs", "php", "rb")), "fn_spans_cc": ("cc", CODE), "fn_spans_split": ("split", CODE), "fn_bodies": ("body", CODE)}
-    for key, (kind, langs) in spans.items():
-        out[key] = lambda spark, sf_dir, kind=kind, langs=langs: file_functions.function_spans(code_files(spark, sf_dir).where(F.col("lang").isin(*langs))).where(F.col("extractor") == kind)
-    out["cog_score_py"] = lambda spark, sf_dir: file_functions.cognitive_scores(code_files(spark, sf_dir).where("lang = 'py'"))
-    out["cog_score_brace"] = lambda spark, sf_dir: file_functions.cognitive_scores(code_files(spark, sf_dir).where("lang <> 'py'"))
-    out["dup_structural_fn"] = lambda spark, sf_dir: file_functions.structural_duplicates(code_files(spark, sf_dir))
     out |= all_rules_queries()
     return out | {"circular_scc": circular_scc, "circular_break": circular_break, "circular_chain": circular_chain}
 
 
 def oracle_sql() -> dict[str, str]:
     out = {k: f(DUCK, "") for k, f in _selects().items()}
-    out["circular_scc"] = _cycles_sql("SELECT scc AS file, CAST(NULL AS BIGINT) AS line, CASE WHEN count(*) > 3 THEN 'high' ELSE 'medium' END AS severity, concat('Circular dependency — ', CAST(count(*) AS STRING), ' files') AS title FROM m GROUP BY scc")
+    out["circular_scc"] = _cycles_sql(f"SELECT scc AS file, CAST(NULL AS BIGINT) AS line, {_CYCLE.format(over='')} FROM m GROUP BY scc")
     out["circular_break"] = _cycles_sql("SELECT scc, node AS break_at FROM (SELECT scc, dst AS node, row_number() OVER (PARTITION BY scc ORDER BY count(*), dst) AS nth FROM inside GROUP BY scc, dst) WHERE nth = 1")
+    out |= {"issues_all_rules": _all_rules_sql(report.all_issues), "score_file_all_rules": _all_rules_sql(report.file_scores)}
     return out

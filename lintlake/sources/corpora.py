@@ -55,6 +55,11 @@ def _long(head: str, mark: str, pad: str, tail: str, loop: tuple[str, str]) -> s
 
 _LONG_JS = _long("function runLongTask@N(alpha, beta, gamma, delta) {", "//", "  ", "}", ("for (const g of gamma) {", "}"))
 _NOUNS = "\n".join(f"function {v}{n}@N(x) {{\n  return x;\n}}" for n in ("User", "Order") for v in ("open", "print", "trim", "merge")).replace("@N(", "(")
+# a function of more than eight decisions, and a long pattern without a comment
+_BRACE_JS += [
+    "function decide@N(a, b, c) {\n  if (a && b) { go(a); }\n  else if (b) { go(b); }\n  for (const x of c) {\n    while (x.next) { step(x); }\n    switch (x.kind) {\n      case 1: go(x); break;\n      case 2: go(a); break;\n    }\n  }\n  if (c) { return a; }\n  if (b) { return c; }\n  return b;\n}",
+    "go();\nconst long@N = /" + "ab+c|" * 17 + "z/g;",
+]
 _TYPED = ["let v@N: any = 1;\n// @ts-ignore\nlet w = v as unknown as string;", "// @ts-nocheck\nconst n = a!.b;\nconst m = list![0];", "function plain(a, b) { return a; }\nfunction typed(a: number) { return a; }"]
 _MARKUP = [
     "<img src=\"a@N.png\">\n<img src=\"\" alt=\"x\">",
@@ -112,6 +117,7 @@ SNIPPETS: dict[str, list[str]] = {
 _MANIFESTS = [
     ("package.json", "package.json", "json", '{"name": "app", "dependencies": {"left-pad": "^1.3.0", "lodash": "~4.17.20", "local": "file:../x"}, "devDependencies": {"lodash": "4.17.21", "jest": ">=29.0.0 <30"}}'),
     ("requirements.txt", "requirements.txt", "txt", "# pinned\nrequests==2.19.0\nflask>=1.0\nnumpy\n\n-e .\n"),
+    ("tools/untyped.py", "untyped.py", "py", "def first(a, b):\n    return a\n\n\ndef second(c: int):\n    return c\n\n\ndef third(d: int) -> int:\n    return d\n"),
     ("go.mod", "go.mod", "mod", "module app\n\ngo 1.21\nrequire github.com/gin-gonic/gin v1.6.0\nrequire golang.org/x/text v0.3.0\n"),
 ]
 

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 
 from lintlake.model import Settings
-from lintlake.operators import file_functions, graph
+from lintlake.operators import graph
 from lintlake.plans import report
 from lintlake.plans.analyze import Analysis
 from lintlake.sources import files as sources
@@ -115,12 +115,3 @@ def test_components_match_brute_force(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "h"), ("i", "i")]
     got = {r["node"]: r["scc"] for r in graph.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
-
-
-def test_walks():
-    src = file_functions.Source("js", "function fn(a, b) {\n  if (a && b) {\n    for (;;) { x(); }\n  }\n  return 1;\n}\n")
-    assert [(s.name, s.start, s.end) for s in file_functions.spans_cc(src)] == [("fn", 1, 6)]
-    assert file_functions.spans_smell(src)[0].params == 2
-    assert file_functions.normalized("const aaa = bbb + aaa") == "const $0 = $1 + $0"
-    assert file_functions.cognitive(["if (a) {", "for (;;) {", "}", "}", "x && y"], "js") == 4
-    assert file_functions.cognitive(["def f():", "    if a:", "        if b:"], "py") == 3

@@ -7,12 +7,13 @@ import duckdb
 import pytest
 
 from lintlake.functions.dialect import DUCK, SPARK
-from lintlake.model import CYCLE_PENALTY, DEDUP, NOT_SCORED, OTHER_PENALTY, SEVERITY
-from lintlake.operators import context_rules, cross_rules, line_rules
+from lintlake.model import CYCLE_PENALTY, DEDUP, NOT_SCORED, OTHER_PENALTY, SEVERITY, Settings
+from lintlake.operators import context_rules, cross_rules, function_rules, line_rules
 from lintlake.plans import catalog, report
 from lintlake.sources import corpora
 
 SELECTS = {r.key: r.select for r in line_rules.RULES} | {k: v[1] for k, v in (context_rules.RULES | cross_rules.RULES).items()} | cross_rules.EXTRACTORS | report.FILE_QUERIES
+SELECTS |= {k: (lambda d, f=v[-1]: f(d, Settings())) for k, v in (function_rules.RULES | function_rules.QUERIES).items()}
 
 
 def rows(names, found):
@@ -28,6 +29,9 @@ def both(spark, sf):
     for name in ("files", "lines"):
         spark.sql(f"{corpora.views(SPARK, corpora.code(SPARK, sf))} SELECT * FROM {name}").cache().createOrReplaceTempView(name)
         duck.sql(f"CREATE TABLE {name} AS {corpora.views(DUCK, corpora.code(DUCK, ''))} SELECT * FROM {name}")
+    for name, x in function_rules.EXTRACTORS.items():
+        spark.sql(function_rules.spans(SPARK, x)).cache().createOrReplaceTempView(name)
+        duck.sql(f"CREATE TABLE {name} AS {function_rules.spans(DUCK, x)}")
     return spark, duck
 
 
@@ -44,7 +48,7 @@ def test_select(both, key):
     assert rows(a.columns, a.collect()) == rows(b.columns, b.fetchall())
 
 
-@pytest.mark.parametrize("key", ["score_file", "agg_totals", "export_sarif", "quick_wins", "snapshot_diff", "win_trend_15", "circular_scc", "circular_break", "dup_exact_block_documents"])
+@pytest.mark.parametrize("key", ["score_file", "agg_totals", "export_sarif", "quick_wins", "snapshot_diff", "win_trend_15", "circular_scc", "circular_break", "dup_exact_block_documents", "issues_all_rules", "score_file_all_rules"])
 def test_query(both, sf, key):
     spark, duck = both
     a, b = catalog.queries()[key](spark, sf), duck.sql(catalog.oracle_sql()[key])
@@ -93,5 +97,5 @@ def test_scores_over_all_rules(spark, tmp_path):
             n, lost = want.get(x["file"], (0, CYCLE_PENALTY if x["file"] in members else 0))
             want[x["file"]] = (n + 1, lost + (SEVERITY[x["severity"]][1] if x["severity"] in SEVERITY else OTHER_PENALTY))
     scores = queries["score_file_all_rules"](spark, str(tmp_path)).collect()
-    assert len(scores) == 14 + 3
+    assert len(scores) == 14 + 4
     assert {r["path"]: (r["issues"], r["score"]) for r in scores} == {r["path"]: (n, max(0, 100 - lost)) for r in scores for n, lost in [want.get(r["path"], (0, 0))]}
