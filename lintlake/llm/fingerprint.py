@@ -1,16 +1,18 @@
 """I-Match fingerprints over several randomised lexicons.
 
 Document frequencies of all lower-cased words are counted over the whole corpus. The lexicon holds the words
-whose share of documents lies in [``LOW``, ``HIGH``], a band of inverse document frequency; as the shares of
-all words sum to the mean number of distinct words of a document, the lexicon has at most that mean / ``LOW``
-words, however large the corpus. ``SUBSETS`` randomised sub-lexicons keep each word with probability 1/4 to
-1/512. A document's fingerprint is, for each sub-lexicon, a hash of the sorted distinct words it has in it;
-likeness is the share of equal hashes among those that either document has.
+whose share of documents lies in [``LOW``, ``HIGH``], a band of inverse document frequency. As the shares of
+all words sum to the mean number of distinct words of a document, at most that mean / ``LOW`` words can be in it;
+where that is more than ``MOST``, the lower end is raised to mean / ``MOST``, so the lexicon that goes to the tasks has
+at most ``MOST`` words, however large the corpus and however long its documents. ``SUBSETS`` randomised sub-lexicons
+keep each word with probability 1/4 to 1/2048. A document's fingerprint is, for each sub-lexicon, a 64-bit hash of the
+sequence of the sorted distinct words it has in it; likeness is the share of equal hashes among those that either
+document has.
 
 Cases: a null text is an empty one, whose fingerprint is all zeros; a text without a word in the band uses all
-its words as if they were in it; equal texts have equal fingerprints; ids that occur more than once, or null
-ids (first), are ordered by text; the document after the last is the first, and a lone document is its own
-next one; an empty table gives an empty table; other columns are ignored.
+its words as if they were in it; equal texts have equal fingerprints; ids must be numbers; ids that occur more than
+once, or null ids (first), are ordered by text; the document after the last is the first, and a lone document is its
+own next one; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,21 +24,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lintlake.llm import exchange
 from lintlake.llm.bytesets import column, mix, slices, strings, word_hashes
-from lintlake.llm.storage import bounded
+from lintlake.llm.storage import bounded, kept
 
 LOW, HIGH = 0.0005, 0.2
-RATES = 8
-EACH = 8
+RATES = 10
+EACH = 6
 SUBSETS = RATES * EACH
-#: Words of a lexicon, at most; a larger one than LOW and texts of 2 000 distinct words allow is an error.
-MOST = int(4000 / LOW)
+#: Words of a lexicon, at most: 64 MB.
+MOST = 8_000_000
+#: Ranges of ids that quantiles tell apart; each is cut further into equal steps.
+COARSE = 64
 
 
 def band(df: DataFrame, least: float, most: float, text_col: str = "text", n_ranges: int = 16) -> DataFrame:
-    """``word`` (64-bit hash) of the words that between ``least`` and ``most`` documents have.
+    """``word`` (64-bit hash) and ``n`` of the words that between ``least`` and ``most`` documents have; in rows without a word, the sum of n over all words.
 
     A task sends each range of hashes its distinct words, sorted, with their counts, in one value; a range adds them up.
     """
@@ -83,10 +88,11 @@ def band(df: DataFrame, least: float, most: float, text_col: str = "text", n_ran
             counts.append(np.ones(len(words[-1]), np.int64))
             counts[-1][v["i"]] = v["c"]
         h, n = _summed(np.concatenate(words), np.concatenate(counts))
-        return pa.table({"word": pa.array(h[(n >= least) & (n <= most)].view(np.int64))})
+        keep = (n >= least) & (n <= most)
+        return pa.table({"word": pa.array([*h[keep].view(np.int64).tolist(), None], pa.int64()), "n": pa.array(np.append(n[keep], n.sum()))})
 
     texts = bounded(df).select(F.col(text_col).alias("text"))
-    return texts.mapInArrow(run, "range int, data binary").groupBy("range").applyInArrow(add, "word long")
+    return texts.mapInArrow(run, "range int, data binary").groupBy("range").applyInArrow(add, "word long, n long")
 
 
 def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +103,10 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[first], np.add.reduceat(n, first)
 
 
+#: Base of the polynomial that hashes a sequence, modulo 2**64; odd.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Lexicon:
     """Sorted word hashes and, for each, the bits of the sub-lexicons that keep it."""
 
@@ -115,9 +125,9 @@ def membership(words: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(buf: np.ndarray, starts: np.ndarray, lexicon: Lexicon) -> np.ndarray:
-    """One row of ``SUBSETS`` 16-bit hashes for each text; 0: no word in that sub-lexicon."""
+    """One row of ``SUBSETS`` 64-bit hashes for each text; 0: no word in that sub-lexicon."""
     n = len(starts) - 1
-    out = np.zeros((n, SUBSETS), np.uint16)
+    out = np.zeros((n, SUBSETS), np.uint64)
     for a, b in slices(starts):
         h, row = word_hashes(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
         if not len(h):
@@ -137,15 +147,17 @@ def fingerprints(buf: np.ndarray, starts: np.ndarray, lexicon: Lexicon) -> np.nd
         h, row, bits = h[order], row[order], bits[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
         h, row, bits = h[new], row[new], bits[new]
+        powers = np.cumprod(np.full(int(np.bincount(row).max()), _BASE, np.uint64))
         for s in range(SUBSETS):
             has = np.flatnonzero((bits >> np.uint64(s)) & np.uint64(1))
             if not len(has):
                 continue
             r = row[has]
             first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            # of the sorted distinct words: a sum of mixed words, which their order does not change
-            total = np.add.reduceat(mix(h[has] + np.uint64(s)), first)
-            out[a + r[first], s] = (mix(total) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+            # of the sequence of sorted distinct words: a polynomial in their places
+            place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
+            total = np.add.reduceat(mix(h[has] + np.uint64(s)) * powers[place], first)
+            out[a + r[first], s] = mix(total) | np.uint64(1)
     return out
 
 
@@ -163,22 +175,22 @@ def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def as_text(prints: np.ndarray) -> list[str]:
-    whole = prints.astype(">u2").tobytes().hex()
-    return [whole[i : i + 4 * SUBSETS] for i in range(0, len(whole), 4 * SUBSETS)]
+    whole = prints.astype(">u8").tobytes().hex()
+    return [whole[i : i + 16 * SUBSETS] for i in range(0, len(whole), 16 * SUBSETS)]
 
 
 def lexicon(df: DataFrame, text_col: str = "text", low: float = LOW, high: float = HIGH) -> Lexicon:
     """The words of ``df`` in the band, counted over all its rows."""
     total = df.count()
-    words = band(df, max(2.0, low * total), high * total, text_col, max(16, total // 16384))
-    found = np.array([r[0] for r in words.limit(MOST + 1).collect()], np.int64)
-    if len(found) > MOST:
-        raise ValueError(f"more than {MOST} words in the band: raise its lower end")
-    return Lexicon(found)
+    words = kept(band(df, max(2.0, low * total), high * total, text_col, max(16, total // 16384)), "band")
+    every = words.where("word is null").agg(F.sum("n")).first()[0] or 0
+    least = max(low, every / max(total, 1) / MOST) * total  # at most MOST words can reach it
+    found = words.where(F.col("word").isNotNull() & (F.col("n") >= least)).select("word").toArrow()
+    return Lexicon(found["word"].to_numpy())
 
 
-def _by_edges(col: Column, edges: list) -> Column:
-    """The number of edges not above the value, by a binary tree of comparisons; 0 for null."""
+def _range_of(col: Column, edges: list[float], steps: int) -> Column:
+    """The number of a value's range, ascending: between two edges, ranges are equal steps. 0 for null."""
 
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
@@ -186,30 +198,35 @@ def _by_edges(col: Column, edges: list) -> Column:
         mid = (lo + hi) // 2
         return F.when(col >= edges[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
 
-    return tree(0, len(edges))
+    if len(edges) < 2:
+        return F.lit(0)
+    outer = tree(1, len(edges) - 1) - 1  # the last stretch includes its end
+    low = F.element_at(F.array(*map(F.lit, edges)), outer + 1)
+    wide = F.element_at(F.array(*[F.lit(max(b - a, 1e-9)) for a, b in zip(edges, edges[1:], strict=False)]), outer + 1)
+    inner = F.greatest(F.lit(0), F.least(F.lit(steps - 1), F.floor((col - low) / wide * steps)))
+    return F.coalesce((outer * steps + inner).cast("long"), F.lit(0))
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_bucket: int = 8192) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, text_col: str, rows_per_range: int = 8192) -> DataFrame:
     """``_bucket, _extra, id, text`` such that, sorted so, each row that is not extra is followed by the next document.
 
     The ids are cut into ranges; the first document of a range is copied to the end of the range before it.
-    Texts are shuffled once.
+    Texts are shuffled once, a range to a task, and a task reads its range as a sorted stream.
     """
     rows = bounded(df).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = rows.select("id")
-    parts = max(1, min(1024, -(-ids.count() // rows_per_bucket)))
-    edges = sorted(set(ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.0005))) if parts > 1 else []
-    bucket = _by_edges(F.col("id"), [int(e) for e in edges])
-    rows = rows.withColumn("_bucket", bucket)
-    least = F.min(F.struct("id")).alias("s")  # a struct: null ids come first
-    firsts = {r["_bucket"]: r["s"]["id"] for r in rows.groupBy("_bucket").agg(least).collect()}
-    used = sorted(firsts)
-    if not used:
-        return rows.select("_bucket", F.lit(0).alias("_extra"), "id", "text")
-    before = {b: used[k - 1] for k, b in enumerate(used)}
-    first = F.coalesce(*[F.when((F.col("_bucket") == b) & F.col("id").eqNullSafe(F.lit(firsts[b])), F.lit(before[b])) for b in used])
-    copies = rows.withColumn("_to", first).where("_to is not null").select(F.col("_to").alias("_bucket"), F.lit(1).alias("_extra"), "id", "text")
-    return rows.select("_bucket", F.lit(0).alias("_extra"), "id", "text").union(copies).repartition(len(used), "_bucket").sortWithinPartitions("_bucket", "_extra", "id", "text")
+    parts = max(1, -(-ids.count() // rows_per_range))
+    coarse = min(COARSE, parts)
+    edges = sorted(set(ids.approxQuantile("id", [i / coarse for i in range(coarse + 1)], 1 / (8 * coarse)))) if parts > 1 else []
+    rows = rows.withColumn("_bucket", _range_of(F.col("id"), edges, -(-parts // coarse)))
+    least = rows.groupBy("_bucket").agg(F.min(F.struct("id")).alias("_first"))  # a struct: null ids come first
+    order = Window.orderBy("_bucket")  # one row for each range
+    firsts = kept(least.select("_bucket", "_first", F.coalesce(F.lag("_bucket").over(order), F.max("_bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_to")), "firsts")
+    used = firsts.count()
+    first = firsts.select(F.col("_bucket").alias("_b"), F.col("_first.id").alias("_id"), "_to")
+    copies = rows.join(F.broadcast(first) if used <= 1 << 16 else first, (F.col("_bucket") == F.col("_b")) & F.col("id").eqNullSafe(F.col("_id")))
+    both = rows.select("_bucket", F.lit(0).alias("_extra"), "id", "text").union(copies.select(F.col("_to").alias("_bucket"), F.lit(1).alias("_extra"), "id", "text"))
+    return both.repartitionByRange(max(1, used), "_bucket").sortWithinPartitions("_bucket", "_extra", "id", "text")
 
 
 def fingerprint_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

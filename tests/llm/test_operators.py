@@ -458,12 +458,54 @@ def test_fingerprints(docs, odd, none):
     assert mean("near_edited") > 0.1 > mean("near_next")
     odd_rows = fingerprint.fingerprint_documents(odd).collect()
     assert len(odd_rows) == odd.count()
-    assert {r["fingerprint"] for r in odd_rows if r["doc_id"] in (3, 4, 5)} == {"0" * 4 * fingerprint.SUBSETS}
+    assert {r["fingerprint"] for r in odd_rows if r["doc_id"] in (3, 4, 5)} == {"0" * 16 * fingerprint.SUBSETS}
     assert fingerprint.fingerprint_documents(none).count() == 0
 
 
+def test_fingerprints_match_brute_force(docs):
+    """The band, the sub-lexicons, the hash of the sorted distinct words and the likeness, one word at a time."""
+    mask = (1 << 64) - 1
+    code = lambda w: int(bytesets.word_hashes(*bytesets.strings([w]))[0][0])
+    mixed = lambda x: int(bytesets.mix(np.array([x & mask], np.uint64))[0])
+    bags = {i: {code(w) for w in words(t)} for i, t in rows(docs)}
+    n = Counter(w for bag in bags.values() for w in bag)
+    total = len(bags)
+    band = {w for w, k in n.items() if max(2, fingerprint.LOW * total) <= k <= fingerprint.HIGH * total}
+    rate = lambda s: 2 ** -(s // fingerprint.EACH + 2)
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(docs).collect()}
+
+    def own(bag):
+        used = sorted(bag & band or bag)
+        out = []
+        for s in range(fingerprint.SUBSETS):
+            seq = [w for w in used if (mixed(w + (s + 1) * 0xA24BAED4963EE407) >> 32) < rate(s) * 2**32]
+            h = sum(mixed(w + s) * pow(int(fingerprint._BASE), k + 1, 1 << 64) for k, w in enumerate(seq)) & mask
+            out.append(mixed(h) | 1 if seq else 0)
+        return out
+
+    ids = sorted(bags)
+    some = {i: own(bags[i]) for i in ids[:12]}
+    for i, x in some.items():
+        assert got[i]["fingerprint"] == "".join(f"{h:016x}" for h in x)
+    for a, b in zip(ids[:11], ids[1:12], strict=True):
+        pairs = list(zip(some[a], some[b], strict=True))
+        blocks = [pairs[k : k + fingerprint.EACH] for k in range(0, fingerprint.SUBSETS, fingerprint.EACH)]
+        sparse = [p for block in blocks if sum(map(any, block)) <= 0.75 * fingerprint.EACH for p in block if any(p)]
+        either = sparse or [p for p in pairs if any(p)]
+        assert got[a]["near_next"] == pytest.approx(sum(x == y for x, y in either) / len(either) if either else 1.0)
+
+
+def test_long_edited_texts_stay_alike(spark):
+    """Texts of thousands of words in the band, half of them replaced, are told from unrelated ones."""
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(30000)}" for _ in range(9000)) for _ in range(40)]
+    got = fingerprint.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    mean = lambda c: sum(r[c] for r in got) / len(got)
+    assert mean("near_edited") > 0.1 + mean("near_next")
+
+
 def test_next_document_across_buckets(docs):
-    out = fingerprint.with_next(docs, "doc_id", "text", rows_per_bucket=7).collect()
+    out = fingerprint.with_next(docs, "doc_id", "text", rows_per_range=7).collect()
     ids = sorted(r["doc_id"] for r in docs.select("doc_id").collect())
     by = {}
     for r in out:
