@@ -2,13 +2,15 @@
 
 ``write_archives`` stores each payload losslessly as an 8-bit greyscale PNG in ZIP archives (members
 uncompressed, so that a member's bytes lie in one range of its archive), one archive for each task and
-``archive_bytes``, in a folder that all executors share. ``ArchiveSource`` ("media_archive") reads the
-central directory of each archive, plans partitions as byte ranges over the members, and streams the
-members' bytes as Arrow batches; a member whose read fails or whose checksum is wrong is read again on
-its own, from its offset, before the task gives up.
+``archive_bytes``, in a folder that all executors share, with a table of the finished archives and their sizes.
+``ArchiveSource`` ("media_archive") plans partitions as byte ranges from names and sizes alone; it opens no archive.
+A task reads the central directory of its archives, takes the members that begin in its ranges, and streams their
+bytes as Arrow batches; a member whose read fails or whose checksum is wrong is read again on its own, from its
+offset, before the task gives up.
 
 Cases: a null text is an empty one; payloads are padded with blanks to a positive multiple of 192 bytes
-(one image line); equal texts give equal media; an empty table writes no archive and reads as empty.
+(one image line); equal texts give equal media; null and empty ids stay apart; repeated rows are stored as often as
+they occur; an empty table writes no archive and reads as empty; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,31 +95,33 @@ def _uri(folder: str) -> str:
     return "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
 
 
-def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 32 << 20) -> list[str]:
-    """Store every text; the names of the finished archives. A task that is run again writes new archives,
-    and only those of the attempt that finished are returned."""
+def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = 256 << 20) -> str:
+    """Store every text; the path of the table (name, size) of finished archives. A task that is run again writes
+    new archives, and only those of the attempt that finished are in the table."""
     folder = _uri(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _fs(folder)
         fs.create_dir(path, recursive=True)
-        out, names, number = None, [], 0
+        out, names, sizes, number = None, [], [], 0
 
         def close() -> None:
-            archive, stream, name = out
+            archive, stream, name, sink = out
             archive.close()
             stream.close()
             names.append(name)
+            sizes.append(sink.at)
 
         for batch in batches:
             for key, text in zip(batch["id"], batch["text"], strict=True):
                 if out is None:
                     name = f"{path}/media-{TaskContext.get().partitionId():06d}-{len(names):04d}-{uuid.uuid4().hex[:8]}.zip"
                     stream = fs.open_output_stream(name)
-                    out = zipfile.ZipFile(_Sink(stream), "w", zipfile.ZIP_STORED), stream, name
+                    sink = _Sink(stream)
+                    out = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED), stream, name, sink
                 payload, n = padded(text.as_py())
                 info = zipfile.ZipInfo(f"{number:09d}.png")
-                info.comment = f"{'' if key.as_py() is None else key.as_py()} {n}".encode()
+                info.comment = f"{_key(key.as_py())} {n}".encode()
                 out[0].writestr(info, to_png(payload))
                 number += 1
                 if out[0].fp.tell() > archive_bytes:
@@ -124,10 +129,15 @@ def write_archives(df: DataFrame, folder: str, id_col: str = "doc_id", text_col:
                     out = None
         if out is not None:
             close()
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "size"])
 
     source = bounded(df).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return sorted(r[0] for r in source.mapInArrow(run, "name string").collect())
+    source.mapInArrow(run, "name string, size long").write.parquet(f"{folder}/finished")
+    return f"{folder}/finished"
+
+
+def _key(key: object) -> str:
+    return "-" if key is None else f"+{key}"
 
 
 class _Sink(io.RawIOBase):
@@ -152,52 +162,69 @@ class _Sink(io.RawIOBase):
         pass
 
 
-class Range(InputPartition):
-    """Members of one archive that lie in a range of its bytes: (offset of the local header, bytes, crc, comment)."""
+class Ranges(InputPartition):
+    """Byte ranges of archives: (archive, begin, end)."""
 
-    def __init__(self, archive: str, members: list[tuple[int, int, int, str, str]]) -> None:
-        super().__init__((archive, len(members)))
-        self.archive, self.members = archive, members
+    def __init__(self, spans: list[tuple[str, int, int]]) -> None:
+        super().__init__(spans)
+        self.spans = spans
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.folder = _uri(options["path"])
-        self.names = [x for x in options.get("archives", "").split("\n") if x]
+        self.finished = options.get("finished", "")
         self.range_bytes = int(options.get("rangebytes", 16 << 20))
         self.retries = int(options.get("retries", 3))
 
-    def partitions(self) -> list[Range]:
-        fs, path = _fs(self.folder)
-        names = self.names or sorted(x.path for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".zip"))
-        out = []
-        for name in names:
-            with fs.open_input_file(name) as f, zipfile.ZipFile(f) as archive:
-                members, begin = [], None
-                for info in archive.infolist():
-                    begin = info.header_offset if begin is None else begin
-                    members.append((info.header_offset, info.file_size, info.CRC, info.comment.decode(), info.filename))
-                    if info.header_offset + info.file_size - begin >= self.range_bytes:
-                        out.append(Range(name, members))
-                        members, begin = [], None
-                if members:
-                    out.append(Range(name, members))
-        return out
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def archives(self) -> list[tuple[str, int]]:
+        """Names and sizes, from the table of finished archives or else from the folder's listing."""
+        fs, path = _fs(_uri(self.finished) or self.folder)
+        if self.finished:
+            parts = [pq.read_table(x.path, filesystem=fs) for x in fs.get_file_info(pafs.FileSelector(path)) if x.path.endswith(".parquet")]
+            return sorted(x for t in parts for x in zip(t["name"].to_pylist(), t["size"].to_pylist(), strict=True))
+        return sorted((x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if x.path.endswith(".zip"))
+
+    def partitions(self) -> list[Ranges]:
+        out, spans, held = [], [], 0
+        for name, size in self.archives():
+            for begin in range(0, size, self.range_bytes):
+                end = min(size, begin + self.range_bytes)
+                spans.append((name, begin, end))
+                held += end - begin
+                if held >= self.range_bytes:
+                    out.append(Ranges(spans))
+                    spans, held = [], 0
+        return [*out, Ranges(spans)] if spans or not out else out
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, _ = _fs(self.folder)
         rows: list[tuple] = []
         held = 0
-        with fs.open_input_file(partition.archive) as f:
-            for offset, size, crc, comment, name in partition.members:
-                rows.append((os.path.basename(partition.archive), name, offset, comment, self.member(fs, f, partition.archive, offset, size, crc)))
-                held += size
-                if held > 4 << 20:
-                    yield self.batch(rows)
-                    rows, held = [], 0
+        for name, begin, end in partition.spans:
+            with fs.open_input_file(name) as f:
+                for info in self.members(fs, f, name, begin, end):
+                    data = self.member(fs, f, name, info.header_offset, info.file_size, info.CRC)
+                    rows.append((os.path.basename(name), info.filename, info.header_offset, info.comment.decode(), data))
+                    held += info.file_size
+                    if held > 4 << 20:
+                        yield self.batch(rows)
+                        rows, held = [], 0
         if rows:
             yield self.batch(rows)
 
+    def members(self, fs: pafs.FileSystem, f, name: str, begin: int, end: int) -> list[zipfile.ZipInfo]:
+        """The members that begin in a range, by the archive's directory; read again on failure."""
+        for left in range(self.retries, -1, -1):
+            try:
+                with zipfile.ZipFile(f) as archive:
+                    return [x for x in archive.infolist() if begin <= x.header_offset < end]
+            except (OSError, zipfile.BadZipFile):
+                if not left:
+                    raise
+                f = fs.open_input_file(name)
+        raise AssertionError
+
     def member(self, fs: pafs.FileSystem, f, archive: str, offset: int, size: int, crc: int) -> bytes:
         """One member's bytes; on failure again on its own, from its offset, with a new stream."""
         for left in range(self.retries, -1, -1):
@@ -236,21 +263,18 @@ class ArchiveSource(DataSource):
         return ArchiveReader(self.options)
 
 
-def read_archives(spark: SparkSession, folder: str, names: list[str] | None = None, range_bytes: int = 16 << 20) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, finished: str = "", range_bytes: int = 16 << 20) -> DataFrame:
+    """One row for each member of the archives in ``folder``; of those in the table ``finished``, if given."""
     spark.dataSource.register(ArchiveSource)
-    reader = spark.read.format("media_archive").option("rangeBytes", range_bytes)
-    return (reader.option("archives", "\n".join(names)) if names is not None else reader).load(folder)
+    return spark.read.format("media_archive").option("rangeBytes", range_bytes).option("finished", finished).load(folder)
 
 
 def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store all texts as media, read the stored bytes back and describe them."""
     spark = df.sparkSession
     folder = new_folder(spark, "media")
-    names = write_archives(df, folder, id_col, text_col)
+    finished = write_archives(df, folder, id_col, text_col)
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    if not names:
-        return spark.createDataFrame([], schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,11 +283,11 @@ def media_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 key, _, n = comment.rpartition(" ")
                 samples = from_png(media)
                 payload = samples.tobytes()
-                rows.append((key or None, int(n), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
+                rows.append((key[1:] if key[:1] == "+" else None, int(n), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    read = read_archives(spark, folder, names).select("comment", "media")
+    read = read_archives(spark, folder, finished).select("comment", "media")
     out = read.mapInArrow(run, "key string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.select(F.col("key").cast(kind).alias(id_col), *(c for c in out.columns if c != "key"))

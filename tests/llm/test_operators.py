@@ -136,8 +136,31 @@ def test_media(odd, none, spark, tmp_path):
     assert {(r["doc_id"], r["payload_sha256"], r["n_bytes"]) for r in got} == want
     assert len({r["media_sha256"] for r in got if r["doc_id"] in (1, 2)}) == 1
     assert media.media_digests(none).count() == 0
-    names = media.write_archives(odd, f"file://{tmp_path}/m", archive_bytes=2000)
-    assert media.read_archives(spark, f"file://{tmp_path}/m", names, range_bytes=500).count() == odd.count()
+    finished = media.write_archives(odd, f"file://{tmp_path}/m", archive_bytes=2000)
+    for table in (finished, ""):
+        read = media.read_archives(spark, f"file://{tmp_path}/m", table, range_bytes=500)
+        assert read.count() == odd.count() and read.rdd.getNumPartitions() > 20
+    named = spark.createDataFrame([("", "a"), (None, "b"), ("a b", "c")], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_bytes"]) for r in media.media_digests(named).collect()} == {("", 1), (None, 1), ("a b", 1)}
+
+
+def test_media_match_brute_force(docs):
+    """Sums, lengths and features of real texts, from the payload and an image decoder of a few lines."""
+    texts = dict(rows(docs))
+    for r in media.media_digests(docs).collect():
+        data = (texts[r["doc_id"]] or "").encode()
+        whole = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        png = media.to_png(whole)
+        at = png.index(b"IDAT")
+        lines = zlib.decompress(png[at + 4 : at + 4 + int.from_bytes(png[at - 4 : at], "big")])
+        assert b"".join(lines[k + 1 : k + 193] for k in range(0, len(lines), 193)) == whole
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(data), len(whole), hashlib.sha256(whole).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(whole[-16:]), len(png), hashlib.sha256(png).hexdigest())
+        share = Counter(x >> 4 for x in whole)
+        mean = sum(whole) / len(whole)
+        spread = math.sqrt(sum((x - mean) ** 2 for x in whole) / len(whole))
+        bands, m, d = r["feature"].split("-")
+        assert bands == "".join(f"{15 * share[k] // len(whole):x}" for k in range(16)) and float(m) == pytest.approx(mean, abs=1e-3) and float(d) == pytest.approx(spread, abs=1e-3)
 
 
 def test_members_are_read_again_by_offset():
