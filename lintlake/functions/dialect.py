@@ -112,6 +112,9 @@ class Spark(Dialect):
     def struct(self, **fields: str) -> str:
         return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
 
+    def array(self, items: list[str]) -> str:
+        return f"array({', '.join(items)})"
+
     def sorted_list(self, value: str) -> str:
         return f"array_sort(collect_list({value}))"
 
@@ -202,6 +205,9 @@ class Duck(Dialect):
     def struct(self, **fields: str) -> str:
         return "{" + ", ".join(f"'{k}': {v}" for k, v in fields.items()) + "}"
 
+    def array(self, items: list[str]) -> str:
+        return f"[{', '.join(items)}]"
+
     def sorted_list(self, value: str) -> str:
         return f"list_sort(list({value}))"
 

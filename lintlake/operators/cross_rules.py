@@ -5,6 +5,8 @@ Each function gives SQL over ``files`` (path, name, lang, content, lines, wide)
 
 from __future__ import annotations
 
+import re
+
 from lintlake.functions.dialect import Dialect
 from lintlake.model import CODE, IMPORTING, JS
 
@@ -142,24 +144,34 @@ def unused_alias(d: Dialect) -> str:
     return _unused_import(d, f"SELECT path, line, {d.extract('text', pattern)} AS name FROM lines WHERE lang = 'py' AND {d.match('text', pattern)}", False)
 
 
-def unused_var(d: Dialect) -> str:
+def _first(most: int | None) -> str:
+    return "TRUE" if most is None else f"nth <= {most}"
+
+
+def _limit(most: int | None) -> str:
+    return "" if most is None else f"ORDER BY path, line LIMIT {most}"
+
+
+def unused_var(d: Dialect, most: int | None = 4) -> str:
+    """Names that their file never says again; the first ``most`` of each file, or all."""
     js, py = r"^\s*(?:const|let)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=(?:[^=]|$)", r"^([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"
     first = f"SELECT path, line, {d.extract('text', js)} AS name FROM lines WHERE {d.any_of('lang', JS)} AND {d.match('text', js)} AND NOT {d.any_of(d.extract('text', js), KNOWN_JS)}"
     second = f"SELECT path, line, {d.extract('text', py)} AS name FROM lines WHERE lang = 'py' AND {d.match('text', py)} AND NOT {d.match('text', r'^[^=]*,')} AND NOT {d.any_of(d.extract('text', py), KNOWN_PY)}"
     names = f"(SELECT * FROM ({first} UNION ALL {second}) WHERE NOT {d.match('path', _TEST)} AND length(name) > 1 AND NOT {d.match('name', '^_')})"
     counts = f"(SELECT path, word, count(*) AS n FROM ({_tokens(d)}) GROUP BY path, word)"
     kept = f"(SELECT v.path, v.line, v.name, row_number() OVER (PARTITION BY v.path ORDER BY v.line) AS nth FROM {names} AS v JOIN {counts} AS c ON v.path = c.path AND v.name = c.word WHERE c.n <= 1)"
-    return _out(d, "low", "concat('Unused variable: ', name)", kept, "nth <= 4")
+    return _out(d, "low", "concat('Unused variable: ', name)", kept, _first(most))
 
 
-def dead_export(d: Dialect) -> str:
+def dead_export(d: Dialect, most: int | None = 8) -> str:
+    """Exports that no other file imports; the first ``most`` of each file, or all."""
     pattern = r"^export\s+(?:default\s+)?(?:function|const|let|var|class)\s+(\w+)"
     lists = d.unnest(f"(SELECT path, {d.extract_all('content', r'import\s+\{([^}]+)\}\s+from')} AS lists FROM files)", "lists", "names", "path")
     parts = d.unnest(f"(SELECT path, {d.split('names', ',')} AS parts FROM ({lists}))", "parts", "part", "path")
     imported = f"SELECT path, {d.trim(d.replace(d.trim('part'), r'\s+as\s+.*$', ''))} AS name FROM ({parts})"
     exports = f"(SELECT path, line, {d.extract('text', pattern)} AS name FROM lines WHERE {d.any_of('lang', JS)} AND {d.match('text', pattern)}) AS e"
     dead = f"(SELECT path, line, name, row_number() OVER (PARTITION BY path ORDER BY line) AS nth FROM {exports} WHERE name <> 'default' AND NOT EXISTS (SELECT 1 FROM ({imported}) AS i WHERE i.name = e.name AND i.path <> e.path))"
-    return _out(d, "low", "concat('Exported symbol never imported: ', name)", dead, "nth <= 8")
+    return _out(d, "low", "concat('Exported symbol never imported: ', name)", dead, _first(most))
 
 
 def _defined(d: Dialect) -> str:
@@ -169,11 +181,11 @@ def _defined(d: Dialect) -> str:
     return f"(SELECT path, line, name, text FROM (SELECT path, line, text, {name} AS name FROM lines WHERE {d.any_of('lang', tuple(USED_PATTERNS))}) WHERE length(name) > 2 AND NOT {d.match('name', '^_')})"
 
 
-def unused_function(d: Dialect, most: int = 20) -> str:
-    """Functions that nothing calls; a definition is no call. In all files together, the first ``most``."""
+def unused_function(d: Dialect, most: int | None = 20) -> str:
+    """Functions that nothing calls; a definition is no call. In all files together, the first ``most``, or all."""
     calls = d.unnest(f"(SELECT path, line, {d.extract_all('text', r'\b([a-zA-Z_][a-zA-Z0-9_]{2,})\s*\(')} AS words FROM lines WHERE {d.any_of('lang', CODE)})", "words", "name", "path, line")
     called = f"SELECT DISTINCT c.name FROM ({calls}) AS c LEFT JOIN {_defined(d)} AS o ON o.path = c.path AND o.line = c.line AND o.name = c.name WHERE o.name IS NULL"
-    free = f"(SELECT path, line, name FROM {_defined(d)} AS f WHERE NOT {d.any_of('name', CALLED_OUTSIDE)} AND NOT {d.match('name', CALLED_PATTERN)} AND NOT contains(text, 'export') AND NOT EXISTS (SELECT 1 FROM ({called}) AS k WHERE k.name = f.name) ORDER BY path, line LIMIT {most})"
+    free = f"(SELECT path, line, name FROM {_defined(d)} AS f WHERE NOT {d.any_of('name', CALLED_OUTSIDE)} AND NOT {d.match('name', CALLED_PATTERN)} AND NOT contains(text, 'export') AND NOT EXISTS (SELECT 1 FROM ({called}) AS k WHERE k.name = f.name) {_limit(most)})"
     return _out(d, "low", "concat('Unused function: ', name)", free)
 
 
@@ -303,8 +315,8 @@ def coverage(d: Dialect) -> str:
     return _out(d, "(CASE WHEN pct < 30 THEN 'high' WHEN pct < 60 THEN 'medium' ELSE 'low' END)", title, source, "n > 0 AND path IS NOT NULL", line="1")
 
 
-def uncovered(d: Dialect, most: int = 10) -> str:
-    source = f"(SELECT path, line, fn FROM {_covered(d)} WHERE hit = 0 AND length(fn) > 3 AND NOT {d.match('fn', '^_')} AND EXISTS (SELECT 1 FROM files WHERE {_is_test(d)}) ORDER BY path, line LIMIT {most})"
+def uncovered(d: Dialect, most: int | None = 10) -> str:
+    source = f"(SELECT path, line, fn FROM {_covered(d)} WHERE hit = 0 AND length(fn) > 3 AND NOT {d.match('fn', '^_')} AND EXISTS (SELECT 1 FROM files WHERE {_is_test(d)}) {_limit(most)})"
     return _out(d, "low", "concat('No test found for: ', fn, '()')", source)
 
 
@@ -372,8 +384,8 @@ def _vulnerable(d: Dialect) -> str:
     return f"(SELECT *, row_number() OVER (PARTITION BY file, ecosystem, name, version ORDER BY id) AS nth FROM ({dependencies(d)}) AS p JOIN {advisories} AS a ON p.ecosystem = a.eco AND p.name = a.package AND p.version = a.at_version)"
 
 
-def vulnerable(d: Dialect) -> str:
-    return _out(d, f"({advisory_severity(d)})", "concat('Vulnerable dependency: ', name, '@', version, ' — ', alias)", _vulnerable(d), "nth <= 3", file="file", line="NULL")
+def vulnerable(d: Dialect, most: int | None = 3) -> str:
+    return _out(d, f"({advisory_severity(d)})", "concat('Vulnerable dependency: ', name, '@', version, ' — ', alias)", _vulnerable(d), _first(most), file="file", line="NULL")
 
 
 def vulnerable_hints(d: Dialect) -> str:
@@ -382,15 +394,33 @@ def vulnerable_hints(d: Dialect) -> str:
 
 # -- rules of the user -------------------------------------------------------------------------------------
 
-#: id, title, pattern, severity, languages (empty: all)
-CUSTOM = [("c1", "No TODO", "(?i)TODO", "low", ""), ("c2", "No magic status", "order-status", "medium", "js,py"), ("c3", "Uses db", r"\bdb\.\w+", "info", "")]
+#: id, title, pattern, severity, languages (empty: all), flags (g has no meaning for lines; i, m and s are the engine's own)
+CUSTOM = [("c1", "No TODO", "TODO", "low", "", "gi"), ("c2", "No magic status", "order-status", "medium", "js,py", "g"), ("c3", "Uses db", r"\bdb\.\w+", "info", "", "g"), ("c4", "Not a pattern", "(", "high", "", "gi")]
+
 
+def usable(rules: list[tuple[str, str, str, str, str, str]]) -> list[tuple[str, str, str, str, str]]:
+    """Rules with their flags put into the pattern; one whose pattern is none is passed over, as is an empty one."""
+    out = []
+    for rid, title, pattern, level, langs, flags in rules:
+        inner = "".join(x for x in "ims" if x in flags)
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        if pattern:
+            out.append((rid, title, f"(?{inner}){pattern}" if inner else pattern, level, langs))
+    return out
 
-def custom(d: Dialect, rules: list[tuple[str, str, str, str, str]] = CUSTOM) -> str:
-    table = d.values(rules, "rule_id, rule_title, pattern, level, langs")
-    hit = "text RLIKE pattern" if d.name == "spark" else "regexp_matches(text, pattern)"
-    where = f"(langs = '' OR contains(concat(',', langs, ','), concat(',', lang, ','))) AND {hit}"
-    return _out(d, "(level)", "rule_title", f"lines CROSS JOIN {table} AS r", where)
+
+def custom(d: Dialect, rules: list[tuple[str, str, str, str, str, str]] = CUSTOM) -> str:
+    """All rules of the user in one pass over the lines."""
+    good = usable(rules)
+    if not good:
+        return _out(d, "low", "text", "lines", "FALSE")
+    hits = [f"CASE WHEN {d.match('text', p)}{f' AND {d.any_of("lang", langs.split(","))}' if langs else ''} THEN {d.lit(rid)} END" for rid, _, p, _, langs in good]
+    some = f"(SELECT path, line, {d.filter(d.array(hits), 'r', 'r IS NOT NULL')} AS hits FROM lines)"
+    named = d.values([(rid, title, level) for rid, title, _, level, _ in good], "rule_id, rule_title, level")
+    return _out(d, "(level)", "rule_title", f"({d.unnest(some, 'hits', 'hit', 'path, line')}) AS h JOIN {named} AS r ON hit = rule_id")
 
 
 #: rules: key -> (category, SQL); extractors: key -> SQL with columns of their own
@@ -425,3 +455,11 @@ EXTRACTORS = {
     "dep_inventory_go": go_modules,
     "upgrade_hint": vulnerable_hints,
 }
+#: The rules that show only so many findings, with all of them.
+UNCAPPED = {
+    "dead_unused_var_uncapped": lambda d: unused_var(d, None),
+    "dead_export_uncapped": lambda d: dead_export(d, None),
+    "dead_unused_function_uncapped": lambda d: unused_function(d, None),
+    "test_uncovered_fn_uncapped": lambda d: uncovered(d, None),
+    "dep_vulnerable_uncapped": lambda d: vulnerable(d, None),
+}

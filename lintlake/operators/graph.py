@@ -7,6 +7,7 @@ first. Each round writes a checkpoint, so plans stay short and lost executors co
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import pandas as pd
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a temporary one only where none is set (tests)."""
+    """The folder that the cluster shares for checkpoints; where none is set, a temporary one if all runs in one process, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lintlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

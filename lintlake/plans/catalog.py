@@ -35,7 +35,7 @@ def _selects() -> dict[str, Callable[[Dialect, str], str]]:
 
     out = {r.key: on(corpora.code, r.select) for r in line_rules.RULES}
     out |= {k: on(corpora.code, f) for k, (_, f) in (context_rules.RULES | cross_rules.RULES).items()}
-    out |= {k: on(corpora.code, f) for k, f in (cross_rules.EXTRACTORS | report.FILE_QUERIES).items()}
+    out |= {k: on(corpora.code, f) for k, f in (cross_rules.EXTRACTORS | cross_rules.UNCAPPED | report.FILE_QUERIES).items()}
     out |= {k: on_functions(tables, f, ("file", "line", "severity", "title")) for k, (_, tables, f) in function_rules.RULES.items()}
     out |= {k: on_functions(tables, f) for k, (tables, f) in function_rules.QUERIES.items()}
     out |= {k: on(corpora.code, f, True) for k, f in report.ISSUE_QUERIES.items()}
