@@ -5,19 +5,25 @@
    similar sets must share one) and a parity bitmap. Classes with equal sets are one from here on.
 3. Classes that share a prefix shingle, and whose sizes and bitmaps allow the similarity, are candidates
    (an exact filter); candidate links are joined into clusters by connected components.
-4. The whole sets of a cluster meet in one task, where every set asks an inverted index for the sets that
-   share at least T of its shingles: DivideSkip merges its short lists and probes the long ones by binary
-   search for what the short ones found, and a union-find skips those already known to be connected. A cluster over
-   ``CLUSTER`` shingles is dealt to chunks, and each pair of chunks is searched.
-
-Cases: a null or blank text has no shingles, and is linked with nothing (its component is its own id);
+4. The whole sets of a cluster are dealt to chunks of about ``CLUSTER`` shingles. In a task every set asks an inverted
+   index for the sets that share at least T of its shingles: DivideSkip merges its short lists with a heap and probes
+   the long ones by binary search for what the short ones found, and a union-find skips those already known to be
+   connected. About ``LEADERS`` sets of a cluster visit all its chunks, so that a group of near copies becomes one
+   component at once. Sets outside a cluster's largest component then visit its other chunks; those inside need not,
+   as every link between them joins what is joined.
+
+A class is known by 63 bits of its set's hash, so two of n unlike sets are taken for equal with a probability of about
+n * n / 2**64. Cases: a null or blank text has no shingles, and is linked with nothing (its component is its own id);
 fewer words than n are one shingle; copies share a class, so groups of thousands cost one set; null ids are
 carried through; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +38,11 @@ from lintlake.llm.storage import bounded, kept
 #: Counters of the shingle sketch.
 SKETCH = 1 << 20
 _SHIFT = np.uint64(64 - 20)
-#: Shingles of a cluster that one task searches, at most; and its chunks beyond.
-CLUSTER = 8 << 20
+#: Shingles of a chunk of a cluster, about, and sets of a cluster that visit all its chunks.
+CLUSTER = 1 << 16
+LEADERS = 32
+#: The newest members of a group of candidates, which are tried before its others.
+_NEWEST = 8
 _MOST_BITS = 1 << 13
 #: Fixed value: the weight of DivideSkip's published rule for the number of long lists.
 _MU = 0.0085
@@ -230,38 +239,49 @@ def candidates(share: tuple[int, int]):
 
 
 def linked(n: np.ndarray, w: np.ndarray, place: np.ndarray, bits: np.ndarray, share: tuple[int, int]) -> np.ndarray:
-    """A group number for each class (sizes ascending), joined where sizes and bitmaps allow the similarity."""
+    """A group number for each class (sizes ascending), joined where sizes and bitmaps allow the similarity.
+
+    A class is held against the newest members of each group first, and against the others only of groups that it has
+    not joined by then.
+    """
     m = len(n)
     group = np.arange(m)
-    folded: dict[int, np.ndarray] = {}
-
-    def at(size: int) -> np.ndarray:
-        if size not in folded:
-            out = np.zeros((m, size), "<u8")
-            for width in np.unique(w[w >= size]).tolist():
-                of = np.flatnonzero(w == width)
-                out[of] = fold(bits[place[of][:, None] + np.arange(width)], size)
-            folded[size] = out
-        return folded[size]
+    newest = np.ones(m, bool)
+    members: dict[int, list[int]] = {0: [0]}
+
+    def near(k: int, others: np.ndarray) -> np.ndarray:
+        hits = []
+        for width in np.unique(w[others]).tolist():  # widths grow with sizes
+            same = others[w[others] == width]
+            mine = fold(bits[place[k] : place[k] + w[k]][None, :], width)
+            apart = np.bitwise_count(bits[place[same][:, None] + np.arange(width)] ^ mine).sum(1)
+            hits.append(same[apart <= differ(n[same] + n[k], share)])
+        return np.concatenate(hits) if hits else others
 
     least = needed(n, share)
     for k in range(1, m):
         low = int(np.searchsorted(n, least[k]))
-        if low >= k:
+        joined: set[int] = set()
+        if low < k:
+            joined.update(group[near(k, low + np.flatnonzero(newest[low:k]))].tolist())
+            if len(joined) < len(members):
+                old = low + np.flatnonzero(~newest[low:k])
+                old = old[~np.isin(group[old], list(joined))]
+                if len(old):
+                    joined.update(group[near(k, old)].tolist())
+        if not joined:
+            members[k] = [k]
             continue
-        others = np.arange(low, k)
-        others = others[group[others] != group[k]]
-        while len(others):
-            small = int(w[others].min())  # widths grow with sizes
-            same = others[w[others] == small]
-            others = others[w[others] != small]
-            maps = at(small)
-            apart = np.bitwise_count(maps[same] ^ maps[k]).sum(1)
-            hit = same[apart <= differ(n[same] + n[k], share)]
-            if len(hit):
-                joined = np.unique(np.append(group[hit], group[k]))
-                group[np.isin(group, joined)] = joined[0]
-                others = others[group[others] != group[k]]
+        first, *others = sorted(joined, key=lambda g: -len(members[g]))
+        newest[members[first][-_NEWEST:]] = False
+        for g in others:
+            gone = members.pop(g)
+            newest[gone[-_NEWEST:]] = False
+            group[gone] = first
+            members[first] = sorted([*members[first], *gone])
+        group[k] = first
+        members[first].append(k)
+        newest[members[first][-_NEWEST:]] = True
     return group
 
 
@@ -281,6 +301,7 @@ def search(sets_: list[np.ndarray], share: tuple[int, int], sides: np.ndarray |
     lists = owner[order]  # the inverted lists, one after another, each ascending
     begin = np.searchsorted(inverse[order], np.arange(len(tokens) + 1))
     keys = inverse[order] * np.int64(m) + lists
+    plain, edge = lists.tolist(), begin.tolist()
     group = np.arange(m)
     sorted_size = size[by]
     side = sides[by] if sides is not None else None
@@ -296,15 +317,11 @@ def search(sets_: list[np.ndarray], share: tuple[int, int], sides: np.ndarray |
         own = own[np.argsort(count, kind="stable")]
         long_ = min(t - 1, int(t / (_MU * np.log2(max(2, int(count.max()))) + 1)))
         short, rest = own[: n - long_], own[n - long_ :]
-        lens = begin[short + 1] - begin[short]
-        pick = np.repeat(begin[short] - (np.cumsum(lens) - lens), lens) + np.arange(int(lens.sum()))
-        met = lists[pick]
-        met = np.sort(met[(met >= low) & (met < k)])  # merged
-        if not len(met):
+        inside = [plain[bisect_left(plain, low, edge[x], edge[x + 1]) : bisect_left(plain, k, edge[x], edge[x + 1])] for x in short.tolist()]
+        met = [(x, sum(1 for _ in same)) for x, same in groupby(heapq.merge(*[x for x in inside if x]))]
+        if not met:
             continue
-        first = np.flatnonzero(np.r_[True, met[1:] != met[:-1]])
-        times = np.diff(np.r_[first, len(met)])
-        found = met[first]
+        found, times = np.array(met, np.int64).T
         keep = (times >= t - long_) & (group[found] != group[k])
         if side is not None:
             keep &= side[found] != side[k]
@@ -324,16 +341,19 @@ def search(sets_: list[np.ndarray], share: tuple[int, int], sides: np.ndarray |
     return out
 
 
-def link_clusters(df: DataFrame, classes: DataFrame, links: DataFrame, words: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
-    """Edges ``u, v`` between the classes of a cluster that really are similar."""
+def _members(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """``cls, id, n, root, more, chunk, leader`` of every class of a cluster."""
     roots = components(links)
     member = roots.select(F.col("node").alias("cls"), "root").union(roots.select(F.col("root").alias("cls"), "root").distinct())
     member = member.join(classes.select("cls", "id", "n"), "cls")
-    sizes = member.groupBy("root").agg((F.sum("n") / CLUSTER).cast("int").alias("more"))
-    member = kept(member.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("more") + 1).cast("int")), "clusters")
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(member, "id")
-    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("more"))))
-    pairs = pairs.withColumns({"lo": F.least("chunk", "other").cast("int"), "hi": F.greatest("chunk", "other").cast("int")})
+    sizes = member.groupBy("root").agg((F.sum("n") / CLUSTER).cast("int").alias("more"), F.count("*").alias("_sets"))
+    leader = (F.col("more") > 0) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("_sets")) < LEADERS)
+    return kept(member.join(sizes, "root").select("cls", "id", "n", "root", "more", F.pmod(F.xxhash64("cls"), F.col("more") + 1).cast("int").alias("chunk"), leader.alias("leader")), "clusters")
+
+
+def link_clusters(df: DataFrame, classes: DataFrame, links: DataFrame, words: int, share: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """Edges ``u, v`` that join the classes of a cluster that similar sets connect."""
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,25 +365,42 @@ def link_clusters(df: DataFrame, classes: DataFrame, links: DataFrame, words: in
                 edge = np.searchsorted(row, np.arange(b - a + 1))
                 out += [s[edge[k] : edge[k + 1]].tobytes() for k in range(b - a)]
             right = pa.array([cls_of(np.frombuffer(s, np.uint64)) == c for s, c in zip(out, batch["cls"].to_pylist(), strict=True)], pa.bool_())  # an id can stand in several rows
-            names = ["root", "lo", "hi", "chunk", "cls", "s"]
-            yield pa.RecordBatch.from_arrays([*(batch[c] for c in names[:-1]), pa.array(out, pa.binary())], names).filter(right)
+            yield pa.RecordBatch.from_arrays([batch["visits"], batch["cls"], pa.array(out, pa.binary())], ["visits", "cls", "s"]).filter(right)
 
     def join(table: pa.Table) -> pa.Table:
-        cls = table["cls"].to_numpy()
-        full = np.unique(cls, return_index=True)[1].tolist()
+        cls, side = table["cls"].to_numpy(), table["side"].to_numpy()
+        full = np.unique(np.stack([cls, side]), axis=1, return_index=True)[1].tolist()
         own = [np.frombuffer(table["s"][k].as_py(), np.uint64) for k in full]
         names = cls[full]
-        apart = table["lo"][0].as_py() != table["hi"][0].as_py()
-        group = search(own, share, table["chunk"].to_numpy()[full] if apart else None) if len(own) > 1 else np.zeros(len(own), np.int64)
+        group = search(own, share, side[full] if side.any() else None) if len(own) > 1 else np.zeros(len(own), np.int64)
         root = np.full(len(own), np.iinfo(np.int64).max)
-        if len(own):
-            np.minimum.at(root, group, names)
-            root = root[group]
+        np.minimum.at(root, group, names)
+        root = root[group]
         other = root != names
         return pa.table({"u": pa.array(names[other]), "v": pa.array(root[other])})
 
-    made = pairs.select("root", "lo", "hi", "chunk", "cls", "text").mapInArrow(digest, "root long, lo int, hi int, chunk int, cls long, s binary")
-    return made.groupBy("root", "lo", "hi").applyInArrow(join, "u long, v long")
+    def met(visits: DataFrame) -> DataFrame:
+        """The links in each place (root, lo, hi) that classes visit; ``visits``: cls, id and an array of places with a side."""
+        sets_ = texts.join(visits, "id").select("visits", "cls", "text").mapInArrow(digest, f"visits {visits.schema['visits'].dataType.simpleString()}, cls long, s binary")
+        return sets_.select(F.explode("visits").alias("at"), "cls", "s").select("at.*", "cls", "s").groupBy("root", "lo", "hi").applyInArrow(join, "u long, v long")
+
+    member = _members(links, classes)
+    place = lambda lo, hi, side: F.struct("root", lo.alias("lo"), hi.alias("hi"), F.lit(side).alias("side"))
+    every = lambda n: F.sequence(F.lit(0), n)
+    own = F.when(F.col("leader"), every(F.col("more"))).otherwise(F.array("chunk"))
+    first = kept(met(member.select("id", "cls", F.transform(own, lambda c: place(c, F.lit(0), 0)).alias("visits"))), "links")
+    # sets of cut clusters that are not in the cluster's largest component so far
+    joined = components(first)
+    cut = member.where("more > 0").join(joined.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
+    largest = cut.groupBy("root", "part").agg(F.count("*").alias("_n")).groupBy("root").agg(F.max_by("part", F.struct("_n", "part")).alias("most"))
+    minor = kept(cut.join(largest, "root").where("part <> most").select("root", "cls", "id", "n", "more"), "minor")
+    if minor.isEmpty():
+        return first
+    sizes = minor.groupBy("root").agg((F.sum("n") / CLUSTER).cast("int").alias("parts"))
+    asking = minor.join(sizes, "root").withColumn("_hi", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts") + 1).cast("int"))
+    asking = asking.select("id", "cls", F.transform(every(F.col("more")), lambda c: place(c, F.col("_hi"), 1)).alias("visits"))
+    asked = member.join(sizes, "root").select("id", "cls", F.transform(every(F.col("parts")), lambda h: place(F.col("chunk"), h, 0)).alias("visits"))
+    return first.union(met(asking.union(asked)))
 
 
 def cls_of(s: np.ndarray) -> int:

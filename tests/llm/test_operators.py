@@ -375,6 +375,59 @@ def test_search(sides):
     assert {(a, b) for a, b in pairs if got[a] == got[b]} == {(a, b) for a, b in pairs if top(a) == top(b)}
 
 
+def test_cut_clusters(spark, monkeypatch):
+    """Clusters of many chunks keep every link: near copies in one group, chains, and outsiders."""
+    monkeypatch.setattr(jaccard, "CLUSTER", 300)
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(40)]
+    texts = []
+    for _ in range(60):  # copies with an edit or two
+        t = list(base)
+        for _ in range(rng.randrange(3)):
+            t[rng.randrange(40)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(t))
+    for start in range(0, 120, 2):  # a chain: each like the next
+        texts.append(" ".join(f"c{k}" for k in range(start, start + 40)))
+    texts += [" ".join([*base[:20], *(f"x{j}y{k}" for k in range(20))]) for j in range(20)]
+    rows_ = list(enumerate(texts))
+    rng.shuffle(rows_)
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_components(df, 1, (80, 100)).collect()}
+    bags = [set(t.split()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(texts)):
+        for b in range(a):
+            o = len(bags[a] & bags[b])
+            if 100 * o >= 80 * len(bags[a] | bags[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert got == {k: top(k) for k in range(len(texts))}
+
+
+def test_linked_groups_match_all_pairs():
+    rng = np.random.default_rng(8)
+    share = (80, 100)
+    base = rng.integers(0, 1 << 60, (5, 300)).astype(np.uint64)
+    sets = sorted((np.unique(np.where(rng.random(300) < rng.choice([0.02, 0.1, 0.5]), rng.integers(0, 1 << 60, 300).astype(np.uint64), base[k % 5])[: rng.integers(200, 300)]) for k in range(90)), key=len)
+    maps = [jaccard.bitmap(s) for s in sets]
+    n, w = np.array([len(s) for s in sets]), np.array([len(m) for m in maps])
+    got = jaccard.linked(n, w, np.cumsum(w) - w, np.concatenate(maps), share)
+    group = np.arange(90)
+    for a in range(90):
+        for b in range(a):
+            wide = min(w[a], w[b])
+            apart = np.bitwise_count(jaccard.fold(maps[a][None], wide) ^ jaccard.fold(maps[b][None], wide)).sum()
+            if jaccard.needed(n[a], share) <= n[b] and apart <= jaccard.differ(n[a] + n[b], share):
+                group[group == group[a]] = group[b]
+    assert ((got[:, None] == got) == (group[:, None] == group)).all()
+
+
 # -- 8: wrappers
 
 
