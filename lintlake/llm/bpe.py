@@ -36,7 +36,7 @@ from lintlake.llm.storage import bounded
 #: Fixed value: the split pattern of byte-level BPE vocabularies of this kind.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Leaves of a text's tree, in characters, and of a pre-token's tree, in bytes: at most.
-LEAF = 1 << 11
+LEAF = 1 << 12
 PIECE = 1 << 9
 #: First reach of a window to either side of a join, in characters.
 REACH = 64
@@ -130,8 +130,9 @@ class Codec:
                 end = m.start() if m else len(b) if reach >= len(b) else None
             reach *= 2
         again = self._window(a[begin:] + b[:end])
-        head = np.searchsorted(np.cumsum(self.lengths[left]), len(a[:begin].encode()), "right") if begin else 0
-        tail = np.searchsorted(np.cumsum(self.lengths[right]), len(b[:end].encode()), "left") + 1 if end < len(b) else len(right)
+        gone, come = len(a[begin:].encode()), len(b[:end].encode())  # bytes, and so at least as many as tokens
+        head = len(left) - int(np.searchsorted(np.cumsum(self.lengths[left[-gone:]][::-1]), gone)) - 1 if gone else len(left)
+        tail = int(np.searchsorted(np.cumsum(self.lengths[right[:come]]), come)) + 1 if come else 0
         return np.concatenate([left[:head], again, right[tail:]])
 
     def _window(self, text: str) -> np.ndarray:
