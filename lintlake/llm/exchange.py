@@ -82,6 +82,19 @@ def unpack_sorted(value: dict[str, np.ndarray]) -> np.ndarray:
     return np.cumsum(wide.view("<u8").ravel(), dtype=np.uint64) + (value["base"][0] if len(value["base"]) else np.uint64(0))
 
 
+def pack_counts(values: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts that are mostly small: a compressed byte for each, and those of 255 and more apart."""
+    big = np.flatnonzero(values >= 255)
+    small = zstandard.compress(np.minimum(values, 255).astype(np.uint8).tobytes(), 1)
+    return {"small": np.frombuffer(small, np.uint8), "at": big.astype(np.int32), "big": values[big].astype(np.int64)}
+
+
+def unpack_counts(value: dict[str, np.ndarray]) -> np.ndarray:
+    out = np.frombuffer(zstandard.decompress(value["small"].tobytes()), np.uint8).astype(np.int64)
+    out[value["at"]] = value["big"]
+    return out
+
+
 SENT = "range int, block int, data binary"
 
 

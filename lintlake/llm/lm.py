@@ -1,12 +1,13 @@
 """Language-model scores by deleted interpolation of n-gram estimates.
 
-The model mixes maximum-likelihood estimates of a token after the one before it, of the token alone, and a
-uniform floor. Each frequency class of the context (powers of two of its count) has mixture weights of its
-own. Counts cover every training document: blocks of documents ask ranges of hashes for the counts of their
-distinct words and word pairs (``exchange``), so the counts live spread over the cluster at whatever size.
-The weights are learned by expectation-maximisation on held-out counts: for the tokens of the training
-documents in one of ``HELD_BLOCKS`` blocks the estimates are taken with that occurrence deleted, and the
-tokens are summed up by frequency class and the logarithms of their estimates.
+The model mixes maximum-likelihood estimates of a token after the two before it, after the one before it, of the token
+alone, and a uniform floor. The last three are mixed first; what they give is mixed with the first. At both steps each
+frequency class of the context (powers of two of its count) has mixture weights of its own. Counts cover every
+training document: blocks of documents ask ranges of hashes for the counts of their distinct words, pairs and
+triples (``exchange``), so the counts live spread over the cluster at whatever size. Words are told apart by 64 bits,
+pairs and triples by 48. The weights are learned by expectation-maximisation on held-out counts: for the tokens of
+the training documents in one of ``HELD_BLOCKS`` blocks the estimates are taken with that occurrence deleted, and the
+tokens are summed up by frequency class and the logarithms of their estimates, in quarters of a power of two.
 
 Tokens: words of the text with A-Z lower-cased, then one end; the end is also the context of the first word.
 
@@ -35,7 +36,9 @@ END = np.uint64(0x5851F42D4C957F2D)
 HELD_BLOCKS = 8
 CLASSES = 24
 _STEPS = 160  # of a quarter of a power of two, for the logarithm of an estimate over the floor
-_ONE = np.uint64(1)
+#: What pairs and triples keep of their hashes, and the kinds of keys: words, pairs, triples.
+_HIGH, _LOW_BITS = ~np.uint64(0xFFFF), np.uint64(16)
+_KINDS = "wpt"
 
 
 def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -57,35 +60,45 @@ def tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.r_[0, np.cumsum(np.concatenate(sizes))]
 
 
-def keys(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The key of each token (even) and of each token after the one before it (odd)."""
+def keys(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The key of each token, of it after the one before it, and of it after the two before it."""
     before = np.empty_like(t)
     before[1:] = t[:-1]
     before[first[:-1]] = END
-    single = mix(t ^ np.uint64(0x2545F4914F6CDD1D)) & ~_ONE
-    pair = mix(mix(before * np.uint64(0x9E3779B97F4A7C15)) + t) | _ONE
-    return single, pair
+    earlier = np.empty_like(t)
+    earlier[1:] = before[:-1]
+    earlier[first[:-1]] = END
+    after = mix(before * np.uint64(0x9E3779B97F4A7C15))
+    return mix(t ^ np.uint64(0x2545F4914F6CDD1D)), mix(after + t) & _HIGH, mix(mix(after + earlier * np.uint64(0xC2B2AE3D27D4EB4F)) + t) & _HIGH
 
 
-def _distinct(t: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys of a block, and the place in them of each token's keys (two rows)."""
-    single, pair = keys(t, first)
-    found, place = np.unique(np.concatenate([single, pair]), return_inverse=True)
-    return found, place.reshape(2, -1)
+def _distinct(t: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each kind the sorted distinct keys of a block, and the place in them of each token's key."""
+    return [np.unique(k, return_inverse=True) for k in keys(t, first)]
+
+
+def _packed(kind: str, found: np.ndarray) -> dict[str, np.ndarray]:
+    return {kind + x: v for x, v in exchange.pack_sorted(found if kind == "w" else found >> _LOW_BITS).items()}
+
+
+def _part(kind: str, value: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {x[1:]: v for x, v in value.items() if x[0] == kind}
 
 
 def ask_counts(n: int):
     def make(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         t, first = tokens(table)
-        found, place = _distinct(t, first)
         train = np.repeat(table["train"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-        count = np.bincount(place[:, train].ravel(), minlength=len(found))
-        at = exchange.cut(found, n)
+        sent: list[dict[str, np.ndarray]] = [{} for _ in range(n)]
+        for kind, (found, place) in zip(_KINDS, _distinct(t, first), strict=True):
+            count = np.bincount(place[train], minlength=len(found))
+            at = exchange.cut(found, n)
+            for r in range(n):
+                a, b = at[r], at[r + 1]
+                sent[r] |= _packed(kind, found[a:b]) | {kind + x: v for x, v in exchange.pack_counts(count[a:b]).items()}
         for r in range(n):
-            a, b = at[r], at[r + 1]
-            if a < b:
-                other = np.flatnonzero(count[a:b] != 1)
-                yield r, exchange.pack(0, **exchange.pack_sorted(found[a:b]), i=other.astype(np.int32), c=count[a:b][other].astype(np.int32))
+            if any(len(sent[r][k + "base"]) for k in _KINDS):
+                yield r, exchange.pack(0, **sent[r])
 
     return make
 
@@ -96,26 +109,31 @@ COUNTED = "range int, block int, data binary, tokens long, types long"
 def count(table: pa.Table) -> pa.Table:
     """The counts of all training documents for each key of each block; the range's totals stand in its first row."""
     values = [exchange.unpack(d.as_py()) for d in table["data"]]
-    every = [exchange.unpack_sorted(v) for v in values]
-    mine = []
-    for v, k in zip(values, every, strict=True):
-        c = np.ones(len(k), np.int64)
-        c[v["i"]] = v["c"]
-        mine.append(c)
-    key = np.concatenate(every)
-    by = np.argsort(key, kind="stable")
-    edge = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
-    total = np.add.reduceat(np.concatenate(mine)[by], edge)
-    out = np.empty(len(key), np.int64)
-    out[by] = np.repeat(total, np.diff(np.r_[edge, len(key)]))
-    single = (key[by][edge] & _ONE) == 0
-    data, at = [], 0
-    for k in every:
-        c = out[at : at + len(k)]
-        at += len(k)
-        data.append(exchange.pack(1, c=c.astype(np.uint32) if c.max() < 1 << 32 else c.astype(np.uint64)))
-    m = len(data)
-    return pa.table({"range": table["range"], "block": table["block"], "data": pa.array(data, pa.binary()), "tokens": pa.array([int(total[single].sum())] + [0] * (m - 1)), "types": pa.array([int((total[single] > 0).sum())] + [0] * (m - 1))})
+    told: list[dict[str, np.ndarray]] = [{} for _ in values]
+    n_tokens = n_types = 0
+    for kind in _KINDS:
+        parts = [_part(kind, v) for v in values]
+        every = [exchange.unpack_sorted(v) for v in parts]
+        key = np.concatenate(every)
+        if not len(key):
+            for out in told:
+                out[kind] = np.zeros(0, np.uint8)
+            continue
+        by = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        total = np.add.reduceat(np.concatenate([exchange.unpack_counts(v) for v in parts])[by], edge)
+        whole = np.empty(len(key), np.int64)
+        whole[by] = np.repeat(total, np.diff(np.r_[edge, len(key)]))
+        if kind == "w":
+            n_tokens, n_types = int(total.sum()), int((total > 0).sum())
+        at = 0
+        for k, out in zip(every, told, strict=True):
+            c = whole[at : at + len(k)]
+            at += len(k)
+            out[kind] = c.astype(np.min_scalar_type(int(c.max(initial=0))))
+    data = [exchange.pack(1, **out) for out in told]
+    rest = [0] * (len(data) - 1)
+    return pa.table({"range": table["range"], "block": table["block"], "data": pa.array(data, pa.binary()), "tokens": pa.array([n_tokens, *rest], pa.int64()), "types": pa.array([n_types, *rest], pa.int64())})
 
 
 def frequency_class(context: np.ndarray) -> np.ndarray:
@@ -127,65 +145,79 @@ def frequency_class(context: np.ndarray) -> np.ndarray:
 class Model:
     n: int  # training tokens
     types: int  # distinct ones
-    weights: np.ndarray  # CLASSES x (pair, single, floor)
+    weights: np.ndarray  # CLASSES x (pair, single, floor), by the class of the token before
+    upper: np.ndarray  # CLASSES x (triple, what the others give), by the class of the two tokens before
 
     @property
     def floor(self) -> float:
         return 1 / (self.types + 1)
 
-    def probability(self, pair: np.ndarray, context: np.ndarray, single: np.ndarray) -> np.ndarray:
+    def lower(self, pair: np.ndarray, context: np.ndarray, single: np.ndarray, n: int | None = None) -> np.ndarray:
         w = self.weights[frequency_class(context)]
-        return w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (single / max(self.n, 1)) + w[:, 2] * self.floor
+        return w[:, 0] * (pair / np.maximum(context, 1)) + w[:, 1] * (single / max(self.n if n is None else n, 1)) + w[:, 2] * self.floor
+
+    def probability(self, triple: np.ndarray, two: np.ndarray, pair: np.ndarray, context: np.ndarray, single: np.ndarray) -> np.ndarray:
+        w = self.upper[frequency_class(two)]
+        return w[:, 0] * (triple / np.maximum(two, 1)) + w[:, 1] * self.lower(pair, context, single)
 
     def base(self, single: np.ndarray) -> np.ndarray:
         return np.log10((single + 0.5) / (self.n + 0.5 * (self.types + 1)))
 
 
 def _counts(table: pa.Table, found: dict[int, dict[str, np.ndarray]]) -> tuple[np.ndarray, ...]:
-    """Row starts of a block's tokens, and each token's pair, context and single counts."""
+    """Row starts of a block's tokens, and each token's triple, two-token context, pair, context and single counts."""
     t, first = tokens(table)
-    c = np.concatenate([found[r]["c"].astype(np.int64) for r in sorted(found)])
-    _, place = _distinct(t, first)
-    single, pair = c[place[0]], c[place[1]]
-    context = np.empty_like(single)
+    single, pair, triple = (np.concatenate([found[r][kind] for r in sorted(found)]).astype(np.int64)[place] for kind, (_, place) in zip(_KINDS, _distinct(t, first), strict=True))
+    context, two = np.empty_like(single), np.empty_like(single)
     context[1:] = single[:-1]
     context[first[:-1]] = single[first[1:] - 1]  # the end's count
-    return first, pair, context, single
+    two[1:] = pair[:-1]
+    two[first[:-1]] = 0  # the first token has no two before it
+    return first, triple, two, pair, context, single
 
 
-def held_cells(n: int, types: int):
+def _steps(p: np.ndarray, floor: float) -> np.ndarray:
+    return np.where(p > 0, np.clip(np.round(4 * np.log2(np.maximum(p, 1e-300) / floor)) + 40, 1, _STEPS - 1), 0).astype(np.int64)
+
+
+def held_cells(n: int, types: int, lower: Model | None = None):
+    """Tokens by frequency class and steps of two estimates: pair and single, or triple and what ``lower`` gives."""
+
     def finish(table: pa.Table, found: dict[int, dict[str, np.ndarray]]) -> pa.Table:
         cells, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if table.num_rows and found:
-            first, pair, context, single = _counts(table, found)
+            first, *counts = _counts(table, found)
             train = np.repeat(table["train"].to_numpy(zero_copy_only=False).astype(bool), np.diff(first))
-            pair, context, single = (x[train] - 1 for x in (pair, context, single))  # this occurrence deleted
-            floor = 1 / (types + 1)
-            cell = frequency_class(context)
-            for p in (pair / np.maximum(context, 1), single / max(n - 1, 1)):
-                step = np.where(p > 0, np.clip(np.round(4 * np.log2(np.maximum(p, 1e-300) / floor)) + 40, 1, _STEPS - 1), 0)
-                cell = cell * _STEPS + step.astype(np.int64)
+            triple, two, pair, context, single = (np.maximum(x[train] - 1, 0) for x in counts)  # this occurrence deleted
+            if lower is None:
+                cell, estimates = frequency_class(context), (pair / np.maximum(context, 1), single / max(n - 1, 1))
+            else:
+                cell, estimates = frequency_class(two), (triple / np.maximum(two, 1), lower.lower(pair, context, single, n - 1))
+            for p in estimates:
+                cell = cell * _STEPS + _steps(p, 1 / (types + 1))
             cells, total = np.unique(cell, return_counts=True)
         return pa.table({"cell": pa.array(cells, pa.int64()), "n": pa.array(total, pa.int64())})
 
     return finish
 
 
-def mixture(cells: np.ndarray, total: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Weights of each frequency class by expectation-maximisation."""
-    out = np.tile(np.array([0.4, 0.5, 0.1]), (CLASSES, 1))
+def mixture(cells: np.ndarray, total: np.ndarray, guess: tuple[float, ...], rounds: int = 60) -> np.ndarray:
+    """Weights of each frequency class by expectation-maximisation; a third weight is the floor's."""
+    start = np.array(guess)
+    out = np.tile(start, (CLASSES, 1))
     if not len(cells):
         return out
     kind = cells // (_STEPS * _STEPS)
     step = np.stack([cells // _STEPS % _STEPS, cells % _STEPS], 1)
     p = np.where(step > 0, 2.0 ** ((step - 40) / 4), 0.0)
-    p = np.concatenate([p, np.ones((len(p), 1))], 1)  # all over the floor
+    if len(guess) == 3:
+        p = np.concatenate([p, np.ones((len(p), 1))], 1)  # all over the floor
     for _ in range(rounds):
         part = p * out[kind]
-        part *= (total / part.sum(1))[:, None]
-        for c in range(3):
+        part *= (total / np.maximum(part.sum(1), 1e-300))[:, None]
+        for c in range(len(guess)):
             out[:, c] = np.bincount(kind, weights=part[:, c], minlength=CLASSES)
-        out += np.array([0.4, 0.5, 0.1]) * 1e-3  # a class without tokens keeps the first guess; no weight is 0
+        out += start * 1e-3  # a class without tokens keeps the first guess; no weight is 0
         out /= out.sum(1, keepdims=True)
     return out
 
@@ -196,14 +228,15 @@ def score_rows(model: Model):
         if not table.num_rows:
             columns: list = [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
         else:
-            first, pair, context, single = _counts(table, found)
+            first, *counts = _counts(table, found)
+            single = counts[-1]
             at = first[:-1]
             columns = [
                 pa.array(np.diff(first)),
                 pa.array(np.add.reduceat((single > 0).astype(np.int64), at)),
                 pa.array(np.full(len(at), model.n)),
                 pa.array(np.add.reduceat(model.base(single), at)),
-                pa.array(np.add.reduceat(np.log10(model.probability(pair, context, single)), at)),
+                pa.array(np.add.reduceat(np.log10(model.probability(*counts)), at)),
             ]
         return pa.table([*(table[c] for c in names), *columns], names=[*names, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
@@ -221,8 +254,13 @@ def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_c
     total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     answers = counted.select("range", "block", "data")
     held = F.col("block") % min(HELD_BLOCKS, n_blocks) == 0
-    cells = exchange.told(docs.where(held), answers.where(held), held_cells(total[0], total[1]), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # a bounded grid
-    model = Model(total[0], total[1], mixture(np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], np.float64)))
+
+    def learned(lower: Model | None, guess: tuple[float, ...]) -> np.ndarray:
+        made = exchange.told(docs.where(held), answers.where(held), held_cells(total[0], total[1], lower), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # a bounded grid
+        return mixture(np.array([r[0] for r in made], np.int64), np.array([r[1] for r in made], np.float64), guess)
+
+    model = Model(total[0], total[1], learned(None, (0.4, 0.5, 0.1)), np.tile([0.0, 1.0], (CLASSES, 1)))
+    model.upper = learned(model, (0.3, 0.7))
     kind = docs.schema["id"].dataType.simpleString()
     out = exchange.told(docs, answers, score_rows(model), f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), F.col("learned").alias("train"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

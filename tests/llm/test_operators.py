@@ -310,11 +310,55 @@ def test_lm(docs, odd, none):
     assert lm.score_documents(none, F.lit(True)).count() == 0
 
 
+def test_lm_score_matches_brute_force(docs, monkeypatch):
+    """The score from counts of triples, pairs and words in Python, with the weights that the job learned."""
+    models = []
+    rows_of = lm.score_rows
+    monkeypatch.setattr(lm, "score_rows", lambda m: models.append(m) or rows_of(m))
+    from pyspark.sql import functions as F
+
+    got = {r["doc_id"]: r for r in lm.score_documents(docs, F.expr("crc32(cast(doc_id as string)) % 5 <> 1"), block_bytes=1 << 16).collect()}
+    (model,) = models
+    tokens = {i: [*words(t), None] for i, t in rows(docs)}
+    one, two, three = Counter(), Counter(), Counter()
+    grams = lambda t: zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], t, strict=True)
+    for i, t in tokens.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            one.update(t)
+            two.update(zip([None, *t[:-1]], t, strict=True))
+            three.update(grams(t))
+    n, kind = sum(one.values()), lambda c: 0 if c == 0 else min(lm.CLASSES - 1, c.bit_length())
+    assert (model.n, model.types) == (n, len(one))
+    for i, t in tokens.items():
+        want = 0.0
+        for k, (a, b, x) in enumerate(grams(t)):
+            w, u, ab = model.weights[kind(one[b])], None, two[a, b] if k else 0
+            u = model.upper[kind(ab)]
+            lower = w[0] * two[b, x] / max(one[b], 1) + w[1] * one[x] / n + w[2] / (len(one) + 1)
+            want += math.log10(u[0] * three[a, b, x] / max(ab, 1) + u[1] * lower)
+        assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+    assert np.allclose(model.weights.sum(1), 1) and np.allclose(model.upper.sum(1), 1)
+
+
+def test_documents_that_occur_twice_stand_out(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{int(rng.paretovariate(0.7))}" for _ in range(5000)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(120)) for _ in range(300)]
+    texts += texts[:60]
+    from pyspark.sql import functions as F
+
+    got = lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), F.lit(True), block_bytes=1 << 16).collect()
+    each = {r["doc_id"]: (r["score"] - r["base_score"]) / r["n_tokens"] for r in got}
+    twice, once = [each[k] for k in range(60)], sorted(each[k] for k in range(60, 300))
+    assert sum(x > once[int(0.9 * len(once))] for x in twice) > 0.9 * 60
+
+
 def test_mixture_sums_to_one_over_a_vocabulary():
-    model = lm.Model(10, 3, lm.mixture(np.zeros(0, np.int64), np.zeros(0)))
-    pair, single = np.array([2, 1, 1]), np.array([5, 3, 2])
-    p = model.probability(pair, np.array([4, 4, 4]), single)
-    assert abs(p.sum() + model.weights[3][2] * model.floor - 1) < 1e-9  # the floor also serves one unknown token
+    none = np.zeros(0, np.int64), np.zeros(0)
+    model = lm.Model(10, 3, lm.mixture(*none, (0.4, 0.5, 0.1)), lm.mixture(*none, (0.3, 0.7)))
+    triple, pair, single, four = np.array([1, 1, 0]), np.array([2, 1, 1]), np.array([5, 3, 2]), np.array([4, 4, 4])
+    p = model.probability(triple, np.array([2, 2, 2]), pair, four, single)
+    assert abs(p.sum() + 0.7 * model.weights[3][2] * model.floor - 1) < 1e-9  # the floor also serves one unknown token
 
 
 # -- 6: Jaccard join
