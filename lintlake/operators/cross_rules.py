@@ -298,7 +298,7 @@ def source_fns(d: Dialect) -> str:
     return f"SELECT path, line, fn FROM (SELECT path, name, line, {name} AS fn FROM lines WHERE {d.any_of('lang', CODE)}) WHERE NOT {_is_test(d)} AND length(fn) >= 3 AND NOT {d.any_of('fn', NOT_TESTED)}"
 
 
-def _covered(d: Dialect) -> str:
+def covered(d: Dialect) -> str:
     words = d.unnest(f"(SELECT path, line, fn, {d.split_on(d.trim('lower(' + d.replace('fn', '([A-Z])', ' $1') + ')'), r'\s+')} AS words FROM ({source_fns(d)}))", "words", "word", "path, line, fn")
     keys = f"SELECT path, line, fn, word FROM ({words}) WHERE length(word) > 3 UNION ALL SELECT path, line, fn, lower(replace(fn, '_', '')) AS word FROM ({source_fns(d)})"
     return f"(SELECT k.path, k.line, k.fn, max(CASE WHEN t.word IS NULL THEN 0 ELSE 1 END) AS hit FROM ({keys}) AS k LEFT JOIN ({test_names(d)}) AS t ON k.word = t.word GROUP BY k.path, k.line, k.fn)"
@@ -310,13 +310,13 @@ def no_tests(d: Dialect) -> str:
 
 
 def coverage(d: Dialect) -> str:
-    source = f"(SELECT sum(hit) AS c, count(*) AS n, CAST(floor(100.0 * sum(hit) / count(*) + 0.5) AS BIGINT) AS pct FROM {_covered(d)}) AS x CROSS JOIN (SELECT min(path) AS path FROM files WHERE {_is_test(d)}) AS t"
+    source = f"(SELECT sum(hit) AS c, count(*) AS n, CAST(floor(100.0 * sum(hit) / count(*) + 0.5) AS BIGINT) AS pct FROM {covered(d)}) AS x CROSS JOIN (SELECT min(path) AS path FROM files WHERE {_is_test(d)}) AS t"
     title = "concat('Test coverage: ~', CAST(pct AS STRING), '% (', CAST(c AS STRING), '/', CAST(n AS STRING), ' functions have matching tests)')"
     return _out(d, "(CASE WHEN pct < 30 THEN 'high' WHEN pct < 60 THEN 'medium' ELSE 'low' END)", title, source, "n > 0 AND path IS NOT NULL", line="1")
 
 
 def uncovered(d: Dialect, most: int | None = 10) -> str:
-    source = f"(SELECT path, line, fn FROM {_covered(d)} WHERE hit = 0 AND length(fn) > 3 AND NOT {d.match('fn', '^_')} AND EXISTS (SELECT 1 FROM files WHERE {_is_test(d)}) {_limit(most)})"
+    source = f"(SELECT path, line, fn FROM {covered(d)} WHERE hit = 0 AND length(fn) > 3 AND NOT {d.match('fn', '^_')} AND EXISTS (SELECT 1 FROM files WHERE {_is_test(d)}) {_limit(most)})"
     return _out(d, "low", "concat('No test found for: ', fn, '()')", source)
 
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 from lintlake.functions.dialect import Dialect
 from lintlake.model import CODE, COMPLEX, JS, Settings
+from lintlake.operators.cross_rules import covered
 
 # How functions begin (name and parameters by group), what counts as a decision, and word lists.
 _PY_DEF = r"^\s*(?:async\s+)?def\s+(\w+)\s*\(([^)]*)"
@@ -387,6 +388,18 @@ def _every(d: Dialect, s: Settings) -> str:
     return " UNION ALL ".join(f"SELECT path, {d.lit(k)} AS extractor, name, head, tail, params FROM {k}" for k in EXTRACTORS)
 
 
+def metrics(d: Dialect, s: Settings) -> str:
+    """Mean and largest complexity of the functions that cc_function reports, and the share of functions with tests."""
+    found = f"(SELECT n FROM ({cyclomatic_scores(d)}) WHERE n >= {s.cc_limit})"
+    tested = f"(SELECT CAST(floor(100.0 * sum(hit) / count(*) + 0.5) AS BIGINT) AS pct FROM {covered(d)})"
+    return f"SELECT (SELECT CAST(floor(avg(n) + 0.5) AS BIGINT) FROM {found}) AS avg_cc, (SELECT max(n) FROM {found}) AS max_cc, (SELECT pct FROM {tested}) AS fn_coverage"
+
+
+def _worst(score: str, scores: Callable[[Dialect], str]) -> Select:
+    """All functions, the highest score first."""
+    return lambda d, s: f"SELECT path, head, {score} AS score FROM ({scores(d)}) ORDER BY {score} DESC, path, head"
+
+
 #: key -> (tables it reads, SQL)
 QUERIES: dict[str, tuple[tuple[str, ...], Select]] = {
     "fn_spans": (tuple(EXTRACTORS), _every),
@@ -396,6 +409,9 @@ QUERIES: dict[str, tuple[tuple[str, ...], Select]] = {
     "fn_spans_cc": (("fn_cc",), _spans_of("fn_cc", COMPLEX)),
     "fn_spans_split": (("fn_split",), _spans_of("fn_split", CODE)),
     "fn_bodies": (("fn_body",), _bodies),
+    "agg_metrics_cc": (("fn_cc",), metrics),
+    "sort_cc_desc": (("fn_cc",), _worst("n", cyclomatic_scores)),
+    "sort_cog_desc": (("fn_cog",), _worst("score", lambda d: f"SELECT path, line AS head, score FROM ({cognitive_scores(d)})")),
     "cog_score_py": (("fn_cog",), _scores_of(True)),
     "cog_score_brace": (("fn_cog",), _scores_of(False)),
 }

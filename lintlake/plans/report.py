@@ -7,7 +7,7 @@ severity, title); ``with_issues`` makes the last from the line rules, deduplicat
 from __future__ import annotations
 
 from lintlake.functions.dialect import Dialect
-from lintlake.model import CYCLE_PENALTY, DEDUP, NOT_SCORED, OTHER_MINUTES, OTHER_PENALTY, SEVERITY
+from lintlake.model import CYCLE_PENALTY, DEDUP, JS, NOT_SCORED, OTHER_MINUTES, OTHER_PENALTY, SEVERITY
 from lintlake.operators import line_rules
 
 # What each report shows.
@@ -19,6 +19,42 @@ SKIP_DIRS = "node_modules .git .svn .hg dist build out .next .nuxt coverage __py
 SKIP_EXTS = "png jpg jpeg gif svg ico webp woff woff2 ttf eot mp3 mp4 avi mov zip tar gz rar pdf exe dll so dylib lock map".split()
 
 
+# What a title (lower case) speaks of, and how that is mended in Python, in JavaScript and elsewhere.
+FIX_KEYS = [
+    ("secret|credential|key|token|password", "hardcoded_secret"), ("sql|injection", "sql_injection"), ("eval", "eval"), ("xss|innerhtml|dangerously", "xss"), ("tls|ssl|verify", "tls"),
+    ("pickle", "pickle"), ("shell=true|subprocess", "subprocess_shell"),
+]
+_ELSE = None
+FIXES = {
+    "hardcoded_secret": ('Use `os.getenv("KEY")` or python-dotenv: `from dotenv import load_dotenv`', _ELSE, "Use `process.env.KEY` and a `.env` file with dotenv"),
+    "sql_injection": ('Use parameterized queries: `cursor.execute("SELECT * WHERE id=?", (user_id,))`', _ELSE, "Use prepared statements or an ORM — never concatenate user input into SQL"),
+    "eval": ("Replace with `ast.literal_eval()` for data, or `json.loads()` for JSON", _ELSE, "Replace eval() with JSON.parse(), a lookup table, or proper data structures"),
+    "xss": (_ELSE, "Use `element.textContent = text` instead of innerHTML, or sanitize with DOMPurify", "Escape HTML output and use a template engine with auto-escaping"),
+    "tls": (_ELSE, _ELSE, "Never disable SSL verification in production — fix the certificate chain instead"),
+    "pickle": (_ELSE, _ELSE, "Replace pickle with JSON, msgpack, or a safe serialization format"),
+    "subprocess_shell": (_ELSE, _ELSE, "Use `subprocess.run([cmd, arg1, arg2], shell=False)` — pass args as a list"),
+}
+#: Title (lower case), languages, and the command before and behind the file's name.
+COMMANDS = [
+    ("unused import", ("py",), "autoflake --remove-all-unused-imports --in-place ", ""),
+    ("unused import", JS, "npx eslint --fix ", " --rule 'no-unused-vars: error'"),
+    ("wildcard import", ("py",), "isort ", ""),
+    ("duplicate import", ("py",), "isort --force-single-line-imports ", ""),
+    (r"console\.log|debug statement", JS, "npx eslint --fix ", " --rule 'no-console: error'"),
+    ("loose equality", JS, "npx eslint --fix ", " --rule 'eqeqeq: error'"),
+    ("import inside function", ("py",), "isort ", ""),
+]
+ARCHITECTURE = {
+    "layers": "Apply layered architecture: separate concerns into api/, services/, repositories/, and models/ directories",
+    "cycles": "Introduce dependency injection to break circular imports — pass dependencies as constructor/function arguments instead of importing directly",
+    "god": ("Split god files (", ") into smaller single-responsibility modules"),
+    "secrets": "Centralise credentials and auth config into a single secrets manager or config module — never inline them",
+    "python": "Use __init__.py to define clean public APIs for each package — avoid importing implementation details across packages",
+    "js": "Create a barrel file (index.ts) per feature folder to control public exports and enforce module boundaries",
+    "repeats": "Extract repeated logic into a shared utils/ or helpers/ module — consolidate before further development",
+}
+
+
 def _severity(d: Dialect, k: int, other: str, col: str = "severity") -> str:
     cases = " ".join(f"WHEN {d.lit(s)} THEN {v[k] if isinstance(v[k], int) else d.lit(v[k])}" for s, v in SEVERITY.items())
     return f"CASE {col} {cases} ELSE {other} END"
@@ -183,6 +219,45 @@ def high_entropy(d: Dialect) -> str:
     return f"SELECT DISTINCT path AS file, line, 'medium' AS severity, 'High-Entropy String' AS title FROM {entropy} WHERE round(e, 6) >= 4.5"
 
 
+def fixes(d: Dialect) -> str:
+    """How to mend issues: what they speak of, the advice for the project's main language, and a command for the file."""
+    low = "lower(title)"
+    key = "CASE " + " ".join(f"WHEN {d.match(low, p)} THEN {d.lit(k)}" for p, k in FIX_KEYS) + " END"
+    cases = [f"WHEN fix_key = {d.lit(k)} AND main = 'py' THEN {d.lit(py)}" for k, (py, _, _) in FIXES.items() if py]
+    cases += [f"WHEN fix_key = {d.lit(k)} AND {d.any_of('main', JS)} THEN {d.lit(js)}" for k, (_, js, _) in FIXES.items() if js]
+    cases += [f"WHEN fix_key = {d.lit(k)} THEN {d.lit(other)}" for k, (_, _, other) in FIXES.items()]
+    command = "CASE " + " ".join(f"WHEN {d.match(low, p)} AND {d.any_of('ext', langs)} THEN concat({d.lit(a)}, file, {d.lit(b)})" for p, langs, a, b in COMMANDS) + " END"
+    main = "(SELECT lang AS main FROM files GROUP BY lang ORDER BY count(*) DESC, lang LIMIT 1)"
+    told = f"(SELECT category, file, line, title, {key} AS fix_key, {d.replace('file', r'^.*[.]', '')} AS ext FROM issues)"
+    return f"SELECT category, file, line, title, fix_key, CASE {' '.join(cases)} END AS fix, {command} AS command FROM {told} AS t CROSS JOIN {main} AS m"
+
+
+def architecture(d: Dialect, most: int = 5) -> str:
+    """The first suggestions for the whole project, from counts of its files and issues."""
+    n_issues = lambda where: f"(SELECT count(*) FROM issues WHERE {where})"
+    god = "contains(title, 'God file')"
+    short = d.replace("file", r"^.*/([^/]*/[^/]*)$", "$1")
+    named = f"(SELECT {d.listed('shown', 'file', ', ')} FROM (SELECT file, {short} AS shown, row_number() OVER (ORDER BY file) AS nth FROM issues WHERE {god}) WHERE nth <= 3)"
+    has = lambda langs: f"(SELECT count(*) FROM files WHERE {d.any_of('lang', langs)})"
+    said = {
+        "layers": ("(SELECT count(*) FROM files) > 50", ""), "cycles": ("(SELECT count(DISTINCT title) FROM issues WHERE category = 'circular') > 2", ""), "god": (f"{n_issues(god)} > 0", f"concat({d.lit(ARCHITECTURE['god'][0])}, {named}, {d.lit(ARCHITECTURE['god'][1])})"),
+        "secrets": (n_issues(f"category = 'security' AND {d.match('title', '(?i)token|auth|key|secret')}") + " > 3", ""), "python": (has(("py",)) + " > 0", ""), "js": (has(JS) + " > 0", ""), "repeats": (n_issues("category = 'duplicates'") + " > 5", ""),
+    }
+    rows = " UNION ALL ".join(f"SELECT {k} AS nth, {text or d.lit(ARCHITECTURE[name])} AS suggestion, {when} AS fits" for k, (name, (when, text)) in enumerate(said.items()))
+    return f"SELECT suggestion FROM (SELECT suggestion, row_number() OVER (ORDER BY nth) AS place FROM ({rows}) WHERE fits) WHERE place <= {most}"
+
+
+def sorted_files(d: Dialect, by: str = "issues", descending: bool = True) -> str:
+    """All files with their scores, by a column."""
+    return f"SELECT * FROM ({file_scores(d)}) ORDER BY {by} {'DESC' if descending else 'ASC'}, path"
+
+
+def code_context(d: Dialect, n: int = 5, severity: str = "high") -> str:
+    """The line of each issue of a severity and the ``n`` behind it, as one text."""
+    places = d.unnest(f"(SELECT DISTINCT file, line AS first_line FROM issues WHERE severity = {d.lit(severity)} AND line IS NOT NULL)", d.series(str(n + 1)), "k", "file, first_line")
+    return f"SELECT p.file, first_line AS line, {d.listed('text', 'l.line', chr(10))} AS context FROM ({places}) AS p JOIN lines AS l ON l.path = p.file AND l.line = first_line + k - 1 GROUP BY p.file, first_line"
+
+
 # -- over scans and pages -----------------------------------------------------------------------------------
 
 
@@ -215,7 +290,7 @@ def links(d: Dialect, sf_dir: str) -> str:
 ISSUE_QUERIES = {
     "issues_line_rules": all_issues, "score_file": file_scores, "score_overall": overall_score, "agg_count_by_category": count_by_category, "agg_totals": totals, "agg_fix_minutes": fix_minutes,
     "agg_section_minutes": section_minutes, "filter_severity": only_severity, "filter_search": search, "filter_path_search": path_search, "topk_worst_files": worst_files, "topk_section": sections,
-    "quick_wins": quick_wins, "export_sarif": sarif_rules, "export_json": json_summary, "copy_category": copied_category, "refactor_prompt": refactor_points, "score_band": score_bands,
+    "quick_wins": quick_wins, "export_sarif": sarif_rules, "export_json": json_summary, "copy_category": copied_category, "refactor_prompt": refactor_points, "score_band": score_bands, "specific_fixes": fixes, "arch_suggestions": architecture, "sort_files_by": sorted_files, "code_context": code_context,
 }
 FILE_QUERIES = {"agg_lang_breakdown": language_breakdown, "agg_metrics_row": metrics, "scan_pruned": pruned, "scalar_functions": scalars, "project_type": project_type, "sec_high_entropy": high_entropy}
 TABLE_QUERIES = {"snapshot_diff": snapshot_diff, "win_trend_15": trend, "parse_repo_url": repo_urls, "href_edges": links}
