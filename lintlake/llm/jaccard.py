@@ -39,7 +39,7 @@ from lintlake.llm.storage import bounded, kept
 SKETCH = 1 << 20
 _SHIFT = np.uint64(64 - 20)
 #: Shingles of a chunk of a cluster, about, and sets of a cluster that visit all its chunks.
-CLUSTER = 1 << 16
+CLUSTER = 1 << 14
 LEADERS = 32
 #: The newest members of a group of candidates, which are tried before its others.
 _NEWEST = 8
