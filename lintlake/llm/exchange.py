@@ -30,8 +30,9 @@ def blocks(df: DataFrame, id_col: str, text_col: str, block_bytes: int = BLOCK_B
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(total) // block_bytes))
-    # id and length, not the id alone: ids that repeat still spread
-    return rows.select(F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(n)).cast("int").alias("block"), *rows.columns), n
+    # id and length, not the id alone: ids that repeat still spread; rows without an id go by their text
+    key = F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id", F.octet_length("text")))
+    return rows.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), *rows.columns), n
 
 
 def ranges(n_blocks: int, fan: int = FAN) -> int:

@@ -154,7 +154,7 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
                 seen[at] += 1
                 total += 1
                 if chosen.as_py() and len(at):
-                    out.append((-2, 0, lang.as_py(), at.astype("<u2").tobytes(), np.minimum(counts, 65535).astype("<u2").tobytes()))
+                    out.append((-2, 0, lang.as_py(), at.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
             yield table(out)
         at = np.flatnonzero(seen)
         yield table([(-1, total, None, None, None)])
@@ -182,7 +182,7 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
         k = used[r["lang"]] = used.get(r["lang"], 0) + 1
         if k > each:  # the bound holds whatever the hash gives
             continue
-        at, counts = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u2").astype(np.int64)
+        at, counts = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<u4").astype(np.int64)
         (hold if k % 5 == 0 else learn).append((place[r["lang"]], at, vector(at, counts, idf)))
     if not learn:
         return Model([], idf, np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)

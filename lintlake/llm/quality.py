@@ -159,7 +159,7 @@ def bradley_terry(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, seed: int
 
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from the labelled rows of ``df``. Classes are sampled at one common rate, so that their shares stay."""
-    wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
+    wanted = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).distinct()
     sizes = [r[0] for r in wanted.groupBy("_y").count().select("count").collect()]
     if not sizes:
         return bradley_terry(np.zeros((0, 1)), np.zeros(0))

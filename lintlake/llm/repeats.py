@@ -7,7 +7,7 @@ A range of anchors joins the distinct contexts of each anchor into one text, sor
 grouping construction (``suffixes``), and reads off, for each string, the least document that holds it. An
 anchor in more than ``HOT`` documents is split: its strings are sent each under their own hash.
 
-Cases: a null text is an empty one; matches never cross documents; nothing is removed from texts shorter than
+Cases: ids must be whole numbers; a null text is an empty one; matches never cross documents; nothing is removed from texts shorter than
 ``length``; of rows with one id none is earlier than the other; rows with a null id count as before all others;
 repeated rows keep the first id; an empty table gives an empty table; other columns are ignored.
 """
