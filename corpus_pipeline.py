@@ -5,6 +5,10 @@ quality classifier below its cut, and by language identification if it has no le
 least as likely as not; of documents that five-word shingles link at a similarity of 0.8 the one with the least
 id stays; strings of 50 bytes or more that an earlier document has are cut out of later ones, at code points;
 what is left is packed into sequences of 2048 tokens.
+
+Cases: a null or empty text is scored like any other by the classifier, has no language and goes there; rows that
+repeat an id and a text count once from the third stage on, rows without an id stay unless they repeat; of texts
+that are equal the one with the least id stays; extra columns are dropped; an empty table stays empty at every stage.
 """
 
 from __future__ import annotations
