@@ -109,13 +109,18 @@ def unused_file(d: Dialect) -> str:
     return _out(d, "low", d.lit("Possibly unused file"), source, f"NOT EXISTS (SELECT 1 FROM ({import_sources(d)}) AS i WHERE i.base = f.base)", line="1")
 
 
-def _tokens(d: Dialect) -> str:
-    return d.unnest(f"(SELECT path, line AS seen, {d.extract_all('text', '([A-Za-z0-9_]+)')} AS words FROM lines)", "words", "word", "path, seen")
+def _uses(d: Dialect, names: str) -> str:
+    """``path, seen, word, times``: how often a line has each of its file's ``names`` (path, name), as a whole word. Words are looked up where they stand; only hits become rows."""
+    wanted = f"(SELECT path AS wp, {d.sorted_list('name')} AS names FROM (SELECT DISTINCT path, name FROM ({names}) WHERE name <> '') GROUP BY path)"
+    count = d.struct(word="x", n=f"CAST({d.size(d.filter('ws', 'w', 'w = x'))} AS BIGINT)")
+    met = d.let("ws", d.extract_all("text", "([A-Za-z0-9_]+)"), d.transform(d.filter("names", "x", "array_contains(ws, x)"), "x", count))
+    found = d.unnest(f"(SELECT path, line AS seen, {met} AS hits FROM lines JOIN {wanted} ON path = wp)", "hits", "hit", "path, seen")
+    return f"SELECT path, seen, hit.word AS word, hit.n AS times FROM ({found})"
 
 
 def _unused_import(d: Dialect, names: str, anywhere: bool) -> str:
     later = "t.seen <> n.line" if anywhere else "t.seen > n.line"
-    return _out(d, "low", "concat('Unused import: ', name)", f"({names}) AS n", f"name <> '' AND name <> '*' AND NOT EXISTS (SELECT 1 FROM ({_tokens(d)}) AS t WHERE t.path = n.path AND t.word = n.name AND {later})")
+    return _out(d, "low", "concat('Unused import: ', name)", f"({names}) AS n", f"name <> '' AND name <> '*' AND NOT EXISTS (SELECT 1 FROM ({_uses(d, names)}) AS t WHERE t.path = n.path AND t.word = n.name AND {later})")
 
 
 def _listed_names(d: Dialect, where: str, pattern: str, last: bool = True) -> str:
@@ -158,7 +163,7 @@ def unused_var(d: Dialect, most: int | None = 4) -> str:
     first = f"SELECT path, line, {d.extract('text', js)} AS name FROM lines WHERE {d.any_of('lang', JS)} AND {d.match('text', js)} AND NOT {d.any_of(d.extract('text', js), KNOWN_JS)}"
     second = f"SELECT path, line, {d.extract('text', py)} AS name FROM lines WHERE lang = 'py' AND {d.match('text', py)} AND NOT {d.match('text', r'^[^=]*,')} AND NOT {d.any_of(d.extract('text', py), KNOWN_PY)}"
     names = f"(SELECT * FROM ({first} UNION ALL {second}) WHERE NOT {d.match('path', _TEST)} AND length(name) > 1 AND NOT {d.match('name', '^_')})"
-    counts = f"(SELECT path, word, count(*) AS n FROM ({_tokens(d)}) GROUP BY path, word)"
+    counts = f"(SELECT path, word, sum(times) AS n FROM ({_uses(d, names)}) GROUP BY path, word)"
     kept = f"(SELECT v.path, v.line, v.name, row_number() OVER (PARTITION BY v.path ORDER BY v.line) AS nth FROM {names} AS v JOIN {counts} AS c ON v.path = c.path AND v.name = c.word WHERE c.n <= 1)"
     return _out(d, "low", "concat('Unused variable: ', name)", kept, _first(most))
 
