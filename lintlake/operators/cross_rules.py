@@ -384,13 +384,14 @@ def upgrade_hint(d: Dialect) -> str:
     )
 
 
-def _vulnerable(d: Dialect) -> str:
-    advisories = d.values(ADVISORIES, "id, eco, package, at_version, alias, summary, level, cvss, fixed")
+def _vulnerable(d: Dialect, table: str = "") -> str:
+    """Dependencies with their advisories, from a table of these columns or else from ADVISORIES."""
+    advisories = table or d.values(ADVISORIES, "id, eco, package, at_version, alias, summary, level, cvss, fixed")
     return f"(SELECT *, row_number() OVER (PARTITION BY file, ecosystem, name, version ORDER BY id) AS nth FROM ({dependencies(d)}) AS p JOIN {advisories} AS a ON p.ecosystem = a.eco AND p.name = a.package AND p.version = a.at_version)"
 
 
-def vulnerable(d: Dialect, most: int | None = 3) -> str:
-    return _out(d, f"({advisory_severity(d)})", "concat('Vulnerable dependency: ', name, '@', version, ' — ', alias)", _vulnerable(d), _first(most), file="file", line="NULL")
+def vulnerable(d: Dialect, most: int | None = 3, table: str = "") -> str:
+    return _out(d, f"({advisory_severity(d)})", "concat('Vulnerable dependency: ', name, '@', version, ' — ', alias)", _vulnerable(d, table), _first(most), file="file", line="NULL")
 
 
 def vulnerable_hints(d: Dialect) -> str:

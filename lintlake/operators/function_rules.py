@@ -287,6 +287,17 @@ def blocks(d: Dialect, s: Settings) -> str:
     return f"SELECT f.path AS file, f.head AS line, f.tail AS line_end, 'low' AS severity, {title} AS title FROM fn_split AS f JOIN {folded} AS b ON f.path = b.path AND f.head = b.head WHERE n >= 2"
 
 
+def section_labels(d: Dialect, s: Settings) -> str:
+    """``path, line, label, fn``: comments that head a part of a long function, and the name of a function to put it into."""
+    behind = r"\s*(?:step\s*\d*[:.]\s*|phase\s*\d*[:.]\s*|[-─=*]{2,}\s*)?(.{4,50})"
+    bare = f"(SELECT path, lang, line, head, {d.trim('text')} AS bare FROM {_long_lines(s)})"
+    slashed = _first(d, "(?i)^//" + behind, (1,), "bare"), _first(d, r"^/[*][*]?\s*(.{4,50})\s*[*]?/", (1,), "bare")
+    found = f"CASE WHEN lang = 'py' THEN {_first(d, '(?i)^#' + behind, (1,), 'bare')} WHEN {d.any_of('lang', _SLASHED)} THEN coalesce(nullif({slashed[0]}, ''), {slashed[1]}) ELSE '' END"
+    label = f"substring({d.trim('found')}, 1, 40)"
+    name = f"substring({d.replace(d.trim(d.replace('lower(label)', r'[^a-z0-9\s]', '')), r'\s+', '_')}, 1, 30)"
+    return f"SELECT path, line, label, {name} AS fn FROM (SELECT path, line, {label} AS label FROM (SELECT path, line, {found} AS found FROM {bare} WHERE line - head > 2)) WHERE label <> ''"
+
+
 def param_subset(d: Dialect, s: Settings) -> str:
     """The first block between blank lines, of more than 4 lines, that names one or two of more than three parameters."""
     signature = d.extract("sig", r"\(([^)]*)\)")
@@ -409,6 +420,7 @@ QUERIES: dict[str, tuple[tuple[str, ...], Select]] = {
     "fn_spans_cc": (("fn_cc",), _spans_of("fn_cc", COMPLEX)),
     "fn_spans_split": (("fn_split",), _spans_of("fn_split", CODE)),
     "fn_bodies": (("fn_body",), _bodies),
+    "section_labels": (("fn_split",), section_labels),
     "agg_metrics_cc": (("fn_cc",), metrics),
     "sort_cc_desc": (("fn_cc",), _worst("n", cyclomatic_scores)),
     "sort_cog_desc": (("fn_cog",), _worst("score", lambda d: f"SELECT path, line AS head, score FROM ({cognitive_scores(d)})")),

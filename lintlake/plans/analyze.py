@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
@@ -23,12 +24,18 @@ PARALLEL = 6
 class Analysis:
     """Issues of ``files`` (path, name, lang, content). The lines are split once and written for all rules to read."""
 
-    def __init__(self, files: DataFrame, settings: Settings = Settings(), categories: list[str] | None = None) -> None:
+    def __init__(self, files: DataFrame, settings: Settings = Settings(), categories: list[str] | None = None, advisories: DataFrame | None = None, more: dict[str, Callable[[Analysis], DataFrame]] | None = None) -> None:
+        """``advisories``: as ``sources.advisories.read`` gives them. ``more``: further analyzers by category; each gives file, line,
+        severity and title, and one that cannot be called is passed over."""
         self.spark = files.sparkSession
         self.settings = settings
         self.categories = categories
+        self.more = {k: f for k, f in (more or {}).items() if callable(f)}
         key = uuid.uuid4().hex[:12]
         files.select("path", "name", "lang", "content").createOrReplaceTempView(f"raw_{key}")
+        self.advisories = f"advisories_{key}" if advisories is not None else ""
+        if advisories is not None:
+            advisories.createOrReplaceTempView(self.advisories)
         both = corpora.views(SPARK, f"SELECT * FROM raw_{key}")
         self.folder = f"{graph.shared_folder(self.spark)}/analysis-{key}"
         for name in ("files", "lines"):
@@ -57,11 +64,14 @@ class Analysis:
 
         for key, (category, select) in (context_rules.RULES | cross_rules.RULES).items():
             if self.wants(category):
-                sql = context_rules.long_file(SPARK, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(SPARK, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(SPARK, self.settings.dup_window) if key == "dup_exact_block" else select(SPARK)
+                sql = context_rules.long_file(SPARK, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(SPARK, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(SPARK, self.settings.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(SPARK, table=self.advisories) if key == "dep_vulnerable" else select(SPARK)
                 add(category, key, self.sql(sql))
         for key, (category, _, select) in function_rules.RULES.items():
             if self.wants(category):
                 add(category, key, self.sql(select(SPARK, self.settings)))
+        for category, analyzer in self.more.items():
+            if self.wants(category):
+                add(category, f"{category}_more", analyzer(self))
         if self.wants("security"):
             add("security", "sec_high_entropy", self.sql(report.high_entropy(SPARK)))
         if self.wants("circular"):

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -75,23 +76,58 @@ class _Files(InputPartition):
         self.names = names
 
 
+#: Directories of a recorded contents listing that are followed below each other, at most.
+DEPTH = 10
+
+
 class ListingReader(DataSourceReader):
-    """Reads ``tree.json`` ({"tree": [{"path", "type"}]}) and ``blobs/<path>.json`` ({"content": base64}) of a recorded listing."""
+    """Reads ``tree.json`` ({"tree": [{"path", "type"}]}) and ``blobs/<path>.json`` ({"content": base64}) of a recorded listing.
+
+    Where the tree is missing or says that it is truncated, the directories are followed instead: ``contents.json`` and
+    ``contents/<path>.json`` ([{"path", "name", "type"}]), down to ``DEPTH``; one that cannot be read is left out.
+    """
 
     def __init__(self, options: dict) -> None:
-        self.folder = options["path"].removeprefix("file:")
+        folder = options["path"]
+        folder = "file://" + folder[5:] if folder.startswith("file:/") and not folder.startswith("file://") else folder
+        self.uri = folder if "://" in folder else f"file://{folder}"
         self.each = int(options.get("files", 64))
 
+    def load(self, name: str):
+        fs, root = pafs.FileSystem.from_uri(self.uri)
+        with fs.open_input_stream(f"{root}/{name}") as f:
+            return json.loads(f.read().decode("utf-8"))
+
+    def names(self) -> list[str]:
+        try:
+            tree = self.load("tree.json")
+            if not tree.get("truncated"):
+                return [x["path"] for x in tree["tree"] if x["type"] == "blob"]
+        except OSError:
+            pass
+        return self.followed("contents.json", 0)
+
+    def followed(self, listing: str, depth: int) -> list[str]:
+        try:
+            items = self.load(listing)
+        except OSError:
+            if not depth:
+                raise
+            return []
+        out = [x["path"] for x in items if x["type"] == "file"]
+        for x in items:
+            if x["type"] == "dir" and x["name"] not in SKIP_DIRS and depth < DEPTH:
+                out += self.followed(f"contents/{x['path']}.json", depth + 1)
+        return out
+
     def partitions(self) -> list[_Files]:
-        with open(f"{self.folder}/tree.json", encoding="utf-8") as f:
-            names = [x["path"] for x in json.load(f)["tree"] if x["type"] == "blob"]
+        names = self.names()
         return [_Files(names[k : k + self.each]) for k in range(0, len(names), self.each)] or [_Files([])]
 
     def read(self, partition: _Files) -> Iterator[tuple[str, str]]:
         for name in partition.names:
             try:
-                with open(f"{self.folder}/blobs/{name}.json", encoding="utf-8") as f:
-                    yield name, json.load(f)["content"]
+                yield name, self.load(f"blobs/{name}.json")["content"]
             except OSError:  # unreadable files are left out of a scan
                 continue
 

@@ -13,7 +13,8 @@ from lintlake.model import SEVERITY
 from lintlake.plans.report import JSON_CATEGORIES, SARIF_CATEGORIES
 
 #: Issues and files that the page shows.
-HTML_ISSUES, HTML_FILES = 200, 50
+HTML_ISSUES, HTML_FILES, PRINT_FILES = 200, 50, 40
+_PRINT = "<style>@page{size:A4;margin:15mm}table{width:100%;border-collapse:collapse}thead{display:table-header-group}tr{break-inside:avoid}table+table{break-before:page}</style>"
 
 
 def _level(k: int, other):
@@ -43,11 +44,16 @@ def to_sarif(issues: DataFrame) -> DataFrame:
     return rules.crossJoin(results).select(F.to_json(log).alias("value"))
 
 
-def to_html(issues: DataFrame, scores: DataFrame) -> DataFrame:
+def to_print(issues: DataFrame, scores: DataFrame) -> DataFrame:
+    """``to_html`` for paper: fewer files, tables with repeated heads, and a page break between issues and files."""
+    return to_html(issues, scores, PRINT_FILES, _PRINT)
+
+
+def to_html(issues: DataFrame, scores: DataFrame, n_files: int = HTML_FILES, style: str = "") -> DataFrame:
     """A page with the most severe issues and the worst files."""
     worst = issues.withColumn("rank", _level(0, 5)).orderBy("rank", "file", "line", "title").limit(HTML_ISSUES)
     rows = worst.select(F.lit(0).alias("part"), F.struct("rank", "severity", "title", "file", F.col("line").cast("string").alias("line")).alias("r"))
-    files = scores.orderBy("score", "path").limit(HTML_FILES).select(F.lit(1).alias("part"), F.struct(F.col("score").cast("int").alias("rank"), F.lit("").alias("severity"), F.lit("").alias("title"), F.col("path").alias("file"), F.lit("").alias("line")).alias("r"))
+    files = scores.orderBy("score", "path").limit(n_files).select(F.lit(1).alias("part"), F.struct(F.col("score").cast("int").alias("rank"), F.lit("").alias("severity"), F.lit("").alias("title"), F.col("path").alias("file"), F.lit("").alias("line")).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[dict]] = {0: [], 1: []}
@@ -57,7 +63,7 @@ def to_html(issues: DataFrame, scores: DataFrame) -> DataFrame:
         e = escape.escape
         found = "".join(f"<tr><td>{e(r['severity'])}<td>{e(r['title'])}<td>{e(r['file'])}<td>{e(r['line'] or '')}" for r in parts[0])
         listed = "".join(f"<tr><td>{r['rank']}<td>{e(r['file'])}" for r in parts[1])
-        yield pa.RecordBatch.from_arrays([pa.array([f"<!doctype html><meta charset=utf-8><title>Report</title><table>{found}</table><table>{listed}</table>"], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([f"<!doctype html><meta charset=utf-8><title>Report</title>{style}<table><thead><tr><th>Severity<th>Issue<th>File<th>Line</thead>{found}</table><table><thead><tr><th>Score<th>File</thead>{listed}</table>"], pa.string())], ["value"])
 
     return rows.union(files).coalesce(1).mapInArrow(run, "value string")
 

@@ -89,6 +89,13 @@ def test_sources(spark, tmp_path):
     (tmp_path / "rec/tree.json").write_text(json.dumps({"tree": [{"path": "a.js", "type": "blob"}, {"path": "lost.js", "type": "blob"}, {"path": "d", "type": "tree"}]}))
     (tmp_path / "rec/blobs/a.js.json").write_text(json.dumps({"content": "bGV0IHggPSAx\nOw=="}))
     assert [tuple(r) for r in sources.read_listing(spark, f"{tmp_path}/rec").collect()] == [("a.js", "a.js", "js", "let x = 1;")]
+    (tmp_path / "rec/tree.json").write_text(json.dumps({"truncated": True, "tree": []}))  # directories are followed instead
+    (tmp_path / "rec/contents").mkdir()
+    (tmp_path / "rec/contents.json").write_text(json.dumps([{"path": "a.js", "name": "a.js", "type": "file"}, {"path": "sub", "name": "sub", "type": "dir"}, {"path": "lost", "name": "lost", "type": "dir"}, {"path": "dist", "name": "dist", "type": "dir"}]))
+    (tmp_path / "rec/contents/sub.json").write_text(json.dumps([{"path": "sub/b.js", "name": "b.js", "type": "file"}]))
+    (tmp_path / "rec/blobs/sub").mkdir()
+    (tmp_path / "rec/blobs/sub/b.js.json").write_text(json.dumps({"content": "Yg=="}))
+    assert sorted((r["path"], r["content"]) for r in sources.read_listing(spark, f"file:{tmp_path}/rec").collect()) == [("a.js", "let x = 1;"), ("sub/b.js", "b")]
     assert sources.parse_repo_url("https://example.com/me/it.git") == sources.parse_repo_url("me/it") == ("me", "it")
 
 
@@ -99,6 +106,8 @@ def test_sinks(found, tmp_path):
     assert log["version"] == "2.1.0" and log["runs"][0]["results"] and log["runs"][0]["tool"]["driver"]["rules"]
     assert json.loads(sinks.to_json(issues, scores).first()[0])["kind"] == "count"
     assert "&lt;img&gt;" in sinks.to_html(issues, scores).first()[0]
+    page = sinks.to_print(issues, scores).first()[0]
+    assert "@page" in page and page.count("<thead>") == 2
     sinks.write(sinks.to_json(issues, scores), f"{tmp_path}/out")
 
 
@@ -115,3 +124,23 @@ def test_components_match_brute_force(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "a"), ("g", "h"), ("i", "i")]
     got = {r["node"]: r["scc"] for r in graph.strong_components(spark.createDataFrame(edges, "src string, dst string")).collect()}
     assert got == {"a": "a", "b": "a", "c": "a", "d": "d", "e": "d"}
+
+
+def test_advisories_and_further_analyzers(spark, tmp_path):
+    from lintlake.sources import advisories
+
+    record = {"id": "A-1", "aliases": ["C-9"], "summary": "Bad", "severity": [{"type": "CVSS", "score": "9.8"}], "affected": [{"package": {"ecosystem": "PyPI", "name": "flask"}, "versions": ["0.9", "1.0"], "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.1"}]}]}]}
+    (tmp_path / "adv.json").write_text(json.dumps(record) + "\n" + json.dumps({"id": "A-2"}) + "\n")
+    table = advisories.read(spark, f"file://{tmp_path}/adv.json")
+    assert sorted((r["at_version"], r["alias"], r["cvss"], r["fixed"]) for r in table.collect()) == [("0.9", "C-9", "9.8", "1.1"), ("1.0", "C-9", "9.8", "1.1")]
+    files = sources.read_table(spark.createDataFrame([("requirements.txt", "flask>=1.0\n")], "path string, content string"))
+    more = {"size": lambda a: a.sql("SELECT path AS file, CAST(1 AS BIGINT) AS line, 'low' AS severity, 'Here' AS title FROM files"), "none": "not callable"}
+    got = Analysis(files, categories=["dependencies", "size", "none"], advisories=table, more=more).issues().collect()
+    assert sorted((r["category"], r["severity"], r["title"]) for r in got) == [("dependencies", "critical", "Vulnerable dependency: flask@1.0 — C-9"), ("size", "low", "Here")]
+
+
+def test_custom_rules_pass_over_what_is_no_pattern():
+    from lintlake.operators import cross_rules
+
+    assert [r[0] for r in cross_rules.usable(cross_rules.CUSTOM)] == ["c1", "c2", "c3"]
+    assert cross_rules.usable([("a", "t", "x", "low", "", "gim")])[0][2] == "(?im)x"
