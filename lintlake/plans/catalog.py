@@ -100,12 +100,35 @@ def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"{corpora.views(SPARK, corpora.pages(SPARK, sf_dir))} SELECT path, name, lang, content FROM files")
 
 
-def _all_rules_query(files: Query, select: Callable[[Dialect], str]) -> Query:
-    """A report over the issues of all rules, which are found once and written for it to read."""
+#: Analyses whose issues are written, by application, corpus, folder and state of its tables.
+_FOUND: dict[tuple, Analysis] = {}
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Sizes and times of the tables that corpora are made of: issues that are found once count until one changes."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in ("lineitem", "supplier", "pages"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()) if fs.exists(path) else None)
+    return tuple(out)
+
+
+def _analysis(files: Query, spark: SparkSession, sf_dir: str) -> Analysis:
+    key = (spark.sparkContext.applicationId, files.__name__, sf_dir, _state(spark, sf_dir))
+    if key not in _FOUND:
         a = Analysis(files(spark, sf_dir))
         a.issues().write.parquet(f"{a.folder}/issues")
+        _FOUND[key] = a
+    return _FOUND[key]
+
+
+def _all_rules_query(files: Query, select: Callable[[Dialect], str]) -> Query:
+    """A report over the issues of all rules. They are found once and written, for all reports of the application to read."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a = _analysis(files, spark, sf_dir)
         return a.report(spark.read.parquet(f"{a.folder}/issues"), select)
 
     return run

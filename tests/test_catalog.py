@@ -12,7 +12,7 @@ from lintlake.operators import context_rules, cross_rules, function_rules, line_
 from lintlake.plans import catalog, report
 from lintlake.sources import corpora
 
-SELECTS = {r.key: r.select for r in line_rules.RULES} | {k: v[1] for k, v in (context_rules.RULES | cross_rules.RULES).items()} | cross_rules.EXTRACTORS | report.FILE_QUERIES
+SELECTS = {r.key: r.select for r in line_rules.RULES} | {k: v[1] for k, v in (context_rules.RULES | cross_rules.RULES).items()} | cross_rules.EXTRACTORS | cross_rules.UNCAPPED | report.FILE_QUERIES
 SELECTS |= {k: (lambda d, f=v[-1]: f(d, Settings())) for k, v in (function_rules.RULES | function_rules.QUERIES).items()}
 
 
@@ -48,7 +48,7 @@ def test_select(both, key):
     assert rows(a.columns, a.collect()) == rows(b.columns, b.fetchall())
 
 
-@pytest.mark.parametrize("key", ["score_file", "agg_totals", "export_sarif", "quick_wins", "snapshot_diff", "win_trend_15", "circular_scc", "circular_break", "dup_exact_block_documents", "issues_all_rules", "score_file_all_rules"])
+@pytest.mark.parametrize("key", ["score_file", "agg_totals", "export_sarif", "quick_wins", "snapshot_diff", "win_trend_15", "circular_scc", "circular_break", "dup_exact_block_documents", "specific_fixes", "arch_suggestions", "code_context", "issues_all_rules", "score_file_all_rules"])
 def test_query(both, sf, key):
     spark, duck = both
     a, b = catalog.queries()[key](spark, sf), duck.sql(catalog.oracle_sql()[key])
