@@ -391,16 +391,17 @@ def link_clusters(df: DataFrame, classes: DataFrame, links: DataFrame, words: in
     first = kept(met(member.select("id", "cls", F.transform(own, lambda c: place(c, F.lit(0), 0)).alias("visits"))), "links")
     # sets of cut clusters that are not in the cluster's largest component so far
     joined = components(first)
+    stars = joined.select(F.col("node").alias("u"), F.col("root").alias("v"))
     cut = member.where("more > 0").join(joined.select(F.col("node").alias("cls"), F.col("root").alias("part")), "cls", "left").withColumn("part", F.coalesce("part", "cls"))
     largest = cut.groupBy("root", "part").agg(F.count("*").alias("_n")).groupBy("root").agg(F.max_by("part", F.struct("_n", "part")).alias("most"))
     minor = kept(cut.join(largest, "root").where("part <> most").select("root", "cls", "id", "n", "more"), "minor")
     if minor.isEmpty():
-        return first
+        return stars
     sizes = minor.groupBy("root").agg((F.sum("n") / CLUSTER).cast("int").alias("parts"))
     asking = minor.join(sizes, "root").withColumn("_hi", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("parts") + 1).cast("int"))
     asking = asking.select("id", "cls", F.transform(every(F.col("more")), lambda c: place(c, F.col("_hi"), 1)).alias("visits"))
     asked = member.join(sizes, "root").select("id", "cls", F.transform(every(F.col("parts")), lambda h: place(F.col("chunk"), h, 0)).alias("visits"))
-    return first.union(met(asking.union(asked)))
+    return stars.union(met(asking.union(asked)))
 
 
 def cls_of(s: np.ndarray) -> int:
