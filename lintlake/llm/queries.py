@@ -1,4 +1,4 @@
-"""The contract queries over the ten operators: thin wrappers with production parameters."""
+"""The contract queries over the operators: thin wrappers with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import bpe, fingerprint, html, jaccard, language, lm, media, packing, quality, repeats
+from lintlake.llm import bpe, fingerprint, html, jaccard, language, lm, media, packing, periodic, quality, repeats
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -72,6 +72,24 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by crc32 gets a planted run; digests of all runs, and the one with the greatest exponent."""
+    crc = F.crc32(F.col("doc_id").cast("string"))
+    found = periodic.collapse_runs(documents(spark, sf_dir), seed=F.when(crc % 10 == 0, F.floor(crc / 10)))
+    more = lambda a, x: (a["length"] * x["period"] < x["length"] * a["period"]) | a["length"].isNull()
+    best = F.aggregate("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda a, x: F.when(more(a, x), x).otherwise(a))
+    line = lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n"))
+    picked = found.withColumn("best", best)
+    return picked.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: v for k, v in globals().items() if k.startswith("op")}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
