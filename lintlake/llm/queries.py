@@ -84,7 +84,7 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.size("runs").cast("long").alias("n_runs"),
         *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
-        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
