@@ -56,9 +56,10 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Codec:
-    """Encodes and decodes exactly as the tokenizers library does with the file ``path``."""
+    """Encodes and decodes exactly as the tokenizers library does with the file ``path``; without ``specials``, as it does
+    with the strings of special tokens taken for plain text."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, specials: bool = True) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -78,8 +79,9 @@ class Codec:
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"])
         )
         self.engine = tiktoken.Encoding("bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.fast else None
-        self.special = special
-        self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.library.encode_special_tokens = not specials
+        self.special = special if specials else {}
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if self.special else None
         size = max([*as_bytes, *special.values()]) + 1
         self.bytes_of = [as_bytes.get(i, b"") for i in range(size)]
         for text, i in special.items():
