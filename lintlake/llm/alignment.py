@@ -220,8 +220,8 @@ def align_documents(df: DataFrame, a: str, b: str, digest: bool = False, id_col:
     kind = source.schema["id"].dataType
     blocks = kept(source.mapInArrow(_blocks(a, b, digest), BLOCK), "blocks")
     counts = pair_counts(blocks, sentencepiece.SentencePieceProcessor(model_file=b).vocab_size())
-    asked = blocks.select("block", F.explode("pairs").alias("pair"))
-    told = asked.join(counts, "pair").select("block", "pair", "total", "best")
+    asked = blocks.select(F.col("block").alias("of"), F.explode("pairs").alias("pair"))
+    told = asked.join(counts, "pair").select("of", "pair", "total", "best")
     schema = f"id {kind.simpleString()}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
-    out = blocks.select("block", "data").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_sums, schema)
+    out = blocks.select("block", "data").groupBy("block").cogroup(told.groupBy("of")).applyInArrow(_sums, schema)
     return out.withColumnRenamed("id", id_col)
