@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm import alignment, bpe, fingerprint, html, jaccard, language, lm, media, packing, periodic, quality, repeats
+from lintlake.llm import alignment, bpe, fingerprint, html, jaccard, language, lm, media, packing, periodic, quality, repeats, windows
 
 TOKENIZER, WORDS, PIECES = "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -90,6 +90,10 @@ def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_online(documents(spark, sf_dir), public_tokenizers.path(WORDS), size=4096, end_id=2)
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.align_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES), digest=True)
     return found.withColumnRenamed("groups", "groups_sha256")
