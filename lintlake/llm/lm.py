@@ -9,11 +9,13 @@ pairs and triples by 48. The weights are learned by expectation-maximisation on
 the training documents in one of ``HELD_BLOCKS`` blocks the estimates are taken with that occurrence deleted, and the
 tokens are summed up by frequency class and the logarithms of their estimates, in quarters of a power of two.
 
-Tokens: words of the text with A-Z lower-cased, then one end; the end is also the context of the first word.
+Tokens: words of the text with A-Z lower-cased, then one end; ends are also the context of the first word, where each
+training document counts once. After any context the probabilities of the training tokens and of one unknown token sum
+to 1: where a context was never seen, its share of the mixture goes to the other estimates.
 
 Cases: a null or blank text has its end alone; a document outside training whose tokens are all unknown gets
-the floor; without training documents every token has the floor, and the base formula its 0 counts; repeated
-rows count as often as they occur; an empty table gives an empty table; other columns are ignored.
+the floor; without training documents there is only the unknown token, whose floor is 1, and the base formula has 0
+counts; repeated rows count as often as they occur; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -172,7 +174,7 @@ def _counts(table: pa.Table, found: dict[int, dict[str, np.ndarray]]) -> tuple[n
     context[1:] = single[:-1]
     context[first[:-1]] = single[first[1:] - 1]  # the end's count
     two[1:] = pair[:-1]
-    two[first[:-1]] = 0  # the first token has no two before it
+    two[first[:-1]] = single[first[1:] - 1]  # every training document begins once behind two ends
     return first, triple, two, pair, context, single
 
 
@@ -201,12 +203,19 @@ def held_cells(n: int, types: int, lower: Model | None = None):
     return finish
 
 
+def _after_unseen(weights: np.ndarray) -> np.ndarray:
+    """An unseen context gives no estimate: its share goes to the others, so that a mixture sums to 1 there too."""
+    weights[0, 0] = 0
+    weights[0] /= weights[0].sum()
+    return weights
+
+
 def mixture(cells: np.ndarray, total: np.ndarray, guess: tuple[float, ...], rounds: int = 60) -> np.ndarray:
     """Weights of each frequency class by expectation-maximisation; a third weight is the floor's."""
     start = np.array(guess)
     out = np.tile(start, (CLASSES, 1))
     if not len(cells):
-        return out
+        return _after_unseen(out)
     kind = cells // (_STEPS * _STEPS)
     step = np.stack([cells // _STEPS % _STEPS, cells % _STEPS], 1)
     p = np.where(step > 0, 2.0 ** ((step - 40) / 4), 0.0)
@@ -219,7 +228,7 @@ def mixture(cells: np.ndarray, total: np.ndarray, guess: tuple[float, ...], roun
             out[:, c] = np.bincount(kind, weights=part[:, c], minlength=CLASSES)
         out += start * 1e-3  # a class without tokens keeps the first guess; no weight is 0
         out /= out.sum(1, keepdims=True)
-    return out
+    return _after_unseen(out)
 
 
 def score_rows(model: Model):
@@ -259,8 +268,10 @@ def score_documents(df: DataFrame, train: Column, id_col: str = "doc_id", text_c
         made = exchange.told(docs.where(held), answers.where(held), held_cells(total[0], total[1], lower), "cell long, n long").groupBy("cell").agg(F.sum("n")).collect()  # a bounded grid
         return mixture(np.array([r[0] for r in made], np.int64), np.array([r[1] for r in made], np.float64), guess)
 
-    model = Model(total[0], total[1], learned(None, (0.4, 0.5, 0.1)), np.tile([0.0, 1.0], (CLASSES, 1)))
-    model.upper = learned(model, (0.3, 0.7))
+    model = Model(total[0], total[1], np.tile([0.0, 0.0, 1.0], (CLASSES, 1)), np.tile([0.0, 1.0], (CLASSES, 1)))
+    if model.n:  # else the floor, which is then 1
+        model.weights = learned(None, (0.4, 0.5, 0.1))
+        model.upper = learned(model, (0.3, 0.7))
     kind = docs.schema["id"].dataType.simpleString()
     out = exchange.told(docs, answers, score_rows(model), f"id {kind}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.select(F.col("id").alias(id_col), F.col("learned").alias("train"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

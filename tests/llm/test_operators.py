@@ -310,8 +310,22 @@ def test_lm(docs, odd, none):
     assert lm.score_documents(none, F.lit(True)).count() == 0
 
 
+def mixed(model, one, two, three, starts, before, last, token):
+    """The interpolated probability of a token after two, from counts in Python and the learned weights.
+
+    ``starts`` training documents begin behind two ends (None); a context without an occurrence gives no estimate.
+    """
+    kind = lambda c: 0 if c == 0 else min(lm.CLASSES - 1, c.bit_length())
+    seen_two = starts if before is None and last is None else two[before, last]
+    w, u = model.weights[kind(one[last])], model.upper[kind(seen_two)]
+    lower = w[1] * one[token] / model.n + w[2] / (len(one) + 1)
+    if one[last]:
+        lower += w[0] * two[last, token] / one[last]
+    return u[1] * lower + (u[0] * three[before, last, token] / seen_two if seen_two else 0)
+
+
 def test_lm_score_matches_brute_force(docs, monkeypatch):
-    """The score from counts of triples, pairs and words in Python, with the weights that the job learned."""
+    """Scores from counts of triples, pairs and words in Python; after any context the probabilities sum to 1."""
     models = []
     rows_of = lm.score_rows
     monkeypatch.setattr(lm, "score_rows", lambda m: models.append(m) or rows_of(m))
@@ -320,26 +334,35 @@ def test_lm_score_matches_brute_force(docs, monkeypatch):
     got = {r["doc_id"]: r for r in lm.score_documents(docs, F.expr("crc32(cast(doc_id as string)) % 5 <> 1"), block_bytes=1 << 16).collect()}
     (model,) = models
     tokens = {i: [*words(t), None] for i, t in rows(docs)}
-    one, two, three = Counter(), Counter(), Counter()
+    one, two, three, starts = Counter(), Counter(), Counter(), 0
     grams = lambda t: zip([None, None, *t[:-2]][: len(t)], [None, *t[:-1]], t, strict=True)
     for i, t in tokens.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
+            starts += 1
             one.update(t)
             two.update(zip([None, *t[:-1]], t, strict=True))
             three.update(grams(t))
-    n, kind = sum(one.values()), lambda c: 0 if c == 0 else min(lm.CLASSES - 1, c.bit_length())
-    assert (model.n, model.types) == (n, len(one))
+    assert (model.n, model.types) == (sum(one.values()), len(one))
+    counts = (one, two, three, starts)
     for i, t in tokens.items():
-        want = 0.0
-        for k, (a, b, x) in enumerate(grams(t)):
-            w, u, ab = model.weights[kind(one[b])], None, two[a, b] if k else 0
-            u = model.upper[kind(ab)]
-            lower = w[0] * two[b, x] / max(one[b], 1) + w[1] * one[x] / n + w[2] / (len(one) + 1)
-            want += math.log10(u[0] * three[a, b, x] / max(ab, 1) + u[1] * lower)
-        assert got[i]["score"] == pytest.approx(want, rel=1e-9)
+        want = [mixed(model, *counts, *g) for g in grams(t)] if len(t) < 200 else None
+        if want:
+            assert got[i]["score"] == pytest.approx(sum(map(math.log10, want)), rel=1e-9) and max(want) <= 1
+        assert got[i]["score"] <= 0
+    first = next(t for i, t in tokens.items() if len(t) > 9 and zlib.crc32(str(i).encode()) % 5 != 1)
+    contexts = [(None, None), (None, first[0]), (first[0], first[1]), (first[1], first[0]), ("never", first[0]), (first[0], "never"), ("never", "seen")]
+    for before, last in contexts:
+        assert sum(mixed(model, *counts, before, last, x) for x in [*one, "unknown"]) == pytest.approx(1, abs=1e-9), (before, last)
     assert np.allclose(model.weights.sum(1), 1) and np.allclose(model.upper.sum(1), 1)
 
 
+def test_lm_without_training(docs):
+    from pyspark.sql import functions as F
+
+    got = lm.score_documents(docs.limit(20), F.lit(False), block_bytes=1 << 16).collect()
+    assert len(got) == 20 and all(r["score"] == 0 and r["train_tokens"] == 0 and r["n_known"] == 0 for r in got)
+
+
 def test_documents_that_occur_twice_stand_out(spark):
     rng = random.Random(6)
     vocabulary = [f"w{k}" for k in range(60)]
