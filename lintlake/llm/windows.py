@@ -83,7 +83,7 @@ def word_codec(path: str) -> WordCodec:
     return WordCodec(path)
 
 
-@dataclass
+@dataclass(eq=False)
 class Piece:
     owner: object
     start: int
@@ -95,7 +95,7 @@ class Piece:
         return Piece(self.owner, self.start, self.ids[:at], self.whole), Piece(self.owner, self.start + at, self.ids[at:], self.whole)
 
 
-@dataclass
+@dataclass(eq=False)
 class Window:
     pieces: list[Piece] = field(default_factory=list)
     used: int = 0
