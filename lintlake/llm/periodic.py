@@ -37,14 +37,17 @@ CHUNK = 1 << 20
 Run = tuple[int, int, int]
 
 
-def word_numbers(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """The number of each word, where each row's words begin, and the words by number."""
+def word_numbers(buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The number of each word, the words by number, and where each row's words begin."""
     begin, end, row = words(buf, starts)
-    first = np.searchsorted(row, np.arange(len(starts)))
-    offsets = np.r_[0, np.cumsum(end - begin)]
-    solid = buf[~SPACE[buf]]
-    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(solid)]).dictionary_encode()
-    return every.indices.to_numpy().astype(np.int64), first, every.dictionary.to_pylist()
+    return *numbered(buf[~SPACE[buf]], end - begin), np.searchsorted(row, np.arange(len(starts)))
+
+
+def numbered(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The number of each of the strings that lie end to end in ``data``, and the strings by number."""
+    offsets = np.r_[0, np.cumsum(sizes)]
+    every = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+    return every.indices.to_numpy().astype(np.int64), every.dictionary.to_pylist()
 
 
 def repeat_tail(codes: np.ndarray, seed: int) -> None:
@@ -176,7 +179,7 @@ def collapse_runs(df: DataFrame, exponent: int = 4, least: int = 6, seed: Column
         for batch in batches:
             buf, starts = column(batch["text"])
             for a, b in slices(starts):
-                codes, first, names = word_numbers(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
+                codes, names, first = word_numbers(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 for r, s in enumerate(batch["seed"].slice(a, b - a).to_pylist()):
                     if s is not None:
                         repeat_tail(codes[first[r] : first[r + 1]], s)

@@ -10,8 +10,10 @@ in the same way, then laid end to end; what is left, less than a window, goes on
 and a round has as many rows in a group however large the input is. The last rest is cut at powers of two, the
 lengths that need no padding.
 
-Ids come from the tokenizers library for each distinct stretch between ASCII white space, once; the tokenizer file must
-be one that drops white space and looks at nothing across it (``WordCodec`` checks that on a sample of texts).
+Ids come from the tokenizers library for each distinct stretch, once. Stretches end at ASCII white space and where an
+ASCII letter, digit or other mark stands next to one of another kind (or a digit next to a digit), but not behind an
+apostrophe. The tokenizer file must be one that drops white space, lower-cases, and looks at nothing across such places
+(``WordCodec`` checks that on a sample of texts).
 
 Cases: a null or empty text is one piece, its end; repeated rows and ids are packed each on their own; ties in fit go to
 the window opened first; texts of any length are handled whole; an empty table gives an empty table; columns besides the
@@ -22,6 +24,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,35 +37,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lintlake.llm.bytesets import column, slices
-from lintlake.llm.periodic import word_numbers
+from lintlake.llm.bytesets import LOWER, SPACE, column, slices
+from lintlake.llm.periodic import numbered
 from lintlake.llm.storage import bounded, kept
 
 #: Windows that a task keeps open, and tasks whose open windows are merged at once.
 OPEN, FAN = 32, 16
-#: Stretches whose ids are remembered, and the bytes of the longest.
-SEEN, LONGEST = 1 << 17, 64
+#: Stretches whose ids are remembered, and the bytes of the longest; words that are encoded in one line.
+SEEN, LONGEST, LINE = 1 << 18, 64, 512
+#: Bytes of text whose stretches are numbered at once, about.
+STEP_BYTES = 1 << 22
+#: What is one word to any tokenizer that keeps letters together: letters of ASCII and Latin-1, each one character.
+_WORD = re.compile(r"[a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+#: Kinds of bytes: 1 letters, 2 digits, 3 other ASCII, 0 what is not ASCII.
+KIND = np.array([1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(128)] + [0] * 128, np.uint8)
+
+
+def stretches(buf: np.ndarray, starts: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all stretches end to end, their sizes, and where each row's begin; ``whole``: ended by white space alone.
+
+    A letter A-Z is lower-cased unless a byte that is not ASCII follows, which might compose with it.
+    """
+    solid, kind = ~SPACE[buf], KIND[buf]
+    after = np.zeros(len(buf), bool)
+    after[:-1] = kind[1:] == 0
+    after[starts[1:][starts[1:] > 0] - 1] = False  # what follows a row's last byte is another row
+    low = np.where(after, buf, LOWER[buf])
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    if not whole:
+        a, b = kind[:-1], kind[1:]
+        begin[1:] |= solid[1:] & solid[:-1] & (a > 0) & (b > 0) & ((a != b) | (b == 2)) & (buf[:-1] != ord("'"))
+    edge = starts[:-1][starts[:-1] < len(buf)]
+    begin[edge] = solid[edge]
+    place = np.flatnonzero(begin)
+    inside = np.r_[0, np.cumsum(solid)]
+    return low[solid], np.diff(np.r_[inside[place], inside[-1]]), np.searchsorted(place, starts)
 
 
 class WordCodec:
-    """Ids of texts by a tokenizer that drops white space: those of each stretch between white space, one after another."""
+    """Ids of texts by a tokenizer that drops white space: those of each stretch, one after another."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.seen: dict[bytes, list[int]] = {}
-        parts = ["a", "don't", "é", "é", "1.5", "<|endoftext|>", "́x", "'s"]
-        together = self.library.encode("\t \n".join(parts), add_special_tokens=False).ids
-        if together != [i for p in parts for i in self._ids([p])[0]]:
-            raise ValueError("the ids of a text are not those of its words with this tokenizer")
+        suffix = json.loads(self.library.to_str())["model"].get("end_of_word_suffix") or "\n"
+        self.ends = np.zeros(self.library.get_vocab_size() + 1, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(suffix)]] = True
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        sample = "It's DON'T\t15.5x (a_b)--c\n 'tis \"'s 2nd E\u0301H\u0331 stra\u00dfe9, x"
+        ids, _ = self.encode(np.frombuffer(sample.encode(), np.uint8), np.array([0, len(sample.encode())]))
+        if ids.tolist() != self.library.encode(sample, add_special_tokens=False).ids:
+            raise ValueError("the ids of a text are not those of its stretches with this tokenizer")
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        """The ids of each of some stretches. Plain words go to the library in lines, whose ids are parted at word ends."""
+        batch = functools.partial(self.library.encode_batch_fast, add_special_tokens=False)
+        out: list[list[int] | None] = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if _WORD.fullmatch(t)]
+        lines = [plain[at : at + LINE] for at in range(0, len(plain), LINE)]
+        for some, line in zip(lines, batch([" ".join([texts[k] for k in some]) for some in lines]), strict=True):
+            ids = line.ids
+            ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):  # else they are encoded one by one
+                for k, a, b in zip(some, [0, *ends], ends, strict=False):
+                    out[k] = ids[a:b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, e in zip(rest, batch([texts[k] for k in rest]), strict=True):
+            out[k] = e.ids
+        return out
 
     def encode(self, buf: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and where each row's begin."""
-        codes, first, names = word_numbers(buf, starts)
+        data = buf.tobytes()
+        solid, sizes, first = stretches(buf, starts, any(x in data for x in self.special))
+        codes, names = numbered(solid, sizes)
         found = [self.seen.get(x) for x in names]
         missing = [k for k, x in enumerate(found) if x is None]
         for k, ids in zip(missing, self._ids([names[k].decode() for k in missing]), strict=True):
@@ -187,7 +241,7 @@ def _read(tokenizer: str, size: int, end_id: int):
         for batch in batches:
             kind = batch["owner"].type
             buf, starts = column(batch["text"])
-            for a, b in slices(starts):
+            for a, b in slices(starts, STEP_BYTES):
                 ids, first = coder.encode(buf[starts[a] : starts[b]], starts[a : b + 1] - starts[a])
                 full: list[tuple[Window, int | None]] = []
                 for k, owner in enumerate(batch["owner"].slice(a, b - a).to_pylist()):
