@@ -33,7 +33,7 @@ from lintlake.llm.exchange import pack, unpack
 from lintlake.llm.storage import bounded, kept
 
 #: Bytes of text in a block, about, and in one step of numpy.
-BLOCK_BYTES, STEP_BYTES = 8 << 20, 1 << 19
+BLOCK_BYTES, STEP_BYTES = 4 << 20, 1 << 19
 
 
 class Pieces:
@@ -54,6 +54,8 @@ class Pair:
 
     def __init__(self, a: str, b: str) -> None:
         self.a, self.b = Codec(a, specials=False), Pieces(b)
+        if len(self.a.bytes_of) * len(self.b.bytes_of) > 1 << 32:
+            raise ValueError("pairs of these vocabularies have no numbers of 32 bits")
         size = max(len(self.a.bytes_of), len(self.b.bytes_of))
         self.size = size
         self.said = [f"{i}{mark}" for mark in ",|;" for i in range(size)]
@@ -149,36 +151,44 @@ NUMBERS = ("n_a", "n_b", "n_groups", "n_links")
 BLOCK = "block long, rows int, data binary, pairs array<long>, counts array<long>"
 
 
-def _blocks(a: str, b: str, digest: bool):
-    def close(block: int, tables: list[pa.RecordBatch], whose: list[np.ndarray], which: list[np.ndarray]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(tables)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-            writer.write_table(table)
-        distinct, place, counts = np.unique(np.concatenate(which), return_inverse=True, return_counts=True)
-        key, times = np.unique(np.concatenate(whose) * max(1, len(distinct)) + place, return_counts=True)
-        row, spot = key // max(1, len(distinct)), key % max(1, len(distinct))
-        data = pack(3, table=np.frombuffer(sink.getvalue(), np.uint8), n=np.bincount(row, minlength=table.num_rows).astype(np.uint32), spot=np.diff(spot, prepend=0).astype(np.int32), times=times.astype(np.uint32))
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([table.num_rows], pa.int32()), pa.array([data], pa.binary()), pa.array([distinct], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], ["block", "rows", "data", "pairs", "counts"])
+def _counted(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, pair and count of the distinct pairs of each text, by text and pair."""
+    both, times = np.unique(text << 32 | key, return_counts=True)
+    return both >> 32, (both & 0xFFFFFFFF).astype(np.uint32), times.astype(np.uint32)
+
+
+def _close(block: int, tables: list[pa.RecordBatch], linked: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The row of a block: its texts, its distinct pairs, and those of each text as places in them."""
+    table = pa.Table.from_batches(tables)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    row, key, times = (np.concatenate(x) for x in zip(*linked, strict=True))
+    distinct = np.unique(key)
+    spot = np.searchsorted(distinct, key)
+    counts = np.bincount(spot, times, len(distinct)).astype(np.int64)
+    data = pack(3, table=np.frombuffer(sink.getvalue(), np.uint8), n=np.bincount(row, minlength=table.num_rows).astype(np.uint32), spot=np.diff(spot, prepend=0).astype(np.int32), times=times)
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([table.num_rows], pa.int32()), pa.array([data], pa.binary()), pa.array([distinct.astype(np.int64)], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))], ["block", "rows", "data", "pairs", "counts"])
 
+
+def _blocks(a: str, b: str, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair(a, b)
         block = TaskContext.get().partitionId() << 32
         tables: list[pa.RecordBatch] = []
-        whose, which, rows, held = [], [], 0, 0
+        linked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows = held = 0
         for ids, texts, size in _texts(batches):
             numbers, groups, text, key = align(both, both.tokens(texts))
             said = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups] if digest else groups
             tables.append(pa.RecordBatch.from_arrays([ids, *(pa.array(numbers[c], pa.int64()) for c in NUMBERS), pa.array(said, pa.string())], ["id", *NUMBERS, "groups"]))
-            whose.append(text + rows)
-            which.append(key)
+            linked.append(_counted(text + rows, key))
             rows, held = rows + len(texts), held + size
             if held >= BLOCK_BYTES:
-                yield close(block, tables, whose, which)
-                tables, whose, which, rows, held = [], [], [], 0, 0
-                block += 1
+                yield _close(block, tables, linked)
+                tables, linked, rows, held, block = [], [], 0, 0, block + 1
         if tables:
-            yield close(block, tables, whose, which)
+            yield _close(block, tables, linked)
 
     return run
 
