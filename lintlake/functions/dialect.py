@@ -48,14 +48,6 @@ class Dialect:
         frame = f"OVER (PARTITION BY path ORDER BY line ROWS BETWEEN {self._bound(first)} AND {self._bound(last)})"
         return f"coalesce({self._joined(frame)}, '')"
 
-    def disjoint(self, spans: str, columns: tuple[str, ...]) -> str:
-        """Of ``spans`` (path, head, tail and columns), each that begins behind the last one taken before it in its file."""
-        raise NotImplementedError
-
-    def group_counts(self, edges: str) -> str:
-        """path, n_groups: how many groups the edges a - b of a path join."""
-        raise NotImplementedError
-
     @staticmethod
     def _bound(n: int) -> str:
         return "CURRENT ROW" if n == 0 else f"{n} FOLLOWING" if n > 0 else f"{-n} PRECEDING"
@@ -141,15 +133,11 @@ class Spark(Dialect):
         """``then`` with ``name`` for a value that is worked out once."""
         return f"element_at(transform(array({value}), {name} -> {then}), 1)"
 
-    def disjoint(self, spans: str, columns: tuple[str, ...]) -> str:
-        found = f"SELECT path, array_sort(collect_list(struct(head, tail, {', '.join(columns)}))) AS s_ FROM ({spans}) GROUP BY path"
-        taken = "aggregate(s_, slice(s_, 1, 0), (a, x) -> CASE WHEN size(a) = 0 OR x.head > element_at(a, -1).tail THEN concat(a, array(x)) ELSE a END)"
-        return f"SELECT path, s_.* FROM (SELECT path, explode({taken}) AS s_ FROM ({found}))"
-
-    def group_counts(self, edges: str) -> str:
+    def groups_of(self, edges: str) -> str:
+        """The groups that an array of edges (a, b) joins, as arrays of names."""
         met = "array_contains(g, x.a) OR array_contains(g, x.b)"
         joined = f"concat(filter(acc, g -> NOT ({met})), array(array_distinct(concat(array(x.a, x.b), flatten(filter(acc, g -> {met}))))))"
-        return f"SELECT path, size(aggregate(collect_list(struct(a, b)), CAST(array() AS ARRAY<ARRAY<STRING>>), (acc, x) -> {joined})) AS n_groups FROM ({edges}) GROUP BY path"
+        return f"aggregate({edges}, CAST(array() AS ARRAY<ARRAY<STRING>>), (acc, x) -> {joined})"
 
 
 class Duck(Dialect):
@@ -233,11 +221,13 @@ class Duck(Dialect):
         return f"list_transform([{value}], lambda {name}: {then})[1]"
 
     def disjoint(self, spans: str, columns: tuple[str, ...]) -> str:
+        """Of ``spans`` (path, head, tail and columns), each that begins behind the last one taken before it in its file."""
         after = "n_ AS MATERIALIZED (SELECT c.path, c.head, min(o.head) AS next FROM c_ AS c JOIN c_ AS o ON c.path = o.path AND o.head > c.tail GROUP BY c.path, c.head)"
         taken = "t_(path, head) AS (SELECT path, min(head) FROM c_ GROUP BY path UNION ALL SELECT n_.path, n_.next FROM t_ JOIN n_ ON t_.path = n_.path AND t_.head = n_.head)"
         return f"WITH RECURSIVE c_ AS MATERIALIZED ({spans}), {after}, {taken} SELECT c_.path, c_.head, c_.tail, {', '.join(columns)} FROM c_ JOIN t_ ON c_.path = t_.path AND c_.head = t_.head"
 
     def group_counts(self, edges: str) -> str:
+        """path, n_groups: how many groups the edges a - b of a path join."""
         both = "b_ AS MATERIALIZED (SELECT path, a, b FROM e_ UNION SELECT path, b, a FROM e_)"
         reach = "r_(path, a, b) AS (SELECT path, a, b FROM b_ UNION SELECT r_.path, r_.a, b_.b FROM r_ JOIN b_ ON r_.path = b_.path AND r_.b = b_.a)"
         return f"WITH RECURSIVE e_ AS MATERIALIZED ({edges}), {both}, {reach} SELECT path, count(DISTINCT least_) AS n_groups FROM (SELECT path, a, least(a, min(b)) AS least_ FROM r_ GROUP BY path, a) GROUP BY path"

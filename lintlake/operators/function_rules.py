@@ -1,11 +1,13 @@
 """Rules on functions: where each begins and ends, and what is measured on its lines. SQL in either dialect.
 
-No file is walked. A function's last line is found by windows: for braces, the first line at or behind its first
-``{`` whose running depth is the depth before the head (events of one depth, latest first, carry the least line seen);
-for Python, the line before the next one that is indented no deeper. Depths that never fall below zero are running
-sums less their least value. Which of the heads open a function (one inside the last one taken does not) is a fold
-over the heads of a file. ``EXTRACTORS`` names the tables ``fn_*`` that ``with_spans`` puts before a query:
-path, lang, name, sig, plist, params, head, tail (lines, both inclusive).
+``EXTRACTORS`` names the tables ``fn_*`` that ``with_spans`` puts before a query: path, lang, name, sig, plist, params,
+head, tail (lines, both inclusive). Spark finds them, and what is measured on them, in the row of their file (``spans``).
+
+The checking SQL goes another way: a function's last line is found by windows over all lines. For braces, it is the first
+line at or behind its first ``{`` whose running depth is the depth before the head (events of one depth, latest first,
+carry the least line seen); for Python, the line before the next one that is indented no deeper. Depths that never
+fall below zero are running sums less their least value. Which of the heads open a function (one inside the last one
+taken does not) is a recursion over the heads of a file.
 
 Null or empty contents have no lines and so no functions; a head without a closing brace ends after a fixed number of
 lines or with its file.
@@ -16,8 +18,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from lintlake.functions.dialect import Dialect
+from lintlake.functions.dialect import SPARK, Dialect
 from lintlake.model import CODE, COMPLEX, JS, Settings
+from lintlake.operators import spans as folds
 from lintlake.operators.cross_rules import covered
 
 # How functions begin (name and parameters by group), what counts as a decision, and word lists.
@@ -68,7 +71,7 @@ class Extractor:
 
 
 EXTRACTORS = {
-    "fn_smell": Extractor((*JS, "py", *_CLIKE), _PY_CLOSED, _JS_ANY, _C_FN, 400, 80, 0, blanks=False, nested=True),
+    "fn_smell": Extractor((*JS, "py", *_CLIKE), _PY_CLOSED, _JS_ANY, _C_FN, 500, 100, 0, blanks=False, nested=True),
     "fn_cc": Extractor(COMPLEX, _PY_DEF, _JS_FN, _OTHER_CC, 500, 80, 4, 2),
     "fn_cog": Extractor(CODE, _PY_DEF, _JS_FN, _OTHER_COG, 500, 80, 4, 2),
     "fn_split": Extractor(CODE, _PY_DEF, _JS_FN, _OTHER_SPLIT, 400, 80, 0),
@@ -120,8 +123,35 @@ def heads(d: Dialect, x: Extractor, braces: str) -> str:
     return f"(SELECT path, lang, line, depth, opens, closes, first_open, name, {sig} AS sig, plist, {indent} AS indent FROM (SELECT *, {name} AS name, {listed} AS plist FROM {braces}) WHERE {keep})"
 
 
+def _n_params(d: Dialect) -> str:
+    """Pieces of plist between commas that are not blank; in Python neither self, cls nor starred."""
+    pieces = d.count("plist", r"[^,\s][^,]*")
+    bare = f"concat(',', replace({d.replace('plist', r'\s+', '')}, ',', ',,'), ',')"
+    return f"CAST({pieces} - CASE WHEN lang = 'py' THEN {d.count(bare, r',(?:self|cls|[*][^,]*),')} ELSE 0 END AS BIGINT)"
+
+
+def _least(d: Dialect, x: Extractor) -> str:
+    return f"CASE WHEN {d.any_of('lang', _CLIKE)} THEN 1 ELSE 0 END" if x.nested else str(x.beyond)
+
+
+def found_in(x: Extractor) -> str:
+    """Spark: the functions of an extractor in a row of ``folds.shaped``, as an array."""
+    d = SPARK
+    any_ = x.js == _JS_ANY
+    groups = ((1, 3, 5), (2, 4, 6)) if any_ else ((1, 2) if x.js == _JS_FN else (1,), ())
+    js_name, js_list = (_first(d, x.js, g, "t") for g in groups)
+    js_where = f"NOT {d.any_of(js_name, _CONTROL)}" if any_ else "true"
+    other_where = f"NOT {d.match('t', _NOT_C)}" if any_ else "true"
+    other_list = d.extract("t", x.other, 2) if x.other == _C_FN else d.lit("")
+    return folds.found(x, (d.extract("t", x.python), d.extract("t", x.python, 2)), (js_where, js_name, js_list), (other_where, d.extract("t", x.other), other_list), _least(d, x))
+
+
 def spans(d: Dialect, x: Extractor) -> str:
     """path, lang, name, sig, plist, params, head, tail of the functions that an extractor finds."""
+    if d.name == "spark":
+        each = f"SELECT path, file_name, lang, n_lines, ls, explode({found_in(x)}) AS f FROM {folds.shaped(x.langs)}"
+        body = "" if x.nested else ", slice(ls, CAST(head AS INT), CAST(tail - head + 1 AS INT)) AS body"
+        return f"SELECT path, lang, name, sig, plist, {_n_params(d)} AS params, head, tail, file_name, n_lines{body} FROM (SELECT path, file_name, lang, n_lines, ls, f.* FROM ({each}))"
     braces = f"(SELECT * FROM {_braces(d, x.langs)})"
     begun = heads(d, x, braces)
     columns = "lang, name, sig, plist, indent"
@@ -134,17 +164,13 @@ def spans(d: Dialect, x: Extractor) -> str:
     after = f"(SELECT path AS q, line AS at_, level, min(low) OVER (PARTITION BY path, level ORDER BY line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM {python})"
     by_indent = f"SELECT path, {columns}, line AS head, coalesce(low - 1, {'n' if x.blanks else 'n_text'}) AS tail FROM {begun} JOIN {after} ON path = q AND line = at_ AND indent = level JOIN {size} AS z ON path = p WHERE lang = 'py'"
     found = f"SELECT path, lang, name, sig, plist, head, tail FROM ({by_brace} UNION ALL {by_indent})"
-    least = f"CASE WHEN {d.any_of('lang', _CLIKE)} THEN 1 ELSE 0 END" if x.nested else str(x.beyond)
-    wanted = f"SELECT * FROM ({found}) WHERE tail - head >= {least}"
+    wanted = f"SELECT * FROM ({found}) WHERE tail - head >= {_least(d, x)}"
     if x.nested:
         flat = d.disjoint(f"SELECT * FROM ({wanted}) WHERE lang <> 'py'", ("lang", "name", "sig", "plist"))
         taken = f"SELECT path, lang, name, sig, plist, head, tail FROM ({wanted}) WHERE lang = 'py' UNION ALL SELECT path, lang, name, sig, plist, head, tail FROM ({flat})"
     else:
         taken = d.disjoint(wanted, ("lang", "name", "sig", "plist"))
-    # parameters: pieces between commas that are not blank; in Python neither self, cls nor starred
-    pieces = d.count("plist", r"[^,\s][^,]*")
-    bare = f"concat(',', replace({d.replace('plist', r'\s+', '')}, ',', ',,'), ',')"
-    return f"SELECT path, lang, name, sig, plist, CAST({pieces} - CASE WHEN lang = 'py' THEN {d.count(bare, r',(?:self|cls|[*][^,]*),')} ELSE 0 END AS BIGINT) AS params, CAST(head AS BIGINT) AS head, CAST(tail AS BIGINT) AS tail FROM ({taken})"
+    return f"SELECT path, lang, name, sig, plist, {_n_params(d)} AS params, CAST(head AS BIGINT) AS head, CAST(tail AS BIGINT) AS tail FROM ({taken})"
 
 
 def with_spans(d: Dialect, names: tuple[str, ...]) -> str:
@@ -152,8 +178,10 @@ def with_spans(d: Dialect, names: tuple[str, ...]) -> str:
     return "".join(f", {n} AS ({spans(d, EXTRACTORS[n])})" for n in names)
 
 
-def inside(table: str) -> str:
-    """Lines with the head and tail of the function that they are in; ``table`` must hold disjoint spans."""
+def inside(d: Dialect, table: str) -> str:
+    """Lines with the head and tail of the function that they are in; ``table`` must hold disjoint spans. In Spark, with all that the table has."""
+    if d.name == "spark":
+        return f"(SELECT *, head + pos AS line FROM (SELECT *, posexplode(body) AS (pos, text) FROM {table}))"
     both = f"SELECT path, lang, line, text, CAST(NULL AS BIGINT) AS h, CAST(NULL AS BIGINT) AS t, 1 AS is_line FROM lines UNION ALL SELECT path, lang, head, NULL, head, tail, 0 FROM {table}"
     over = "OVER (PARTITION BY path ORDER BY line, is_line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     return f"(SELECT path, lang, line, text, head, tail FROM (SELECT *, max(h) {over} AS head, max(t) {over} AS tail FROM ({both})) WHERE is_line = 1 AND line <= tail)"
@@ -166,36 +194,45 @@ def _level(d: Dialect, levels: tuple, k: int) -> str:
 # -- smells ------------------------------------------------------------------------------------------------
 
 
-def _smelly(select: str) -> str:
+def _smelly(d: Dialect, select: str) -> str:
+    if d.name == "spark":
+        return f"SELECT path AS file, {select} FROM fn_smell WHERE n_lines >= 5"
     return f"SELECT path AS file, {select} FROM fn_smell JOIN (SELECT path AS p, max(line) AS n_lines FROM lines GROUP BY path) AS z ON path = p WHERE n_lines >= 5"
 
 
 def long_function(d: Dialect, s: Settings) -> str:
     n = "(tail - head + 1)"
-    return _smelly(f"head AS line, tail AS line_end, CASE WHEN {n} > {2 * s.fn_lines} THEN 'high' ELSE 'medium' END AS severity, concat('Long function: ', name, ' (', CAST({n} AS STRING), ' lines)') AS title") + f" AND {n} > {s.fn_lines}"
+    return _smelly(d, f"head AS line, tail AS line_end, CASE WHEN {n} > {2 * s.fn_lines} THEN 'high' ELSE 'medium' END AS severity, concat('Long function: ', name, ' (', CAST({n} AS STRING), ' lines)') AS title") + f" AND {n} > {s.fn_lines}"
 
 
 def many_params(d: Dialect, s: Settings) -> str:
-    return _smelly("head AS line, tail AS line_end, 'medium' AS severity, concat('Too many parameters: ', name, ' (', CAST(params AS STRING), ')') AS title") + f" AND params > {s.fn_params}"
+    return _smelly(d, "head AS line, tail AS line_end, 'medium' AS severity, concat('Too many parameters: ', name, ' (', CAST(params AS STRING), ')') AS title") + f" AND params > {s.fn_params}"
 
 
 def god_file(d: Dialect, s: Settings) -> str:
-    counted = _smelly("CAST(1 AS BIGINT) AS line, max(n_lines) AS line_end, 'medium' AS severity, concat('God file — ', CAST(count(*) AS STRING), ' functions in one file') AS title")
+    counted = _smelly(d, "CAST(1 AS BIGINT) AS line, max(n_lines) AS line_end, 'medium' AS severity, concat('God file — ', CAST(count(*) AS STRING), ' functions in one file') AS title")
     return f"{counted} GROUP BY path HAVING count(*) > 20"
 
 
 # -- complexity ----------------------------------------------------------------------------------------------
 
 
+def _decisions(d: Dialect, text: str) -> str:
+    """A conditional's question mark follows a word and is single."""
+    return f"{d.count(text, _DECISION)} + {d.count(text, r'\w\?')} - {d.count(text, r'\w\?\?')}"
+
+
 def cyclomatic_scores(d: Dialect) -> str:
-    """path, head, tail, n: one more than the decisions; a conditional's question mark follows a word and is single."""
-    decisions = f"{d.count('text', _DECISION)} + {d.count('text', r'\w\?')} - {d.count('text', r'\w\?\?')}"
-    return f"SELECT path, head, max(tail) AS tail, CAST(1 + sum({decisions}) AS BIGINT) AS n FROM {inside('fn_cc')} GROUP BY path, head"
+    """path, head, tail, n: one more than the decisions. In Spark they are counted in the text of the whole function, with its name."""
+    if d.name == "spark":
+        return f"SELECT path, head, tail, name, {d.let('b', d.joined('body', chr(10)), f'1 + {_decisions(d, "b")}')} AS n FROM fn_cc"
+    return f"SELECT path, head, max(tail) AS tail, CAST(1 + sum({_decisions(d, 'text')}) AS BIGINT) AS n FROM {inside(d, 'fn_cc')} GROUP BY path, head"
 
 
 def cyclomatic(d: Dialect, s: Settings) -> str:
     title = f"concat(name, ' — CC ', CAST(n AS STRING), ' (', {_level(d, _LEVELS_CC, 2)}, ')')"
-    return f"SELECT f.path AS file, f.head AS line, f.tail AS line_end, {_level(d, _LEVELS_CC, 1)} AS severity, {title} AS title FROM fn_cc AS f JOIN ({cyclomatic_scores(d)}) AS c ON f.path = c.path AND f.head = c.head WHERE n >= {s.cc_limit}"
+    scored = f"({cyclomatic_scores(d)}) AS f" if d.name == "spark" else f"fn_cc AS f JOIN ({cyclomatic_scores(d)}) AS c ON f.path = c.path AND f.head = c.head"
+    return f"SELECT f.path AS file, f.head AS line, f.tail AS line_end, {_level(d, _LEVELS_CC, 1)} AS severity, {title} AS title FROM {scored} WHERE n >= {s.cc_limit}"
 
 
 def cognitive_scores(d: Dialect) -> str:
@@ -205,13 +242,15 @@ def cognitive_scores(d: Dialect) -> str:
     keywords before it, a bare else adds 1, a line of more closing than opening braces lowers the depth by the
     difference, and a line with a boolean operator adds 1.
     """
+    if d.name == "spark":
+        return f"SELECT path, lang, name, head AS line, tail, {_cognitive_fold(d)} AS score FROM fn_cog"
     counts = f"{d.trim('text')} <> '' AND NOT {d.match('text', _SKIPPED)}"
     wide = f"length(replace({d.extract('text', r'^(\s*)')}, chr(9), '    '))"
     py = f"CASE WHEN {d.match('text', _PY_NEST)} THEN 1 + greatest(0, floor({wide} / 4.0) - 1) ELSE 0 END"
     nests = f"CASE WHEN {d.match('text', _NEST)} THEN 1 ELSE 0 END"
     fall = f"greatest(0, {d.count('text', '[}]')} - {d.count('text', '[{]')})"
     plain = f"CASE WHEN {d.match('text', r'\belse\b')} THEN 1 ELSE 0 END"
-    marked = f"(SELECT path, lang, head, tail, line, {py} AS py, {nests} AS nests, {fall} AS fall, {plain} AS plain, CASE WHEN {d.match('text', '&&|[|][|]')} THEN 1 ELSE 0 END AS joins FROM {inside('fn_cog')} WHERE {counts})"
+    marked = f"(SELECT path, lang, head, tail, line, {py} AS py, {nests} AS nests, {fall} AS fall, {plain} AS plain, CASE WHEN {d.match('text', '&&|[|][|]')} THEN 1 ELSE 0 END AS joins FROM {inside(d, 'fn_cog')} WHERE {counts})"
     over = "OVER (PARTITION BY path, head ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     summed = f"(SELECT *, sum(nests - fall) {over} AS total FROM {marked})"
     lowest = f"(SELECT *, total - least(0, min(total) {over}) AS depth FROM {summed})"
@@ -221,6 +260,19 @@ def cognitive_scores(d: Dialect) -> str:
     return f"SELECT path, lang, name, head AS line, tail, coalesce(score, 0) AS score FROM fn_cog LEFT JOIN {scored} ON path = p AND head = h"
 
 
+def _cognitive_fold(d: Dialect) -> str:
+    """The score of a body, line by line: the depth of keywords so far goes from one to the next."""
+    state = "STRUCT<depth: BIGINT, score: BIGINT>"
+    wide = f"length(replace({d.extract('t', r'^(\s*)')}, chr(9), '    '))"
+    py = f"CASE WHEN {d.match('t', _PY_NEST)} THEN 1 + greatest(0, {wide} div 4 - 1) ELSE 0 END"
+    joins = f"CASE WHEN {d.match('t', '&&|[|][|]')} THEN 1 ELSE 0 END"
+    fall = f"greatest(0, {folds.number('}')} - {folds.number('{')})"
+    made = d.struct(depth=f"greatest(0, a.depth + 1 - {fall})", score=f"a.score + 1 + a.depth + {joins}")
+    plain = d.struct(depth=f"greatest(0, a.depth - {fall})", score=f"a.score + CASE WHEN {d.match('t', r'\belse\b')} THEN 1 ELSE 0 END + {joins}")
+    step = f"CASE WHEN NOT {d.match('t', r'\S')} OR {d.match('t', _SKIPPED)} THEN a WHEN lang = 'py' THEN CAST({d.struct(depth='0', score=f'a.score + {py}')} AS {state}) WHEN {d.match('t', _NEST)} THEN CAST({made} AS {state}) ELSE CAST({plain} AS {state}) END"
+    return f"aggregate(body, CAST(named_struct('depth', 0, 'score', 0) AS {state}), (a, t) -> {step}, a -> a.score)"
+
+
 def cognitive(d: Dialect, s: Settings) -> str:
     title = f"concat(name, ' — Cognitive Complexity ', CAST(n AS STRING), ' (', {_level(d, _LEVELS_COG, 2)}, ')')"
     return f"SELECT path AS file, line, tail AS line_end, {_level(d, _LEVELS_COG, 1)} AS severity, {title} AS title FROM (SELECT *, score AS n FROM ({cognitive_scores(d)})) WHERE n >= 10"
@@ -261,16 +313,39 @@ def catch_logs(d: Dialect, s: Settings) -> str:
 _BIG = "(SELECT path AS bp, lines AS n_lines, name AS file_name FROM files WHERE lines >= 60)"
 
 
-def _long_lines(s: Settings) -> str:
+def _long(s: Settings) -> str:
+    """Spark: the functions that are long enough to be split, in files that are."""
+    return f"(SELECT * FROM fn_split WHERE n_lines >= 60 AND tail - head + 1 >= {s.fn_lines})"
+
+
+def _long_lines(d: Dialect, s: Settings) -> str:
     """The lines of functions that are long enough to be split, in files that are."""
-    return f"(SELECT path, lang, line, text, head, tail FROM {inside('fn_split')} JOIN {_BIG} ON path = bp WHERE tail - head + 1 >= {s.fn_lines})"
+    if d.name == "spark":
+        return inside(d, _long(s))
+    return f"(SELECT path, lang, line, text, head, tail FROM {inside(d, 'fn_split')} JOIN {_BIG} ON path = bp WHERE tail - head + 1 >= {s.fn_lines})"
+
+
+def _block_fold(d: Dialect, kinds: str) -> str:
+    """How many blocks the lines of a body make: h a section comment, b blank, n other. What is too short for a block is held over two blank lines."""
+    state = "STRUCT<at: BIGINT, last: STRING, before: STRING, n: BIGINT, held: BIGINT, made: BIGINT>"
+    stop = "CASE WHEN k = 'h' THEN 'h' WHEN k = 'b' AND a.last = 'b' AND a.before <> 'b' AND size(body) - a.at > 4 THEN 'c' WHEN a.at = size(body) - 1 THEN 'e' END"
+    now = d.struct(stop=stop, n="a.n + CASE WHEN k = 'n' THEN 1 ELSE 0 END")
+    most = "(CASE WHEN z.stop = 'c' THEN 4 ELSE 3 END)"
+    after = d.struct(at="a.at + 1", last="k", before="a.last", n="CASE WHEN z.stop IS NULL THEN z.n ELSE 0 END", held=f"CASE WHEN z.stop IS NULL THEN a.held WHEN a.held + z.n > {most} OR z.stop <> 'c' THEN 0 ELSE a.held + z.n END", made=f"a.made + CASE WHEN z.stop IS NOT NULL AND a.held + z.n > {most} THEN 1 ELSE 0 END")
+    zero = d.struct(at="0", last="'n'", before="'n'", n="0", held="0", made="0")
+    return f"aggregate({kinds}, CAST({zero} AS {state}), (a, k) -> CAST({d.let('z', now, after)} AS {state}), a -> a.made)"
 
 
 def blocks(d: Dialect, s: Settings) -> str:
     """Two blocks or more: ended by a section comment after more than 3 lines, by two blank lines after more than 4, or by the end."""
     slashed = f"({d.match('bare', '(?i)^//' + _HEADING)} OR {d.match('bare', r'^/[*][*]?\s*.{4,50}\s*[*]?/')})"
     heading = f"(line - head > 2 AND (({d.any_of('lang', _SLASHED)} AND {slashed}) OR (lang = 'py' AND {d.match('bare', '(?i)^#' + _HEADING)})))"
-    bare = f"(SELECT path, lang, line, head, tail, {d.trim('text')} AS bare FROM {_long_lines(s)})"
+    if d.name == "spark":
+        where = heading.replace("line - head > 2", "i > 2")
+        kinds = f"transform(body, (t, i) -> {d.let('bare', d.trim('t'), f"CASE WHEN {where} THEN 'h' WHEN bare = '' THEN 'b' ELSE 'n' END")})"
+        title = "concat('Split suggestion: ', name, ' (', CAST(tail - head + 1 AS STRING), ' lines, ', CAST(n AS STRING), ' natural blocks)')"
+        return f"SELECT path AS file, head AS line, tail AS line_end, 'low' AS severity, {title} AS title FROM (SELECT path, head, tail, name, {_block_fold(d, kinds)} AS n FROM {_long(s)}) WHERE n >= 2"
+    bare = f"(SELECT path, lang, line, head, tail, {d.trim('text')} AS bare FROM {_long_lines(d, s)})"
     kind = f"(SELECT path, line, head, tail, CASE WHEN {heading} THEN 'h' WHEN bare = '' THEN 'b' ELSE 'n' END AS kind FROM {bare})"
     back = lambda k: f"coalesce(lag(kind, {k}) OVER (PARTITION BY path, head ORDER BY line), 'n')"
     stops = f"(SELECT *, CASE WHEN kind = 'h' THEN 'h' WHEN kind = 'b' AND {back(1)} = 'b' AND {back(2)} <> 'b' AND tail - line > 3 THEN 'c' WHEN line = tail THEN 'e' END AS stop FROM {kind})"
@@ -290,7 +365,7 @@ def blocks(d: Dialect, s: Settings) -> str:
 def section_labels(d: Dialect, s: Settings) -> str:
     """``path, line, label, fn``: comments that head a part of a long function, and the name of a function to put it into."""
     behind = r"\s*(?:step\s*\d*[:.]\s*|phase\s*\d*[:.]\s*|[-─=*]{2,}\s*)?(.{4,50})"
-    bare = f"(SELECT path, lang, line, head, {d.trim('text')} AS bare FROM {_long_lines(s)})"
+    bare = f"(SELECT path, lang, line, head, {d.trim('text')} AS bare FROM {_long_lines(d, s)})"
     slashed = _first(d, "(?i)^//" + behind, (1,), "bare"), _first(d, r"^/[*][*]?\s*(.{4,50})\s*[*]?/", (1,), "bare")
     found = f"CASE WHEN lang = 'py' THEN {_first(d, '(?i)^#' + behind, (1,), 'bare')} WHEN {d.any_of('lang', _SLASHED)} THEN coalesce(nullif({slashed[0]}, ''), {slashed[1]}) ELSE '' END"
     label = f"substring({d.trim('found')}, 1, 40)"
@@ -303,11 +378,16 @@ def param_subset(d: Dialect, s: Settings) -> str:
     signature = d.extract("sig", r"\(([^)]*)\)")
     word = d.trim(d.replace(d.replace(d.trim("p"), r"[*:=].*", ""), r"^\w+\s+", ""))
     plain = d.filter(d.transform(d.split("listed", ","), "p", word), "p", f"length(p) > 1 AND NOT {d.any_of('p', ('self', 'cls', 'this'))}")
+    text = f"CASE WHEN {d.trim('text')} = '' THEN 1 ELSE 0 END"
     owners = f"(SELECT path AS op, head AS oh, name, listed, {plain} AS names FROM (SELECT path, head, name, {signature} AS listed FROM fn_split))"
-    parts = f"(SELECT path, head, line, text, CASE WHEN {d.trim('text')} = '' THEN 1 ELSE 0 END AS blank, sum(CASE WHEN {d.trim('text')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY path, head ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part, sum(CASE WHEN {d.trim('text')} = '' THEN 1 ELSE 0 END) OVER (PARTITION BY path, head) AS n_parts FROM {_long_lines(s)})"
-    runs = f"(SELECT path, head, part, min(line) AS a, max(line) AS b, {d.listed('text', 'line', chr(10))} AS body FROM {parts} WHERE blank = 0 AND part < n_parts GROUP BY path, head, part HAVING count(*) > 4)"
+    own, owned = ("name, sig, ", "max(name) AS name, max(sig) AS sig, ") if d.name == "spark" else ("", "")
+    parts = f"(SELECT path, head, {own}line, text, {text} AS blank, sum({text}) OVER (PARTITION BY path, head ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS part, sum({text}) OVER (PARTITION BY path, head) AS n_parts FROM {_long_lines(d, s)})"
+    runs = f"(SELECT path, head, part, {owned}min(line) AS a, max(line) AS b, {d.listed('text', 'line', chr(10))} AS body FROM {parts} WHERE blank = 0 AND part < n_parts GROUP BY path, head, part HAVING count(*) > 4)"
+    met = f"{runs} JOIN {owners} ON path = op AND head = oh"
+    if d.name == "spark":  # a block has its function's signature with it
+        met = f"(SELECT path, head, a, b, body, name, listed, {plain} AS names FROM (SELECT *, {signature} AS listed FROM {runs}))"
     named = d.filter("names", "p", f"array_contains({d.extract_all('body', r'(\w+)')}, p)")
-    used = f"(SELECT path, head, a, b, name, listed, {named} AS used FROM {runs} JOIN {owners} ON path = op AND head = oh WHERE {d.size('names')} > 3)"
+    used = f"(SELECT path, head, a, b, name, listed, {named} AS used FROM {met} WHERE {d.size('names')} > 3)"
     ranked = f"(SELECT *, row_number() OVER (PARTITION BY path, head ORDER BY a) AS nth FROM {used} WHERE {d.size('used')} BETWEEN 1 AND 2)"
     title = f"concat('Extractable block in ', name, ': uses only ', {d.joined('used', ', ')}, ' of ', CAST({d.size(d.split('listed', ','))} AS STRING), ' params')"
     return f"SELECT path AS file, a AS line, b AS line_end, 'low' AS severity, {title} AS title FROM {ranked} WHERE nth = 1"
@@ -315,10 +395,16 @@ def param_subset(d: Dialect, s: Settings) -> str:
 
 def loop_body(d: Dialect, s: Settings) -> str:
     """The first two loops of a long function whose braces hold more than 10 lines."""
+    if d.name == "spark":
+        fn = f"CASE WHEN head + i <= tail - 10 AND {d.match('t', _BRACE_LOOP)} THEN {d.struct(name="''", plist="''", sig="''")} END"
+        events = f"transform(body, (t, i) -> {d.struct(line='head + i', opens=folds.number('{'), closes=folds.number('}'), fn=fn)})"
+        held = d.filter(f"array_sort({folds.by_braces(d.filter(events, 'e', 'e.opens + e.closes > 0 OR e.fn IS NOT NULL'), 200, '-1')})", "f", "f.tail - f.head > 10")
+        title = "concat('Long loop body in ', name, ' (', CAST(f.tail - f.head AS STRING), ' lines)')"
+        return f"SELECT path AS file, f.head AS line, f.tail AS line_end, 'low' AS severity, {title} AS title FROM (SELECT path, name, explode(slice({held}, 1, 2)) AS f FROM {_long(s)})"
     braces = f"(SELECT * FROM {_braces(d, CODE)})"
     starts = f"(SELECT * FROM {braces} WHERE {d.match('text', _BRACE_LOOP)})"
     closed = f"(SELECT path AS cp, line AS at_, close FROM {_closed(starts, braces, 'lang')})"
-    held = f"(SELECT path, head, line, close, row_number() OVER (PARTITION BY path, head ORDER BY line) AS nth FROM {_long_lines(s)} JOIN {closed} ON path = cp AND line = at_ WHERE line <= tail - 10 AND close <= tail AND close - line > 10 AND close - line < 200)"
+    held = f"(SELECT path, head, line, close, row_number() OVER (PARTITION BY path, head ORDER BY line) AS nth FROM {_long_lines(d, s)} JOIN {closed} ON path = cp AND line = at_ WHERE line <= tail - 10 AND close <= tail AND close - line > 10 AND close - line < 200)"
     title = "concat('Long loop body in ', f.name, ' (', CAST(close - line AS STRING), ' lines)')"
     return f"SELECT f.path AS file, line, close AS line_end, 'low' AS severity, {title} AS title FROM {held} AS h JOIN fn_split AS f ON f.path = h.path AND f.head = h.head WHERE nth <= 2"
 
@@ -327,20 +413,26 @@ def file_nouns(d: Dialect, s: Settings) -> str:
     """Long files whose functions share last words."""
     parts = f"CASE WHEN contains(name, '_') THEN name ELSE {d.replace('name', '([a-z])([A-Z])', '$1_$2')} END"
     last = f"lower({d.extract(f'({parts})', r'[^_]_+([^_]{3,})_*$')})"
-    words = f"(SELECT path, {last} AS noun, count(*) AS n FROM fn_split GROUP BY path, {last})"
-    groups = f"(SELECT path, sum(n) AS n_fns, sum(CASE WHEN noun <> '' AND n >= 3 THEN 1 ELSE 0 END) AS shared FROM {words} GROUP BY path)"
+    own = ", max(file_name) AS file_name, max(n_lines) AS n_lines" if d.name == "spark" else ""
+    words = f"(SELECT path, {last} AS noun, count(*) AS n{own} FROM fn_split GROUP BY path, {last})"
+    groups = f"(SELECT path{own}, sum(n) AS n_fns, sum(CASE WHEN noun <> '' AND n >= 3 THEN 1 ELSE 0 END) AS shared FROM {words} GROUP BY path)"
     title = "concat('Split file: ', file_name, ' (', CAST(n_lines AS STRING), ' lines, ', CAST(n_fns AS STRING), ' fns)')"
-    return f"SELECT path AS file, CAST(1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {title} AS title FROM {groups} JOIN {_BIG} ON path = bp WHERE n_lines > 300 AND n_fns > 10 AND shared >= 2"
+    return f"SELECT path AS file, CAST(1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {title} AS title FROM {groups}{'' if own else f' JOIN {_BIG} ON path = bp'} WHERE n_lines > 300 AND n_fns > 10 AND shared >= 2"
 
 
 def call_isolated(d: Dialect, s: Settings) -> str:
     """Files of six functions or more with two groups that never call each other."""
+    title = "concat('Call-isolated groups in ', file_name, ' — functions that never call each other')"
+    if d.name == "spark":
+        calls = f"array_distinct({d.extract_all(d.joined('body', chr(10)), r'\b(\w+)\s*[(]')})"
+        found = f"(SELECT path, max(file_name) AS file_name, collect_set(name) AS known, flatten(collect_list({d.transform(calls, 'c', d.struct(a='name', b='c'))})) AS calls FROM fn_split WHERE n_lines >= 60 GROUP BY path HAVING count(*) >= 6)"
+        edges = f"(SELECT path, file_name, array_distinct({d.filter('calls', 'x', 'x.a <> x.b AND array_contains(known, x.b)')}) AS edges FROM {found})"
+        return f"SELECT path AS file, CAST(1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {title} AS title FROM {edges} WHERE size({d.groups_of('edges')}) >= 2"
     some = "(SELECT path FROM fn_split GROUP BY path HAVING count(*) >= 6)"
-    calls = d.unnest(f"(SELECT path, head, {d.extract_all('text', r'\b(\w+)\s*[(]')} AS found FROM {inside('fn_split')})", "found", "callee", "path, head")
+    calls = d.unnest(f"(SELECT path, head, {d.extract_all('text', r'\b(\w+)\s*[(]')} AS found FROM {inside(d, 'fn_split')})", "found", "callee", "path, head")
     names = "(SELECT DISTINCT path AS np, name AS known FROM fn_split)"
     edges = f"SELECT DISTINCT f.path, f.name AS a, callee AS b FROM ({calls}) AS c JOIN fn_split AS f ON c.path = f.path AND c.head = f.head JOIN {names} ON c.path = np AND callee = known WHERE f.name <> callee"
     grouped = d.group_counts(edges)
-    title = "concat('Call-isolated groups in ', file_name, ' — functions that never call each other')"
     return f"SELECT g.path AS file, CAST(1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {title} AS title FROM ({grouped}) AS g JOIN {some} AS z ON g.path = z.path JOIN {_BIG} ON g.path = bp WHERE n_groups >= 2"
 
 
@@ -349,11 +441,17 @@ def call_isolated(d: Dialect, s: Settings) -> str:
 
 def shapes(d: Dialect) -> str:
     """path, head, name, shape: bodies whose names are numbered in the order of their first appearance, white space collapsed."""
-    words = f"(SELECT path, head, {d.extract_all('body', r'(\w+|\W+)')} AS words FROM (SELECT path, head, {d.listed('text', 'line', chr(10))} AS body FROM {inside('fn_body')} GROUP BY path, head))"
+    spark = d.name == "spark"
+    text = d.joined("body", chr(10)) if spark else "body"
+    source = "fn_body" if spark else f"(SELECT path, head, {d.listed('text', 'line', chr(10))} AS body FROM {inside(d, 'fn_body')} GROUP BY path, head)"
+    own = "tail, name, n_lines, " if spark else ""
+    words = f"(SELECT path, head, {own}{d.extract_all(text, r'(\w+|\W+)')} AS words FROM {source})"
     names = d.first_of_each(d.filter("words", "w", f"{d.match('w', '^[a-z_][a-zA-Z0-9_]{2,}$')} AND NOT {d.any_of('w', _KEYWORDS)}"))
     place = "coalesce(array_position(ns, w), 0)"
     renamed = d.let("ns", names, d.joined(d.transform("words", "w", f"CASE WHEN {place} > 0 THEN concat('$', CAST({place} - 1 AS STRING)) ELSE w END"), ""))
     shape = d.trim(d.replace("renamed", r"\s+", " "))
+    if spark:
+        return f"SELECT path, head, tail, name, n_lines, md5(shape) AS shape FROM (SELECT path, head, {own}{shape} AS shape FROM (SELECT path, head, {own}{renamed} AS renamed FROM {words})) WHERE length(shape) > 50"
     made = f"(SELECT path AS sp, head AS sh, {shape} AS shape FROM (SELECT path, head, {renamed} AS renamed FROM {words}))"
     return f"SELECT path, head, tail, name, md5(shape) AS shape FROM fn_body JOIN {made} ON path = sp AND head = sh WHERE length(shape) > 50"
 
@@ -361,13 +459,23 @@ def shapes(d: Dialect) -> str:
 def structural_duplicates(d: Dialect, s: Settings) -> str:
     """One issue for each shape that two files have: at the first file's first such function."""
     key = f"concat({d.at('path', 'head')}, chr(1), name)"
-    each = f"(SELECT shape, path, min({key}) AS f FROM (SELECT x.* FROM ({shapes(d)}) AS x JOIN (SELECT path AS lp FROM files WHERE lines > 10) ON path = lp) GROUP BY shape, path)"
-    first = f"(SELECT shape, min(f) AS a FROM {each} GROUP BY shape HAVING count(*) > 1)"
-    both = f"(SELECT e.shape, min(a) AS a, min(f) AS b FROM {each} AS e JOIN {first} AS g ON e.shape = g.shape WHERE f <> a GROUP BY e.shape)"
+    if d.name == "spark":
+        each = f"(SELECT shape, path, min({key}) AS f FROM ({shapes(d)}) WHERE n_lines > 10 GROUP BY shape, path)"
+        two = f"(SELECT shape, f, row_number() OVER (PARTITION BY shape ORDER BY f) AS nth FROM {each})"
+        both = f"(SELECT shape, min(f) AS a, max(f) AS b FROM {two} WHERE nth <= 2 GROUP BY shape HAVING count(*) = 2)"
+    else:
+        both = _first_two(d, key)
     name = lambda c: f"split_part({c}, chr(1), 3)"
     return f"SELECT {d.file_of('a')} AS file, {d.line_of('a')} AS line, CAST(NULL AS BIGINT) AS line_end, 'medium' AS severity, concat('Structurally similar functions: ', {name('a')}, ' ↔ ', {name('b')}) AS title FROM {both}"
 
 
+def _first_two(d: Dialect, key: str) -> str:
+    """The checking SQL's way to the first functions of a shape in two files."""
+    each = f"(SELECT shape, path, min({key}) AS f FROM (SELECT x.* FROM ({shapes(d)}) AS x JOIN (SELECT path AS lp FROM files WHERE lines > 10) ON path = lp) GROUP BY shape, path)"
+    first = f"(SELECT shape, min(f) AS a FROM {each} GROUP BY shape HAVING count(*) > 1)"
+    return f"(SELECT e.shape, min(a) AS a, min(f) AS b FROM {each} AS e JOIN {first} AS g ON e.shape = g.shape WHERE f <> a GROUP BY e.shape)"
+
+
 Select = Callable[[Dialect, Settings], str]
 #: key -> (category, tables it reads, SQL)
 RULES: dict[str, tuple[str, tuple[str, ...], Select]] = {
@@ -396,13 +504,21 @@ def _bodies(d: Dialect, s: Settings) -> str:
 
 
 def _every(d: Dialect, s: Settings) -> str:
+    if d.name == "spark":  # all of them in the row of a file
+        each = ", ".join(f"CASE WHEN {d.any_of('lang', x.langs)} THEN {d.transform(found_in(x), 'f', d.struct(extractor=d.lit(k), f='f'))} END" for k, x in EXTRACTORS.items())
+        rows = f"SELECT path, lang, explode(flatten(filter(array({each}), x -> x IS NOT NULL))) AS r FROM {folds.shaped(COMPLEX)}"
+        return f"SELECT path, extractor, name, head, tail, params FROM (SELECT path, extractor, name, head, tail, {_n_params(d)} AS params FROM (SELECT path, lang, r.extractor, r.f.* FROM ({rows})))"
     return " UNION ALL ".join(f"SELECT path, {d.lit(k)} AS extractor, name, head, tail, params FROM {k}" for k in EXTRACTORS)
 
 
 def metrics(d: Dialect, s: Settings) -> str:
     """Mean and largest complexity of the functions that cc_function reports, and the share of functions with tests."""
     found = f"(SELECT n FROM ({cyclomatic_scores(d)}) WHERE n >= {s.cc_limit})"
+    if d.name == "spark":
+        found = f"(SELECT CAST(floor(avg(n) + 0.5) AS BIGINT) AS avg_cc, max(n) AS max_cc FROM {found})"
     tested = f"(SELECT CAST(floor(100.0 * sum(hit) / count(*) + 0.5) AS BIGINT) AS pct FROM {covered(d)})"
+    if d.name == "spark":
+        return f"SELECT avg_cc, max_cc, (SELECT pct FROM {tested}) AS fn_coverage FROM {found}"
     return f"SELECT (SELECT CAST(floor(avg(n) + 0.5) AS BIGINT) FROM {found}) AS avg_cc, (SELECT max(n) FROM {found}) AS max_cc, (SELECT pct FROM {tested}) AS fn_coverage"
 
 

@@ -1,9 +1,15 @@
 """The rules on functions over small files whose answers are written out by hand."""
 
+import dataclasses
+import random
+import re
+
 import pytest
 
+from lintlake.functions.dialect import SPARK
 from lintlake.model import Settings
 from lintlake.operators import function_rules
+from lintlake.plans import catalog
 from lintlake.plans.analyze import Analysis
 from lintlake.sources import files as sources
 
@@ -35,6 +41,78 @@ def found(spark):
     return Analysis(files, Settings())
 
 
+def _walk(lang, lines, table):
+    """Spans by walking a file's lines one after another: (name, first, last), from 1."""
+    x, out, i, n = function_rules.EXTRACTORS[table], [], 0, len(lines)
+    js = lang in ("js", "ts", "jsx", "tsx")
+    pattern = re.compile(x.python if lang == "py" else x.js if js else x.other, re.A)
+    while i < n:
+        m = pattern.match(lines[i])
+        name = next((g for k, g in enumerate(m.groups()) if g and k in ((0, 2, 4) if js and pattern.groups > 2 else (0, 1) if js and table != "fn_body" else (0,))), "") if m else ""
+        good = len(name) >= x.letters
+        if table == "fn_smell":
+            good = good and not (js and name in function_rules._CONTROL) and not (not js and lang != "py" and re.search(function_rules._NOT_C, lines[i]))
+        if not good:
+            i += 1
+            continue
+        if lang == "py":
+            indent = lambda t: len(t) - len(re.sub(r"^[ \t\n\x0b\f\r]+", "", t))
+            said = [j for j in range(i + 1, n) if re.search(r"[^ \t\n\x0b\f\r]", lines[j])]
+            end = next((j - 1 for j in said if indent(lines[j]) <= indent(lines[i])), n - 1 if x.blanks else max([i, *said]))
+        else:
+            depth, begun, end = 0, False, None
+            for j in range(i, min(n, i + x.reach)):
+                depth += lines[j].count("{") - lines[j].count("}")
+                begun = begun or "{" in lines[j]
+                if begun and depth == 0:
+                    end = j
+                    break
+            end = min(n - 1, i + x.fallback) if end is None else end
+        least = (1 if lang in function_rules._CLIKE else 0) if x.nested else x.beyond
+        if end - i < least:
+            i += 1
+            continue
+        out.append((name, i + 1, end + 1))
+        i = i + 1 if lang == "py" and x.nested else end + 1
+    return out
+
+
+def test_folds_match_a_walk(spark, monkeypatch):
+    """All extractors on files of random heads, braces and indents, some of them longer than a brace is looked for."""
+    for table, x in function_rules.EXTRACTORS.items():
+        monkeypatch.setitem(function_rules.EXTRACTORS, table, dataclasses.replace(x, reach=12, fallback=5))
+    rng, rows = random.Random(8), []
+    heads = {
+        "js": ["function go(a, b) {", "function far(a)", "const f = (x) => {", "let v = 1;", "if (a) {", "export async function up() { }"],
+        "py": ["def one(self, a):", "async def two(*c):", "x = 1", "if x:", "return x"],
+        "go": ["func Read(a int) error {", "public int count(int a) {", "for i := range xs {", "def x(a)", "fun y(a) { }"],
+    }
+    more = ["}", "}", "{", "}}", "{ }", "", "  ", "go();", "} else {", "{{"]
+    for k in range(240):
+        lang = ("js", "py", "go")[k % 3]
+        lines = [" " * rng.choice([0, 0, 2, 4]) + rng.choice(heads[lang] if rng.random() < 0.4 else more if lang != "py" else [*more[5:8], "y"]) for _ in range(rng.randint(0, 60))]
+        rows.append((f"{k}.{lang}", "\n".join(lines)))
+    files = sources.read_table(spark.createDataFrame(rows, "path string, content string"))
+    files.selectExpr("path", "name", "lang", "content", "size(split(content, '\n', -1)) AS lines").where("content <> ''").createOrReplaceTempView("files")
+    for table in function_rules.EXTRACTORS:
+        got = {}
+        for r in spark.sql(function_rules.spans(SPARK, function_rules.EXTRACTORS[table])).collect():
+            got.setdefault(r["path"], []).append((r["name"], r["head"], r["tail"]))
+            if table != "fn_smell":
+                assert r["body"] == dict(rows)[r["path"]].split("\n")[r["head"] - 1 : r["tail"]]
+        for path, content in rows:
+            assert sorted(got.get(path, []), key=lambda f: f[1]) == (_walk(path.split(".")[1], content.split("\n"), table) if content else []), (table, content)
+
+
+def test_one_read_and_two_shuffles(spark, sf):
+    """Every query on functions reads the line items once, and shuffles them twice at most; groups may be shuffled once more."""
+    for key in [*function_rules.RULES, *function_rules.QUERIES]:
+        if key != "agg_metrics_cc":  # the share of tested functions beside it looks at names, not at functions
+            plan = catalog.queries()[key](spark, sf)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+            assert plan.count("FileScan parquet [l_") == 1, key
+            assert plan.count("Exchange hashpartitioning") <= (3 if key in ("split_file_nouns", "dup_structural_fn") else 2), key
+
+
 def _spans(found, table):
     return {(r["path"], r["name"], r["head"], r["tail"], r["params"]) for r in found.sql(f"SELECT * FROM {table}").collect()}
 
@@ -51,8 +129,6 @@ def test_spans(found):
 
 
 def test_scores(spark, found):
-    from lintlake.functions.dialect import SPARK
-
     cog = {(r["path"], r["name"]): r["score"] for r in found.sql(function_rules.cognitive_scores(SPARK)).collect()}
     assert cog["js/nest.js", "outer"] == 1 and cog["js/nest.js", "after"] == 1 + 2 + 1  # if; for, one deeper; else
     assert cog["py/nest.py", "outer"] == 2  # if, indented by two
