@@ -111,10 +111,7 @@ def _closed(heads: str, braces: str, columns: str) -> str:
 
 def heads(d: Dialect, x: Extractor, braces: str) -> str:
     """Lines that may begin a function."""
-    js_name, js_list = (_first(d, x.js, (1, 3, 5)), _first(d, x.js, (2, 4, 6))) if x.js == _JS_ANY else (_first(d, x.js, (1, 2) if x.js == _JS_FN else (1,)), d.lit(""))
-    other_list = d.extract("text", x.other, 2) if x.other == _C_FN else d.lit("")
-    name = _by_lang(d, d.extract("text", x.python), js_name, d.extract("text", x.other))
-    listed = _by_lang(d, d.extract("text", x.python, 2), js_list, other_list)
+    name, listed = _name(d, x, "text"), _plist(d, x, "text")
     keep = f"length(name) >= {x.letters}"
     if x.js == _JS_ANY:
         keep += f" AND NOT ({d.any_of('lang', JS)} AND {d.any_of('name', _CONTROL)}) AND NOT ({d.any_of('lang', _CLIKE)} AND {d.match('text', _NOT_C)})"
@@ -134,24 +131,41 @@ def _least(d: Dialect, x: Extractor) -> str:
     return f"CASE WHEN {d.any_of('lang', _CLIKE)} THEN 1 ELSE 0 END" if x.nested else str(x.beyond)
 
 
+def _name(d: Dialect, x: Extractor, t: str) -> str:
+    return _by_lang(d, d.extract(t, x.python), _first(d, x.js, (1, 3, 5) if x.js == _JS_ANY else (1, 2) if x.js == _JS_FN else (1,), t), d.extract(t, x.other))
+
+
+def _plist(d: Dialect, x: Extractor, t: str) -> str:
+    return _by_lang(d, d.extract(t, x.python, 2), _first(d, x.js, (2, 4, 6), t) if x.js == _JS_ANY else d.lit(""), d.extract(t, x.other, 2) if x.other == _C_FN else d.lit(""))
+
+
+def _line(n: str) -> str:
+    return f"element_at(ls, CAST({n} AS INT))"
+
+
 def found_in(x: Extractor) -> str:
-    """Spark: the functions of an extractor in a row of ``folds.shaped``, as an array."""
-    d = SPARK
-    any_ = x.js == _JS_ANY
-    groups = ((1, 3, 5), (2, 4, 6)) if any_ else ((1, 2) if x.js == _JS_FN else (1,), ())
-    js_name, js_list = (_first(d, x.js, g, "t") for g in groups)
-    js_where = f"NOT {d.any_of(js_name, _CONTROL)}" if any_ else "true"
-    other_where = f"NOT {d.match('t', _NOT_C)}" if any_ else "true"
-    other_list = d.extract("t", x.other, 2) if x.other == _C_FN else d.lit("")
-    return folds.found(x, (d.extract("t", x.python), d.extract("t", x.python, 2)), (js_where, js_name, js_list), (other_where, d.extract("t", x.other), other_list), _least(d, x))
+    """Spark: the spans of an extractor in a row of ``folds.shaped``, as an array of numbers."""
+    d, name = SPARK, _name(SPARK, x, "t")
+    named = f"length({name}) >= {x.letters}"
+    if x.js == _JS_ANY:
+        named += f" AND NOT ({d.any_of('lang', JS)} AND {d.any_of(name, _CONTROL)}) AND NOT ({d.any_of('lang', _CLIKE)} AND {d.match('t', _NOT_C)})"
+    return folds.found(x, f"{_by_lang(d, d.match('t', x.python), d.match('t', x.js), d.match('t', x.other))} AND {named}", _least(d, x))
 
 
 def spans(d: Dialect, x: Extractor) -> str:
-    """path, lang, name, sig, plist, params, head, tail of the functions that an extractor finds."""
+    """path, lang, name, sig, plist, params, head, tail of the functions that an extractor finds.
+
+    In Spark also file_name, n_lines (of the file) and, where functions do not nest, body (the lines of the function).
+    """
     if d.name == "spark":
-        each = f"SELECT path, file_name, lang, n_lines, ls, explode({found_in(x)}) AS f FROM {folds.shaped(x.langs)}"
-        body = "" if x.nested else ", slice(ls, CAST(head AS INT), CAST(tail - head + 1 AS INT)) AS body"
-        return f"SELECT path, lang, name, sig, plist, {_n_params(d)} AS params, head, tail, file_name, n_lines{body} FROM (SELECT path, file_name, lang, n_lines, ls, f.* FROM ({each}))"
+        # rows of functions have their own lines with them, not those of the whole file
+        head, tail = folds.head_of("f"), folds.tail_of("f")
+        cut = {} if x.nested else {"body": f"slice(ls, CAST({head} AS INT), CAST({tail} - {head} + 1 AS INT))"}
+        each = f"SELECT path, file_name, lang, n_lines, explode({d.transform(found_in(x), 'f', d.struct(head=head, tail=tail, text=_line(head), **cut))}) AS r FROM {folds.shaped(x.langs)}"
+        placed = f"SELECT path, file_name, lang, n_lines, r.* FROM ({each})"
+        body = "" if x.nested else ", body"
+        named = f"SELECT path, lang, {_name(d, x, 'text')} AS name, substring({d.trim('text')}, 1, 80) AS sig, {_plist(d, x, 'text')} AS plist, head, tail, file_name, n_lines{body} FROM ({placed})"
+        return f"SELECT path, lang, name, sig, plist, {_n_params(d)} AS params, head, tail, file_name, n_lines{body} FROM ({named})"
     braces = f"(SELECT * FROM {_braces(d, x.langs)})"
     begun = heads(d, x, braces)
     columns = "lang, name, sig, plist, indent"
@@ -218,7 +232,9 @@ def god_file(d: Dialect, s: Settings) -> str:
 
 
 def _decisions(d: Dialect, text: str) -> str:
-    """A conditional's question mark follows a word and is single."""
+    """A conditional's question mark follows a word and is single; Java's expressions can look ahead, and count all in one pass."""
+    if d.name == "spark":
+        return d.count(text, _DECISION[:-1] + r"|\?(?!\?))")
     return f"{d.count(text, _DECISION)} + {d.count(text, r'\w\?')} - {d.count(text, r'\w\?\?')}"
 
 
@@ -267,9 +283,9 @@ def _cognitive_fold(d: Dialect) -> str:
     py = f"CASE WHEN {d.match('t', _PY_NEST)} THEN 1 + greatest(0, {wide} div 4 - 1) ELSE 0 END"
     joins = f"CASE WHEN {d.match('t', '&&|[|][|]')} THEN 1 ELSE 0 END"
     fall = f"greatest(0, {folds.number('}')} - {folds.number('{')})"
-    made = d.struct(depth=f"greatest(0, a.depth + 1 - {fall})", score=f"a.score + 1 + a.depth + {joins}")
-    plain = d.struct(depth=f"greatest(0, a.depth - {fall})", score=f"a.score + CASE WHEN {d.match('t', r'\belse\b')} THEN 1 ELSE 0 END + {joins}")
-    step = f"CASE WHEN NOT {d.match('t', r'\S')} OR {d.match('t', _SKIPPED)} THEN a WHEN lang = 'py' THEN CAST({d.struct(depth='0', score=f'a.score + {py}')} AS {state}) WHEN {d.match('t', _NEST)} THEN CAST({made} AS {state}) ELSE CAST({plain} AS {state}) END"
+    made = d.struct(depth=f"greatest(0L, a.depth + 1 - {fall})", score=f"a.score + 1 + a.depth + {joins}")
+    plain = d.struct(depth=f"greatest(0L, a.depth - {fall})", score=f"a.score + CASE WHEN {d.match('t', r'\belse\b')} THEN 1 ELSE 0 END + {joins}")
+    step = f"CASE WHEN NOT {d.match('t', r'\S')} OR {d.match('t', _SKIPPED)} THEN a WHEN lang = 'py' THEN {d.struct(depth='0L', score=f'a.score + {py}')} WHEN {d.match('t', _NEST)} THEN {made} ELSE {plain} END"
     return f"aggregate(body, CAST(named_struct('depth', 0, 'score', 0) AS {state}), (a, t) -> {step}, a -> a.score)"
 
 
@@ -331,9 +347,9 @@ def _block_fold(d: Dialect, kinds: str) -> str:
     stop = "CASE WHEN k = 'h' THEN 'h' WHEN k = 'b' AND a.last = 'b' AND a.before <> 'b' AND size(body) - a.at > 4 THEN 'c' WHEN a.at = size(body) - 1 THEN 'e' END"
     now = d.struct(stop=stop, n="a.n + CASE WHEN k = 'n' THEN 1 ELSE 0 END")
     most = "(CASE WHEN z.stop = 'c' THEN 4 ELSE 3 END)"
-    after = d.struct(at="a.at + 1", last="k", before="a.last", n="CASE WHEN z.stop IS NULL THEN z.n ELSE 0 END", held=f"CASE WHEN z.stop IS NULL THEN a.held WHEN a.held + z.n > {most} OR z.stop <> 'c' THEN 0 ELSE a.held + z.n END", made=f"a.made + CASE WHEN z.stop IS NOT NULL AND a.held + z.n > {most} THEN 1 ELSE 0 END")
+    after = d.struct(at="a.at + 1", last="k", before="a.last", n="CASE WHEN z.stop IS NULL THEN z.n ELSE 0L END", held=f"CASE WHEN z.stop IS NULL THEN a.held WHEN a.held + z.n > {most} OR z.stop <> 'c' THEN 0L ELSE a.held + z.n END", made=f"a.made + CASE WHEN z.stop IS NOT NULL AND a.held + z.n > {most} THEN 1 ELSE 0 END")
     zero = d.struct(at="0", last="'n'", before="'n'", n="0", held="0", made="0")
-    return f"aggregate({kinds}, CAST({zero} AS {state}), (a, k) -> CAST({d.let('z', now, after)} AS {state}), a -> a.made)"
+    return f"aggregate({kinds}, CAST({zero} AS {state}), (a, k) -> {d.let('z', now, after)}, a -> a.made)"
 
 
 def blocks(d: Dialect, s: Settings) -> str:
@@ -396,11 +412,12 @@ def param_subset(d: Dialect, s: Settings) -> str:
 def loop_body(d: Dialect, s: Settings) -> str:
     """The first two loops of a long function whose braces hold more than 10 lines."""
     if d.name == "spark":
-        fn = f"CASE WHEN head + i <= tail - 10 AND {d.match('t', _BRACE_LOOP)} THEN {d.struct(name="''", plist="''", sig="''")} END"
-        events = f"transform(body, (t, i) -> {d.struct(line='head + i', opens=folds.number('{'), closes=folds.number('}'), fn=fn)})"
-        held = d.filter(f"array_sort({folds.by_braces(d.filter(events, 'e', 'e.opens + e.closes > 0 OR e.fn IS NOT NULL'), 200, '-1')})", "f", "f.tail - f.head > 10")
-        title = "concat('Long loop body in ', name, ' (', CAST(f.tail - f.head AS STRING), ' lines)')"
-        return f"SELECT path AS file, f.head AS line, f.tail AS line_end, 'low' AS severity, {title} AS title FROM (SELECT path, name, explode(slice({held}, 1, 2)) AS f FROM {_long(s)})"
+        fn = f"CASE WHEN head + i <= tail - 10 AND {d.match('t', _BRACE_LOOP)} THEN true ELSE false END"
+        events = d.filter(f"transform(body, (t, i) -> {d.struct(line='head + i', opens=folds.number('{'), closes=folds.number('}'), fn=fn)})", "e", "e.opens + e.closes > 0 OR e.fn")
+        held = d.filter(f"array_sort({folds.by_braces(events, 200, '0')})", "f", f"{folds.tail_of('f')} - {folds.head_of('f')} > 10")
+        title = "concat('Long loop body in ', name, ' (', CAST(line_end - line AS STRING), ' lines)')"
+        both = f"SELECT path, name, {folds.head_of('f')} AS line, {folds.tail_of('f')} AS line_end FROM (SELECT path, name, explode(slice({held}, 1, 2)) AS f FROM {_long(s)})"
+        return f"SELECT path AS file, line, line_end, 'low' AS severity, {title} AS title FROM ({both})"
     braces = f"(SELECT * FROM {_braces(d, CODE)})"
     starts = f"(SELECT * FROM {braces} WHERE {d.match('text', _BRACE_LOOP)})"
     closed = f"(SELECT path AS cp, line AS at_, close FROM {_closed(starts, braces, 'lang')})"
@@ -505,9 +522,10 @@ def _bodies(d: Dialect, s: Settings) -> str:
 
 def _every(d: Dialect, s: Settings) -> str:
     if d.name == "spark":  # all of them in the row of a file
-        each = ", ".join(f"CASE WHEN {d.any_of('lang', x.langs)} THEN {d.transform(found_in(x), 'f', d.struct(extractor=d.lit(k), f='f'))} END" for k, x in EXTRACTORS.items())
-        rows = f"SELECT path, lang, explode(flatten(filter(array({each}), x -> x IS NOT NULL))) AS r FROM {folds.shaped(COMPLEX)}"
-        return f"SELECT path, extractor, name, head, tail, params FROM (SELECT path, extractor, name, head, tail, {_n_params(d)} AS params FROM (SELECT path, lang, r.extractor, r.f.* FROM ({rows})))"
+        each = ", ".join(f"CASE WHEN {d.any_of('lang', x.langs)} THEN {d.transform(found_in(x), 'f', d.struct(extractor=d.lit(k), head=folds.head_of('f'), tail=folds.tail_of('f'), text=_line(folds.head_of('f'))))} END" for k, x in EXTRACTORS.items())
+        placed = f"SELECT path, lang, r.* FROM (SELECT path, lang, explode(flatten(filter(array({each}), x -> x IS NOT NULL))) AS r FROM {folds.shaped(COMPLEX)})"
+        by = lambda f: "CASE extractor " + " ".join(f"WHEN {d.lit(k)} THEN {f(d, x, 'text')}" for k, x in EXTRACTORS.items()) + " END"
+        return f"SELECT path, extractor, name, head, tail, {_n_params(d)} AS params FROM (SELECT path, lang, extractor, head, tail, {by(_name)} AS name, {by(_plist)} AS plist FROM ({placed}))"
     return " UNION ALL ".join(f"SELECT path, {d.lit(k)} AS extractor, name, head, tail, params FROM {k}" for k in EXTRACTORS)
 
 

@@ -4,11 +4,10 @@ A file is one row and stays one: its lines become events (lines with braces, or
 them holds the heads that are still open. For braces, a head closes at the first line, its own or later, where the depth
 is again what it was before the head and a brace was opened since, within ``reach`` lines; else it ends ``fallback``
 lines on, or with the file. In Python a head closes before the next line that is indented no deeper. A second fold, over
-the spans by head, leaves out those that begin inside one that was taken. Nothing is shuffled, no file is read twice,
-and what is open at a line is as deep as the code there.
+the spans by head, leaves out those that begin inside one that was taken. Nothing is shuffled and no file is read twice.
 
-``table`` gives path, lang, name, sig, plist, params, head, tail, and besides, for what is measured on functions:
-file_name, n_lines (of the file) and body (the lines of the function).
+Spark copies what a fold has so far at every step. So a fold holds numbers alone: a span is one number, its first line
+times 2**32 and its last line; names are read from the lines when the spans are known.
 """
 
 from __future__ import annotations
@@ -20,80 +19,68 @@ from lintlake.functions.dialect import SPARK as D
 if TYPE_CHECKING:
     from lintlake.operators.function_rules import Extractor
 
-_SPAN = "STRUCT<head: BIGINT, tail: BIGINT, name: STRING, plist: STRING, sig: STRING>"
-_OPEN = "STRUCT<head: BIGINT, level: BIGINT, begun: BOOLEAN, name: STRING, plist: STRING, sig: STRING>"
-_BRACES = f"STRUCT<depth: BIGINT, open: ARRAY<{_OPEN}>, done: ARRAY<{_SPAN}>>"
-_INDENTS = f"STRUCT<last: BIGINT, open: ARRAY<{_OPEN}>, done: ARRAY<{_SPAN}>>"
+_OPEN = "ARRAY<STRUCT<head: BIGINT, level: BIGINT, begun: BOOLEAN>>"
 
 
 def number(mark: str, text: str = "t") -> str:
     return f"CAST(length({text}) - length(replace({text}, '{mark}', '')) AS BIGINT)"
 
 
-def _span(tail: str, p: str = "p") -> str:
-    return D.struct(head=f"{p}.head", tail=f"CAST({tail} AS BIGINT)", name=f"{p}.name", plist=f"{p}.plist", sig=f"{p}.sig")
+def _span(head: str, tail: str) -> str:
+    return f"(shiftleft(CAST({head} AS BIGINT), 32) + CAST({tail} AS BIGINT))"
 
 
-def _opened(begun: str, p: str = "p") -> str:
-    return D.struct(head=f"{p}.head", level=f"{p}.level", begun=begun, name=f"{p}.name", plist=f"{p}.plist", sig=f"{p}.sig")
+def head_of(span: str) -> str:
+    return f"shiftright({span}, 32)"
 
 
-def _new(level: str) -> str:
-    return D.struct(head="e.line", level=level, begun="false", name="e.fn.name", plist="e.fn.plist", sig="e.fn.sig")
+def tail_of(span: str) -> str:
+    return f"({span} & 4294967295L)"
 
 
-def by_braces(events: str, reach: int, otherwise: str) -> str:
-    """Spans of all heads of ``events`` (line, opens, closes, fn: name, plist and sig of a head, or null).
+def _start(first: str) -> str:
+    return f"CAST(named_struct('{first}', 0, 'open', array(), 'done', array()) AS STRUCT<{first}: BIGINT, open: {_OPEN}, done: ARRAY<BIGINT>>)"
+
 
-    ``otherwise``: where a head p ends that is not closed in reach.
-    """
+def by_braces(events: str, reach: int, otherwise: str) -> str:
+    """Spans of all heads of ``events`` (line, opens, closes, fn: whether it is a head). ``otherwise``: the last line of a head p that is not closed in reach."""
+    depth = "(a.depth + e.opens - e.closes)"
+    open_ = f"(CASE WHEN e.fn THEN concat(a.open, array({D.struct(head='e.line', level='a.depth', begun='false')})) ELSE a.open END)"
     late = f"e.line - p.head >= {reach}"
-    gone = f"(({late}) OR ((p.begun OR e.opens > 0) AND p.level = s.depth))"
-    begun = "p.begun OR e.opens > 0"
-    now = D.struct(depth="a.depth + e.opens - e.closes", open=f"CASE WHEN e.fn IS NULL THEN a.open ELSE concat(a.open, array({_new('a.depth')})) END")
-    stay = D.transform(D.filter("s.open", "p", f"NOT {gone}"), "p", _opened(begun))
-    closed = D.transform(D.filter("s.open", "p", gone), "p", _span(f"CASE WHEN {late} THEN {otherwise} ELSE e.line END"))
-    after = D.struct(depth="s.depth", open=f"CASE WHEN size(s.open) = 0 THEN s.open ELSE {stay} END", done=f"CASE WHEN exists(s.open, p -> {gone}) THEN concat(a.done, {closed}) ELSE a.done END")
-    start = f"CAST(named_struct('depth', 0, 'open', array(), 'done', array()) AS {_BRACES})"
-    return f"aggregate({events}, {start}, (a, e) -> CAST({D.let('s', now, after)} AS {_BRACES}), a -> concat(a.done, {D.transform('a.open', 'p', _span(otherwise))}))"
+    gone = f"(({late}) OR ((p.begun OR e.opens > 0) AND p.level = {depth}))"
+    stay = D.transform(D.filter(open_, "p", f"NOT {gone}"), "p", D.struct(head="p.head", level="p.level", begun="p.begun OR e.opens > 0"))
+    closed = D.transform(D.filter(open_, "p", gone), "p", _span("p.head", f"CASE WHEN {late} THEN {otherwise} ELSE e.line END"))
+    after = D.struct(depth=depth, open=stay, done=f"CASE WHEN exists({open_}, p -> {gone}) THEN concat(a.done, {closed}) ELSE a.done END")
+    idle = D.struct(depth=depth, open="a.open", done="a.done")
+    step = f"CASE WHEN e.fn OR size(a.open) > 0 THEN {after} ELSE {idle} END"
+    return f"aggregate({events}, {_start('depth')}, (a, e) -> {step}, a -> concat(a.done, {D.transform('a.open', 'p', _span('p.head', otherwise))}))"
 
 
 def by_indents(events: str, end: str) -> str:
-    """Spans of all heads of ``events`` (line, indent, fn), which have text each; ``end``: where heads end that the file ends (a.last: its last event)."""
+    """Spans of all heads of ``events`` (line, indent, fn), which have text each; ``end``: the last line of heads that the file ends (a.last: its last event)."""
     gone = "e.indent <= p.level"
     rest = D.filter("a.open", "p", f"NOT ({gone})")
-    after = D.struct(
-        last="e.line",
-        open=f"CASE WHEN e.fn IS NULL THEN {rest} ELSE concat({rest}, array({_new('e.indent')})) END",
-        done=f"CASE WHEN exists(a.open, p -> {gone}) THEN concat(a.done, {D.transform(D.filter('a.open', 'p', gone), 'p', _span('e.line - 1'))}) ELSE a.done END",
-    )
-    start = f"CAST(named_struct('last', 0, 'open', array(), 'done', array()) AS {_INDENTS})"
-    return f"aggregate({events}, {start}, (a, e) -> CAST({after} AS {_INDENTS}), a -> concat(a.done, {D.transform('a.open', 'p', _span(end))}))"
+    opened = f"CASE WHEN e.fn THEN concat({rest}, array({D.struct(head='e.line', level='e.indent', begun='true')})) ELSE {rest} END"
+    done = f"CASE WHEN exists(a.open, p -> {gone}) THEN concat(a.done, {D.transform(D.filter('a.open', 'p', gone), 'p', _span('p.head', 'e.line - 1'))}) ELSE a.done END"
+    return f"aggregate({events}, {_start('last')}, (a, e) -> {D.struct(last='e.line', open=opened, done=done)}, a -> concat(a.done, {D.transform('a.open', 'p', _span('p.head', end))}))"
 
 
 def disjoint(spans: str) -> str:
     """Of spans by head, each that begins behind the last one taken before it."""
-    state = f"STRUCT<last: BIGINT, taken: ARRAY<{_SPAN}>>"
-    step = "CASE WHEN x.head > a.last THEN named_struct('last', x.tail, 'taken', concat(a.taken, array(x))) ELSE a END"
-    return f"aggregate({spans}, CAST(named_struct('last', 0, 'taken', array()) AS {state}), (a, x) -> CAST({step} AS {state}), a -> a.taken)"
-
-
-def found(x: Extractor, python: tuple[str, str], js: tuple[str, str, str], other: tuple[str, str, str], least: str) -> str:
-    """The spans that an extractor takes in a row with ``lang``, ``ls`` (its lines) and ``n_lines``, as an array by head.
-
-    ``python``: name and parameters of a line t; ``js``, ``other``: whether t may be a head, its name and parameters.
-    """
-    by_lang = lambda *e: f"CASE WHEN lang = 'py' THEN {e[0]} WHEN {D.any_of('lang', ('js', 'ts', 'jsx', 'tsx'))} THEN {e[1]} ELSE {e[2]} END"
-    name, plist = by_lang(python[0], js[1], other[1]), by_lang(python[1], js[2], other[2])
-    begins = by_lang(D.match("t", x.python), f"{D.match('t', x.js)} AND {js[0]}", f"{D.match('t', x.other)} AND {other[0]}")
-    fn = f"CASE WHEN {begins} AND length({name}) >= {x.letters} THEN {D.struct(name=name, plist=plist, sig=f'substring({D.trim("t")}, 1, 80)')} END"
-    braced = D.filter(f"transform(ls, (t, i) -> {D.struct(line='CAST(i + 1 AS BIGINT)', opens=number('{'), closes=number('}'), fn=fn)})", "e", "e.opens + e.closes > 0 OR e.fn IS NOT NULL")
-    indent = f"length(t) - length({D.replace('t', r'^\s+', '')})"
-    spoken = D.filter(f"transform(ls, (t, i) -> {D.struct(line='CAST(i + 1 AS BIGINT)', indent=f'CAST({indent} AS BIGINT)', said=D.match('t', r'\S'), fn=fn)})", "e", "e.said")
+    step = f"CASE WHEN {head_of('x')} > a.last THEN named_struct('last', {tail_of('x')}, 'taken', concat(a.taken, array(x))) ELSE a END"
+    return f"aggregate({spans}, CAST(named_struct('last', 0, 'taken', array()) AS STRUCT<last: BIGINT, taken: ARRAY<BIGINT>>), (a, x) -> {step}, a -> a.taken)"
+
+
+def found(x: Extractor, begins: str, least: str) -> str:
+    """The spans that an extractor takes in a row with ``lang``, ``ls`` (its lines) and ``n_lines``, by head; ``begins``: whether a line t is a head."""
+    fn = f"CASE WHEN {begins} THEN true ELSE false END"
+    braced = D.filter(f"transform(ls, (t, i) -> {D.struct(line='CAST(i + 1 AS BIGINT)', opens=number('{'), closes=number('}'), fn=fn)})", "e", "e.opens + e.closes > 0 OR e.fn")
+    indent = f"CAST(length(t) - length({D.replace('t', r'^\s+', '')}) AS BIGINT)"
+    spoken = D.filter(f"transform(ls, (t, i) -> {D.struct(line='CAST(i + 1 AS BIGINT)', indent=indent, said=D.match('t', r'\S'), fn=fn)})", "e", "e.said")
     brace = by_braces(braced, x.reach, f"least(n_lines, p.head + {x.fallback})")
-    python_ = by_indents(spoken, "n_lines" if x.blanks else "a.last")
-    wanted = lambda spans: D.filter(f"array_sort({spans})", "f", f"f.tail - f.head >= {least}")
-    return f"CASE WHEN lang = 'py' THEN {wanted(python_) if x.nested else disjoint(wanted(python_))} ELSE {disjoint(wanted(brace))} END"
+    python = by_indents(spoken, "n_lines" if x.blanks else "a.last")
+    wanted = lambda spans: D.filter(f"array_sort({spans})", "f", f"{tail_of('f')} - {head_of('f')} >= {least}")
+    return f"CASE WHEN lang = 'py' THEN {wanted(python) if x.nested else disjoint(wanted(python))} ELSE {disjoint(wanted(brace))} END"
 
 
 def shaped(langs: tuple[str, ...]) -> str:
