@@ -80,10 +80,17 @@ def _cycle_tables() -> str:
 _CYCLE = "CASE WHEN count(*) {over} > 3 THEN 'high' ELSE 'medium' END AS severity, concat('Circular dependency — ', CAST(count(*) {over} AS STRING), ' files') AS title"
 
 
+#: The walk of each component: paths as long as they get, each with the first file not yet on it.
+_WALK = """, begin AS (SELECT scc, dst AS node FROM (SELECT scc, dst, row_number() OVER (PARTITION BY scc ORDER BY count(*) DESC, dst) AS nth FROM inside GROUP BY scc, dst) WHERE nth = 1),
+walk(scc, node, path) AS (SELECT scc, node, [node] FROM begin UNION ALL SELECT w.scc, min(i.dst), list_append(w.path, min(i.dst)) FROM walk AS w JOIN inside AS i ON i.scc = w.scc AND i.src = w.node WHERE NOT list_contains(w.path, i.dst) GROUP BY w.scc, w.path),
+longest AS (SELECT scc, list_transform(arg_max(path, len(path)), lambda x: regexp_replace(x, '^.*/', '')) AS names FROM walk GROUP BY scc)
+SELECT scc, array_to_string(list_append(names, names[1]), ' → ') AS chain FROM longest"""
+
+
 def _cycles_sql(select: str) -> str:
     views = corpora.views(DUCK, corpora.code(DUCK, "")).replace("WITH raw", "WITH RECURSIVE raw", 1)
     inner = "inside AS (SELECT p.scc, e.src, e.dst FROM e JOIN m AS p ON e.src = p.node JOIN m AS q ON e.dst = q.node AND p.scc = q.scc)"
-    return f"{views}{_cycle_tables()}, {inner} {select}"
+    return f"{views}{_cycle_tables()}, {inner}{select if select[0] == "," else " " + select}"
 
 
 def _all_rules_sql(select: Callable[[Dialect], str]) -> str:
@@ -151,5 +158,6 @@ def oracle_sql() -> dict[str, str]:
     out = {k: f(DUCK, "") for k, f in _selects().items()}
     out["circular_scc"] = _cycles_sql(f"SELECT scc AS file, CAST(NULL AS BIGINT) AS line, {_CYCLE.format(over='')} FROM m GROUP BY scc")
     out["circular_break"] = _cycles_sql("SELECT scc, node AS break_at FROM (SELECT scc, dst AS node, row_number() OVER (PARTITION BY scc ORDER BY count(*), dst) AS nth FROM inside GROUP BY scc, dst) WHERE nth = 1")
+    out["circular_chain"] = _cycles_sql(_WALK)
     out |= {"issues_all_rules": _all_rules_sql(report.all_issues), "score_file_all_rules": _all_rules_sql(report.file_scores)}
     return out
