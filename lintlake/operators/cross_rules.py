@@ -197,15 +197,37 @@ def unused_function(d: Dialect, most: int | None = 20) -> str:
 # -- duplicates ------------------------------------------------------------------------------------------
 
 
-def exact_block(d: Dialect, n: int = 6) -> str:
-    said = f"CASE WHEN {d.trim('text')} <> '' AND NOT {d.match('text', r'^\s*(?://|#)')} THEN 1 ELSE 0 END"
+def _blocks(d: Dialect, n: int) -> str:
+    """``path, line, k``: a key for the text of each n lines that follow each other, of which 4 are neither blank nor comments.
+
+    Spark makes them in the row of a file, and no text leaves it; the checking SQL takes windows over lines.
+    """
+    said = lambda t: f"CASE WHEN {d.trim(t)} <> '' AND NOT {d.match(t, r'^\s*(?://|#)')} THEN 1 ELSE 0 END"
+    if d.name == "spark":
+        files = f"(SELECT path, ls, {d.transform('ls', 't', said('t'))} AS said FROM (SELECT path, {d.split_lines('content')} AS ls FROM files WHERE lines > 10 AND {d.any_of('lang', CODE)}) WHERE size(ls) >= {n})"
+        key = f"CASE WHEN aggregate(slice(said, i + 1, {n}), 0, (a, x) -> a + x) >= 4 THEN unhex(md5({d.joined(f'slice(ls, i + 1, {n})', chr(10))})) END"
+        each = d.filter(d.transform(f"sequence(0, size(ls) - {n})", "i", d.struct(line="CAST(i + 1 AS BIGINT)", k=key)), "x", "x.k IS NOT NULL")
+        return f"(SELECT path, x.line, x.k FROM (SELECT path, explode({each}) AS x FROM {files}))"
     frame = f"OVER (PARTITION BY path ORDER BY line ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
     some = f"(SELECT path FROM files WHERE lines > 10 AND {d.any_of('lang', CODE)})"
-    framed = f"(SELECT path, line, {d.block(0, n - 1)} AS body, sum(said) {frame} AS said, count(*) {frame} AS n FROM (SELECT path, line, text, {said} AS said FROM lines WHERE path IN {some}))"
-    grouped = f"(SELECT min({d.at()}) AS place FROM {framed} WHERE n = {n} AND said >= 4 GROUP BY md5(body) HAVING min(path) <> max(path))"
+    framed = f"(SELECT path, line, {d.block(0, n - 1)} AS body, sum(said) {frame} AS said, count(*) {frame} AS n FROM (SELECT path, line, text, {said('text')} AS said FROM lines WHERE path IN {some}))"
+    return f"(SELECT path, line, md5(body) AS k FROM {framed} WHERE n = {n} AND said >= 4)"
+
+
+def exact_block(d: Dialect, n: int = 6) -> str:
+    grouped = f"(SELECT min({d.at()}) AS place FROM {_blocks(d, n)} GROUP BY k HAVING min(path) <> max(path))"
     return _out(d, "medium", d.lit(f"Duplicate code block ({n} lines)"), grouped, file=d.file_of("place"), line=d.line_of("place"))
 
 
+def block_pairs(d: Dialect, n: int = 6) -> str:
+    """``file, line, file_b, line_b, suggestion``: the first place of each repeated block, and its first place in another file."""
+    each = f"(SELECT k, path, min({d.at()}) AS place FROM {_blocks(d, n)} GROUP BY k, path)"
+    two = f"(SELECT k, place, row_number() OVER (PARTITION BY k ORDER BY place) AS nth FROM {each})"
+    both = f"(SELECT min(place) AS a, max(place) AS b FROM {two} WHERE nth <= 2 GROUP BY k HAVING count(*) = 2)"
+    said = f"concat('Same block found in ', {d.file_of('b')}, ':', CAST({d.line_of('b')} AS STRING), ' — extract to a shared function')"
+    return f"SELECT {d.file_of('a')} AS file, {d.line_of('a')} AS line, {d.file_of('b')} AS file_b, {d.line_of('b')} AS line_b, {said} AS suggestion FROM {both}"
+
+
 def magic_value(d: Dialect) -> str:
     some = f"(SELECT path FROM files WHERE lines > 10 AND {d.any_of('lang', CODE)})"
     quoted = r"""('[a-zA-Z0-9_\-./]{6,}'|"[a-zA-Z0-9_\-./]{6,}"|`[a-zA-Z0-9_\-./]{6,}`)"""
@@ -451,6 +473,7 @@ RULES = {
 }
 EXTRACTORS = {
     "import_sources": import_sources,
+    "dup_block_pairs": block_pairs,
     "fn_names": fn_names,
     "import_edges": import_edges,
     "test_is_test_file": is_test_file,
