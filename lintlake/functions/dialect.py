@@ -6,6 +6,11 @@ regular expressions and RE2 share: no look-around, no back-references.
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
 
 class Dialect:
     name = ""
@@ -16,6 +21,10 @@ class Dialect:
     def match(self, col: str, pattern: str) -> str:
         raise NotImplementedError
 
+    def takes(self, pattern: str) -> bool:
+        """Whether the engine's regular expressions have such a pattern."""
+        raise NotImplementedError
+
     def extract(self, col: str, pattern: str, group: int = 1) -> str:
         return f"coalesce(regexp_extract({col}, {self.lit(pattern)}, {group}), '')"
 
@@ -62,6 +71,13 @@ class Spark(Dialect):
     def match(self, col: str, pattern: str) -> str:
         return f"({col} RLIKE {self.lit(pattern)})"
 
+    def takes(self, pattern: str) -> bool:
+        try:
+            SparkSession.active().sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+        except IllegalArgumentException:
+            return False
+        return True
+
     def extract_all(self, col: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract_all({col}, {self.lit(pattern)}, {group})"
 
@@ -150,6 +166,13 @@ class Duck(Dialect):
     def match(self, col: str, pattern: str) -> str:
         return f"regexp_matches({col}, {self.lit(pattern)})"
 
+    def takes(self, pattern: str) -> bool:
+        try:
+            re.compile(pattern)  # what it shares with RE2; patterns of rules keep to that
+        except re.error:
+            return False
+        return True
+
     def extract_all(self, col: str, pattern: str, group: int = 1) -> str:
         return f"regexp_extract_all({col}, {self.lit(pattern)}, {group})"
 

@@ -5,9 +5,8 @@ Each function gives SQL over ``files`` (path, name, lang, content, lines, wide)
 
 from __future__ import annotations
 
-import re
-
 from lintlake.functions.dialect import Dialect
+from lintlake.functions.versions import version_key
 from lintlake.model import CODE, IMPORTING, JS
 
 _TEST = r"(?i)test|spec|__tests__"
@@ -350,45 +349,59 @@ def uncovered(d: Dialect, most: int | None = 10) -> str:
 # -- dependencies ----------------------------------------------------------------------------------------
 
 
-def npm(d: Dialect) -> str:
-    """``ecosystem, name, version, file`` of the first package.json."""
-    first = f"(SELECT path, content FROM files WHERE path = (SELECT min(path) FROM files WHERE name = 'package.json' AND NOT contains(path, 'node_modules')))"
+#: A manifest belongs to a project. Files of one project (the default) have its first package.json and go.mod read, as all
+#: requirement files are; a corpus of projects tells them apart by an expression on ``path``.
+ONE_PROJECT = "''"
+
+
+def _first_manifest(d: Dialect, where: str, project: str) -> str:
+    """``path, content`` of the first file of each project that meets a condition."""
+    return f"(SELECT path, content FROM (SELECT path, content, row_number() OVER (PARTITION BY {project} ORDER BY path) AS nth FROM files WHERE {where}) WHERE nth = 1)"
+
+
+def npm(d: Dialect, project: str = ONE_PROJECT) -> str:
+    """``ecosystem, name, version, file`` of the first package.json; a name in both lists has the version of the second."""
+    first = _first_manifest(d, "name = 'package.json' AND NOT contains(path, 'node_modules')", project)
     if d.name == "spark":
         shape = "'dependencies MAP<STRING, STRING>, devDependencies MAP<STRING, STRING>'"
-        both = f"SELECT path, explode(dev) AS (dep, said) FROM (SELECT path, coalesce(j.devDependencies, map()) AS dev FROM (SELECT path, from_json(content, {shape}) AS j FROM {first})) UNION ALL SELECT path, explode(map_filter(dep, (k, v) -> NOT map_contains_key(dev, k))) AS (dep, said) FROM (SELECT path, coalesce(j.dependencies, map()) AS dep, coalesce(j.devDependencies, map()) AS dev FROM (SELECT path, from_json(content, {shape}) AS j FROM {first}))"
+        lists = f"SELECT path, coalesce(j.dependencies, map()) AS dep, coalesce(j.devDependencies, map()) AS dev FROM (SELECT path, from_json(content, {shape}) AS j FROM {first})"
+        both = f"SELECT path, explode(map_concat(map_filter(dep, (k, v) -> NOT map_contains_key(dev, k)), dev)) AS (dep, said) FROM ({lists})"
     else:
         each = "SELECT f.path, j.key AS dep, json_extract_string(j.value, '$') AS said FROM {first} AS f, json_each(f.content, '$.{part}') AS j"
         dev = each.format(first=first, part="devDependencies")
-        both = f"{dev} UNION ALL SELECT path, dep, said FROM ({each.format(first=first, part='dependencies')}) WHERE dep NOT IN (SELECT dep FROM ({dev}))"
+        both = f"{dev} UNION ALL SELECT path, dep, said FROM ({each.format(first=first, part='dependencies')}) AS o WHERE NOT EXISTS (SELECT 1 FROM ({dev}) AS v WHERE v.path = o.path AND v.dep = o.dep)"
     clean = f"split_part({d.replace('said', '[~^>=<]', '')}, ' ', 1)"
     return f"SELECT 'npm' AS ecosystem, dep AS name, {clean} AS version, path AS file FROM ({both}) WHERE {d.match(clean, '^[0-9]')}"
 
 
-def pypi(d: Dialect) -> str:
+def pypi(d: Dialect, project: str = ONE_PROJECT) -> str:
     text = d.trim("text")
     pattern = r"^([a-zA-Z0-9_\-]+)\s*(?:[><=!]+\s*([\d.]+))?"
     return f"SELECT 'PyPI' AS ecosystem, {d.extract(text, pattern, 1)} AS name, {d.extract(text, pattern, 2)} AS version, path AS file FROM lines WHERE name IN ('requirements.txt', 'Pipfile', 'pyproject.toml') AND {d.match(text, pattern)}"
 
 
-def go_modules(d: Dialect) -> str:
+def go_modules(d: Dialect, project: str = ONE_PROJECT) -> str:
     text = d.trim("text")
     pattern = r"^require\s+(\S+)\s+v([\d.]+)"
-    first = "(SELECT min(path) FROM files WHERE name = 'go.mod')"
-    return f"SELECT 'Go' AS ecosystem, {d.extract(text, pattern, 1)} AS name, {d.extract(text, pattern, 2)} AS version, path AS file FROM lines WHERE path = {first} AND {d.match(text, pattern)}"
+    said = d.unnest(f"(SELECT path, {d.split_lines('content')} AS ls FROM {_first_manifest(d, _GO_MOD, project)})", "ls", "text", "path")
+    return f"SELECT 'Go' AS ecosystem, {d.extract(text, pattern, 1)} AS name, {d.extract(text, pattern, 2)} AS version, path AS file FROM ({said}) WHERE {d.match(text, pattern)}"
 
 
-#: A local advisory table in place of the service: id, ecosystem, package, version, alias, summary, severity text, CVSS, fixed version.
+_GO_MOD = "name = 'go.mod'"
+#: Columns of advisories: a version is affected from ``introduced`` on, before ``until`` and up to ``last`` where they are not empty; several rows make up an advisory.
+ADVISORY = "id, eco, package, introduced, until, last, alias, summary, level, cvss, fixed"
+#: Advisories that stand in for the service where no table is given.
 ADVISORIES = [
-    ("ADV-1", "npm", "lodash", "4.17.21", "CVE-X-1", "Prototype pollution", "HIGH", "7.4", "4.17.22"),
-    ("ADV-2", "npm", "left-pad", "1.3.0", "CVE-X-2", "Denial of service", "", "9.1", ""),
-    ("ADV-3", "PyPI", "requests", "2.19.0", "CVE-X-3", "Header leak", "MODERATE", "", "2.20.0"),
-    ("ADV-4", "PyPI", "flask", "1.0", "CVE-X-4", "Memory use", "", "3.1", "1.1"),
-    ("ADV-5", "Go", "github.com/gin-gonic/gin", "1.6.0", "CVE-X-5", "Log injection", "CRITICAL", "", "1.7.7"),
+    ("ADV-1", "npm", "lodash", "4.17.21", "", "4.17.21", "CVE-X-1", "Prototype pollution", "HIGH", "7.4", "4.17.22"),
+    ("ADV-2", "npm", "left-pad", "1.3.0", "", "1.3.0", "CVE-X-2", "Denial of service", "", "9.1", ""),
+    ("ADV-3", "PyPI", "requests", "0", "2.20.0", "", "CVE-X-3", "Header leak", "MODERATE", "", "2.20.0"),
+    ("ADV-4", "PyPI", "flask", "1.0", "1.1", "", "CVE-X-4", "Memory use", "", "3.1", "1.1"),
+    ("ADV-5", "Go", "github.com/gin-gonic/gin", "1.0.0-rc.1", "1.7.7", "", "CVE-X-5", "Log injection", "CRITICAL", "", "1.7.7"),
 ]
 
 
-def dependencies(d: Dialect) -> str:
-    return f"{npm(d)} UNION ALL {pypi(d)} UNION ALL {go_modules(d)}"
+def dependencies(d: Dialect, project: str = ONE_PROJECT) -> str:
+    return f"{npm(d, project)} UNION ALL {pypi(d, project)} UNION ALL {go_modules(d, project)}"
 
 
 def advisory_severity(d: Dialect) -> str:
@@ -406,18 +419,27 @@ def upgrade_hint(d: Dialect) -> str:
     )
 
 
-def _vulnerable(d: Dialect, table: str = "") -> str:
-    """Dependencies with their advisories, from a table of these columns or else from ADVISORIES."""
-    advisories = table or d.values(ADVISORIES, "id, eco, package, at_version, alias, summary, level, cvss, fixed")
-    return f"(SELECT *, row_number() OVER (PARTITION BY file, ecosystem, name, version ORDER BY id) AS nth FROM ({dependencies(d)}) AS p JOIN {advisories} AS a ON p.ecosystem = a.eco AND p.name = a.package AND p.version = a.at_version)"
+def _vulnerable(d: Dialect, table: str = "", project: str = ONE_PROJECT) -> str:
+    """Dependencies with their advisories, from a table of the columns ADVISORY or else from ADVISORIES; one without a version has all of its package.
+
+    Dependencies meet advisories by ecosystem and package; whether a version lies in a range is a comparison of keys.
+    """
+    advisories = table or d.values(ADVISORIES, ADVISORY)
+    asked = f"(SELECT DISTINCT ecosystem, name, version, file, {version_key(d, 'version', 'ecosystem')} AS at_key FROM ({dependencies(d, project)}))"
+    bound = lambda c: version_key(d, c, "eco")
+    ranges = f"(SELECT {ADVISORY}, {bound('introduced')} AS low, {bound('until')} AS below, {bound('last')} AS high FROM {advisories})"
+    within = "p.version = '' OR (at_key >= low AND (until = '' OR at_key < below) AND (last = '' OR at_key <= high))"
+    texts = ", ".join(f"min({c}) AS {c}" for c in ("alias", "summary", "level", "cvss", "fixed"))
+    met = f"(SELECT file, ecosystem, name, version, id, {texts} FROM {asked} AS p JOIN {ranges} AS a ON p.ecosystem = a.eco AND p.name = a.package AND ({within}) GROUP BY file, ecosystem, name, version, id)"
+    return f"(SELECT *, row_number() OVER (PARTITION BY file, ecosystem, name, version ORDER BY id) AS nth FROM {met})"
 
 
-def vulnerable(d: Dialect, most: int | None = 3, table: str = "") -> str:
-    return _out(d, f"({advisory_severity(d)})", "concat('Vulnerable dependency: ', name, '@', version, ' — ', alias)", _vulnerable(d, table), _first(most), file="file", line="NULL")
+def vulnerable(d: Dialect, most: int | None = 3, table: str = "", project: str = ONE_PROJECT) -> str:
+    return _out(d, f"({advisory_severity(d)})", "concat('Vulnerable dependency: ', name, '@', version, ' — ', alias)", _vulnerable(d, table, project), _first(most), file="file", line="NULL")
 
 
-def vulnerable_hints(d: Dialect) -> str:
-    return f"SELECT file, name, version, id AS cve_id, {upgrade_hint(d)} AS suggestion FROM {_vulnerable(d)} WHERE nth <= 3"
+def vulnerable_hints(d: Dialect, table: str = "", project: str = ONE_PROJECT) -> str:
+    return f"SELECT file, name, version, id AS cve_id, {upgrade_hint(d)} AS suggestion FROM {_vulnerable(d, table, project)} WHERE nth <= 3"
 
 
 # -- rules of the user -------------------------------------------------------------------------------------
@@ -426,23 +448,20 @@ def vulnerable_hints(d: Dialect) -> str:
 CUSTOM = [("c1", "No TODO", "TODO", "low", "", "gi"), ("c2", "No magic status", "order-status", "medium", "js,py", "g"), ("c3", "Uses db", r"\bdb\.\w+", "info", "", "g"), ("c4", "Not a pattern", "(", "high", "", "gi")]
 
 
-def usable(rules: list[tuple[str, str, str, str, str, str]]) -> list[tuple[str, str, str, str, str]]:
-    """Rules with their flags put into the pattern; one whose pattern is none is passed over, as is an empty one."""
+def usable(d: Dialect, rules: list[tuple[str, str, str, str, str, str]]) -> list[tuple[str, str, str, str, str]]:
+    """Rules with their flags put into the pattern; one whose pattern the engine that runs it does not take is passed over, as is an empty one."""
     out = []
     for rid, title, pattern, level, langs, flags in rules:
         inner = "".join(x for x in "ims" if x in flags)
-        try:
-            re.compile(pattern)
-        except re.error:
-            continue
-        if pattern:
-            out.append((rid, title, f"(?{inner}){pattern}" if inner else pattern, level, langs))
+        whole = f"(?{inner}){pattern}" if inner else pattern
+        if pattern and d.takes(whole):
+            out.append((rid, title, whole, level, langs))
     return out
 
 
 def custom(d: Dialect, rules: list[tuple[str, str, str, str, str, str]] = CUSTOM) -> str:
     """All rules of the user in one pass over the lines."""
-    good = usable(rules)
+    good = usable(d, rules)
     if not good:
         return _out(d, "low", "text", "lines", "FALSE")
     hits = [f"CASE WHEN {d.match('text', p)}{f' AND {d.any_of("lang", langs.split(","))}' if langs else ''} THEN {d.lit(rid)} END" for rid, _, p, _, langs in good]
@@ -479,10 +498,6 @@ EXTRACTORS = {
     "test_is_test_file": is_test_file,
     "test_names": test_names,
     "test_source_fns": source_fns,
-    "dep_inventory_npm": npm,
-    "dep_inventory_pypi": pypi,
-    "dep_inventory_go": go_modules,
-    "upgrade_hint": vulnerable_hints,
 }
 #: The rules that show only so many findings, with all of them.
 UNCAPPED = {
@@ -490,5 +505,13 @@ UNCAPPED = {
     "dead_export_uncapped": lambda d: dead_export(d, None),
     "dead_unused_function_uncapped": lambda d: unused_function(d, None),
     "test_uncovered_fn_uncapped": lambda d: uncovered(d, None),
-    "dep_vulnerable_uncapped": lambda d: vulnerable(d, None),
+}
+#: Over a corpus of projects: key -> SQL with the table of advisories and the project of a path.
+DEPENDENCIES = {
+    "dep_inventory_npm": lambda d, table, project: npm(d, project),
+    "dep_inventory_pypi": lambda d, table, project: pypi(d, project),
+    "dep_inventory_go": lambda d, table, project: go_modules(d, project),
+    "dep_vulnerable": lambda d, table, project: vulnerable(d, 3, table, project),
+    "dep_vulnerable_uncapped": lambda d, table, project: vulnerable(d, None, table, project),
+    "upgrade_hint": vulnerable_hints,
 }

@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.functions.dialect import SPARK
@@ -38,6 +38,8 @@ class Analysis:
             advisories.createOrReplaceTempView(self.advisories)
         both = corpora.views(SPARK, f"SELECT * FROM raw_{key}")
         self.folder = f"{graph.shared_folder(self.spark)}/analysis-{key}"
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
         for name in ("files", "lines"):
             self.spark.sql(f"{both} SELECT * FROM {name}").write.parquet(f"{self.folder}/{name}")
         self.files = self.spark.read.parquet(f"{self.folder}/files")
@@ -47,9 +49,20 @@ class Analysis:
             self.sql(function_rules.spans(SPARK, function_rules.EXTRACTORS[name])).write.parquet(f"{self.folder}/{name}")
         self.tables += sorted(needed)
 
-    def sql(self, select: str, more: str = "") -> DataFrame:
+    def sql(self, select: str, more: str = "", spark: SparkSession | None = None) -> DataFrame:
         tables = ", ".join(f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}`)" for n in self.tables)
-        return self.spark.sql(f"WITH {tables}{more} {select}")
+        return (spark or self.spark).sql(f"WITH {tables}{more} {select}")
+
+    def close(self) -> None:
+        """Delete the written tables; what was not collected or written elsewhere by then is gone. Else Spark does it when the session ends."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+    def __enter__(self) -> Analysis:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.close()
 
     def wants(self, category: str) -> bool:
         return self.categories is None or category in self.categories
@@ -97,7 +110,7 @@ class Analysis:
         return self.spark.sql(report.deduplicated(f"SELECT * FROM {name}"))
 
     def report(self, issues: DataFrame, select) -> DataFrame:
-        """One of the report functions over issues."""
+        """One of the report functions over issues, in the session that they are of."""
         name = f"issues_{uuid.uuid4().hex[:12]}"
         issues.createOrReplaceTempView(name)
-        return self.sql(select(SPARK), f", issues AS (SELECT * FROM {name})")
+        return self.sql(select(SPARK), f", issues AS (SELECT * FROM {name})", issues.sparkSession)

@@ -40,6 +40,7 @@ def _selects() -> dict[str, Callable[[Dialect, str], str]]:
     out |= {k: on_functions(tables, f) for k, (tables, f) in function_rules.QUERIES.items()}
     out |= {k: on(corpora.code, f, True) for k, f in report.ISSUE_QUERIES.items()}
     out |= report.TABLE_QUERIES
+    out |= {k: (lambda d, sf_dir, f=f: f"{corpora.views(d, corpora.manifests(d, sf_dir))} {f(d, corpora.advisories(d, sf_dir), corpora.PROJECT)}") for k, f in cross_rules.DEPENDENCIES.items()}
     secret = next(r for r in line_rules.RULES if r.key == "sec_hardcoded_secret")
     out["sec_hardcoded_secret_documents"] = on(corpora.prose, secret.select)
     out["dup_exact_block_documents"] = on(corpora.prose, cross_rules.exact_block)
@@ -112,13 +113,13 @@ _FOUND: dict[tuple, Analysis] = {}
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Sizes and times of the tables that corpora are made of: issues that are found once count until one changes."""
+    """Sizes and times of the files of the tables that corpora are made of: issues that are found once count until one changes."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     out = []
     for name in ("lineitem", "supplier", "pages"):
         path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
         fs = path.getFileSystem(conf)
-        out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()) if fs.exists(path) else None)
+        out.append(tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))) if fs.exists(path) else None)
     return tuple(out)
 
 

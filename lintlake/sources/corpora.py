@@ -148,6 +148,54 @@ def code(d: Dialect, sf_dir: str) -> str:
     return f"{derived} UNION ALL {fixed}"
 
 
+#: The project that a manifest of ``manifests`` belongs to.
+PROJECT = "split_part(path, '/', 2)"
+
+
+def manifests(d: Dialect, sf_dir: str) -> str:
+    """``files`` of a corpus of projects, one for each supplier: package.json, requirements.txt and go.mod with the parts of its line items."""
+    version = "concat(CAST(l_orderkey % 4 AS STRING), '.', CAST(l_partkey % 10 AS STRING), '.', CAST(l_linenumber % 3 AS STRING))"
+    items = f"SELECT l_suppkey, l_partkey, min({version}) AS v, max(l_orderkey % 7) AS o FROM {d.table('lineitem', sf_dir)} GROUP BY l_suppkey, l_partkey"
+    tag = "CAST(l_partkey AS STRING)"
+    quote = d.lit('"')
+    op = "CASE o WHEN 0 THEN '^' WHEN 1 THEN '~' WHEN 2 THEN '>=' WHEN 3 THEN 'file:../' ELSE '' END"
+    pre = "CASE WHEN o = 4 THEN '-beta.2' ELSE '' END"
+    pair = f"concat({quote}, 'js-', {tag}, {quote}, ': ', {quote}, {op}, v, {pre}, CASE WHEN o = 2 THEN ' <9' ELSE '' END, {quote})"
+    listed = lambda what, where, sep: d.listed(f"CASE WHEN {where} THEN {what} END", "l_partkey", sep)
+    # texts of one kind are null where a part is of another; both engines leave nulls out
+    deps, dev = listed(pair, "l_partkey % 3 = 0", ", "), listed(pair, "l_partkey % 15 = 0", ", ")
+    package = f"concat('{{', {quote}, 'dependencies', {quote}, ': {{', coalesce({deps}, ''), '}}, ', {quote}, 'devDependencies', {quote}, ': {{', coalesce({dev}, ''), '}}}}')"
+    line = f"concat('py-', {tag}, CASE WHEN o < 4 THEN concat('==', v) WHEN o < 6 THEN concat(' >= ', v) ELSE '' END)"
+    python = f"concat('# pinned', {d.lit(chr(10))}, coalesce({listed(line, 'l_partkey % 3 = 1', chr(10))}, ''), {d.lit(chr(10))}, '-e .')"
+    module = f"concat('require example.com/m', {tag}, ' v', v)"
+    go = f"concat('module app', {d.lit(chr(10))}, 'go 1.21', {d.lit(chr(10))}, coalesce({listed(module, 'l_partkey % 3 = 2', chr(10))}, ''))"
+    each = f"(SELECT l_suppkey, {package} AS package, {python} AS python, {go} AS go FROM ({items}) GROUP BY l_suppkey)"
+    rows = d.array([d.struct(f_name=d.lit(n), lang=d.lit(x), content=c) for n, x, c in (("package.json", "json", "package"), ("requirements.txt", "txt", "python"), ("go.mod", "mod", "go"))])
+    every = d.unnest(f"(SELECT l_suppkey, {rows} AS kinds FROM {each})", "kinds", "k", "l_suppkey")
+    return f"SELECT concat('projects/p', CAST(l_suppkey AS STRING), '/', k.f_name) AS path, k.f_name AS name, k.lang AS lang, k.content AS content FROM ({every})"
+
+
+def advisories(d: Dialect, sf_dir: str) -> str:
+    """Advisories on the packages of ``manifests``, from the parts: whole ranges, several ranges, last affected versions, single versions."""
+    tag = "CAST(p_partkey AS STRING)"
+    eco = "CASE p_partkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'PyPI' ELSE 'Go' END"
+    package = f"CASE p_partkey % 3 WHEN 0 THEN concat('js-', {tag}) WHEN 1 THEN concat('py-', {tag}) ELSE concat('example.com/m', {tag}) END"
+    level = "CASE p_size % 5 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'CRITICAL' ELSE '' END"
+    until = "concat(CAST(p_size % 3 + 1 AS STRING), '.', CAST(p_partkey % 10 AS STRING))"
+
+    def rows(kind: str, where: str, introduced: str, until: str, last: str, fixed: str) -> str:
+        return f"SELECT concat('ADV-', {tag}, '-{kind}') AS id, {eco} AS eco, {package} AS package, {introduced} AS introduced, {until} AS until, {last} AS last, concat('CVE-', {tag}) AS alias, p_name AS summary, {level} AS level, CAST(p_size % 11 AS STRING) AS cvss, {fixed} AS fixed FROM {d.table('part', sf_dir)} WHERE {where}"
+
+    parts = [
+        rows("a", "p_partkey % 4 = 0", "'0'", until, "''", until),
+        rows("b", "p_partkey % 4 = 1", "'0.3.0'", "'1.5.1'", "''", "'1.5.1'"),
+        rows("b", "p_partkey % 4 = 1", "'2.0.0-beta.1'", "'3'", "''", "'1.5.1'"),
+        rows("c", "p_partkey % 6 = 0", "'1.0.0rc1'", "''", "'2.9.9'", "''"),
+        rows("d", "p_partkey % 10 = 3", "'2.3.1'", "''", "'2.3.1'", "''"),
+    ]
+    return f"({' UNION ALL '.join(parts)})"
+
+
 def prose(d: Dialect, sf_dir: str) -> str:
     """``files`` of the documents, each with the extension of a code language."""
     ext = "CASE doc_id % 12 " + " ".join(f"WHEN {k} THEN {d.lit(x)}" for k, x in enumerate(LANGS[:12])) + " END"

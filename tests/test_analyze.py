@@ -132,15 +132,37 @@ def test_advisories_and_further_analyzers(spark, tmp_path):
     record = {"id": "A-1", "aliases": ["C-9"], "summary": "Bad", "severity": [{"type": "CVSS", "score": "9.8"}], "affected": [{"package": {"ecosystem": "PyPI", "name": "flask"}, "versions": ["0.9", "1.0"], "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.1"}]}]}]}
     (tmp_path / "adv.json").write_text(json.dumps(record) + "\n" + json.dumps({"id": "A-2"}) + "\n")
     table = advisories.read(spark, f"file://{tmp_path}/adv.json")
-    assert sorted((r["at_version"], r["alias"], r["cvss"], r["fixed"]) for r in table.collect()) == [("0.9", "C-9", "9.8", "1.1"), ("1.0", "C-9", "9.8", "1.1")]
+    assert sorted((r["introduced"], r["until"], r["last"], r["alias"], r["cvss"], r["fixed"]) for r in table.collect()) == [("0", "1.1", "", "C-9", "9.8", "1.1"), ("0.9", "", "0.9", "C-9", "9.8", "1.1"), ("1.0", "", "1.0", "C-9", "9.8", "1.1")]
     files = sources.read_table(spark.createDataFrame([("requirements.txt", "flask>=1.0\n")], "path string, content string"))
     more = {"size": lambda a: a.sql("SELECT path AS file, CAST(1 AS BIGINT) AS line, 'low' AS severity, 'Here' AS title FROM files"), "none": "not callable"}
     got = Analysis(files, categories=["dependencies", "size", "none"], advisories=table, more=more).issues().collect()
     assert sorted((r["category"], r["severity"], r["title"]) for r in got) == [("dependencies", "critical", "Vulnerable dependency: flask@1.0 — C-9"), ("size", "low", "Here")]
 
 
-def test_custom_rules_pass_over_what_is_no_pattern():
+def test_custom_rules_pass_over_what_is_no_pattern(spark):
+    """A rule is usable if the engine that runs it takes its pattern; the checking engine is asked for itself."""
+    from lintlake.functions.dialect import DUCK, SPARK
     from lintlake.operators import cross_rules
 
-    assert [r[0] for r in cross_rules.usable(cross_rules.CUSTOM)] == ["c1", "c2", "c3"]
-    assert cross_rules.usable([("a", "t", "x", "low", "", "gim")])[0][2] == "(?im)x"
+    for d in (SPARK, DUCK):
+        assert [r[0] for r in cross_rules.usable(d, cross_rules.CUSTOM)] == ["c1", "c2", "c3"]
+        assert cross_rules.usable(d, [("a", "t", "x", "low", "", "gim")])[0][2] == "(?im)x"
+    java = [("named", "Named", "(?<x>todo)", "low", "", "gi"), ("behind", "Behind", "(?<=# )todo", "info", "", "g"), ("other", "Other", "(?P<x>todo)", "low", "", "g"), ("open", "Open", "[", "low", "", "g")]
+    assert [r[0] for r in cross_rules.usable(SPARK, java)] == ["named", "behind"]
+    a = Analysis(sources.read_table(spark.createDataFrame([("a.py", "# todo\nx = 1\n# TODO")], "path string, content string")), categories=["none"])
+    assert sorted((r["title"], r["line"]) for r in a.sql(cross_rules.custom(SPARK, java)).collect()) == [("Behind", 1), ("Named", 1), ("Named", 3)]
+    assert a.sql(cross_rules.custom(SPARK, java[2:])).collect() == []
+
+
+def test_reports_in_another_session(spark):
+    from lintlake.plans import report
+
+    files = sources.read_table(spark.createDataFrame([("a.py", "DEBUG = True\n")], "path string, content string"))
+    with Analysis(files, categories=["security"]) as a:
+        a.issues().write.parquet(f"{a.folder}/issues")
+        other = spark.newSession()
+        assert [(r["path"], r["issues"]) for r in a.report(other.read.parquet(f"{a.folder}/issues"), report.file_scores).collect()] == [("a.py", 1)]
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        folder = jvm.org.apache.hadoop.fs.Path(a.folder)
+        assert folder.getFileSystem(conf).exists(folder)
+    assert not folder.getFileSystem(conf).exists(folder)
