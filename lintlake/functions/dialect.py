@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 class Dialect:
     name = ""
+    boundary = ""
 
     def lit(self, value: str) -> str:
         raise NotImplementedError
@@ -64,6 +65,8 @@ class Dialect:
 
 class Spark(Dialect):
     name = "spark"
+    #: Where a word of ASCII begins or ends; Java's own sign for it takes other letters for words as well.
+    boundary = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
     def lit(self, value: str) -> str:
         return "'" + value.replace("\\", "\\\\").replace("'", "\\'").replace("${", "\\u0024{") + "'"  # else ${x} is a variable
@@ -133,6 +136,14 @@ class Spark(Dialect):
     def transform(self, array: str, x: str, to: str) -> str:
         return f"transform({array}, {x} -> {to})"
 
+    def transform_at(self, array: str, x: str, n: str, to: str) -> str:
+        """``to`` for each element and its place, as ``behind`` takes it."""
+        return f"transform({array}, ({x}, {n}) -> {to})"
+
+    def behind(self, array: str, n: str, k: int) -> str:
+        """The k-th element behind a place, or null."""
+        return f"get({array}, {n} + {k})"
+
     def filter(self, array: str, x: str, where: str) -> str:
         return f"filter({array}, {x} -> {where})"
 
@@ -158,6 +169,7 @@ class Spark(Dialect):
 
 class Duck(Dialect):
     name = "duck"
+    boundary = r"\b"
 
     def lit(self, value: str) -> str:
         parts = value.split("\n")
@@ -228,6 +240,12 @@ class Duck(Dialect):
     def transform(self, array: str, x: str, to: str) -> str:
         return f"list_transform({array}, lambda {x}: {to})"
 
+    def transform_at(self, array: str, x: str, n: str, to: str) -> str:
+        return f"list_transform({array}, lambda {x}, {n}: {to})"
+
+    def behind(self, array: str, n: str, k: int) -> str:
+        return f"{array}[{n} + {k}]"
+
     def filter(self, array: str, x: str, where: str) -> str:
         return f"list_filter({array}, lambda {x}: {where})"
 

@@ -6,6 +6,7 @@ Each function gives SQL over ``files`` (path, name, lang, content, lines, wide)
 from __future__ import annotations
 
 from lintlake.functions.dialect import Dialect
+from lintlake.functions.literals import needed
 from lintlake.functions.versions import version_key
 from lintlake.model import CODE, IMPORTING, JS
 
@@ -464,8 +465,9 @@ def custom(d: Dialect, rules: list[tuple[str, str, str, str, str, str]] = CUSTOM
     good = usable(d, rules)
     if not good:
         return _out(d, "low", "text", "lines", "FALSE")
-    hits = [f"CASE WHEN {d.match('text', p)}{f' AND {d.any_of("lang", langs.split(","))}' if langs else ''} THEN {d.lit(rid)} END" for rid, _, p, _, langs in good]
-    some = f"(SELECT path, line, {d.filter(d.array(hits), 'r', 'r IS NOT NULL')} AS hits FROM lines)"
+    first = lambda p, langs: " AND ".join([*([d.any_of("lang", langs.split(","))] if langs else []), *filter(None, [needed(d, p) if d.name == "spark" else ""]), d.match("text", p)])
+    hits = [f"CASE WHEN {first(p, langs)} THEN {d.lit(rid)} END" for rid, _, p, _, langs in good]
+    some = f"(SELECT path, line, {d.filter(d.array(hits), 'r', 'r IS NOT NULL')} AS hits FROM (SELECT *, lower(text) AS low FROM lines))"
     named = d.values([(rid, title, level) for rid, title, _, level, _ in good], "rule_id, rule_title, level")
     return _out(d, "(level)", "rule_title", f"({d.unnest(some, 'hits', 'hit', 'path, line')}) AS h JOIN {named} AS r ON hit = rule_id")
 

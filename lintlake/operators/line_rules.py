@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from lintlake.functions.dialect import SPARK, Dialect
+from lintlake.functions.literals import needed
 from lintlake.model import JS, PY
 
 
@@ -129,8 +130,9 @@ RULES = [
 
 
 def fused(lines: str, rules: list[Rule] = RULES) -> str:
-    """Spark SQL that evaluates all rules on each line of ``lines`` in one pass."""
+    """Spark SQL that evaluates all rules on each line of ``lines`` in one pass; a pattern is tried where a text that its matches need is found."""
     d = SPARK
-    made = ",\n".join(f"CASE WHEN {r.condition(d)} THEN named_struct('category', {d.lit(r.category)}, 'rule', {d.lit(r.key)}, 'severity', {d.lit(r.severity)}, 'title', {r.title_sql(d)}) END" for r in rules)
+    guarded = [(r, " AND ".join([*filter(None, (needed(d, p) for p in r.must)), r.condition(d)])) for r in rules]
+    made = ",\n".join(f"CASE WHEN {c} THEN named_struct('category', {d.lit(r.category)}, 'rule', {d.lit(r.key)}, 'severity', {d.lit(r.severity)}, 'title', {r.title_sql(d)}) END" for r, c in guarded)
     hits = f"filter(array({made}), x -> x IS NOT NULL)"
-    return f"SELECT hit.category, hit.rule, path AS file, line, hit.severity, hit.title, substring({d.trim('text')}, 1, 80) AS snippet FROM (SELECT path, line, text, explode({hits}) AS hit FROM {lines})"
+    return f"SELECT hit.category, hit.rule, path AS file, line, hit.severity, hit.title, substring({d.trim('text')}, 1, 80) AS snippet FROM (SELECT path, line, text, explode({hits}) AS hit FROM (SELECT *, lower(text) AS low FROM {lines}))"

@@ -6,6 +6,7 @@ severity, title); ``with_issues`` makes the last from the line rules, deduplicat
 
 from __future__ import annotations
 
+from lintlake.functions import highlight
 from lintlake.functions.dialect import Dialect
 from lintlake.model import CYCLE_PENALTY, DEDUP, JS, NOT_SCORED, OTHER_MINUTES, OTHER_PENALTY, SEVERITY
 from lintlake.operators import line_rules
@@ -247,6 +248,11 @@ def architecture(d: Dialect, most: int = 5) -> str:
     return f"SELECT suggestion FROM (SELECT suggestion, row_number() OVER (ORDER BY nth) AS place FROM ({rows}) WHERE fits) WHERE place <= {most}"
 
 
+def highlighted_lines(d: Dialect) -> str:
+    """Every line as HTML with its tokens marked."""
+    return f"SELECT path, line, {highlight.highlighted(d)} AS html FROM lines"
+
+
 def sorted_files(d: Dialect, by: str = "issues", descending: bool = True) -> str:
     """All files with their scores, by a column."""
     return f"SELECT * FROM ({file_scores(d)}) ORDER BY {by} {'DESC' if descending else 'ASC'}, path"
@@ -292,5 +298,5 @@ ISSUE_QUERIES = {
     "agg_section_minutes": section_minutes, "filter_severity": only_severity, "filter_search": search, "filter_path_search": path_search, "topk_worst_files": worst_files, "topk_section": sections,
     "quick_wins": quick_wins, "export_sarif": sarif_rules, "export_json": json_summary, "copy_category": copied_category, "refactor_prompt": refactor_points, "score_band": score_bands, "specific_fixes": fixes, "arch_suggestions": architecture, "sort_files_by": sorted_files, "code_context": code_context,
 }
-FILE_QUERIES = {"agg_lang_breakdown": language_breakdown, "agg_metrics_row": metrics, "scan_pruned": pruned, "scalar_functions": scalars, "project_type": project_type, "sec_high_entropy": high_entropy}
+FILE_QUERIES = {"agg_lang_breakdown": language_breakdown, "agg_metrics_row": metrics, "scan_pruned": pruned, "scalar_functions": scalars, "project_type": project_type, "sec_high_entropy": high_entropy, "highlight_line": highlighted_lines}
 TABLE_QUERIES = {"snapshot_diff": snapshot_diff, "win_trend_15": trend, "parse_repo_url": repo_urls, "href_edges": links}
