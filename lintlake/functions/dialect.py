@@ -126,6 +126,9 @@ class Spark(Dialect):
     def array(self, items: list[str]) -> str:
         return f"array({', '.join(items)})"
 
+    def concat(self, arrays: list[str]) -> str:
+        return f"concat({', '.join(arrays)})"
+
     def sorted_list(self, value: str) -> str:
         return f"array_sort(collect_list({value}))"
 
@@ -231,6 +234,9 @@ class Duck(Dialect):
     def array(self, items: list[str]) -> str:
         return f"[{', '.join(items)}]"
 
+    def concat(self, arrays: list[str]) -> str:
+        return f"flatten([{', '.join(arrays)}])"
+
     def sorted_list(self, value: str) -> str:
         return f"list_sort(list({value}))"
 

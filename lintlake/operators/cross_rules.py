@@ -5,6 +5,8 @@ Each function gives SQL over ``files`` (path, name, lang, content, lines, wide)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from lintlake.functions.dialect import Dialect
 from lintlake.functions.literals import needed
 from lintlake.functions.versions import version_key
@@ -109,44 +111,84 @@ def unused_file(d: Dialect) -> str:
     return _out(d, "low", d.lit("Possibly unused file"), source, f"NOT EXISTS (SELECT 1 FROM ({import_sources(d)}) AS i WHERE i.base = f.base)", line="1")
 
 
+_WORDS = "([A-Za-z0-9_]+)"
+
+
 def _uses(d: Dialect, names: str) -> str:
-    """``path, seen, word, times``: how often a line has each of its file's ``names`` (path, name), as a whole word. Words are looked up where they stand; only hits become rows."""
+    """The checking SQL's ``path, seen, word, times``: how often a line has each of its file's ``names`` (path, name), as a whole word."""
     wanted = f"(SELECT path AS wp, {d.sorted_list('name')} AS names FROM (SELECT DISTINCT path, name FROM ({names}) WHERE name <> '') GROUP BY path)"
     count = d.struct(word="x", n=f"CAST({d.size(d.filter('ws', 'w', 'w = x'))} AS BIGINT)")
-    met = d.let("ws", d.extract_all("text", "([A-Za-z0-9_]+)"), d.transform(d.filter("names", "x", "array_contains(ws, x)"), "x", count))
+    met = d.let("ws", d.extract_all("text", _WORDS), d.transform(d.filter("names", "x", "array_contains(ws, x)"), "x", count))
     found = d.unnest(f"(SELECT path, line AS seen, {met} AS hits FROM lines JOIN {wanted} ON path = wp)", "hits", "hit", "path, seen")
     return f"SELECT path, seen, hit.word AS word, hit.n AS times FROM ({found})"
 
 
-def _unused_import(d: Dialect, names: str, anywhere: bool) -> str:
+def _named(d: Dialect, langs: str, pattern: str, pick: Callable[[str], str]) -> str:
+    """``path, line, name``: what the lines of some languages that match a pattern name; ``pick`` makes an array of names of a text."""
+    return d.unnest(f"(SELECT path, line, {pick('text')} AS found FROM lines WHERE {langs} AND {d.match('text', pattern)})", "found", "name", "path, line")
+
+
+def _indexed(d: Dialect, kinds: list[tuple[str, str, Callable[[str], str]]], keep: str) -> str:
+    """Spark: a row for each file with ``names`` (line, name) that its lines introduce, and ``hits`` (line, name): an index of one
+    pass over its words that are such names, in order. ``keep``: which names x count. No row leaves its file."""
+    langs = " OR ".join(k for k, _, _ in kinds)
+    picked = "CASE " + " ".join(f"WHEN {k} AND {d.match('t', p)} THEN {f('t')}" for k, p, f in kinds) + " END"
+    files = f"(SELECT path, lang, {d.split_lines('content')} AS ls FROM files WHERE {langs})"
+    placed = d.struct(line="CAST(i + 1 AS BIGINT)", name="x")
+    named = f"(SELECT path, ls, flatten(filter(transform(ls, (t, i) -> transform(filter({picked}, x -> {keep}), x -> {placed})), a -> size(a) > 0)) AS names FROM {files})"
+    known = "array_distinct(transform(names, n -> n.name))"
+    hits = f"transform(ls, (t, i) -> transform(filter({d.extract_all('t', _WORDS)}, x -> array_contains(known, x)), x -> {placed}))"
+    found = d.let("known", known, f"flatten(filter({hits}, a -> size(a) > 0))")
+    return f"(SELECT path, names, {found} AS hits FROM {named} WHERE size(names) > 0)"
+
+
+def _by_place(d: Dialect, then: str) -> str:
+    """``then`` with the index of a file at hand; bound as variables, which an optimizer does not work out again for every name."""
+    return d.let("words", "hits.name", d.let("back", "reverse(words)", d.let("at_", "hits.line", then)))
+
+
+_FIRST_PLACE, _LAST_PLACE = "array_position(words, n.name)", "size(back) + 1 - array_position(back, n.name)"
+
+
+def _unused_import(d: Dialect, langs: str, pattern: str, pick: Callable[[str], str], anywhere: bool) -> str:
+    if d.name == "spark":
+        line = lambda place: f"get(at_, CAST({place} AS INT) - 1)"
+        elsewhere = f"{line(_FIRST_PLACE)} <> n.line OR {line(_LAST_PLACE)} <> n.line" if anywhere else f"{line(_LAST_PLACE)} > n.line"
+        dead = f"filter(names, n -> NOT array_contains(words, n.name) OR NOT ({elsewhere}))"
+        rows = f"(SELECT path, n.line, n.name FROM (SELECT path, explode({_by_place(d, dead)}) AS n FROM {_indexed(d, [(langs, pattern, pick)], _IS_NAME)}))"
+        return _out(d, "low", "concat('Unused import: ', name)", rows)
     later = "t.seen <> n.line" if anywhere else "t.seen > n.line"
+    names = _named(d, langs, pattern, pick)
     return _out(d, "low", "concat('Unused import: ', name)", f"({names}) AS n", f"name <> '' AND name <> '*' AND NOT EXISTS (SELECT 1 FROM ({_uses(d, names)}) AS t WHERE t.path = n.path AND t.word = n.name AND {later})")
 
 
-def _listed_names(d: Dialect, where: str, pattern: str, last: bool = True) -> str:
-    """Names of a comma-separated import list; with an alias, the alias (last) or the name itself."""
-    rows = f"(SELECT path, line, {d.split(d.extract('text', pattern), ',')} AS parts FROM lines WHERE {where} AND {d.match('text', pattern)})"
-    part = d.trim("part")
-    name = d.replace(part, r"^.*\s+as\s+", "") if last else d.replace(part, r"\s+as\s+.*$", "")
-    return f"SELECT path, line, {d.trim(name)} AS name FROM ({d.unnest(rows, 'parts', 'part', 'path, line')})"
+_IS_NAME = "x <> '' AND x <> '*'"
+
+
+def _listed(d: Dialect, pattern: str) -> Callable[[str], str]:
+    """Names of a comma-separated import list; with an alias, the alias."""
+    return lambda t: d.transform(d.split(d.extract(t, pattern), ","), "p", d.trim(d.replace(d.trim("p"), r"^.*\s+as\s+", "")))
 
 
 def unused_named(d: Dialect) -> str:
-    return _unused_import(d, _listed_names(d, d.any_of("lang", JS), r"^import\s+\{([^}]+)\}\s+from"), True)
+    pattern = r"^import\s+\{([^}]+)\}\s+from"
+    return _unused_import(d, d.any_of("lang", JS), pattern, _listed(d, pattern), True)
 
 
 def unused_default(d: Dialect) -> str:
     pattern = r"^import\s+(\w+)\s+from"
-    return _unused_import(d, f"SELECT path, line, {d.extract('text', pattern)} AS name FROM lines WHERE {d.any_of('lang', JS)} AND {d.match('text', pattern)} AND NOT contains(text, '{{') AND {d.extract('text', pattern)} <> '_'", False)
+    said = lambda t: f"CASE WHEN NOT contains({t}, '{{{{') AND {d.extract(t, pattern)} <> '_' THEN {d.extract(t, pattern)} ELSE '' END"
+    return _unused_import(d, d.any_of("lang", JS), pattern, lambda t: d.array([said(t)]), False)
 
 
 def unused_from(d: Dialect) -> str:
-    return _unused_import(d, _listed_names(d, "lang = 'py'", r"^from\s+\S+\s+import\s+(.+)"), False)
+    pattern = r"^from\s+\S+\s+import\s+(.+)"
+    return _unused_import(d, "lang = 'py'", pattern, _listed(d, pattern), False)
 
 
 def unused_alias(d: Dialect) -> str:
     pattern = r"^import\s+\S+\s+as\s+(\w+)"
-    return _unused_import(d, f"SELECT path, line, {d.extract('text', pattern)} AS name FROM lines WHERE lang = 'py' AND {d.match('text', pattern)}", False)
+    return _unused_import(d, "lang = 'py'", pattern, lambda t: d.array([d.extract(t, pattern)]), False)
 
 
 def _first(most: int | None) -> str:
@@ -160,9 +202,17 @@ def _limit(most: int | None) -> str:
 def unused_var(d: Dialect, most: int | None = 4) -> str:
     """Names that their file never says again; the first ``most`` of each file, or all."""
     js, py = r"^\s*(?:const|let)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=(?:[^=]|$)", r"^([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"
-    first = f"SELECT path, line, {d.extract('text', js)} AS name FROM lines WHERE {d.any_of('lang', JS)} AND {d.match('text', js)} AND NOT {d.any_of(d.extract('text', js), KNOWN_JS)}"
-    second = f"SELECT path, line, {d.extract('text', py)} AS name FROM lines WHERE lang = 'py' AND {d.match('text', py)} AND NOT {d.match('text', r'^[^=]*,')} AND NOT {d.any_of(d.extract('text', py), KNOWN_PY)}"
-    names = f"(SELECT * FROM ({first} UNION ALL {second}) WHERE NOT {d.match('path', _TEST)} AND length(name) > 1 AND NOT {d.match('name', '^_')})"
+    kinds = [
+        (d.any_of("lang", JS), js, lambda t: d.array([f"CASE WHEN {d.any_of(d.extract(t, js), KNOWN_JS)} THEN '' ELSE {d.extract(t, js)} END"])),
+        ("lang = 'py'", py, lambda t: d.array([f"CASE WHEN {d.match(t, '^[^=]*,')} OR {d.any_of(d.extract(t, py), KNOWN_PY)} THEN '' ELSE {d.extract(t, py)} END"])),
+    ]
+    if d.name == "spark":
+        index = f"(SELECT * FROM {_indexed(d, kinds, f"length(x) > 1 AND NOT {d.match('x', '^_')}")} WHERE NOT {d.match('path', _TEST)})"
+        once = _by_place(d, f"array_sort(filter(names, n -> NOT array_contains(words, n.name) OR {_FIRST_PLACE} = {_LAST_PLACE}))")
+        shown = once if most is None else f"slice({once}, 1, {most})"
+        return _out(d, "low", "concat('Unused variable: ', name)", f"(SELECT path, n.line, n.name FROM (SELECT path, explode({shown}) AS n FROM {index}))")
+    both = " UNION ALL ".join(f"SELECT * FROM ({_named(d, *k)})" for k in kinds)
+    names = f"(SELECT * FROM ({both}) WHERE NOT {d.match('path', _TEST)} AND length(name) > 1 AND NOT {d.match('name', '^_')})"
     counts = f"(SELECT path, word, sum(times) AS n FROM ({_uses(d, names)}) GROUP BY path, word)"
     kept = f"(SELECT v.path, v.line, v.name, row_number() OVER (PARTITION BY v.path ORDER BY v.line) AS nth FROM {names} AS v JOIN {counts} AS c ON v.path = c.path AND v.name = c.word WHERE c.n <= 1)"
     return _out(d, "low", "concat('Unused variable: ', name)", kept, _first(most))
@@ -179,18 +229,21 @@ def dead_export(d: Dialect, most: int | None = 8) -> str:
     return _out(d, "low", "concat('Exported symbol never imported: ', name)", dead, _first(most))
 
 
-def _defined(d: Dialect) -> str:
+def _definition(d: Dialect) -> str:
+    """The name of the function that a line begins, if it is one to look at; else nothing."""
     arrow = r"^\s*(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\(?[^)]*\)?\s*=>"
     plain = _by_lang(d, USED_PATTERNS, "''")
     name = f"CASE WHEN {plain} = '' AND {d.any_of('lang', JS)} THEN {d.extract('text', arrow)} ELSE {plain} END"
-    return f"(SELECT path, line, name, text FROM (SELECT path, line, text, {name} AS name FROM lines WHERE {d.any_of('lang', tuple(USED_PATTERNS))}) WHERE length(name) > 2 AND NOT {d.match('name', '^_')})"
+    return d.let("f", name, f"CASE WHEN length(f) > 2 AND NOT {d.match('f', '^_')} THEN f ELSE '' END")
 
 
 def unused_function(d: Dialect, most: int | None = 20) -> str:
     """Functions that nothing calls; a definition is no call. In all files together, the first ``most``, or all."""
-    calls = d.unnest(f"(SELECT path, line, {d.extract_all('text', r'\b([a-zA-Z_][a-zA-Z0-9_]{2,})\s*\(')} AS words FROM lines WHERE {d.any_of('lang', CODE)})", "words", "name", "path, line")
-    called = f"SELECT DISTINCT c.name FROM ({calls}) AS c LEFT JOIN {_defined(d)} AS o ON o.path = c.path AND o.line = c.line AND o.name = c.name WHERE o.name IS NULL"
-    free = f"(SELECT path, line, name FROM {_defined(d)} AS f WHERE NOT {d.any_of('name', CALLED_OUTSIDE)} AND NOT {d.match('name', CALLED_PATTERN)} AND NOT contains(text, 'export') AND NOT EXISTS (SELECT 1 FROM ({called}) AS k WHERE k.name = f.name) {_limit(most)})"
+    words = d.extract_all("text", r"\b([a-zA-Z_][a-zA-Z0-9_]{2,})\s*\(")
+    own = f"CASE WHEN {d.any_of('lang', tuple(USED_PATTERNS))} THEN {_definition(d)} ELSE '' END"
+    calls = d.unnest(f"(SELECT {d.let('own', own, d.filter(words, 'w', 'w <> own'))} AS words FROM lines WHERE {d.any_of('lang', CODE)} AND contains(text, '('))", "words", "name", "1 AS one")
+    defined = f"(SELECT path, line, text, {_definition(d)} AS name FROM lines WHERE {d.any_of('lang', tuple(USED_PATTERNS))})"
+    free = f"(SELECT path, line, name FROM {defined} AS f WHERE name <> '' AND NOT {d.any_of('name', CALLED_OUTSIDE)} AND NOT {d.match('name', CALLED_PATTERN)} AND NOT contains(text, 'export') AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT name FROM ({calls})) AS k WHERE k.name = f.name) {_limit(most)})"
     return _out(d, "low", "concat('Unused function: ', name)", free)
 
 
@@ -312,7 +365,8 @@ def is_test_file(d: Dialect) -> str:
 
 def test_names(d: Dialect) -> str:
     """The words of the names of tests."""
-    found = " UNION ALL ".join(d.unnest(f"(SELECT path, {d.extract_all('content', '(?i)' + p)} AS found FROM files WHERE {_is_test(d)})", "found", "raw", "path") for p in TEST_NAME_PATTERNS)
+    every = d.concat([d.extract_all("content", "(?i)" + p) for p in TEST_NAME_PATTERNS])
+    found = d.unnest(f"(SELECT path, {every} AS found FROM files WHERE {_is_test(d)})", "found", "raw", "path")
     said = d.replace("lower(raw)", r"^(?:test|should|it|when|given|can)\s+", "")
     words = d.unnest(f"(SELECT {d.split_on(said, r'[\s_]+')} AS words FROM ({found}))", "words", "word", "1 AS one")
     return f"SELECT DISTINCT word FROM ({words}) WHERE length(word) > 2"
@@ -326,8 +380,9 @@ def source_fns(d: Dialect) -> str:
 
 
 def covered(d: Dialect) -> str:
-    words = d.unnest(f"(SELECT path, line, fn, {d.split_on(d.trim('lower(' + d.replace('fn', '([A-Z])', ' $1') + ')'), r'\s+')} AS words FROM ({source_fns(d)}))", "words", "word", "path, line, fn")
-    keys = f"SELECT path, line, fn, word FROM ({words}) WHERE length(word) > 3 UNION ALL SELECT path, line, fn, lower(replace(fn, '_', '')) AS word FROM ({source_fns(d)})"
+    parts = d.split_on(d.trim("lower(" + d.replace("fn", "([A-Z])", " $1") + ")"), r"\s+")
+    words = d.concat([d.filter(parts, "w", "length(w) > 3"), d.array(["lower(replace(fn, '_', ''))"])])
+    keys = d.unnest(f"(SELECT path, line, fn, {words} AS words FROM ({source_fns(d)}))", "words", "word", "path, line, fn")
     return f"(SELECT k.path, k.line, k.fn, max(CASE WHEN t.word IS NULL THEN 0 ELSE 1 END) AS hit FROM ({keys}) AS k LEFT JOIN ({test_names(d)}) AS t ON k.word = t.word GROUP BY k.path, k.line, k.fn)"
 
 
