@@ -152,6 +152,35 @@ def sarif_rules(d: Dialect) -> str:
     return f"SELECT {rid} AS rule_id, min({_severity(d, 3, d.lit('warning'))}) AS level, count(*) AS results FROM issues WHERE {d.any_of('category', SARIF_CATEGORIES)} GROUP BY {rid}"
 
 
+#: Issues and files that the page shows; issues of each section in print, and rows of a printed page.
+HTML_ISSUES, HTML_FILES, PRINT_ISSUES, PAGE_ROWS = 200, 50, 200, 40
+
+
+def _cells(d: Dialect, cells: list[str]) -> str:
+    return "concat(" + ", ".join(f"'<td>', {highlight.escaped(d, c)}" for c in cells) + ")"
+
+
+def _issue_row(d: Dialect) -> str:
+    return f"concat('<tr>', {_cells(d, ['severity', 'title', 'file', "coalesce(CAST(line AS STRING), '')"])})"
+
+
+def html_rows(d: Dialect, scores: str = "") -> str:
+    """``part, nth, html``: the table rows of the page, the most severe issues (0) and the worst files (1)."""
+    issues = f"SELECT 0 AS part, row_number() OVER (ORDER BY {_severity(d, 0, '5')}, file, line, title, rule) AS nth, {_issue_row(d)} AS html FROM issues"
+    files = f"SELECT 1 AS part, row_number() OVER (ORDER BY score, path) AS nth, concat('<tr>', {_cells(d, ['CAST(score AS STRING)', 'path'])}) AS html FROM {scores or f'({file_scores(d)})'}"
+    return f"SELECT part, nth, html FROM ({issues}) WHERE nth <= {HTML_ISSUES} UNION ALL SELECT part, nth, html FROM ({files}) WHERE nth <= {HTML_FILES}"
+
+
+def printed_pages(d: Dialect) -> str:
+    """``page, pages, section, html``: the first issues of each section, the most severe first, on numbered pages; a section begins a new one."""
+    ranked = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_severity(d, 0, '5')}, file, line, title, rule) AS nth FROM issues) WHERE nth <= {PRINT_ISSUES})"
+    paged = f"(SELECT category AS section, CAST(floor((nth - 1) / {PAGE_ROWS}.0) AS BIGINT) AS k, {d.listed(_issue_row(d), 'nth', '')} AS body FROM {ranked} GROUP BY category, CAST(floor((nth - 1) / {PAGE_ROWS}.0) AS BIGINT))"
+    numbered = f"(SELECT *, row_number() OVER (ORDER BY section, k) AS page, count(*) OVER () AS pages FROM {paged})"  # as many rows as pages, whatever the issues
+    head = "'<thead><tr><th>Severity<th>Issue<th>File<th>Line</thead>'"
+    text = f"concat('<section class={chr(34)}page{chr(34)}><h2>', section, '</h2><table>', {head}, body, '</table><footer>Page ', CAST(page AS STRING), ' of ', CAST(pages AS STRING), '</footer></section>')"
+    return f"SELECT page, pages, section, {text} AS html FROM {numbered}"
+
+
 def json_summary(d: Dialect) -> str:
     return f"SELECT category, severity, count(*) AS n FROM issues WHERE {d.any_of('category', JSON_CATEGORIES)} GROUP BY category, severity"
 
@@ -296,7 +325,7 @@ def links(d: Dialect, sf_dir: str) -> str:
 ISSUE_QUERIES = {
     "issues_line_rules": all_issues, "score_file": file_scores, "score_overall": overall_score, "agg_count_by_category": count_by_category, "agg_totals": totals, "agg_fix_minutes": fix_minutes,
     "agg_section_minutes": section_minutes, "filter_severity": only_severity, "filter_search": search, "filter_path_search": path_search, "topk_worst_files": worst_files, "topk_section": sections,
-    "quick_wins": quick_wins, "export_sarif": sarif_rules, "export_json": json_summary, "copy_category": copied_category, "refactor_prompt": refactor_points, "score_band": score_bands, "specific_fixes": fixes, "arch_suggestions": architecture, "sort_files_by": sorted_files, "code_context": code_context,
+    "quick_wins": quick_wins, "export_sarif": sarif_rules, "export_json": json_summary, "export_html": html_rows, "export_print": printed_pages, "copy_category": copied_category, "refactor_prompt": refactor_points, "score_band": score_bands, "specific_fixes": fixes, "arch_suggestions": architecture, "sort_files_by": sorted_files, "code_context": code_context,
 }
 FILE_QUERIES = {"agg_lang_breakdown": language_breakdown, "agg_metrics_row": metrics, "scan_pruned": pruned, "scalar_functions": scalars, "project_type": project_type, "sec_high_entropy": high_entropy, "highlight_line": highlighted_lines}
 TABLE_QUERIES = {"snapshot_diff": snapshot_diff, "win_trend_15": trend, "parse_repo_url": repo_urls, "href_edges": links}

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import html as escape
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lintlake.functions.dialect import SPARK
 from lintlake.model import SEVERITY
+from lintlake.plans import report
 from lintlake.plans.report import JSON_CATEGORIES, SARIF_CATEGORIES
 
-#: Issues and files that the page shows.
-HTML_ISSUES, HTML_FILES, PRINT_FILES = 200, 50, 40
-_PRINT = "<style>@page{size:A4;margin:15mm}table{width:100%;border-collapse:collapse}thead{display:table-header-group}tr{break-inside:avoid}table+table{break-before:page}</style>"
+_PRINT = "<style>@page{size:A4;margin:15mm}table{width:100%;border-collapse:collapse}thead{display:table-header-group}tr{break-inside:avoid}.page{break-after:page}footer{text-align:right}</style>"
 
 
 def _level(k: int, other):
@@ -44,29 +44,53 @@ def to_sarif(issues: DataFrame) -> DataFrame:
     return rules.crossJoin(results).select(F.to_json(log).alias("value"))
 
 
-def to_print(issues: DataFrame, scores: DataFrame) -> DataFrame:
-    """``to_html`` for paper: fewer files, tables with repeated heads, and a page break between issues and files."""
-    return to_html(issues, scores, PRINT_FILES, _PRINT)
+def sarif_logs(issues: DataFrame) -> DataFrame:
+    """SARIF logs for issues of any number: the lines of each partition are a whole log, made while they are read. ``write_logs`` stores them."""
+    some = issues.where(F.col("category").isin(*SARIF_CATEGORIES)).withColumn("level", _level(3, "warning"))
+    place = F.struct(F.struct(F.struct(F.col("file").alias("uri")).alias("artifactLocation"), F.struct(F.coalesce("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
+    result = F.to_json(F.struct(F.concat("category", F.lit(":"), F.substring("title", 1, 40)).alias("ruleId"), "level", F.struct(F.col("title").alias("text")).alias("message"), F.array(place).alias("locations")))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = '{"version": "2.1.0", "runs": [{"tool": {"driver": {"name": "lintlake"}}, "results": [\n'
+        for batch in batches:
+            lines = []
+            for text in batch["value"].to_pylist():
+                lines.append(before + text)
+                before = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([("" if before == "," else before) + "]}]}"], pa.string())], ["value"])
+
+    return some.select(result.alias("value")).mapInArrow(run, "value string")
+
+
+def write_logs(logs: DataFrame, folder: str) -> None:
+    logs.write.mode("overwrite").text(folder)
 
-def to_html(issues: DataFrame, scores: DataFrame, n_files: int = HTML_FILES, style: str = "") -> DataFrame:
+
+def to_print(issues: DataFrame) -> DataFrame:
+    """The issues on pages by section, with repeated heads and numbers at the foot."""
+    pages = _over(report.printed_pages(SPARK), issues=issues)
+    listed = pages.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "html"))), lambda x: x["html"]), "").alias("body"))  # a bounded number of pages
+    return listed.select(F.concat(F.lit(f"<!doctype html><meta charset=utf-8><title>Report</title>{_PRINT}"), "body").alias("value"))
+
+
+def to_html(issues: DataFrame, scores: DataFrame) -> DataFrame:
     """A page with the most severe issues and the worst files."""
-    worst = issues.withColumn("rank", _level(0, 5)).orderBy("rank", "file", "line", "title").limit(HTML_ISSUES)
-    rows = worst.select(F.lit(0).alias("part"), F.struct("rank", "severity", "title", "file", F.col("line").cast("string").alias("line")).alias("r"))
-    files = scores.orderBy("score", "path").limit(n_files).select(F.lit(1).alias("part"), F.struct(F.col("score").cast("int").alias("rank"), F.lit("").alias("severity"), F.lit("").alias("title"), F.col("path").alias("file"), F.lit("").alias("line")).alias("r"))
+    rows = _over(report.html_rows(SPARK, "scores"), issues=issues, scores=scores)
+    part = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == k, F.struct("nth", "html")))), lambda x: x["html"]), "")
+    found = rows.agg(part(0).alias("issues"), part(1).alias("files"))  # a bounded number of rows
+    heads = ["<!doctype html><meta charset=utf-8><title>Report</title><table><thead><tr><th>Severity<th>Issue<th>File<th>Line</thead>", "</table><table><thead><tr><th>Score<th>File</thead>", "</table>"]
+    return found.select(F.concat(F.lit(heads[0]), "issues", F.lit(heads[1]), "files", F.lit(heads[2])).alias("value"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[dict]] = {0: [], 1: []}
-        for batch in batches:
-            for part, r in zip(batch["part"].to_pylist(), batch["r"].to_pylist(), strict=True):
-                parts[part].append(r)
-        e = escape.escape
-        found = "".join(f"<tr><td>{e(r['severity'])}<td>{e(r['title'])}<td>{e(r['file'])}<td>{e(r['line'] or '')}" for r in parts[0])
-        listed = "".join(f"<tr><td>{r['rank']}<td>{e(r['file'])}" for r in parts[1])
-        yield pa.RecordBatch.from_arrays([pa.array([f"<!doctype html><meta charset=utf-8><title>Report</title>{style}<table><thead><tr><th>Severity<th>Issue<th>File<th>Line</thead>{found}</table><table><thead><tr><th>Score<th>File</thead>{listed}</table>"], pa.string())], ["value"])
 
-    return rows.union(files).coalesce(1).mapInArrow(run, "value string")
+def _over(select: str, **tables: DataFrame) -> DataFrame:
+    """SQL over data frames under names of its own."""
+    spark = next(iter(tables.values())).sparkSession
+    views = {n: f"{n}_{uuid.uuid4().hex[:12]}" for n in tables}
+    for n, view in views.items():
+        tables[n].createOrReplaceTempView(view)
+    return spark.sql(f"WITH {', '.join(f'{n} AS (SELECT * FROM {v})' for n, v in views.items())} {select}")
 
 
-def write(report: DataFrame, folder: str) -> None:
-    report.coalesce(1).write.mode("overwrite").text(folder)
+def write(made: DataFrame, folder: str) -> None:
+    made.coalesce(1).write.mode("overwrite").text(folder)

@@ -106,8 +106,13 @@ def test_sinks(found, tmp_path):
     assert log["version"] == "2.1.0" and log["runs"][0]["results"] and log["runs"][0]["tool"]["driver"]["rules"]
     assert json.loads(sinks.to_json(issues, scores).first()[0])["kind"] == "count"
     assert "&lt;img&gt;" in sinks.to_html(issues, scores).first()[0]
-    page = sinks.to_print(issues, scores).first()[0]
-    assert "@page" in page and page.count("<thead>") == 2
+    page = sinks.to_print(issues).first()[0]
+    sections = {r["category"] for r in issues.collect()}
+    assert "@page" in page and len(sections) <= page.count("<thead>") == page.count("<footer>Page ") and f"Page 1 of {page.count('<footer>')}<" in page
+    assert [page.index(f"<h2>{c}<") for c in sorted(sections)] == sorted(page.index(f"<h2>{c}<") for c in sections)
+    sinks.write_logs(sinks.sarif_logs(issues.repartition(3)), f"{tmp_path}/logs")
+    logs = [json.loads(p.read_text()) for p in (tmp_path / "logs").glob("part-*")]
+    assert sorted(x["message"]["text"] for one in logs for x in one["runs"][0]["results"]) == sorted(x["message"]["text"] for x in log["runs"][0]["results"])
     sinks.write(sinks.to_json(issues, scores), f"{tmp_path}/out")
 
 
