@@ -241,8 +241,12 @@ def external_url(d: Dialect) -> str:
 
 
 # Names that say nothing, and short names that do.
-_MEANINGLESS = "foo bar baz test temp tmp data val ret res obj ptr ref buf p q r s t n m x2 y2 a1 b1 helper util stuff thing misc other handle process2 update2 init2 setup2".split()
-_SHORT = "is on do go db fs io".split()
+_MEANINGLESS = (
+    "foo", "bar", "baz", "test", "temp", "tmp", "data", "val", "ret", "res", "obj", "ptr", "ref", "buf", "p", "q", "r",
+    "s", "t", "n", "m", "x2", "y2", "a1", "b1", "helper", "util", "stuff", "thing", "misc", "other", "handle",
+    "process2", "update2", "init2", "setup2",
+)
+_SHORT = ("is", "on", "do", "go", "db", "fs", "io")
 
 
 def _fn_name(d: Dialect) -> str:

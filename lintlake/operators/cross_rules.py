@@ -14,35 +14,51 @@ from lintlake.model import CODE, IMPORTING, JS
 
 _TEST = r"(?i)test|spec|__tests__"
 # File names that need no importer, names that are called from outside, and other word lists.
-ENTRY_NAMES = "index main app server client entry start init __init__ __main__ program manage wsgi asgi".split()
+ENTRY_NAMES = (
+    "index", "main", "app", "server", "client", "entry", "start", "init", "__init__", "__main__", "program", "manage",
+    "wsgi", "asgi",
+)
 CALLED_OUTSIDE = (
-    "constructor render toString main init setup teardown setUp tearDown beforeEach afterEach beforeAll afterAll componentDidMount componentWillUnmount componentDidUpdate"
-    " getServerSideProps getStaticProps getStaticPaths handler middleware resolver loader action on off emit next done callback cb open close connect disconnect start stop"
-    " get post put patch delete head options"
-).split()
+    "constructor", "render", "toString", "main", "init", "setup", "teardown", "setUp", "tearDown", "beforeEach",
+    "afterEach", "beforeAll", "afterAll", "componentDidMount", "componentWillUnmount", "componentDidUpdate",
+    "getServerSideProps", "getStaticProps", "getStaticPaths", "handler", "middleware", "resolver", "loader", "action",
+    "on", "off", "emit", "next", "done", "callback", "cb", "open", "close", "connect", "disconnect", "start", "stop",
+    "get", "post", "put", "patch", "delete", "head", "options",
+)
 CALLED_PATTERN = r"^(?:on|handle|render|use|get|set|is|has)[A-Z]"
-KNOWN_JS = "React exports module require process global window document console Promise Error Object Array String Number Boolean Map Set Date Math JSON Symbol undefined null Infinity NaN".split()
-KNOWN_PY = "self cls i j k n e x y _ result response error err data args kwargs config settings logger app db conn cursor session client api".split()
-BORING = "true false null undefined get set post put delete id name type value error message data result status ok yes no none text html json utf-8 utf8 ltr rtl".split()
-BORING_NUMBERS = "100 200 404 500 1000".split()
-NOT_NAMES = "constructor render toString valueOf main init".split()
-NOT_TESTED = "main init setUp tearDown constructor render toString".split()
+KNOWN_JS = (
+    "React", "exports", "module", "require", "process", "global", "window", "document", "console", "Promise", "Error",
+    "Object", "Array", "String", "Number", "Boolean", "Map", "Set", "Date", "Math", "JSON", "Symbol", "undefined",
+    "null", "Infinity", "NaN",
+)
+KNOWN_PY = (
+    "self", "cls", "i", "j", "k", "n", "e", "x", "y", "_", "result", "response", "error", "err", "data", "args",
+    "kwargs", "config", "settings", "logger", "app", "db", "conn", "cursor", "session", "client", "api",
+)
+BORING = (
+    "true", "false", "null", "undefined", "get", "set", "post", "put", "delete", "id", "name", "type", "value", "error",
+    "message", "data", "result", "status", "ok", "yes", "no", "none", "text", "html", "json", "utf-8", "utf8", "ltr",
+    "rtl",
+)
+BORING_NUMBERS = ("100", "200", "404", "500", "1000")
+NOT_NAMES = ("constructor", "render", "toString", "valueOf", "main", "init")
+NOT_TESTED = ("main", "init", "setUp", "tearDown", "constructor", "render", "toString")
 # Verbs that mean the same; of a verb listed twice the later entry holds.
 SYNONYMS = {
-    "get": "fetch load retrieve read find query obtain pull",
-    "set": "update save put write store persist assign patch",
-    "delete": "remove destroy clear drop purge erase wipe",
-    "create": "make add new insert build construct init generate produce",
-    "check": "validate verify is has can test assert ensure",
-    "handle": "process manage deal treat respond on",
-    "send": "emit dispatch publish broadcast post push notify",
-    "show": "display render draw paint present open reveal",
-    "hide": "close dismiss remove collapse toggle mask",
-    "start": "begin launch run execute boot activate open",
-    "stop": "end halt abort cancel kill terminate deactivate close",
-    "convert": "transform parse format serialize encode decode translate",
-    "filter": "search select query find match pick sort",
-    "calculate": "compute evaluate measure count sum aggregate",
+    "get": ("fetch", "load", "retrieve", "read", "find", "query", "obtain", "pull"),
+    "set": ("update", "save", "put", "write", "store", "persist", "assign", "patch"),
+    "delete": ("remove", "destroy", "clear", "drop", "purge", "erase", "wipe"),
+    "create": ("make", "add", "new", "insert", "build", "construct", "init", "generate", "produce"),
+    "check": ("validate", "verify", "is", "has", "can", "test", "assert", "ensure"),
+    "handle": ("process", "manage", "deal", "treat", "respond", "on"),
+    "send": ("emit", "dispatch", "publish", "broadcast", "post", "push", "notify"),
+    "show": ("display", "render", "draw", "paint", "present", "open", "reveal"),
+    "hide": ("close", "dismiss", "remove", "collapse", "toggle", "mask"),
+    "start": ("begin", "launch", "run", "execute", "boot", "activate", "open"),
+    "stop": ("end", "halt", "abort", "cancel", "kill", "terminate", "deactivate", "close"),
+    "convert": ("transform", "parse", "format", "serialize", "encode", "decode", "translate"),
+    "filter": ("search", "select", "query", "find", "match", "pick", "sort"),
+    "calculate": ("compute", "evaluate", "measure", "count", "sum", "aggregate"),
 }
 # How functions are declared, by language.
 _ARROW = r"^\s*(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(?[^)]*\)?\s*=>"
@@ -326,7 +342,7 @@ def split_name(d: Dialect, name: str = "name") -> str:
 def verb_synonym(d: Dialect) -> str:
     canonical: dict[str, str] = {}
     for verb, others in SYNONYMS.items():
-        canonical |= {w: verb for w in (verb, *others.split())}
+        canonical |= {w: verb for w in (verb, *others)}
     verbs = d.values(sorted(canonical.items()), "verb, means")
     parts = f"(SELECT path, line, name, lower(split_part(said, ' ', 1)) AS verb, lower(replace({d.replace('said', '^[^ ]* ?', '')}, ' ', '')) AS noun FROM (SELECT path, line, name, {split_name(d)} AS said FROM ({fn_names(d)})))"
     return _spellings(d, f"SELECT path, line, name, concat(means, ':', noun) AS k FROM {parts} AS p JOIN {verbs} AS v ON p.verb = v.verb WHERE length(noun) >= 3", "Synonym functions for same concept: ", " + ")

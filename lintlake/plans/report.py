@@ -16,8 +16,14 @@ JSON_CATEGORIES = ("dead", "security", "dependencies", "duplicates", "names", "c
 SARIF_CATEGORIES = ("security", "dead", "smells", "complexity", "duplicates", "dependencies", "language", "errors", "types", "patterns", "performance")
 FIX_CATEGORIES = ("dead", "security", "dependencies", "duplicates", "smells", "complexity", "language", "patterns", "errors", "types", "comments")
 QUICK_CATEGORIES = ("comments", "imports", "dead", "language", "types")
-SKIP_DIRS = "node_modules .git .svn .hg dist build out .next .nuxt coverage __pycache__ .venv venv env vendor target bin obj .idea .vscode".split()
-SKIP_EXTS = "png jpg jpeg gif svg ico webp woff woff2 ttf eot mp3 mp4 avi mov zip tar gz rar pdf exe dll so dylib lock map".split()
+SKIP_DIRS = (
+    "node_modules", ".git", ".svn", ".hg", "dist", "build", "out", ".next", ".nuxt", "coverage", "__pycache__", ".venv",
+    "venv", "env", "vendor", "target", "bin", "obj", ".idea", ".vscode",
+)
+SKIP_EXTS = (
+    "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "woff", "woff2", "ttf", "eot", "mp3", "mp4", "avi", "mov", "zip",
+    "tar", "gz", "rar", "pdf", "exe", "dll", "so", "dylib", "lock", "map",
+)
 
 
 # What a title (lower case) speaks of, and how that is mended in Python, in JavaScript and elsewhere.
@@ -35,7 +41,7 @@ FIXES = {
     "pickle": (_ELSE, _ELSE, "Replace pickle with JSON, msgpack, or a safe serialization format"),
     "subprocess_shell": (_ELSE, _ELSE, "Use `subprocess.run([cmd, arg1, arg2], shell=False)` — pass args as a list"),
 }
-#: Title (lower case), languages, and the command before and behind the file's name.
+# Title (lower case), languages, and the command before and behind the file's name; advice on the whole project.
 COMMANDS = [
     ("unused import", ("py",), "autoflake --remove-all-unused-imports --in-place ", ""),
     ("unused import", JS, "npx eslint --fix ", " --rule 'no-unused-vars: error'"),
