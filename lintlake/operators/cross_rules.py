@@ -112,7 +112,8 @@ def import_sources(d: Dialect) -> str:
         ("lang = 'go'", r'"([^"]+)"'),
         (d.any_of("lang", ("java", "cs")), r"^(?:import|using)\s+([\w.]+)"),
     ]
-    union = " UNION ALL ".join(f"SELECT path, {d.extract('text', p)} AS source FROM lines WHERE {c} AND {d.match('text', p)}" for c, p in rows)
+    found = d.array([f"CASE WHEN {c} AND {d.match('text', p)} THEN {d.extract('text', p)} END" for c, p in rows])
+    union = d.unnest(f"(SELECT path, {d.filter(found, 'x', 'x IS NOT NULL')} AS found FROM lines WHERE {d.any_of('lang', (*js, 'py', 'go', 'java', 'cs'))})", "found", "source", "path")
     base = f"lower(split_part({d.replace('source', r'^.*/', '')}, '.', 1))"
     return f"SELECT DISTINCT path, {base} AS base FROM ({union})"
 
@@ -297,16 +298,21 @@ def block_pairs(d: Dialect, n: int = 6) -> str:
     return f"SELECT {d.file_of('a')} AS file, {d.line_of('a')} AS line, {d.file_of('b')} AS file_b, {d.line_of('b')} AS line_b, {said} AS suggestion FROM {both}"
 
 
+def _long_files(d: Dialect) -> str:
+    """``path, line, text`` of the files of code with more than 10 lines."""
+    where = f"lines > 10 AND {d.any_of('lang', CODE)}"
+    if d.name == "spark":
+        return f"(SELECT path, CAST(pos + 1 AS BIGINT) AS line, text FROM (SELECT path, posexplode({d.split_lines('content')}) AS (pos, text) FROM files WHERE {where}))"
+    return f"(SELECT path, line, text FROM lines WHERE path IN (SELECT path FROM files WHERE {where}))"
+
+
 def magic_value(d: Dialect) -> str:
-    some = f"(SELECT path FROM files WHERE lines > 10 AND {d.any_of('lang', CODE)})"
     quoted = r"""('[a-zA-Z0-9_\-./]{6,}'|"[a-zA-Z0-9_\-./]{6,}"|`[a-zA-Z0-9_\-./]{6,}`)"""
-    texts = d.unnest(f"(SELECT path, line, {d.extract_all('text', quoted)} AS found FROM lines WHERE path IN {some})", "found", "v", "path, line")
-    numbers = d.unnest(f"(SELECT path, line, {d.extract_all('text', r'\b(\d{3,})\b')} AS found FROM lines WHERE path IN {some})", "found", "v", "path, line")
-    bare = "substring(v, 2, length(v) - 2)"
-    marks = d.lit('"')
-    literal = f"SELECT path, line, concat({marks}, {bare}, {marks}) AS v FROM ({texts}) WHERE length(v) <= 62 AND NOT {d.any_of(f'lower({bare})', BORING)}"
-    number = f"SELECT path, line, concat('#', v) AS v FROM ({numbers}) WHERE NOT {d.any_of('v', BORING_NUMBERS)}"
-    grouped = f"(SELECT v, count(*) AS n, count(DISTINCT path) AS f, min({d.at()}) AS place FROM ({literal} UNION ALL {number}) GROUP BY v HAVING count(*) >= 5 AND count(DISTINCT path) >= 2)"
+    bare, marks = "substring(v, 2, length(v) - 2)", d.lit('"')
+    texts = d.transform(d.filter(d.extract_all("text", quoted), "v", f"length(v) <= 62 AND NOT {d.any_of(f'lower({bare})', BORING)}"), "v", f"concat({marks}, {bare}, {marks})")
+    numbers = d.transform(d.filter(d.extract_all("text", r"\b(\d{3,})\b"), "v", f"NOT {d.any_of('v', BORING_NUMBERS)}"), "v", "concat('#', v)")
+    each = d.unnest(f"(SELECT path, line, {d.concat([texts, numbers])} AS found FROM {_long_files(d)})", "found", "v", "path, line")
+    grouped = f"(SELECT v, count(*) AS n, count(DISTINCT path) AS f, min({d.at()}) AS place FROM ({each}) GROUP BY v HAVING count(*) >= 5 AND count(DISTINCT path) >= 2)"
     return _out(d, "low", "concat('Magic value repeated ', CAST(n AS STRING), '× across ', CAST(f AS STRING), ' files: ', v)", grouped, file=d.file_of("place"), line=d.line_of("place"))
 
 
