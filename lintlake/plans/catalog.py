@@ -94,10 +94,10 @@ def _cycles_sql(select: str) -> str:
     return f"{views}{_cycle_tables()}, {inner}{select if select[0] == "," else " " + select}"
 
 
-def _all_rules_sql(select: Callable[[Dialect], str]) -> str:
+def _all_rules_sql(select: Callable[[Dialect], str], corpus: Callable[[Dialect, str], str] = corpora.code) -> str:
     """A report over the issues of all rules, in one statement."""
     d = DUCK
-    views = corpora.views(d, corpora.code(d, "")).replace("WITH raw", "WITH RECURSIVE raw", 1) + function_rules.with_spans(d, tuple(function_rules.EXTRACTORS)) + _cycle_tables()
+    views = corpora.views(d, corpus(d, "")).replace("WITH raw", "WITH RECURSIVE raw", 1) + function_rules.with_spans(d, tuple(function_rules.EXTRACTORS)) + _cycle_tables()
     parts = [(c, k, f(d)) for k, (c, f) in (context_rules.RULES | cross_rules.RULES).items()] + [(c, k, f(d, Settings())) for k, (c, _, f) in function_rules.RULES.items()]
     parts += [("security", "sec_high_entropy", report.high_entropy(d)), ("circular", "circular_scc", f"SELECT node AS file, CAST(NULL AS BIGINT) AS line, {_CYCLE.format(over='OVER (PARTITION BY scc)')} FROM m")]
     found = " UNION ALL ".join([report.line_issues(d), *[f"SELECT {d.lit(c)} AS category, {d.lit(k)} AS rule, file, line, severity, title FROM ({sql})" for c, k, sql in parts]])
@@ -142,10 +142,13 @@ def _all_rules_query(files: Query, select: Callable[[Dialect], str]) -> Query:
     return run
 
 
+def _all_rules_name(key: str) -> str:
+    return "issues_all_rules" if key == "issues_line_rules" else f"{key}_all_rules"
+
+
 def all_rules_queries() -> dict[str, Query]:
-    """The issue queries over all rules. Two of them have checking SQL, which takes minutes; the others read the same issues."""
-    names = {k: "issues_all_rules" if k == "issues_line_rules" else f"{k}_all_rules" for k in report.ISSUE_QUERIES}
-    out = {names[k]: _all_rules_query(code_files, f) for k, f in report.ISSUE_QUERIES.items()}
+    """The issue queries over all rules."""
+    out = {_all_rules_name(k): _all_rules_query(code_files, f) for k, f in report.ISSUE_QUERIES.items()}
     return out | {"score_file_pages_all_rules": _all_rules_query(page_files, report.file_scores)}
 
 
@@ -160,5 +163,6 @@ def oracle_sql() -> dict[str, str]:
     out["circular_scc"] = _cycles_sql(f"SELECT scc AS file, CAST(NULL AS BIGINT) AS line, {_CYCLE.format(over='')} FROM m GROUP BY scc")
     out["circular_break"] = _cycles_sql("SELECT scc, node AS break_at FROM (SELECT scc, dst AS node, row_number() OVER (PARTITION BY scc ORDER BY count(*), dst) AS nth FROM inside GROUP BY scc, dst) WHERE nth = 1")
     out["circular_chain"] = _cycles_sql(_WALK)
-    out |= {"issues_all_rules": _all_rules_sql(report.all_issues), "score_file_all_rules": _all_rules_sql(report.file_scores)}
+    out |= {_all_rules_name(k): _all_rules_sql(f) for k, f in report.ISSUE_QUERIES.items()}
+    out["score_file_pages_all_rules"] = _all_rules_sql(report.file_scores, corpora.pages)
     return out

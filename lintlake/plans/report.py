@@ -172,14 +172,14 @@ def _issue_row(d: Dialect) -> str:
 
 def html_rows(d: Dialect, scores: str = "") -> str:
     """``part, nth, html``: the table rows of the page, the most severe issues (0) and the worst files (1)."""
-    issues = f"SELECT 0 AS part, row_number() OVER (ORDER BY {_severity(d, 0, '5')}, file, line, title, rule) AS nth, {_issue_row(d)} AS html FROM issues"
+    issues = f"SELECT 0 AS part, row_number() OVER (ORDER BY {_severity(d, 0, '5')}, file, coalesce(line, 0), title, rule) AS nth, {_issue_row(d)} AS html FROM issues"
     files = f"SELECT 1 AS part, row_number() OVER (ORDER BY score, path) AS nth, concat('<tr>', {_cells(d, ['CAST(score AS STRING)', 'path'])}) AS html FROM {scores or f'({file_scores(d)})'}"
     return f"SELECT part, nth, html FROM ({issues}) WHERE nth <= {HTML_ISSUES} UNION ALL SELECT part, nth, html FROM ({files}) WHERE nth <= {HTML_FILES}"
 
 
 def printed_pages(d: Dialect) -> str:
     """``page, pages, section, html``: the first issues of each section, the most severe first, on numbered pages; a section begins a new one."""
-    ranked = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_severity(d, 0, '5')}, file, line, title, rule) AS nth FROM issues) WHERE nth <= {PRINT_ISSUES})"
+    ranked = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY {_severity(d, 0, '5')}, file, coalesce(line, 0), title, rule) AS nth FROM issues) WHERE nth <= {PRINT_ISSUES})"
     paged = f"(SELECT category AS section, CAST(floor((nth - 1) / {PAGE_ROWS}.0) AS BIGINT) AS k, {d.listed(_issue_row(d), 'nth', '')} AS body FROM {ranked} GROUP BY category, CAST(floor((nth - 1) / {PAGE_ROWS}.0) AS BIGINT))"
     numbered = f"(SELECT *, row_number() OVER (ORDER BY section, k) AS page, count(*) OVER () AS pages FROM {paged})"  # as many rows as pages, whatever the issues
     head = "'<thead><tr><th>Severity<th>Issue<th>File<th>Line</thead>'"
@@ -193,14 +193,14 @@ def json_summary(d: Dialect) -> str:
 
 def copied_category(d: Dialect, category: str = "imports") -> str:
     """The text block of a category."""
-    row = "concat('[', upper(severity), '] ', title, ' — ', file, ':', CAST(line AS STRING))"
-    return f"SELECT {d.listed(row, 'file, line, title', chr(10))} AS block FROM issues WHERE category = {d.lit(category)}"
+    row = "concat('[', upper(severity), '] ', title, ' — ', file, CASE WHEN line IS NULL THEN '' ELSE concat(':', CAST(line AS STRING)) END)"
+    return f"SELECT {d.listed(row, 'file, coalesce(line, 0), title', chr(10))} AS block FROM issues WHERE category = {d.lit(category)}"
 
 
 def refactor_points(d: Dialect, most: int = 5) -> str:
     """What to mend first: high issues of each category, then medium ones, a few of each."""
-    ranked = f"SELECT *, row_number() OVER (PARTITION BY category, severity ORDER BY file, line, title) AS nth FROM issues WHERE severity IN ('high', 'medium')"
-    return f"SELECT CASE severity WHEN 'high' THEN 1 ELSE 2 END AS priority, category, concat(title, ' in ', file, ' line ', CAST(line AS STRING)) AS point FROM ({ranked}) WHERE nth <= {most}"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY category, severity ORDER BY file, coalesce(line, 0), title) AS nth FROM issues WHERE severity IN ('high', 'medium')"
+    return f"SELECT CASE severity WHEN 'high' THEN 1 ELSE 2 END AS priority, category, concat(title, ' in ', file, CASE WHEN line IS NULL THEN '' ELSE concat(' line ', CAST(line AS STRING)) END) AS point FROM ({ranked}) WHERE nth <= {most}"
 
 
 def pruned(d: Dialect) -> str:
