@@ -14,6 +14,7 @@ ties between equal lengths go by file order; an empty table gives an empty table
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,23 +39,17 @@ class Sums:
     """
 
     def __init__(self, counts: np.ndarray) -> None:
-        have = np.flatnonzero(counts).astype(np.int64)
+        have = np.flatnonzero(counts).astype(np.int16 if 2 * len(counts) < 1 << 15 else np.int32)
         self.single_sums = set(have.tolist())
         a, b = np.meshgrid(have, have, indexing="ij")
         keep = (a >= b) & (a + b < len(counts))
-        a, b = a[keep], b[keep]
-        by = np.lexsort((-a, a + b))  # of one sum, the longest larger part first
-        a, b = a[by], b[by]
-        sums, first = np.unique(a + b, return_index=True)
-        ends = np.append(first, len(a))[1:]
-        self.pair_sums = {int(s): list(zip(a[i:j].tolist(), b[i:j].tolist(), strict=True)) for s, i, j in zip(sums, first, ends, strict=True)}
-        self.triple_sums: dict[int, list[tuple[int, int]]] = {}
-        for r in self.pair_sums:
-            for c in have[: np.searchsorted(have, len(counts) - r)].tolist():
-                if 3 * c >= c + r:  # the first is no less than the mean
-                    self.triple_sums.setdefault(c + r, []).append((c, r))
-        for found in self.triple_sums.values():
-            found.sort(reverse=True)
+        self.pair_sums = _by_sum(a[keep], b[keep], a[keep] + b[keep])
+        sums = np.array(sorted(self.pair_sums), have.dtype)
+        # a triple's first length is no less than the mean: 3 * c >= c + r
+        rests = [sums[: np.searchsorted(sums, min(2 * c, len(counts) - 1 - c), "right")] for c in have.tolist()]
+        c = np.repeat(have, [len(r) for r in rests])
+        r = np.concatenate([have[:0], *rests])
+        self.triple_sums = _by_sum(c, r, c + r)
         self.spent_pairs = dict.fromkeys(self.pair_sums, 0)
         self.spent_triples = dict.fromkeys(self.triple_sums, 0)
 
@@ -62,32 +57,42 @@ class Sums:
         return (gap,) if gap in self.single_sums and left[gap] else ()
 
     def pair(self, gap: int, left: np.ndarray) -> tuple[int, ...]:
-        found = self.pair_sums.get(gap, ())
-        for k in range(self.spent_pairs.get(gap, 0), len(found)):
-            a, b = found[k]
+        first, second = self.pair_sums.get(gap, ((), ()))
+        for k in range(self.spent_pairs.get(gap, 0), len(first)):
+            a, b = first[k], second[k]
             if left[a] and left[b] and (a != b or left[a] > 1):
                 self.spent_pairs[gap] = k
                 return a, b
-        if found:
-            self.spent_pairs[gap] = len(found)
+        if first:
+            self.spent_pairs[gap] = len(first)
         return ()
 
     def triple(self, gap: int, left: np.ndarray) -> tuple[int, ...]:
-        found = self.triple_sums.get(gap, ())
-        for k in range(self.spent_triples.get(gap, 0), len(found)):
-            c, r = found[k]
+        first, rest = self.triple_sums.get(gap, ((), ()))
+        for k in range(self.spent_triples.get(gap, 0), len(first)):
+            c, r = first[k], rest[k]
             if left[c]:
-                pairs = self.pair_sums[r]
-                for j in range(self.spent_pairs[r], len(pairs)):
-                    a, b = pairs[j]
+                second, third = self.pair_sums[r]
+                for j in range(self.spent_pairs[r], len(second)):
+                    a, b = second[j], third[j]
                     if left[a] > (a == c) and left[b] > (b == c) + (a == b):
                         self.spent_triples[gap] = k
                         return c, a, b
-        if found:
-            self.spent_triples[gap] = len(found)
+        if first:
+            self.spent_triples[gap] = len(first)
         return ()
 
 
+def _by_sum(first: np.ndarray, rest: np.ndarray, sums: np.ndarray) -> dict[int, tuple[array, array]]:
+    """sum -> its entries, the longest first length first, as compact arrays: lists of numbers would take the driver some 300 MB."""
+    by = np.lexsort((-rest, -first, sums))
+    first, rest, sums = first[by], rest[by], sums[by]
+    code = "h" if first.dtype == np.int16 else "i"
+    kinds, begin = np.unique(sums, return_index=True)
+    ends = np.append(begin, len(sums))[1:]
+    return {int(s): (array(code, first[i:j].tobytes()), array(code, rest[i:j].tobytes())) for s, i, j in zip(kinds, begin, ends, strict=True)}
+
+
 def plan(counts: np.ndarray, size: int) -> Plan:
     """How to pack ``counts[length]`` pieces of each length into sequences of ``size``."""
     left = np.zeros(size + 1, np.int64)
