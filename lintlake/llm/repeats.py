@@ -30,6 +30,8 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 HOT = 4096
 #: Suffixes sorted in lockstep at once, at most, and the texts that make lockstep worth its overhead.
 _LOCKSTEP, _FEW = 1 << 20, 24
+#: Bytes of contexts whose holders are found at once, about; one anchor's are not parted.
+_SLICE = 1 << 22
 NO_ID = np.int64(-(1 << 63))
 
 
@@ -293,6 +295,32 @@ def least_holders(group: np.ndarray, size: np.ndarray, body: np.ndarray, who: np
     return out
 
 
+def _runs_of(key: np.ndarray, size: np.ndarray, body: np.ndarray, at: np.ndarray, who: np.ndarray, lead: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of strings of one holder within each context of ``lead`` (by key): how many, their lengths and holders.
+
+    Keys are taken some at a time, of about ``_SLICE`` bytes together: what is held for each byte is held for those only.
+    """
+    made: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    edge = np.flatnonzero(np.r_[True, key[lead][1:] != key[lead][:-1]]) if len(lead) else np.zeros(0, np.int64)
+    ends = np.r_[edge[1:], len(lead)]
+    upto = np.cumsum(size[lead])
+    first = 0
+    while first < len(edge):
+        a = edge[first]
+        last = max(first, int(np.searchsorted(upto[ends - 1], (upto[a - 1] if a else 0) + _SLICE, "right")) - 1)
+        some = lead[a : ends[last]]
+        first = last + 1
+        found = least_holders(key[some], size[some], _gather(body, at[some], at[some] + size[some]), who[some], length)
+        strings = size[some] - length + 1
+        begins = np.zeros(len(found), bool)
+        begins[np.cumsum(strings) - strings] = True
+        begins[1:] |= found[1:] != found[:-1]
+        run = np.flatnonzero(begins)
+        own = np.searchsorted(run, np.cumsum(strings) - strings)
+        made.append((np.diff(np.r_[own, len(run)]), np.diff(np.r_[run, len(found)]), found[run]))
+    return tuple(np.concatenate([m[k] for m in made]) for k in range(3))
+
+
 def reply_contexts(length: int):
     def reply(values: list[dict[str, np.ndarray]]) -> list[bytes]:
         keys = [exchange.unpack_sorted(v) for v in values]
@@ -300,21 +328,15 @@ def reply_contexts(length: int):
         who, size = (np.concatenate([v[x] for v in values]) for x in ("who", "size"))
         size = size.astype(np.int64)
         body = np.concatenate([v["body"] for v in values])
+        values.clear()  # the bytes are in ``body``
         at = np.cumsum(size) - size
         ctx = _hash_contexts(body, at, at + size)
         by = np.lexsort((who, ctx, key))
         k, c = key[by], ctx[by]
         new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
         lead = by[new]  # one context for each (key, hash), of the least id
-        found = least_holders(key[lead], size[lead], _gather(body, at[lead], at[lead] + size[lead]), who[lead], length)
-        strings = size[lead] - length + 1
-        first = np.cumsum(strings) - strings
-        # runs of one holder within each context
-        owner = np.repeat(np.arange(len(lead)), strings)
-        edge = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])])
-        run_of = np.searchsorted(edge, first)
-        runs = np.diff(np.r_[run_of, len(edge)])
-        length_of = np.diff(np.r_[edge, len(found)])
+        runs, length_of, holder = _runs_of(key, size, body, at, who, lead, length)
+        run_of = np.cumsum(runs) - runs
         rank = np.empty(len(by), np.int64)
         rank[by] = np.cumsum(new) - 1
         out, a = [], 0
@@ -324,7 +346,7 @@ def reply_contexts(length: int):
             a += len(mine)
             n = runs[mine]
             pick = np.repeat(run_of[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(exchange.pack(1, **exchange.pack_sorted(own), name=name, runs=n.astype(np.int16), size=length_of[pick].astype(np.int16), who=found[edge[pick]]))
+            out.append(exchange.pack(1, **exchange.pack_sorted(own), name=name, runs=n.astype(np.int16), size=length_of[pick].astype(np.int16), who=holder[pick]))
         return out
 
     return reply

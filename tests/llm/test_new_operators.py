@@ -265,3 +265,25 @@ def test_alignment_frame(odd, none):
     got = alignment.align_documents(odd, BYTES, PIECES)
     assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in odd.collect())
     assert alignment.align_documents(none, BYTES, PIECES).collect() == []
+
+
+def test_contexts_are_answered_in_little_memory():
+    import tracemalloc
+
+    from lintlake.llm import exchange, repeats
+
+    rng = np.random.default_rng(1)
+    key = np.sort(rng.integers(0, 1 << 40, 300_000, dtype=np.uint64))  # an anchor each: the sort has nothing to do
+    size = np.full(len(key), 60)
+    body = rng.integers(97, 120, int(size.sum())).astype(np.uint8)
+    value = exchange.pack(0, **exchange.pack_sorted(key), who=np.arange(len(key)), size=size.astype(np.int16), body=body)
+    tracemalloc.start()
+    try:
+        (got,) = repeats.reply_contexts(50)([exchange.unpack(value)])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 12 * len(body)  # about 20 times as much where all strings are held at once
+    got = exchange.unpack(got)
+    assert got["runs"].tolist() == [1] * len(key) and got["size"].tolist() == [11] * len(key)
+    assert got["who"].tolist() == list(range(len(key)))
