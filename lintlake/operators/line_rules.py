@@ -129,10 +129,23 @@ RULES = [
 ]
 
 
-def fused(lines: str, rules: list[Rule] = RULES) -> str:
-    """Spark SQL that evaluates all rules on each line of ``lines`` in one pass; a pattern is tried where a text that its matches need is found."""
-    d = SPARK
+def _hits(d: Dialect, rules: list[Rule]) -> str:
+    """The issues of a line as an array; a pattern is tried where a text that its matches need is found."""
     guarded = [(r, " AND ".join([*filter(None, (needed(d, p) for p in r.must)), r.condition(d)])) for r in rules]
     made = ",\n".join(f"CASE WHEN {c} THEN named_struct('category', {d.lit(r.category)}, 'rule', {d.lit(r.key)}, 'severity', {d.lit(r.severity)}, 'title', {r.title_sql(d)}) END" for r, c in guarded)
-    hits = f"filter(array({made}), x -> x IS NOT NULL)"
-    return f"SELECT hit.category, hit.rule, path AS file, line, hit.severity, hit.title, substring({d.trim('text')}, 1, 80) AS snippet FROM (SELECT path, line, text, explode({hits}) AS hit FROM (SELECT *, lower(text) AS low FROM {lines}))"
+    return f"filter(array({made}), x -> x IS NOT NULL)"
+
+
+def hits(rules: list[Rule] = RULES) -> str:
+    """Spark SQL for the issues of a line (path, lang, wide, text, low), by rule: of each language only its own rules are tried."""
+    ordered = sorted(rules, key=lambda r: r.key)
+    common = [r for r in ordered if not r.langs]
+    cases = [f"WHEN {SPARK.lit(x)} THEN {_hits(SPARK, [r for r in ordered if not r.langs or x in r.langs])}" for x in sorted({x for r in ordered for x in r.langs})]
+    other = _hits(SPARK, common) if common else _hits(SPARK, ordered[:1])  # of another language than all rules: none holds
+    return f"CASE lang {' '.join(cases)} ELSE {other} END" if cases else other
+
+
+def fused(lines: str, rules: list[Rule] = RULES, once: str = "hits") -> str:
+    """Spark SQL that evaluates all rules on each line of ``lines`` in one pass. ``once``: what is kept of the array ``hits`` of a line."""
+    found = f"(SELECT path, line, text, {hits(rules)} AS hits FROM (SELECT *, lower(text) AS low FROM {lines}))"
+    return f"SELECT hit.category, hit.rule, path AS file, line, hit.severity, hit.title, substring({SPARK.trim('text')}, 1, 80) AS snippet FROM (SELECT path, line, text, explode({once}) AS hit FROM {found})"

@@ -134,18 +134,43 @@ def _lang_of(d: Dialect, key: str) -> str:
 def code(d: Dialect, sf_dir: str) -> str:
     """``files`` of the code corpus, as the body of a common table expression."""
     items, suppliers = d.table("lineitem", sf_dir), d.table("supplier", sf_dir)
+    if d.name == "spark":
+        return f"{_named(d, _spark_bodies(d, items, suppliers, d.parts('lineitem', sf_dir)))} UNION ALL {_fixed(d)}"
     sizes = "CASE f_lang " + " ".join(f"WHEN {d.lit(x)} THEN {len(SNIPPETS[x])}" for x in LANGS) + " END"
     rows = f"SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, {_lang_of(d, 'l_suppkey')} AS f_lang FROM {items}"
     picked = f"SELECT *, (l_partkey * 31 + l_orderkey) % ({sizes}) AS want FROM ({rows})"
     count = f"(SELECT count(*) FROM {suppliers})"
     text = f"replace(replace(snippet, '@K', CAST(1 + l_partkey % {count} AS STRING)), '@N', CAST(l_orderkey % 7 AS STRING))"
     body = f"SELECT l_suppkey, f_lang, {d.listed('body', 'l_orderkey, l_linenumber, l_partkey', chr(10))} AS content FROM (SELECT *, {text} AS body FROM ({picked}) AS p JOIN ({_pick(d)}) AS s ON p.f_lang = s.s_lang AND p.want = s.pick) GROUP BY l_suppkey, f_lang"
+    return f"{_named(d, body)} UNION ALL {_fixed(d)}"
+
+
+def _named(d: Dialect, body: str) -> str:
+    """``path, name, lang, content`` of the contents of suppliers."""
     test = "l_suppkey % 9 = 4"
     name = f"concat(CASE WHEN {test} THEN 'test_s' ELSE 's' END, CAST(l_suppkey AS STRING), '.', f_lang)"
     path = f"concat(CASE WHEN {test} THEN 'tests/' ELSE concat('src/m', CAST(l_suppkey % 5 AS STRING), '/') END, {name})"
-    derived = f"SELECT {path} AS path, {name} AS name, f_lang AS lang, content FROM ({body})"
-    fixed = " UNION ALL ".join(f"SELECT {d.lit(p)} AS path, {d.lit(n)} AS name, {d.lit(x)} AS lang, {d.lit(c)} AS content" for p, n, x, c in _MANIFESTS)
-    return f"{derived} UNION ALL {fixed}"
+    return f"SELECT {path} AS path, {name} AS name, f_lang AS lang, content FROM ({body})"
+
+
+def _fixed(d: Dialect) -> str:
+    return " UNION ALL ".join(f"SELECT {d.lit(p)} AS path, {d.lit(n)} AS name, {d.lit(x)} AS lang, {d.lit(c)} AS content" for p, n, x, c in _MANIFESTS)
+
+
+def _spark_bodies(d: Dialect, items: str, suppliers: str, parts: int) -> str:
+    """``l_suppkey, f_lang, content``: line items are gathered by their keys, and snippets are put in when the files are rows: no text is
+    shuffled. ``parts``: tasks; the rows grow to many times their size afterwards, so it is not left to the size of the shuffle."""
+    # arrays by place: a CASE of names over a CASE of numbers is worked out anew for each of its branches
+    kind = f"CAST(l_suppkey % {len(LANGS)} AS INT)"
+    lang, sizes = (f"get(array({', '.join(xs)}), {kind})" for xs in ([d.lit(x) for x in LANGS], [str(len(SNIPPETS[x])) for x in LANGS]))
+    want = f"(l_partkey * 31 + l_orderkey) % {sizes}"  # negative or null: no snippet
+    rows = f"SELECT /*+ REPARTITION({parts}, l_suppkey) */ l_suppkey, l_orderkey, l_linenumber, l_partkey, CAST({want} AS INT) AS want FROM {items} WHERE {want} >= 0"
+    grouped = f"SELECT l_suppkey, {lang} AS f_lang, array_sort(collect_list(struct(l_orderkey, l_linenumber, l_partkey, want))) AS items FROM ({rows}) GROUP BY l_suppkey"
+    texts = f"get(array({', '.join(d.array([d.lit(t) for t in SNIPPETS[x]]) for x in LANGS)}), {kind})"
+    text = "replace(replace(get(texts, x.want), '@K', CAST(1 + x.l_partkey % n_suppliers AS STRING)), '@N', CAST(x.l_orderkey % 7 AS STRING))"
+    content = d.let("texts", texts, d.joined(d.transform("items", "x", text), chr(10)))
+    # exploded, so that no condition on the content works it out a second time
+    return f"SELECT l_suppkey, f_lang, explode(array({content})) AS content FROM (SELECT *, (SELECT count(*) FROM {suppliers}) AS n_suppliers FROM ({grouped}))"
 
 
 #: The project that a manifest of ``manifests`` belongs to.
