@@ -19,6 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from lintlake.functions.dialect import SPARK, Dialect
+from lintlake.functions.literals import needed
 from lintlake.model import CODE, COMPLEX, JS, Settings
 from lintlake.operators import spans as folds
 from lintlake.operators.cross_rules import covered
@@ -33,6 +34,7 @@ _C_FN = r"^\s*(?:public|private|protected|static|override|virtual|async|func|fn|
 _OTHER_CC = r"^\s*(?:public|private|protected|static|override|func|fn|def|fun|sub|procedure)[\w\s<>\[\]*&?]*\s+(\w+)\s*\("
 _OTHER_COG = r"^\s*(?:public|private|protected|static|override|func|fn|def|fun)[\w\s<>\[\]*&?]*\s+(\w+)\s*\("
 _OTHER_SPLIT = r"^\s*(?:public|private|protected|func|fn|def|fun)\s+(?:[\w<>\[\]?]+\s+)?(\w+)\s*\("
+_CALLED = (_C_FN, _OTHER_CC, _OTHER_COG, _OTHER_SPLIT)
 _CONTROL = ("if", "for", "while", "switch", "catch", "foreach", "do", "else", "return", "with")
 _NOT_C = r"\b(?:if|for|while|switch|catch|foreach)\b"
 _DECISION = r"\b(?:if|else\s+if|elif|for|while|do|case|catch|&&|\|\|)"
@@ -149,7 +151,9 @@ def found_in(x: Extractor) -> str:
     named = f"length({name}) >= {x.letters}"
     if x.js == _JS_ANY:
         named += f" AND NOT ({d.any_of('lang', JS)} AND {d.any_of(name, _CONTROL)}) AND NOT ({d.any_of('lang', _CLIKE)} AND {d.match('t', _NOT_C)})"
-    return folds.found(x, f"{_by_lang(d, d.match('t', x.python), d.match('t', x.js), d.match('t', x.other))} AND {named}", _least(d, x))
+    # a text that every match has is looked for first; these patterns have no capitals, and "(" alone is quicker than many words
+    head = lambda p: f"{d.contains('t', '(') if p in _CALLED else needed(d, p, 't')} AND {d.match('t', p)}"
+    return folds.found(x, f"{_by_lang(d, *map(head, (x.python, x.js, x.other)))} AND {named}", _least(d, x))
 
 
 def spans(d: Dialect, x: Extractor) -> str:
