@@ -32,6 +32,10 @@ HOT = 4096
 _LOCKSTEP, _FEW = 1 << 20, 24
 #: Bytes of contexts whose holders are found at once, about; one anchor's are not parted.
 _SLICE = 1 << 22
+#: Bytes of contexts that a range compares at once, about, besides the values that it was sent.
+_PART = 8 << 20
+#: Ranges of contexts, at least, where there are as many blocks: of few blocks a range would else hold ten and more.
+_RANGES = 32
 NO_ID = np.int64(-(1 << 63))
 
 
@@ -321,32 +325,59 @@ def _runs_of(key: np.ndarray, size: np.ndarray, body: np.ndarray, at: np.ndarray
     return tuple(np.concatenate([m[k] for m in made]) for k in range(3))
 
 
+def _parts_of(keys: list[np.ndarray], sizes: list[np.ndarray]) -> list[np.ndarray]:
+    """Where in each of several sorted lists of keys the parts of the keys begin and end; a part has about ``_PART`` bytes, and all of a key."""
+    total = sum(int(x.sum(dtype=np.int64)) for x in sizes)
+    every = np.sort(np.concatenate(keys))
+    n = min(len(every), 1 + total // _PART)
+    edges = np.unique(every[[len(every) * k // n for k in range(1, n)]]) if n > 1 else every[:0]
+    return [np.r_[0, np.searchsorted(own, edges), len(own)].astype(np.int64) for own in keys]
+
+
+def _held(key: np.ndarray, size: np.ndarray, who: np.ndarray, body: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For contexts end to end: their names, how many runs of strings of one holder each has, and lengths and holders of the runs."""
+    at = np.cumsum(size) - size
+    ctx = _hash_contexts(body, at, at + size)
+    by = np.lexsort((who, ctx, key))
+    k, c = key[by], ctx[by]
+    new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
+    lead = by[new]  # one context for each (key, hash), of the least id
+    runs, length_of, holder = _runs_of(key, size, body, at, who, lead, length)
+    run_of = np.cumsum(runs) - runs
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    n = runs[rank]
+    pick = np.repeat(run_of[rank] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return mix(key * _A + ctx), n.astype(np.int16), length_of[pick].astype(np.int16), holder[pick]
+
+
 def reply_contexts(length: int):
     def reply(values: list[dict[str, np.ndarray]]) -> list[bytes]:
         keys = [exchange.unpack_sorted(v) for v in values]
-        key = np.concatenate(keys)
-        who, size = (np.concatenate([v[x] for v in values]) for x in ("who", "size"))
-        size = size.astype(np.int64)
-        body = np.concatenate([v["body"] for v in values])
-        values.clear()  # the bytes are in ``body``
-        at = np.cumsum(size) - size
-        ctx = _hash_contexts(body, at, at + size)
-        by = np.lexsort((who, ctx, key))
-        k, c = key[by], ctx[by]
-        new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])]
-        lead = by[new]  # one context for each (key, hash), of the least id
-        runs, length_of, holder = _runs_of(key, size, body, at, who, lead, length)
-        run_of = np.cumsum(runs) - runs
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.cumsum(new) - 1
-        out, a = [], 0
-        for own in keys:
-            mine = rank[a : a + len(own)]
-            name = mix(own * _A + ctx[a : a + len(own)])
-            a += len(mine)
-            n = runs[mine]
-            pick = np.repeat(run_of[mine] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            out.append(exchange.pack(1, **exchange.pack_sorted(own), name=name, runs=n.astype(np.int16), size=length_of[pick].astype(np.int16), who=holder[pick]))
+        parts = _parts_of(keys, [v["size"] for v in values])
+        ends = [np.r_[0, np.cumsum(v["size"], dtype=np.int64)] for v in values]
+        made: list[list[tuple[np.ndarray, ...]]] = [[] for _ in values]
+        for j in range(len(parts[0]) - 1 if parts else 0):
+            some = [(i, int(p[j]), int(p[j + 1])) for i, p in enumerate(parts) if p[j] < p[j + 1]]
+            if not some:
+                continue
+            key = np.concatenate([keys[i][a:b] for i, a, b in some])
+            who, size = (np.concatenate([values[i][x][a:b] for i, a, b in some]) for x in ("who", "size"))
+            body = np.concatenate([values[i]["body"][ends[i][a] : ends[i][b]] for i, a, b in some])
+            name, runs, length_of, holder = _held(key, size.astype(np.int64), who, body, length)
+            run_at = np.r_[0, np.cumsum(runs, dtype=np.int64)]
+            at = 0
+            for i, a, b in some:
+                to = at + b - a
+                made[i].append((name[at:to].copy(), runs[at:to].copy(), length_of[run_at[at] : run_at[to]].copy(), holder[run_at[at] : run_at[to]].copy()))
+                at = to
+        values.clear()
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.int16), np.zeros(0, np.int16), np.zeros(0, np.int64))
+        out = []
+        for own, pieces in zip(keys, made, strict=True):
+            name, runs, size, who = (np.concatenate([x[k] for x in [none, *pieces]]) for k in range(4))
+            pieces.clear()
+            out.append(exchange.pack(1, **exchange.pack_sorted(own), name=name, runs=runs, size=size, who=who))
         return out
 
     return reply
@@ -416,7 +447,7 @@ def remove_repeats(df: DataFrame, length: int = 50, id_col: str = "doc_id", text
         raise ValueError("strings of at least 32 bytes are anchored")
     full, n_blocks = exchange.blocks(df, id_col, text_col, block_bytes, carry)
     docs = full.select("block", "id", "text")
-    n, m = exchange.ranges(n_blocks), exchange.ranges(n_blocks, 2 * exchange.FAN)
+    n, m = exchange.ranges(n_blocks), max(exchange.ranges(n_blocks, 2 * exchange.FAN), min(n_blocks, _RANGES))
     shared = exchange.answer(exchange.ask(docs, ask_anchors(length, n)), reply_anchors(hot))
     contexts = exchange.told(docs, shared, send_contexts(length, m), exchange.SENT)
     holders = exchange.answer(contexts, reply_contexts(length))
