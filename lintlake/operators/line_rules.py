@@ -145,6 +145,18 @@ def hits(rules: list[Rule] = RULES) -> str:
     return f"CASE lang {' '.join(cases)} ELSE {other} END" if cases else other
 
 
+def path_kind(d: Dialect, rules: list[Rule] = RULES) -> str:
+    """All that rules ask of a path, as text: lines of files that share it have the same issues."""
+    return "concat(" + ", ".join(f"CAST({d.match('path', p)} AS STRING)" for p in sorted({r.path_not for r in rules if r.path_not})) + ")"
+
+
+def fused_once(lines: str, rules: list[Rule] = RULES, once: str = "hits") -> str:
+    """As ``fused``, over lines that are told once with all their ``places`` (``sources.repeats``)."""
+    found = f"(SELECT places, text, {hits(rules)} AS hits FROM (SELECT *, lower(text) AS low FROM {lines}))"
+    each = f"(SELECT hit, text, explode(places) AS place FROM (SELECT places, text, explode({once}) AS hit FROM {found}))"
+    return f"SELECT hit.category, hit.rule, place.path AS file, place.line, hit.severity, hit.title, substring({SPARK.trim('text')}, 1, 80) AS snippet FROM {each}"
+
+
 def fused(lines: str, rules: list[Rule] = RULES, once: str = "hits") -> str:
     """Spark SQL that evaluates all rules on each line of ``lines`` in one pass. ``once``: what is kept of the array ``hits`` of a line."""
     found = f"(SELECT path, line, text, {hits(rules)} AS hits FROM (SELECT *, lower(text) AS low FROM {lines}))"
