@@ -21,6 +21,23 @@ def _out(d: Dialect, severity: str, title: str, source: str, where: str = "TRUE"
     return f"SELECT path AS file, CAST({line} AS BIGINT) AS line, {level} AS severity, {title} AS title FROM {source} WHERE {where}"
 
 
+def _beside(d: Dialect, blocks: dict[str, tuple[int, int]], hit: Callable[[str], str], langs: str = "") -> str:
+    """Lines of some languages with the texts of ``blocks`` (name: first and last line behind this one). Spark takes only lines that
+    ``hit`` (SQL of a text), in the row of their file: no line is sorted, and no text is joined for a line that has no issue."""
+    where = f" WHERE {langs}" if langs else ""
+    if d.name != "spark":
+        return f"(SELECT *, {', '.join(f'{d.block(*b)} AS {n}' for n, b in blocks.items())} FROM lines{where})"
+    text = lambda first, last: f"array_join(slice(ls, greatest(i + 1 + {first}, 1), greatest(i + 1 + {last} - greatest(i + 1 + {first}, 1) + 1, 0)), '\\n')"
+    near = {n: text(*b) for n, b in blocks.items()}
+    found = f"filter(transform(ls, (t, i) -> CASE WHEN {hit('t')} THEN {d.struct(line='CAST(i + 1 AS BIGINT)', text='t', **near)} END), x -> x IS NOT NULL)"
+    return f"(SELECT path, name, lang, wide, x.* FROM (SELECT path, name, lang, wide, explode({d.let('ls', d.split_lines('content'), found)}) AS x FROM files{where}))"
+
+
+def _events(d: Dialect, lines: str, *any_of: str) -> str:
+    """Of ``lines``, in Spark, only those that a window over them asks for: any of some conditions holds."""
+    return f"(SELECT * FROM {lines} WHERE {' OR '.join(any_of)})" if d.name == "spark" else lines
+
+
 # -- windows of lines -------------------------------------------------------------------------------------
 
 
@@ -32,7 +49,7 @@ def window(langs, here: list[str], first: int, last: int, near: list[tuple[bool,
         parts += [d.match("near", p) if yes else f"NOT {d.match('near', p)}" for yes, p in near]
         if path_not:
             parts.append(f"NOT {d.match('path', path_not)}")
-        return _out(d, severity, d.lit(title), f"(SELECT *, {d.block(first, last)} AS near FROM lines WHERE {parts[0]})", " AND ".join(parts[1:]))
+        return _out(d, severity, d.lit(title), _beside(d, {"near": (first, last)}, lambda t: " AND ".join(d.match(t, p) for p in here), parts[0]), " AND ".join(parts[1:]))
 
     return make
 
@@ -42,11 +59,11 @@ def button_empty(d: Dialect) -> str:
     closed = d.match("text", r"(?i)<button\b[^>]*>\s*</button>")
     opened = f"({d.match('text', r'(?i)<button\b[^>]*>')} AND NOT {d.match('text', r'(?i)aria-label\s*=|aria-labelledby\s*=')} AND {d.match('text', r'>\s*$')} AND {d.match('near', '</button>')})"
     said = f"({d.trim('near')} = '</button>' OR {d.match('text', r'(?i)<button[^>]*></button>')})"
-    return _out(d, "high", d.lit("<button> has no accessible text"), f"(SELECT *, {d.block(1, 1)} AS near FROM lines WHERE {web})", f"({closed} OR {opened}) AND {said}")
+    return _out(d, "high", d.lit("<button> has no accessible text"), _beside(d, {"near": (1, 1)}, lambda t: d.match(t, r"(?i)<button\b"), web), f"({closed} OR {opened}) AND {said}")
 
 
 def swallowed(d: Dialect) -> str:
-    return _out(d, "medium", d.lit("Exception silently swallowed (pass)"), f"(SELECT *, {d.block(1, 1)} AS near FROM lines WHERE lang = 'py')", f"{d.match('text', r'^\s*except\b')} AND {d.trim('near')} IN ('pass', '')")
+    return _out(d, "medium", d.lit("Exception silently swallowed (pass)"), _beside(d, {"near": (1, 1)}, lambda t: d.match(t, r"^\s*except\b"), "lang = 'py'"), f"{d.match('text', r'^\s*except\b')} AND {d.trim('near')} IN ('pass', '')")
 
 
 def async_no_try(d: Dialect) -> str:
@@ -56,7 +73,7 @@ def async_no_try(d: Dialect) -> str:
 def regex_long(d: Dialect) -> str:
     pattern = r"/([^/\n]{80,})/[gimsuy]*"
     title = f"concat('Complex regex (', CAST(length({d.extract('text', pattern)}) AS STRING), ' chars) — needs a comment')"
-    return _out(d, "low", title, f"(SELECT *, {d.block(-1, -1)} AS near FROM lines)", f"{d.match('text', pattern)} AND NOT {d.match('near', '//|#')}")
+    return _out(d, "low", title, _beside(d, {"near": (-1, -1)}, lambda t: f"length({t}) > 80 AND {d.match(t, pattern)}"), f"{d.match('text', pattern)} AND NOT {d.match('near', '//|#')}")
 
 
 def restated_doc(d: Dialect) -> str:
@@ -66,14 +83,14 @@ def restated_doc(d: Dialect) -> str:
     plain = f"lower({d.replace(name, '_', ' ')})"
     same = f"({doc} = {plain} OR {d.replace(doc, r'\s+', '')} = {d.replace(plain, r'\s+', '')})"
     quoted = d.match(after, "^(?:\"\"\"|''')")
-    return _out(d, "low", f"concat('Docstring just restates function name: ', {name})", f"(SELECT *, {d.block(1, 1)} AS near FROM lines WHERE lang = 'py')", f"{d.match('text', r'^\s*def\s+\w+\s*\(')} AND {quoted} AND {doc} <> '' AND {same}", "line + 1")
+    return _out(d, "low", f"concat('Docstring just restates function name: ', {name})", _beside(d, {"near": (1, 1)}, lambda t: d.match(t, r"^\s*def\s+\w+\s*\("), "lang = 'py'"), f"{d.match('text', r'^\s*def\s+\w+\s*\(')} AND {quoted} AND {doc} <> '' AND {same}", "line + 1")
 
 
 def list_comp(d: Dialect) -> str:
     name = d.extract("text", r"^\s*(\w+)\s*=\s*\[\s*\]")
     # what is appended to in the next four lines, as one text of marked names
     calls = d.replace("near", r"(\w+)\.append\s*\(", "<$1>")
-    source = f"(SELECT *, {d.block(1, 4)} AS near, {d.block(1, 1)} AS after FROM lines WHERE lang = 'py')"
+    source = _beside(d, {"near": (1, 4), "after": (1, 1)}, lambda t: d.match(t, r"^\s*\w+\s*=\s*\[\s*\]"), "lang = 'py'")
     where = f"{d.match('text', r'^\s*\w+\s*=\s*\[\s*\]')} AND {d.match('after', r'^\s*for\s')} AND {d.match('near', r'\.append\s*\(')} AND (contains({calls}, concat({name}, '>')))"
     title = f"concat({d.lit("Use list comprehension instead of append loop for '")}, {name}, {d.lit("'")})"
     return _out(d, "low", title, source, where + f" AND NOT {d.match('path', _TEST)}")
@@ -81,7 +98,7 @@ def list_comp(d: Dialect) -> str:
 
 def growing_attr(d: Dialect) -> str:
     name = d.extract("text", r"\bself\.(\w+)\s*=\s*(?:\[\s*\]|\{\s*\})")
-    source = f"(SELECT *, {d.block(-30, -1)} AS back, {d.block(1, 79)} AS fore FROM lines WHERE lang = 'py')"
+    source = _beside(d, {"back": (-30, -1), "fore": (1, 79)}, lambda t: d.match(t, r"\bself\.\w+\s*="), "lang = 'py'")
     both = "concat(back, ' ', fore)"
     grows = f"contains({d.replace(both, r'self\.(\w+)\.(?:append|extend|update)\s*\(', '<+$1>')}, concat('<+', {name}, '>'))"
     cleared = f"contains({d.replace(both, r'self\.(\w+)(?:\.(?:clear|pop|remove)\s*\(|\s*=\s*\[)', '<-$1>')}, concat('<-', {name}, '>'))"
@@ -101,7 +118,7 @@ def in_loop(langs, start: str, hit: str, reset: str, severity: str, title: str,
 
     def make(d: Dialect) -> str:
         flags = f"(SELECT *, {d.match('text', start)} AS opens, {d.match('text', hit)} AS hits, {d.match('text', reset)} AS closes FROM lines WHERE {d.any_of('lang', langs)})"
-        events = f"(SELECT *, CASE WHEN hits OR closes THEN 0 WHEN opens THEN 1 END AS event FROM {flags})"
+        events = f"(SELECT *, CASE WHEN hits OR closes THEN 0 WHEN opens THEN 1 END AS event FROM {_events(d, flags, 'hits', 'closes', 'opens')})"
         seen = f"(SELECT *, {d.last_seen('event')} AS before FROM {events})"
         return _out(d, severity, d.lit(title), seen, "hits AND (opens OR before = 1)" + (f" AND NOT {d.match('path', path_not)}" if path_not else ""))
 
@@ -109,7 +126,7 @@ def in_loop(langs, start: str, hit: str, reset: str, severity: str, title: str,
 
 
 def naked_return(d: Dialect) -> str:
-    marks = f"(SELECT *, CASE WHEN {d.match('text', r'^func\s')} THEN line END AS fn_line, CASE WHEN {d.match('text', r'^func\s')} THEN CASE WHEN {d.match('text', r'\)\s*\(')} THEN 1 ELSE 0 END END AS named FROM lines WHERE lang = 'go')"
+    marks = f"(SELECT *, CASE WHEN {d.match('text', r'^func\s')} THEN line END AS fn_line, CASE WHEN {d.match('text', r'^func\s')} THEN CASE WHEN {d.match('text', r'\)\s*\(')} THEN 1 ELSE 0 END END AS named FROM {_events(d, 'lines', d.match('text', r'^func\s'), d.match('text', r'^\s*return\s*$'))} WHERE lang = 'go')"
     seen = f"(SELECT *, {d.last_seen('fn_line')} AS fn_at, {d.last_seen('named')} AS fn_named FROM {marks})"
     return _out(d, "low", d.lit("Naked return — reduces readability"), seen, f"{d.match('text', r'^\s*return\s*$')} AND fn_named = 1 AND line - fn_at <= 30")
 
@@ -118,12 +135,12 @@ def module_global(d: Dialect) -> str:
     top = f"min(CASE WHEN {d.match('text', r'^(?:class|def)\s')} THEN line END) OVER (PARTITION BY path)"
     name = d.extract("text", r"^([a-z_]\w*)\s*=")
     where = f"{d.match('text', r'^[a-z_]\w*\s*=\s*.+')} AND NOT {d.match('text', r'^[a-z_]\w*\s*=\s*(?:lambda|None)')} AND {name} NOT IN ('self', 'cls', '__all__') AND (top IS NULL OR line < top)"
-    return _out(d, "low", f"concat('Module-level mutable variable: ', {name})", f"(SELECT *, {top} AS top FROM lines WHERE lang = 'py')", where)
+    return _out(d, "low", f"concat('Module-level mutable variable: ', {name})", f"(SELECT *, {top} AS top FROM {_events(d, 'lines', d.match('text', r'^(?:class|def)\s'), d.match('text', r'^[a-z_]\w*\s*='))} WHERE lang = 'py')", where)
 
 
 def buried_import(d: Dialect) -> str:
     opener = f"max(CASE WHEN {d.match('text', r'^\s*(?:function|class|if|for|while|\{)')} THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return _out(d, "low", d.lit("Import buried inside function/block"), f"(SELECT *, {opener} AS inner_ FROM lines WHERE {d.any_of('lang', (*JS, 'mjs'))})", f"{d.match('text', r'^\s+')} AND {d.match('text', r'\b(?:require|import)\s*\(')} AND inner_ = 1")
+    return _out(d, "low", d.lit("Import buried inside function/block"), f"(SELECT *, {opener} AS inner_ FROM {_events(d, 'lines', d.match('text', r'^\s*(?:function|class|if|for|while|\{)'), d.match('text', r'\b(?:require|import)\s*\('))} WHERE {d.any_of('lang', (*JS, 'mjs'))})", f"{d.match('text', r'^\s+')} AND {d.match('text', r'\b(?:require|import)\s*\(')} AND inner_ = 1")
 
 
 def repeated_import(langs, pattern: str) -> Select:
@@ -183,7 +200,7 @@ def first_in_python(pattern: str, title: str, unless: str = "", also: str = "")
 
 def insecure_random(d: Dialect) -> str:
     flag = f"max(CASE WHEN {d.match('text', '(?i)(?:token|secret|password|key|nonce|salt|session|csrf)')} THEN 1 ELSE 0 END) OVER (PARTITION BY path)"
-    return _out(d, "medium", d.lit("Insecure Randomness"), f"(SELECT *, {flag} AS secret FROM lines WHERE NOT wide)", f"secret = 1 AND {d.match('text', r'Math\.random\s*\(\s*\)')}")
+    return _out(d, "medium", d.lit("Insecure Randomness"), f"(SELECT *, {flag} AS secret FROM {_events(d, 'lines', d.match('text', '(?i)(?:token|secret|password|key|nonce|salt|session|csrf)'), d.match('text', r'Math\.random\s*\(\s*\)'))} WHERE NOT wide)", f"secret = 1 AND {d.match('text', r'Math\.random\s*\(\s*\)')}")
 
 
 def todo_density(d: Dialect) -> str:
@@ -196,7 +213,7 @@ def unpaired(on: str, off: str, most: int, title: str) -> Select:
     """The first lines of a JavaScript file that match ``on``, if none matches ``off``."""
 
     def make(d: Dialect) -> str:
-        flags = f"(SELECT path, line, {d.match('text', on)} AS hit, max(CASE WHEN {d.match('text', off)} THEN 1 ELSE 0 END) OVER (PARTITION BY path) AS paired FROM lines WHERE {d.any_of('lang', JS)})"
+        flags = f"(SELECT path, line, {d.match('text', on)} AS hit, max(CASE WHEN {d.match('text', off)} THEN 1 ELSE 0 END) OVER (PARTITION BY path) AS paired FROM {_events(d, 'lines', d.match('text', on), d.match('text', off))} WHERE {d.any_of('lang', JS)})"
         ranked = f"(SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS nth FROM {flags} WHERE hit AND paired = 0)"
         return _out(d, "medium", d.lit(title), ranked, f"nth <= {most}")
 
@@ -220,7 +237,7 @@ def untyped(d: Dialect) -> str:
     params = d.extract("text", head, 2)
     typed = f"({d.match(params, r':\s*\w')} OR {d.trim(params)} IN ('', 'self', 'cls'))"
     returns = f"({d.match('text', '->')} OR {d.match('near', '->')})"
-    lines = f"(SELECT *, {d.block(1, 1)} AS near FROM lines WHERE lang = 'py')"
+    lines = _beside(d, {"near": (1, 1)}, lambda t: d.match(t, head), "lang = 'py'")
     return f"(SELECT path, name, line, {d.extract('text', head, 1)} AS fn, row_number() OVER (PARTITION BY path ORDER BY line) AS nth, count(*) OVER (PARTITION BY path) AS n FROM {lines} WHERE {d.match('text', head)} AND (NOT {typed} OR NOT {returns}))"
 
 

@@ -84,7 +84,7 @@ def _spread(edges: DataFrame, salt: int) -> DataFrame:
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """``node, scc`` of every node on a cycle of more than one node; scc is the least node of its component."""
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())  # read three times
     names = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("id", F.monotonically_increasing_id()))
     ends = lambda old, new: names.select(F.col("node").alias(old), F.col("id").alias(new))
     left = cut(edges.join(ends("src", "s"), "src").join(ends("dst", "t"), "dst").select("s", "t"))

@@ -15,7 +15,7 @@ from lintlake.functions.dialect import SPARK
 from lintlake.model import Settings
 from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules
 from lintlake.plans import report
-from lintlake.sources import corpora
+from lintlake.sources import corpora, repeats
 
 #: Parts of the issues that are found at once.
 PARALLEL = 6
@@ -31,7 +31,7 @@ class Analysis:
         self.settings = settings
         self.categories = categories
         self.more = {k: f for k, f in (more or {}).items() if callable(f)}
-        key = uuid.uuid4().hex[:12]
+        self.key = key = uuid.uuid4().hex[:12]
         files.select("path", "name", "lang", "content").createOrReplaceTempView(f"raw_{key}")
         self.advisories = f"advisories_{key}" if advisories is not None else ""
         if advisories is not None:
@@ -40,18 +40,33 @@ class Analysis:
         self.folder = f"{graph.shared_folder(self.spark)}/analysis-{key}"
         where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-        for name in ("files", "lines"):
-            self.spark.sql(f"{both} SELECT * FROM {name}").write.parquet(f"{self.folder}/{name}")
-        self.files = self.spark.read.parquet(f"{self.folder}/files")
-        self.tables = ["files", "lines"]
-        needed = {t for c, tables, _ in function_rules.RULES.values() if self.wants(c) for t in tables}
-        for name in sorted(needed):
-            self.sql(function_rules.spans(SPARK, function_rules.EXTRACTORS[name])).write.parquet(f"{self.folder}/{name}")
-        self.tables += sorted(needed)
+        self.spark.sql(f"{both} SELECT * FROM files").write.parquet(f"{self.folder}/files")
+        self.files = self._read("files")
+        self.tables = ["files"]  # the rest is made of them, side by side
+        needed = sorted({t for c, tables, _ in function_rules.RULES.values() if self.wants(c) for t in tables})
+        made = {"lines": SPARK.lines("files")} | {t: function_rules.spans(SPARK, function_rules.EXTRACTORS[t]) for t in needed}
+        self._side_by_side({f"{self.folder}/{name}": (lambda sql=sql: self.sql(sql)) for name, sql in made.items()})
+        for name in ("lines", *needed):
+            self._read(name)
+        self.tables += ["lines", *needed]
+
+    def _read(self, name: str) -> DataFrame:
+        """A written table, and a view of it for the analysis' statements."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}")
+        df.createOrReplaceTempView(f"{name}_{self.key}")
+        return df
+
+    def _side_by_side(self, made: dict[str, Callable[[], DataFrame]]) -> None:
+        """Write each table below its path, some at once."""
+        with ThreadPoolExecutor(PARALLEL) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(lambda x: x[1]().write.parquet(x[0])), made.items()))
 
     def sql(self, select: str, more: str = "", spark: SparkSession | None = None) -> DataFrame:
-        tables = ", ".join(f"{n} AS (SELECT * FROM parquet.`{self.folder}/{n}`)" for n in self.tables)
-        return (spark or self.spark).sql(f"WITH {tables}{more} {select}")
+        spark = spark or self.spark
+        # a path is listed, and its schema read by a job, for every statement that names it; a view once
+        table = (lambda n: f"{n}_{self.key}") if spark is self.spark else (lambda n: f"parquet.`{self.folder}/{n}`")
+        tables = ", ".join(f"{n} AS (SELECT * FROM {table(n)})" for n in self.tables)
+        return spark.sql(f"WITH {tables}{more} {select}")
 
     def close(self) -> None:
         """Delete the written tables; what was not collected or written elsewhere by then is gone. Else Spark does it when the session ends."""
@@ -69,6 +84,17 @@ class Analysis:
 
     def parts(self) -> dict[str, DataFrame]:
         """The issues before deduplication (category, rule, file, line, severity, title), in parts that are found apart."""
+        return {name: part() for name, part in self._parts().items()}
+
+    def _cycles(self) -> DataFrame:
+        """The issues of files in import cycles; every member carries the penalty. Its steps run when it is called."""
+        members = graph.strong_components(self.sql(cross_rules.import_edges(SPARK)))
+        sizes = graph.cycle_issues(members).withColumnRenamed("file", "scc")
+        found = members.join(sizes, "scc").select(F.col("node").alias("file"), "line", "severity", "title")
+        return found.select(F.lit("circular").alias("category"), F.lit("circular_scc").alias("rule"), *found.columns)
+
+    def _parts(self) -> dict[str, Callable[[], DataFrame]]:
+        """The parts by name, those with the most steps first; some run Spark when they are called."""
         names = ["category", "rule", "file", "line", "severity", "title"]
         found: dict[str, list[DataFrame]] = {}
 
@@ -87,20 +113,19 @@ class Analysis:
                 add(category, f"{category}_more", analyzer(self))
         if self.wants("security"):
             add("security", "sec_high_entropy", self.sql(report.high_entropy(SPARK)))
-        if self.wants("circular"):
-            members = graph.strong_components(self.sql(cross_rules.import_edges(SPARK)))
-            sizes = graph.cycle_issues(members).withColumnRenamed("file", "scc")
-            add("circular", "circular_scc", members.join(sizes, "scc").select(F.col("node").alias("file"), "line", "severity", "title"))  # every member carries the penalty
-        out = {category: reduce(DataFrame.unionByName, dfs) for category, dfs in found.items()}
+        out: dict[str, Callable[[], DataFrame]] = {"cycles": self._cycles} if self.wants("circular") else {}
+        out |= {category: (lambda dfs=dfs: reduce(DataFrame.unionByName, dfs)) for category, dfs in found.items()}
         rules = [r for r in line_rules.RULES if self.wants(r.category)]
-        return out | ({"lines": self.sql(line_rules.fused("lines", rules)).select(names)} if rules else {})
+        if rules:
+            once = repeats.distinct_lines(f"SELECT * FROM files_{self.key}", line_rules.path_kind(SPARK, rules), self.spark)
+            out["lines"] = lambda: self.sql(line_rules.fused_once(once, rules)).select(names)
+        return out
 
     def found(self) -> DataFrame:
         """All issues, before deduplication. Parts are small plans that run side by side; each is written once."""
         folder = f"{self.folder}/found-{uuid.uuid4().hex[:12]}"
-        parts = self.parts()
-        with ThreadPoolExecutor(PARALLEL) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(lambda x: x[1].write.parquet(f"{folder}/{x[0]}")), parts.items()))
+        parts = self._parts()
+        self._side_by_side({f"{folder}/{name}": part for name, part in parts.items()})
         return self.spark.read.parquet(*[f"{folder}/{name}" for name in parts])
 
     def issues(self) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 PIECE_BYTES = 16 << 20
 
 
-def distinct_lines(files: str, kind: str) -> str:
+def distinct_lines(files: str, kind: str, spark: SparkSession | None = None) -> str:
     """The name of a view (path, lang, wide, text, places) of the SQL of ``files`` (path, lang, wide, content): a row for each line of
     some files that share lang, wide and ``kind`` (SQL); ``places``: path and line of each of its places; ``path``: one of theirs."""
 
@@ -50,7 +50,7 @@ def distinct_lines(files: str, kind: str) -> str:
                 told = [piece[c].take(pa.array(file[first])) for c in ("path", "lang", "wide")]
                 yield pa.RecordBatch.from_arrays([*told, text.take(pa.array(first)), places], ["path", "lang", "wide", "text", "places"])
 
-    spark = SparkSession.active()
+    spark = spark or SparkSession.active()
     rows = spark.sql(f"SELECT path, lang, wide, concat_ws(',', lang, CAST(wide AS STRING), {kind}) AS kind, content FROM ({files})")
     name = f"distinct_lines_{uuid.uuid4().hex[:12]}"
     rows.mapInArrow(once, "path string, lang string, wide boolean, text string, places array<struct<path: string, line: bigint>>").createOrReplaceTempView(name)
