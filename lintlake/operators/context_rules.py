@@ -191,7 +191,8 @@ def first_in_python(pattern: str, title: str, unless: str = "", also: str = "")
 
     def make(d: Dialect) -> str:
         more = "".join(f", max(CASE WHEN {d.match('text', p)} THEN 1 ELSE 0 END) AS {n}" for p, n in ((unless, "bad"), (also, "good")) if p)
-        source = f"(SELECT path, min(CASE WHEN {d.match('text', pattern)} THEN line END) AS line{more} FROM lines WHERE lang = 'py' AND NOT wide GROUP BY path)"
+        lines = _events(d, "lines", *(d.match("text", p) for p in (pattern, unless, also) if p))
+        source = f"(SELECT path, min(CASE WHEN {d.match('text', pattern)} THEN line END) AS line{more} FROM {lines} WHERE lang = 'py' AND NOT wide GROUP BY path)"
         where = "line IS NOT NULL" + " AND bad = 0" * bool(unless) + " AND good = 1" * bool(also)
         return _out(d, "high", d.lit(title), source, where)
 
@@ -205,6 +206,9 @@ def insecure_random(d: Dialect) -> str:
 
 def todo_density(d: Dialect) -> str:
     source = f"(SELECT path, 1 AS line, sum(CASE WHEN {d.match('text', '(?i)TODO|FIXME|HACK|XXX')} THEN 1 ELSE 0 END) AS n, count(*) AS total FROM lines GROUP BY path)"
+    if d.name == "spark":
+        marked = d.size(d.filter(d.split_lines("content"), "t", d.match("t", "(?i)TODO|FIXME|HACK|XXX")))
+        source = f"(SELECT path, 1 AS line, sum(n) AS n, sum(total) AS total FROM (SELECT path, {marked} AS n, lines AS total FROM files) GROUP BY path)"
     share = "CAST(floor(100.0 * n / total + 0.5) AS BIGINT)"
     return _out(d, "medium", f"concat('High TODO density: ', CAST(n AS STRING), ' TODOs in ', CAST(total AS STRING), ' lines (', CAST({share} AS STRING), '%)')", source, "n >= 5 AND 1.0 * n / total > 0.05")
 
@@ -285,12 +289,29 @@ def chain(d: Dialect) -> str:
 
 
 def long_file(d: Dialect, limit: int = 300) -> str:
-    source = "(SELECT path, 1 AS line, count(*) AS n FROM lines GROUP BY path)"
+    source = f"(SELECT path, 1 AS line, {'sum(lines) AS n FROM files' if d.name == 'spark' else 'count(*) AS n FROM lines'} GROUP BY path)"
     return _out(d, f"(CASE WHEN n > {2 * limit} THEN 'high' ELSE 'medium' END)", "concat('Long file — ', CAST(n AS STRING), ' lines')", source, f"n > {limit}")
 
 
+def _deepest(d: Dialect) -> str:
+    """Spark: ``path, line, depth`` of the first of the deepest lines of each file, found in its row."""
+    indent = f"CAST((length(t) - length({d.replace('t', r'^\s+', '')})) div 4 AS BIGINT)"
+    place = lambda depth, line: d.struct(depth=depth, back=f"-CAST({line} AS BIGINT)")
+    py = f"array_max(transform(ls, (t, i) -> CASE WHEN {d.match('t', r'\S')} AND NOT {d.match('t', r'^\s*#')} THEN {place(indent, 'i + 1')} END))"
+    now = "greatest(0L, b.depth + CASE c WHEN '{' THEN 1 WHEN '}' THEN -1 ELSE 0 END)"
+    within = f"aggregate(split({d.replace('t', r'[^{}]', '')}, ''), {d.struct(depth='a.depth', top='0L')}, (b, c) -> {d.let('z', now, d.struct(depth='z', top='greatest(b.top, z)'))})"
+    after = d.let("w", within, d.struct(line="a.line + 1", depth="w.depth", top="greatest(a.top, w.top)", at="CASE WHEN w.top > a.top THEN a.line + 1 ELSE a.at END"))
+    counts = f"(contains(t, '{{') OR contains(t, '}}')) AND NOT {d.match('t', r'^\s*//|^\s*\*')}"
+    zero = d.struct(line="0L", depth="0L", top="0L", at="0L")
+    other = f"aggregate(ls, {zero}, (a, t) -> CASE WHEN {counts} THEN {after} ELSE {d.struct(line='a.line + 1', depth='a.depth', top='a.top', at='a.at')} END, a -> {place('a.top', 'a.at')})"
+    each = f"(SELECT path, CASE WHEN lang = 'py' THEN {py} ELSE {other} END AS found FROM (SELECT path, lang, {d.split_lines('content')} AS ls FROM files))"
+    return f"(SELECT path, found.depth AS depth, -found.back AS line FROM (SELECT path, max(found) AS found FROM {each} GROUP BY path))"
+
+
 def deep_nesting(d: Dialect, limit: int = 4) -> str:
     """Python: indents of four. Elsewhere braces, whose depth never falls below 0: the running sum less its least value."""
+    if d.name == "spark":
+        return _out(d, "(CASE WHEN depth > 6 THEN 'high' ELSE 'medium' END)", "concat('Deep nesting — ', CAST(depth AS STRING), ' levels')", _deepest(d), f"depth > {limit}")
     indent = f"CAST(floor((length(text) - length({d.replace('text', r'^\s+', '')})) / 4.0) AS BIGINT)"
     py = f"SELECT path, line, {indent} AS depth FROM lines WHERE lang = 'py' AND {d.trim('text')} <> '' AND NOT {d.match('text', r'^\s*#')}"
     braces = d.replace("text", r"[^{}]", "")

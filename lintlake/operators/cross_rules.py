@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lintlake.functions.dialect import Dialect
+from lintlake.functions.dialect import Dialect, Told
 from lintlake.functions.literals import needed
 from lintlake.functions.versions import version_key
 from lintlake.model import CODE, IMPORTING, JS
@@ -241,6 +241,8 @@ def dead_export(d: Dialect, most: int | None = 8) -> str:
     lists = d.unnest(f"(SELECT path, {d.extract_all('content', r'import\s+\{([^}]+)\}\s+from')} AS lists FROM files)", "lists", "names", "path")
     parts = d.unnest(f"(SELECT path, {d.split('names', ',')} AS parts FROM ({lists}))", "parts", "part", "path")
     imported = f"SELECT path, {d.trim(d.replace(d.trim('part'), r'\s+as\s+.*$', ''))} AS name FROM ({parts})"
+    if d.name == "spark":  # whether another file has a name is told by the first and the last that have it
+        imported = f"SELECT name, explode(array(a, b)) AS path FROM (SELECT name, min(path) AS a, max(path) AS b FROM ({imported}) GROUP BY name)"
     exports = f"(SELECT path, line, {d.extract('text', pattern)} AS name FROM lines WHERE {d.any_of('lang', JS)} AND {d.match('text', pattern)}) AS e"
     dead = f"(SELECT path, line, name, row_number() OVER (PARTITION BY path ORDER BY line) AS nth FROM {exports} WHERE name <> 'default' AND NOT EXISTS (SELECT 1 FROM ({imported}) AS i WHERE i.name = e.name AND i.path <> e.path))"
     return _out(d, "low", "concat('Exported symbol never imported: ', name)", dead, _first(most))
@@ -258,7 +260,7 @@ def unused_function(d: Dialect, most: int | None = 20) -> str:
     """Functions that nothing calls; a definition is no call. In all files together, the first ``most``, or all."""
     words = d.extract_all("text", r"\b([a-zA-Z_][a-zA-Z0-9_]{2,})\s*\(")
     own = f"CASE WHEN {d.any_of('lang', tuple(USED_PATTERNS))} THEN {_definition(d)} ELSE '' END"
-    calls = d.unnest(f"(SELECT {d.let('own', own, d.filter(words, 'w', 'w <> own'))} AS words FROM lines WHERE {d.any_of('lang', CODE)} AND contains(text, '('))", "words", "name", "1 AS one")
+    calls = d.unnest(f"(SELECT {d.let('own', own, d.filter(words, 'w', 'w <> own'))} AS words FROM {d.texts()} WHERE {d.any_of('lang', CODE)} AND contains(text, '('))", "words", "name", "1 AS one")
     defined = f"(SELECT path, line, text, {_definition(d)} AS name FROM lines WHERE {d.any_of('lang', tuple(USED_PATTERNS))})"
     free = f"(SELECT path, line, name FROM {defined} AS f WHERE name <> '' AND NOT {d.any_of('name', CALLED_OUTSIDE)} AND NOT {d.match('name', CALLED_PATTERN)} AND NOT contains(text, 'export') AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT name FROM ({calls})) AS k WHERE k.name = f.name) {_limit(most)})"
     return _out(d, "low", "concat('Unused function: ', name)", free)
@@ -311,7 +313,9 @@ def magic_value(d: Dialect) -> str:
     bare, marks = "substring(v, 2, length(v) - 2)", d.lit('"')
     texts = d.transform(d.filter(d.extract_all("text", quoted), "v", f"length(v) <= 62 AND NOT {d.any_of(f'lower({bare})', BORING)}"), "v", f"concat({marks}, {bare}, {marks})")
     numbers = d.transform(d.filter(d.extract_all("text", r"\b(\d{3,})\b"), "v", f"NOT {d.any_of('v', BORING_NUMBERS)}"), "v", "concat('#', v)")
-    each = d.unnest(f"(SELECT path, line, {d.concat([texts, numbers])} AS found FROM {_long_files(d)})", "found", "v", "path, line")
+    said = d.concat([texts, numbers])
+    some = d.on_lines(f"long AND {d.any_of('lang', CODE)} AND {d.size(said)} > 0", found=said) if isinstance(d, Told) else f"(SELECT path, line, {said} AS found FROM {_long_files(d)})"
+    each = d.unnest(some, "found", "v", "path, line")
     grouped = f"(SELECT v, count(*) AS n, count(DISTINCT path) AS f, min({d.at()}) AS place FROM ({each}) GROUP BY v HAVING count(*) >= 5 AND count(DISTINCT path) >= 2)"
     return _out(d, "low", "concat('Magic value repeated ', CAST(n AS STRING), '× across ', CAST(f AS STRING), ' files: ', v)", grouped, file=d.file_of("place"), line=d.line_of("place"))
 
@@ -323,6 +327,8 @@ def fn_names(d: Dialect) -> str:
     plain = _by_lang(d, NAME_PATTERNS, d.extract("text", NAME_PATTERNS["js"]))
     family = d.any_of("lang", tuple(x for x in CODE if x not in NAME_PATTERNS or x == "js"))
     name = f"CASE WHEN {plain} = '' AND {family} THEN {d.extract('text', _ARROW)} ELSE {plain} END"
+    if d.name == "spark":
+        return f"SELECT path, line, fn AS name FROM {d.on_lines(f'{d.any_of("lang", CODE)} AND length({name}) >= 2 AND NOT {d.any_of(name, NOT_NAMES)}', fn=name)}"
     return f"SELECT path, line, name FROM (SELECT path, line, {name} AS name FROM lines WHERE {d.any_of('lang', CODE)}) WHERE length(name) >= 2 AND NOT {d.any_of('name', NOT_NAMES)}"
 
 
@@ -398,12 +404,19 @@ def source_fns(d: Dialect) -> str:
     """Functions outside test files."""
     patterns = {k: v for k, v in TESTED_PATTERNS.items() if k not in _TESTED_OTHER}
     name = _by_lang(d, patterns, d.extract("text", TESTED_PATTERNS["js"]))
+    if d.name == "spark":
+        said = d.on_lines(f"{d.any_of('lang', CODE)} AND length({name}) >= 3 AND NOT {d.any_of(name, NOT_TESTED)}", fn=name)
+        return f"SELECT path, line, fn FROM {said} WHERE NOT {_is_test(d)}"
     return f"SELECT path, line, fn FROM (SELECT path, name, line, {name} AS fn FROM lines WHERE {d.any_of('lang', CODE)}) WHERE NOT {_is_test(d)} AND length(fn) >= 3 AND NOT {d.any_of('fn', NOT_TESTED)}"
 
 
 def covered(d: Dialect) -> str:
     parts = d.split_on(d.trim("lower(" + d.replace("fn", "([A-Z])", " $1") + ")"), r"\s+")
     words = d.concat([d.filter(parts, "w", "length(w) > 3"), d.array(["lower(replace(fn, '_', ''))"])])
+    if d.name == "spark":  # whether a name is tested is asked once for all that share it
+        named = d.unnest(f"(SELECT fn, {words} AS words FROM (SELECT DISTINCT fn FROM ({source_fns(d)})))", "words", "word", "fn")
+        told = f"(SELECT k.fn AS told, max(CASE WHEN t.word IS NULL THEN 0 ELSE 1 END) AS hit FROM ({named}) AS k LEFT JOIN ({test_names(d)}) AS t ON k.word = t.word GROUP BY k.fn)"
+        return f"(SELECT DISTINCT path, line, fn, hit FROM ({source_fns(d)}) JOIN {told} ON fn = told)"
     keys = d.unnest(f"(SELECT path, line, fn, {words} AS words FROM ({source_fns(d)}))", "words", "word", "path, line, fn")
     return f"(SELECT k.path, k.line, k.fn, max(CASE WHEN t.word IS NULL THEN 0 ELSE 1 END) AS hit FROM ({keys}) AS k LEFT JOIN ({test_names(d)}) AS t ON k.word = t.word GROUP BY k.path, k.line, k.fn)"
 
@@ -455,7 +468,8 @@ def npm(d: Dialect, project: str = ONE_PROJECT) -> str:
 def pypi(d: Dialect, project: str = ONE_PROJECT) -> str:
     text = d.trim("text")
     pattern = r"^([a-zA-Z0-9_\-]+)\s*(?:[><=!]+\s*([\d.]+))?"
-    return f"SELECT 'PyPI' AS ecosystem, {d.extract(text, pattern, 1)} AS name, {d.extract(text, pattern, 2)} AS version, path AS file FROM lines WHERE name IN ('requirements.txt', 'Pipfile', 'pyproject.toml') AND {d.match(text, pattern)}"
+    source = f"({d.unnest(f'(SELECT path, name AS file_name, {d.split_lines("content")} AS ls FROM files)', 'ls', 'text', 'path, file_name AS name')})" if d.name == "spark" else "lines"
+    return f"SELECT 'PyPI' AS ecosystem, {d.extract(text, pattern, 1)} AS name, {d.extract(text, pattern, 2)} AS version, path AS file FROM {source} WHERE name IN ('requirements.txt', 'Pipfile', 'pyproject.toml') AND {d.match(text, pattern)}"
 
 
 def go_modules(d: Dialect, project: str = ONE_PROJECT) -> str:

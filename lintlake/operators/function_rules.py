@@ -313,8 +313,38 @@ def _stretch(d: Dialect, start: str, net: str, where: str) -> str:
     return f"(SELECT *, min(line) {over} AS begin_, sum(net) {over} AS balance FROM {parts} WHERE part > 0)"
 
 
+def _stretch_rows(d: Dialect, start: str, where: str) -> str:
+    """Spark: a row for each stretch, with its lines ``ls`` from the start on and ``at_``, the place of the start from 0 on."""
+    starts = f"filter(transform(ls, (t, i) -> CASE WHEN {d.match('t', start)} THEN i END), i -> i IS NOT NULL)"
+    body = "slice(ls, x + 1, coalesce(get(starts, k + 1), size(ls)) - x)"
+    each = f"transform(starts, (x, k) -> {d.struct(at_='x', ls=body)})"
+    return f"(SELECT path, r.* FROM (SELECT path, explode({d.let('starts', starts, each)}) AS r FROM (SELECT path, {d.split_lines('content')} AS ls FROM files WHERE {where})))"
+
+
+def _open_queries(d: Dialect) -> str:
+    """Spark: the lines (from 0 on, behind the start) of a stretch that query while its brackets are open."""
+    balance = "a.balance + length(translate(t, '})', '')) - length(translate(t, '{(', ''))"
+    ended = "(z <= 0 AND at_ + a.n > 0)"
+    hits = f"CASE WHEN NOT {ended} AND a.n > 0 AND {d.match('t', _ORM)} THEN concat(a.hits, array(a.n)) ELSE a.hits END"
+    step = f"CASE WHEN a.over THEN a ELSE {d.let('z', balance, d.struct(n='a.n + 1', balance='z', over=ended, hits=hits))} END"
+    zero = "CAST(named_struct('n', 0, 'balance', 0, 'over', false, 'hits', array()) AS STRUCT<n: INT, balance: INT, over: BOOLEAN, hits: ARRAY<INT>>)"
+    return f"aggregate(ls, {zero}, (a, t) -> {step}, a -> a.hits)"
+
+
+def _logged_only(d: Dialect) -> str:
+    """Spark: whether the lines behind a catch clause, up to its end, log and do nothing else."""
+    balance = "a.balance + length(replace(t, '}', '')) - length(replace(t, '{', ''))"
+    logs, acts = (f"a.{n} OR (a.n > 0 AND {d.match('t', p)})" for n, p in (("logs", r"console[.](?:log|warn)\s*[(]"), ("acts", "throw|reject|return")))
+    step = f"CASE WHEN a.done THEN a ELSE {d.let('z', balance, d.struct(n='a.n + 1', balance='z', done='z = 0 AND a.n >= 2', logs=logs, acts=acts))} END"
+    zero = d.struct(n="0", balance="0", done="false", logs="false", acts="false")
+    return f"aggregate(ls, {zero}, (a, t) -> {step}, a -> a.done AND a.logs AND NOT a.acts)"
+
+
 def n_plus_one(d: Dialect, s: Settings) -> str:
     """Queries on a line behind a loop's own while its brackets are open."""
+    if d.name == "spark":
+        found = f"(SELECT path, at_, explode({_open_queries(d)}) AS hit FROM {_stretch_rows(d, _LOOPS, 'TRUE')})"
+        return f"SELECT path AS file, CAST(at_ + hit + 1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'high' AS severity, {d.lit('Possible N+1 query — DB query inside a loop')} AS title FROM {found}"
     lines = _stretch(d, _LOOPS, f"({d.count('text', '[{(]')} - {d.count('text', '[})]')})", "TRUE")
     ended = f"(SELECT *, max(CASE WHEN balance <= 0 AND line > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY path, part ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS over_ FROM {lines})"
     return f"SELECT path AS file, line, CAST(NULL AS BIGINT) AS line_end, 'high' AS severity, {d.lit('Possible N+1 query — DB query inside a loop')} AS title FROM {ended} WHERE over_ = 0 AND starts = 0 AND {d.match('text', _ORM)}"
@@ -322,6 +352,8 @@ def n_plus_one(d: Dialect, s: Settings) -> str:
 
 def catch_logs(d: Dialect, s: Settings) -> str:
     """Catch clauses whose lines, up to the first balanced one two lines or more behind, log and do nothing else."""
+    if d.name == "spark":
+        return f"SELECT path AS file, CAST(at_ + 1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {d.lit('Catch only logs — error not propagated')} AS title FROM {_stretch_rows(d, r'\}\s*catch\s*\(', d.any_of('lang', JS))} WHERE {_logged_only(d)}"
     lines = _stretch(d, r"\}\s*catch\s*\(", f"({d.count('text', '[{]')} - {d.count('text', '[}]')})", d.any_of("lang", JS))
     stop = f"(SELECT *, min(CASE WHEN balance = 0 AND line >= begin_ + 2 THEN line END) OVER (PARTITION BY path, part) AS stop FROM {lines})"
     has = lambda p: f"max(CASE WHEN {d.match('text', p)} THEN 1 ELSE 0 END)"

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions.dialect import SPARK
+from lintlake.functions.dialect import SPARK, TOLD
 from lintlake.model import Settings
 from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules
 from lintlake.plans import report
@@ -22,7 +22,7 @@ PARALLEL = 6
 
 
 class Analysis:
-    """Issues of ``files`` (path, name, lang, content). The lines are split once and written for all rules to read."""
+    """Issues of ``files`` (path, name, lang, content). The lines are split once and written, each once with its places, for all rules to read."""
 
     def __init__(self, files: DataFrame, settings: Settings = Settings(), categories: list[str] | None = None, advisories: DataFrame | None = None, more: dict[str, Callable[[Analysis], DataFrame]] | None = None) -> None:
         """``advisories``: as ``sources.advisories.read`` gives them. ``more``: further analyzers by category; each gives file, line,
@@ -44,11 +44,12 @@ class Analysis:
         self.files = self._read("files")
         self.tables = ["files"]  # the rest is made of them, side by side
         needed = sorted({t for c, tables, _ in function_rules.RULES.values() if self.wants(c) for t in tables})
-        made = {"lines": SPARK.lines("files")} | {t: function_rules.spans(SPARK, function_rules.EXTRACTORS[t]) for t in needed}
+        once = repeats.distinct_lines(f"SELECT * FROM files_{key}", line_rules.path_kind(SPARK), self.spark, whole=True)
+        made = {"told": f"SELECT * FROM {once}"} | {t: function_rules.spans(SPARK, function_rules.EXTRACTORS[t]) for t in needed}
         self._side_by_side({f"{self.folder}/{name}": (lambda sql=sql: self.sql(sql)) for name, sql in made.items()})
-        for name in ("lines", *needed):
+        for name in ("told", *needed):
             self._read(name)
-        self.tables += ["lines", *needed]
+        self.tables += ["told", *needed]
 
     def _read(self, name: str) -> DataFrame:
         """A written table, and a view of it for the analysis' statements."""
@@ -65,7 +66,7 @@ class Analysis:
         spark = spark or self.spark
         # a path is listed, and its schema read by a job, for every statement that names it; a view once
         table = (lambda n: f"{n}_{self.key}") if spark is self.spark else (lambda n: f"parquet.`{self.folder}/{n}`")
-        tables = ", ".join(f"{n} AS (SELECT * FROM {table(n)})" for n in self.tables)
+        tables = ", ".join(f"{n} AS (SELECT * FROM {table(n)})" for n in self.tables) + (f", lines AS ({TOLD.LINES})" if "told" in self.tables else "")
         return spark.sql(f"WITH {tables}{more} {select}")
 
     def close(self) -> None:
@@ -88,7 +89,7 @@ class Analysis:
 
     def _cycles(self) -> DataFrame:
         """The issues of files in import cycles; every member carries the penalty. Its steps run when it is called."""
-        members = graph.strong_components(self.sql(cross_rules.import_edges(SPARK)))
+        members = graph.strong_components(self.sql(cross_rules.import_edges(TOLD)))
         sizes = graph.cycle_issues(members).withColumnRenamed("file", "scc")
         found = members.join(sizes, "scc").select(F.col("node").alias("file"), "line", "severity", "title")
         return found.select(F.lit("circular").alias("category"), F.lit("circular_scc").alias("rule"), *found.columns)
@@ -103,22 +104,21 @@ class Analysis:
 
         for key, (category, select) in (context_rules.RULES | cross_rules.RULES).items():
             if self.wants(category):
-                sql = context_rules.long_file(SPARK, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(SPARK, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(SPARK, self.settings.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(SPARK, table=self.advisories) if key == "dep_vulnerable" else select(SPARK)
+                sql = context_rules.long_file(TOLD, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(TOLD, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(TOLD, self.settings.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(TOLD, table=self.advisories) if key == "dep_vulnerable" else select(TOLD)
                 add(category, key, self.sql(sql))
         for key, (category, _, select) in function_rules.RULES.items():
             if self.wants(category):
-                add(category, key, self.sql(select(SPARK, self.settings)))
+                add(category, key, self.sql(select(TOLD, self.settings)))
         for category, analyzer in self.more.items():
             if self.wants(category):
                 add(category, f"{category}_more", analyzer(self))
         if self.wants("security"):
-            add("security", "sec_high_entropy", self.sql(report.high_entropy(SPARK)))
+            add("security", "sec_high_entropy", self.sql(report.high_entropy(TOLD)))
         out: dict[str, Callable[[], DataFrame]] = {"cycles": self._cycles} if self.wants("circular") else {}
         out |= {category: (lambda dfs=dfs: reduce(DataFrame.unionByName, dfs)) for category, dfs in found.items()}
         rules = [r for r in line_rules.RULES if self.wants(r.category)]
         if rules:
-            once = repeats.distinct_lines(f"SELECT * FROM files_{self.key}", line_rules.path_kind(SPARK, rules), self.spark)
-            out["lines"] = lambda: self.sql(line_rules.fused_once(once, rules)).select(names)
+            out["lines"] = lambda: self.sql(line_rules.fused_once("told", rules)).select(names)
         return out
 
     def found(self) -> DataFrame:

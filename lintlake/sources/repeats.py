@@ -18,11 +18,13 @@ from pyspark.sql import SparkSession
 PIECE_BYTES = 16 << 20
 
 
-def distinct_lines(files: str, kind: str, spark: SparkSession | None = None) -> str:
+def distinct_lines(files: str, kind: str, spark: SparkSession | None = None, whole: bool = False) -> str:
     """The name of a view (path, lang, wide, text, places) of the SQL of ``files`` (path, lang, wide, content): a row for each line of
-    some files that share lang, wide and ``kind`` (SQL); ``places``: path and line of each of its places; ``path``: one of theirs."""
+    some files that share lang, wide and ``kind`` (SQL); ``places``: path and line of each of its places; ``path``: one of theirs. ``whole``: the files have
+    ``name`` and ``lines``, a place its file's name, and a line whether its files are ``long`` (more than 10 lines)."""
 
     most = PIECE_BYTES
+    of_place, of_line = (["path", "name"], ["path", "lang", "wide", "long"]) if whole else (["path"], ["path", "lang", "wide"])
 
     def pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         sizes = np.cumsum(pc.fill_null(pc.binary_length(batch["content"]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -45,13 +47,14 @@ def distinct_lines(files: str, kind: str, spark: SparkSession | None = None) ->
                 counts = np.bincount(group)
                 order = np.argsort(group.astype(np.uint16) if len(counts) < 1 << 16 else group, kind="stable")
                 first = order[np.cumsum(counts) - counts]
-                place = pa.StructArray.from_arrays([piece["path"].take(pa.array(file[order])), pa.array(line[order])], ["path", "line"])
+                place = pa.StructArray.from_arrays([*(piece[c].take(pa.array(file[order])) for c in of_place), pa.array(line[order])], [*of_place, "line"])
                 places = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), place)
-                told = [piece[c].take(pa.array(file[first])) for c in ("path", "lang", "wide")]
-                yield pa.RecordBatch.from_arrays([*told, text.take(pa.array(first)), places], ["path", "lang", "wide", "text", "places"])
+                told = [piece[c].take(pa.array(file[first])) for c in of_line]
+                yield pa.RecordBatch.from_arrays([*told, text.take(pa.array(first)), places], [*of_line, "text", "places"])
 
     spark = spark or SparkSession.active()
-    rows = spark.sql(f"SELECT path, lang, wide, concat_ws(',', lang, CAST(wide AS STRING), {kind}) AS kind, content FROM ({files})")
+    more, long = (", name, lines > 10 AS long", ", CAST(lines > 10 AS STRING)") if whole else ("", "")
+    rows = spark.sql(f"SELECT path, lang, wide{more}, concat_ws(',', lang, CAST(wide AS STRING){long}, {kind}) AS kind, content FROM ({files})")
     name = f"distinct_lines_{uuid.uuid4().hex[:12]}"
-    rows.mapInArrow(once, "path string, lang string, wide boolean, text string, places array<struct<path: string, line: bigint>>").createOrReplaceTempView(name)
+    rows.mapInArrow(once, f"path string, lang string, wide boolean{', long boolean' * whole}, text string, places array<struct<path: string{', name: string' * whole}, line: bigint>>").createOrReplaceTempView(name)
     return name
