@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lintlake.functions.dialect import Dialect
+from lintlake.functions.dialect import Dialect, Ordered
 from lintlake.model import JS, PY
 
 Select = Callable[[Dialect], str]
@@ -204,11 +204,15 @@ def insecure_random(d: Dialect) -> str:
     return _out(d, "medium", d.lit("Insecure Randomness"), f"(SELECT *, {flag} AS secret FROM {_events(d, 'lines', d.match('text', '(?i)(?:token|secret|password|key|nonce|salt|session|csrf)'), d.match('text', r'Math\.random\s*\(\s*\)'))} WHERE NOT wide)", f"secret = 1 AND {d.match('text', r'Math\.random\s*\(\s*\)')}")
 
 
+MARKED = "(?i)TODO|FIXME|HACK|XXX"
+
+
 def todo_density(d: Dialect) -> str:
-    source = f"(SELECT path, 1 AS line, sum(CASE WHEN {d.match('text', '(?i)TODO|FIXME|HACK|XXX')} THEN 1 ELSE 0 END) AS n, count(*) AS total FROM lines GROUP BY path)"
+    source = f"(SELECT path, 1 AS line, sum(CASE WHEN {d.match('text', MARKED)} THEN 1 ELSE 0 END) AS n, count(*) AS total FROM lines GROUP BY path)"
     if d.name == "spark":
-        marked = d.size(d.filter(d.split_lines("content"), "t", d.match("t", "(?i)TODO|FIXME|HACK|XXX")))
-        source = f"(SELECT path, 1 AS line, sum(n) AS n, sum(total) AS total FROM (SELECT path, {marked} AS n, lines AS total FROM files) GROUP BY path)"
+        marked = d.size(d.filter(d.split_lines("content"), "t", d.match("t", MARKED)))
+        each = "SELECT path, n, n_lines AS total FROM ordered WHERE kind = 'todo'" if isinstance(d, Ordered) else f"SELECT path, {marked} AS n, lines AS total FROM files"
+        source = f"(SELECT path, 1 AS line, sum(n) AS n, sum(total) AS total FROM ({each}) GROUP BY path)"
     share = "CAST(floor(100.0 * n / total + 0.5) AS BIGINT)"
     return _out(d, "medium", f"concat('High TODO density: ', CAST(n AS STRING), ' TODOs in ', CAST(total AS STRING), ' lines (', CAST({share} AS STRING), '%)')", source, "n >= 5 AND 1.0 * n / total > 0.05")
 
@@ -295,6 +299,8 @@ def long_file(d: Dialect, limit: int = 300) -> str:
 
 def _deepest(d: Dialect) -> str:
     """Spark: ``path, line, depth`` of the first of the deepest lines of each file, found in its row."""
+    if isinstance(d, Ordered):
+        return "(SELECT path, found.depth AS depth, -found.back AS line FROM (SELECT path, max(struct(n AS depth, -line AS back)) AS found FROM ordered WHERE kind = 'nesting' GROUP BY path))"
     indent = f"CAST((length(t) - length({d.replace('t', r'^\s+', '')})) div 4 AS BIGINT)"
     place = lambda depth, line: d.struct(depth=depth, back=f"-CAST({line} AS BIGINT)")
     py = f"array_max(transform(ls, (t, i) -> CASE WHEN {d.match('t', r'\S')} AND NOT {d.match('t', r'^\s*#')} THEN {place(indent, 'i + 1')} END))"

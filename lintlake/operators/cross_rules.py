@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from lintlake.functions.dialect import Dialect, Told
+from lintlake.functions.dialect import Dialect, Ordered, Told
 from lintlake.functions.literals import needed
 from lintlake.functions.versions import version_key
-from lintlake.model import CODE, IMPORTING, JS
+from lintlake.model import CODE, IMPORTING, JS, PY
 
 _TEST = r"(?i)test|spec|__tests__"
 # File names that need no importer, names that are called from outside, and other word lists.
@@ -167,7 +167,11 @@ def _by_place(d: Dialect, then: str) -> str:
 _FIRST_PLACE, _LAST_PLACE = "array_position(words, n.name)", "size(back) + 1 - array_position(back, n.name)"
 
 
-def _unused_import(d: Dialect, langs: str, pattern: str, pick: Callable[[str], str], anywhere: bool) -> str:
+def _unused_import(d: Dialect, kind: str) -> str:
+    if isinstance(d, Ordered):
+        return _out(d, "low", "concat('Unused import: ', name)", f"(SELECT path, line, name FROM ordered WHERE kind = 'unused_{kind}')")
+    of_langs, pattern, names_of, anywhere = IMPORTS[kind]
+    langs, pick = d.any_of("lang", of_langs), names_of(d)
     if d.name == "spark":
         line = lambda place: f"get(at_, CAST({place} AS INT) - 1)"
         elsewhere = f"{line(_FIRST_PLACE)} <> n.line OR {line(_LAST_PLACE)} <> n.line" if anywhere else f"{line(_LAST_PLACE)} > n.line"
@@ -187,25 +191,38 @@ def _listed(d: Dialect, pattern: str) -> Callable[[str], str]:
     return lambda t: d.transform(d.split(d.extract(t, pattern), ","), "p", d.trim(d.replace(d.trim("p"), r"^.*\s+as\s+", "")))
 
 
+_JS_NAMED, _JS_DEFAULT = r"^import\s+\{([^}]+)\}\s+from", r"^import\s+(\w+)\s+from"
+_PY_FROM, _PY_ALIAS = r"^from\s+\S+\s+import\s+(.+)", r"^import\s+\S+\s+as\s+(\w+)"
+
+
+def _default(d: Dialect) -> Callable[[str], str]:
+    said = lambda t: f"CASE WHEN NOT contains({t}, '{{{{') AND {d.extract(t, _JS_DEFAULT)} <> '_' THEN {d.extract(t, _JS_DEFAULT)} ELSE '' END"
+    return lambda t: d.array([said(t)])
+
+
+#: kind -> languages, the lines that import, the names that such a line has, and whether a use on any other line counts or only on a later one.
+IMPORTS: dict[str, tuple[tuple[str, ...], str, Callable[[Dialect], Callable[[str], str]], bool]] = {
+    "js_named": (JS, _JS_NAMED, lambda d: _listed(d, _JS_NAMED), True),
+    "js_default": (JS, _JS_DEFAULT, _default, False),
+    "py_from": (PY, _PY_FROM, lambda d: _listed(d, _PY_FROM), False),
+    "py_alias": (PY, _PY_ALIAS, lambda d: lambda t: d.array([d.extract(t, _PY_ALIAS)]), False),
+}
+
+
 def unused_named(d: Dialect) -> str:
-    pattern = r"^import\s+\{([^}]+)\}\s+from"
-    return _unused_import(d, d.any_of("lang", JS), pattern, _listed(d, pattern), True)
+    return _unused_import(d, "js_named")
 
 
 def unused_default(d: Dialect) -> str:
-    pattern = r"^import\s+(\w+)\s+from"
-    said = lambda t: f"CASE WHEN NOT contains({t}, '{{{{') AND {d.extract(t, pattern)} <> '_' THEN {d.extract(t, pattern)} ELSE '' END"
-    return _unused_import(d, d.any_of("lang", JS), pattern, lambda t: d.array([said(t)]), False)
+    return _unused_import(d, "js_default")
 
 
 def unused_from(d: Dialect) -> str:
-    pattern = r"^from\s+\S+\s+import\s+(.+)"
-    return _unused_import(d, "lang = 'py'", pattern, _listed(d, pattern), False)
+    return _unused_import(d, "py_from")
 
 
 def unused_alias(d: Dialect) -> str:
-    pattern = r"^import\s+\S+\s+as\s+(\w+)"
-    return _unused_import(d, "lang = 'py'", pattern, lambda t: d.array([d.extract(t, pattern)]), False)
+    return _unused_import(d, "py_alias")
 
 
 def _first(most: int | None) -> str:
@@ -216,15 +233,26 @@ def _limit(most: int | None) -> str:
     return "" if most is None else f"ORDER BY path, line LIMIT {most}"
 
 
-def unused_var(d: Dialect, most: int | None = 4) -> str:
-    """Names that their file never says again; the first ``most`` of each file, or all."""
+def variables(d: Dialect) -> list[tuple[str, str, Callable[[str], str]]]:
+    """Languages, the lines that name a variable, and its name as an array."""
     js, py = r"^\s*(?:const|let)\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*=(?:[^=]|$)", r"^([a-zA-Z_][a-zA-Z0-9_]*)\s*=\s*"
-    kinds = [
+    return [
         (d.any_of("lang", JS), js, lambda t: d.array([f"CASE WHEN {d.any_of(d.extract(t, js), KNOWN_JS)} THEN '' ELSE {d.extract(t, js)} END"])),
         ("lang = 'py'", py, lambda t: d.array([f"CASE WHEN {d.match(t, '^[^=]*,')} OR {d.any_of(d.extract(t, py), KNOWN_PY)} THEN '' ELSE {d.extract(t, py)} END"])),
     ]
+
+
+def is_variable(d: Dialect) -> str:
+    return f"length(x) > 1 AND NOT {d.match('x', '^_')}"
+
+
+def unused_var(d: Dialect, most: int | None = 4) -> str:
+    """Names that their file never says again; the first ``most`` of each file, or all."""
+    if isinstance(d, Ordered):
+        return _out(d, "low", "concat('Unused variable: ', name)", f"(SELECT path, line, name, n AS nth FROM ordered WHERE kind = 'unused_var' AND NOT {d.match('path', _TEST)})", _first(most))
+    kinds = variables(d)
     if d.name == "spark":
-        index = f"(SELECT * FROM {_indexed(d, kinds, f"length(x) > 1 AND NOT {d.match('x', '^_')}")} WHERE NOT {d.match('path', _TEST)})"
+        index = f"(SELECT * FROM {_indexed(d, kinds, is_variable(d))} WHERE NOT {d.match('path', _TEST)})"
         once = _by_place(d, f"array_sort(filter(names, n -> NOT array_contains(words, n.name) OR {_FIRST_PLACE} = {_LAST_PLACE}))")
         shown = once if most is None else f"slice({once}, 1, {most})"
         return _out(d, "low", "concat('Unused variable: ', name)", f"(SELECT path, n.line, n.name FROM (SELECT path, explode({shown}) AS n FROM {index}))")
@@ -269,12 +297,17 @@ def unused_function(d: Dialect, most: int | None = 20) -> str:
 # -- duplicates ------------------------------------------------------------------------------------------
 
 
+def is_code(d: Dialect, t: str) -> str:
+    """Whether a line is neither blank nor a comment."""
+    return f"{d.trim(t)} <> '' AND NOT {d.match(t, r'^\s*(?://|#)')}"
+
+
 def _blocks(d: Dialect, n: int) -> str:
     """``path, line, k``: a key for the text of each n lines that follow each other, of which 4 are neither blank nor comments.
 
     Spark makes them in the row of a file, and no text leaves it; the checking SQL takes windows over lines.
     """
-    said = lambda t: f"CASE WHEN {d.trim(t)} <> '' AND NOT {d.match(t, r'^\s*(?://|#)')} THEN 1 ELSE 0 END"
+    said = lambda t: f"CASE WHEN {is_code(d, t)} THEN 1 ELSE 0 END"
     if d.name == "spark":
         files = f"(SELECT path, ls, {d.transform('ls', 't', said('t'))} AS said FROM (SELECT path, {d.split_lines('content')} AS ls FROM files WHERE lines > 10 AND {d.any_of('lang', CODE)}) WHERE size(ls) >= {n})"
         key = f"CASE WHEN aggregate(slice(said, i + 1, {n}), 0, (a, x) -> a + x) >= 4 THEN unhex(md5({d.joined(f'slice(ls, i + 1, {n})', chr(10))})) END"
@@ -287,6 +320,9 @@ def _blocks(d: Dialect, n: int) -> str:
 
 
 def exact_block(d: Dialect, n: int = 6) -> str:
+    if isinstance(d, Ordered):  # a place is the rank of a path and a line, as one number
+        every = "SELECT min(first_place) AS place FROM (SELECT inline(keys) FROM ordered WHERE kind = 'blocks') GROUP BY a, b HAVING max(last_rank) <> shiftright(min(first_place), 32)"
+        return _out(d, "medium", d.lit(f"Duplicate code block ({n} lines)"), f"({every}) JOIN ranks ON rank = shiftright(place, 32)", line="place & 4294967295L")
     grouped = f"(SELECT min({d.at()}) AS place FROM {_blocks(d, n)} GROUP BY k HAVING min(path) <> max(path))"
     return _out(d, "medium", d.lit(f"Duplicate code block ({n} lines)"), grouped, file=d.file_of("place"), line=d.line_of("place"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from lintlake.functions.dialect import SPARK, Dialect
+from lintlake.functions.dialect import SPARK, Dialect, Ordered
 from lintlake.functions.literals import needed
 from lintlake.model import CODE, COMPLEX, JS, Settings
 from lintlake.operators import spans as folds
@@ -45,6 +45,7 @@ _NEST = r"\b(?:if|else\s*if|for|while|do|switch|try|catch)\b"
 _PY_NEST = r"^\s*(?:if|for|while|with|try|except|elif|else)\b"
 _SKIPPED = r"^\s*(?://|#|\*)"
 _BRACE_LOOP = r"(?i)^\s*(?:for|while|foreach)\s*[(\s]"
+_CATCH, _LOGS, _ACTS = r"\}\s*catch\s*\(", r"console[.](?:log|warn)\s*[(]", "throw|reject|return"
 _HEADING = r"\s*(?:step\s*\d*[:.]\s*|phase\s*\d*[:.]\s*|[-─=*]{2,}\s*)?.{4,50}"
 _SLASHED = ("js", "ts", "jsx", "tsx", "go", "java", "cs", "kt", "rs")
 _CLIKE = ("java", "cs", "kt", "go", "rs", "cpp", "c", "php", "rb")
@@ -145,15 +146,20 @@ def _line(n: str) -> str:
     return f"element_at(ls, CAST({n} AS INT))"
 
 
-def found_in(x: Extractor) -> str:
-    """Spark: the spans of an extractor in a row of ``folds.shaped``, as an array of numbers."""
-    d, name = SPARK, _name(SPARK, x, "t")
+def begins(x: Extractor, t: str) -> str:
+    """Spark: whether a line t is a head."""
+    d, name = SPARK, _name(SPARK, x, t)
     named = f"length({name}) >= {x.letters}"
     if x.js == _JS_ANY:
-        named += f" AND NOT ({d.any_of('lang', JS)} AND {d.any_of(name, _CONTROL)}) AND NOT ({d.any_of('lang', _CLIKE)} AND {d.match('t', _NOT_C)})"
+        named += f" AND NOT ({d.any_of('lang', JS)} AND {d.any_of(name, _CONTROL)}) AND NOT ({d.any_of('lang', _CLIKE)} AND {d.match(t, _NOT_C)})"
     # a text that every match has is looked for first; these patterns have no capitals, and "(" alone is quicker than many words
-    head = lambda p: f"{d.contains('t', '(') if p in _CALLED else needed(d, p, 't')} AND {d.match('t', p)}"
-    return folds.found(x, f"{_by_lang(d, *map(head, (x.python, x.js, x.other)))} AND {named}", _least(d, x))
+    head = lambda p: f"{d.contains(t, '(') if p in _CALLED else needed(d, p, t)} AND {d.match(t, p)}"
+    return f"{_by_lang(d, *map(head, (x.python, x.js, x.other)))} AND {named}"
+
+
+def found_in(x: Extractor) -> str:
+    """Spark: the spans of an extractor in a row of ``folds.shaped``, as an array of numbers."""
+    return folds.found(x, begins(x, "t"), _least(SPARK, x))
 
 
 def spans(d: Dialect, x: Extractor) -> str:
@@ -214,7 +220,7 @@ def _level(d: Dialect, levels: tuple, k: int) -> str:
 
 def _smelly(d: Dialect, select: str) -> str:
     if d.name == "spark":
-        return f"SELECT path AS file, {select} FROM fn_smell WHERE n_lines >= 5"
+        return f"SELECT path AS file, {select} FROM {'functions_smell' if isinstance(d, Ordered) else 'fn_smell'} WHERE n_lines >= 5"
     return f"SELECT path AS file, {select} FROM fn_smell JOIN (SELECT path AS p, max(line) AS n_lines FROM lines GROUP BY path) AS z ON path = p WHERE n_lines >= 5"
 
 
@@ -244,6 +250,8 @@ def _decisions(d: Dialect, text: str) -> str:
 
 def cyclomatic_scores(d: Dialect) -> str:
     """path, head, tail, n: one more than the decisions. In Spark they are counted in the text of the whole function, with its name."""
+    if isinstance(d, Ordered):
+        return "SELECT path, head, tail, name, n FROM functions_cc"
     if d.name == "spark":
         return f"SELECT path, head, tail, name, {d.let('b', d.joined('body', chr(10)), f'1 + {_decisions(d, "b")}')} AS n FROM fn_cc"
     return f"SELECT path, head, max(tail) AS tail, CAST(1 + sum({_decisions(d, 'text')}) AS BIGINT) AS n FROM {inside(d, 'fn_cc')} GROUP BY path, head"
@@ -262,6 +270,8 @@ def cognitive_scores(d: Dialect) -> str:
     keywords before it, a bare else adds 1, a line of more closing than opening braces lowers the depth by the
     difference, and a line with a boolean operator adds 1.
     """
+    if isinstance(d, Ordered):
+        return "SELECT path, lang, name, head AS line, tail, score FROM functions_cog"
     if d.name == "spark":
         return f"SELECT path, lang, name, head AS line, tail, {_cognitive_fold(d)} AS score FROM fn_cog"
     counts = f"{d.trim('text')} <> '' AND NOT {d.match('text', _SKIPPED)}"
@@ -280,11 +290,16 @@ def cognitive_scores(d: Dialect) -> str:
     return f"SELECT path, lang, name, head AS line, tail, coalesce(score, 0) AS score FROM fn_cog LEFT JOIN {scored} ON path = p AND head = h"
 
 
+def python_nesting(d: Dialect, t: str) -> str:
+    """Spark: what a line of Python adds to a score."""
+    wide = f"length(replace({d.extract(t, r'^(\s*)')}, chr(9), '    '))"
+    return f"CASE WHEN {d.match(t, _PY_NEST)} THEN 1 + greatest(0, {wide} div 4 - 1) ELSE 0 END"
+
+
 def _cognitive_fold(d: Dialect) -> str:
     """The score of a body, line by line: the depth of keywords so far goes from one to the next."""
     state = "STRUCT<depth: BIGINT, score: BIGINT>"
-    wide = f"length(replace({d.extract('t', r'^(\s*)')}, chr(9), '    '))"
-    py = f"CASE WHEN {d.match('t', _PY_NEST)} THEN 1 + greatest(0, {wide} div 4 - 1) ELSE 0 END"
+    py = python_nesting(d, "t")
     joins = f"CASE WHEN {d.match('t', '&&|[|][|]')} THEN 1 ELSE 0 END"
     fall = f"greatest(0, {folds.number('}')} - {folds.number('{')})"
     made = d.struct(depth=f"greatest(0L, a.depth + 1 - {fall})", score=f"a.score + 1 + a.depth + {joins}")
@@ -334,7 +349,7 @@ def _open_queries(d: Dialect) -> str:
 def _logged_only(d: Dialect) -> str:
     """Spark: whether the lines behind a catch clause, up to its end, log and do nothing else."""
     balance = "a.balance + length(replace(t, '}', '')) - length(replace(t, '{', ''))"
-    logs, acts = (f"a.{n} OR (a.n > 0 AND {d.match('t', p)})" for n, p in (("logs", r"console[.](?:log|warn)\s*[(]"), ("acts", "throw|reject|return")))
+    logs, acts = (f"a.{n} OR (a.n > 0 AND {d.match('t', p)})" for n, p in (("logs", _LOGS), ("acts", _ACTS)))
     step = f"CASE WHEN a.done THEN a ELSE {d.let('z', balance, d.struct(n='a.n + 1', balance='z', done='z = 0 AND a.n >= 2', logs=logs, acts=acts))} END"
     zero = d.struct(n="0", balance="0", done="false", logs="false", acts="false")
     return f"aggregate(ls, {zero}, (a, t) -> {step}, a -> a.done AND a.logs AND NOT a.acts)"
@@ -342,6 +357,8 @@ def _logged_only(d: Dialect) -> str:
 
 def n_plus_one(d: Dialect, s: Settings) -> str:
     """Queries on a line behind a loop's own while its brackets are open."""
+    if isinstance(d, Ordered):
+        return f"SELECT path AS file, line, CAST(NULL AS BIGINT) AS line_end, 'high' AS severity, {d.lit('Possible N+1 query — DB query inside a loop')} AS title FROM ordered WHERE kind = 'n_plus_one'"
     if d.name == "spark":
         found = f"(SELECT path, at_, explode({_open_queries(d)}) AS hit FROM {_stretch_rows(d, _LOOPS, 'TRUE')})"
         return f"SELECT path AS file, CAST(at_ + hit + 1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'high' AS severity, {d.lit('Possible N+1 query — DB query inside a loop')} AS title FROM {found}"
@@ -352,6 +369,8 @@ def n_plus_one(d: Dialect, s: Settings) -> str:
 
 def catch_logs(d: Dialect, s: Settings) -> str:
     """Catch clauses whose lines, up to the first balanced one two lines or more behind, log and do nothing else."""
+    if isinstance(d, Ordered):
+        return f"SELECT path AS file, line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {d.lit('Catch only logs — error not propagated')} AS title FROM ordered WHERE kind = 'catch_logs'"
     if d.name == "spark":
         return f"SELECT path AS file, CAST(at_ + 1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {d.lit('Catch only logs — error not propagated')} AS title FROM {_stretch_rows(d, r'\}\s*catch\s*\(', d.any_of('lang', JS))} WHERE {_logged_only(d)}"
     lines = _stretch(d, r"\}\s*catch\s*\(", f"({d.count('text', '[{]')} - {d.count('text', '[}]')})", d.any_of("lang", JS))
@@ -365,15 +384,26 @@ def catch_logs(d: Dialect, s: Settings) -> str:
 _BIG = "(SELECT path AS bp, lines AS n_lines, name AS file_name FROM files WHERE lines >= 60)"
 
 
-def _long(s: Settings) -> str:
-    """Spark: the functions that are long enough to be split, in files that are."""
+def _long(d: Dialect, s: Settings) -> str:
+    """Spark: the functions that are long enough to be split, in files that are. Where each text is told once, ``path`` has its places, and its lines count from 1 on."""
+    if isinstance(d, Ordered):
+        return "(SELECT places AS path, lang, name, body, 1L AS head, CAST(size(body) AS BIGINT) AS tail FROM functions_long)"
     return f"(SELECT * FROM fn_split WHERE n_lines >= 60 AND tail - head + 1 >= {s.fn_lines})"
 
 
+def _everywhere(d: Dialect, select: str) -> str:
+    """The issues of functions ``_long`` at all of their places."""
+    if not isinstance(d, Ordered):
+        return select
+    return f"SELECT place.path AS file, place.line + line - 1 AS line, place.line + line_end - 1 AS line_end, severity, title FROM (SELECT *, explode(file) AS place FROM ({select}))"
+
+
 def _long_lines(d: Dialect, s: Settings) -> str:
-    """The lines of functions that are long enough to be split, in files that are."""
+    """The lines of functions that are long enough to be split, in files that are; where each text is told once, at its first place."""
+    if isinstance(d, Ordered):
+        return inside(d, "(SELECT places[0].path AS path, places[0].line AS head, lang, name, sig, body FROM functions_long)")
     if d.name == "spark":
-        return inside(d, _long(s))
+        return inside(d, _long(d, s))
     return f"(SELECT path, lang, line, text, head, tail FROM {inside(d, 'fn_split')} JOIN {_BIG} ON path = bp WHERE tail - head + 1 >= {s.fn_lines})"
 
 
@@ -396,7 +426,7 @@ def blocks(d: Dialect, s: Settings) -> str:
         where = heading.replace("line - head > 2", "i > 2")
         kinds = f"transform(body, (t, i) -> {d.let('bare', d.trim('t'), f"CASE WHEN {where} THEN 'h' WHEN bare = '' THEN 'b' ELSE 'n' END")})"
         title = "concat('Split suggestion: ', name, ' (', CAST(tail - head + 1 AS STRING), ' lines, ', CAST(n AS STRING), ' natural blocks)')"
-        return f"SELECT path AS file, head AS line, tail AS line_end, 'low' AS severity, {title} AS title FROM (SELECT path, head, tail, name, {_block_fold(d, kinds)} AS n FROM {_long(s)}) WHERE n >= 2"
+        return _everywhere(d, f"SELECT path AS file, head AS line, tail AS line_end, 'low' AS severity, {title} AS title FROM (SELECT path, head, tail, name, {_block_fold(d, kinds)} AS n FROM {_long(d, s)}) WHERE n >= 2")
     bare = f"(SELECT path, lang, line, head, tail, {d.trim('text')} AS bare FROM {_long_lines(d, s)})"
     kind = f"(SELECT path, line, head, tail, CASE WHEN {heading} THEN 'h' WHEN bare = '' THEN 'b' ELSE 'n' END AS kind FROM {bare})"
     back = lambda k: f"coalesce(lag(kind, {k}) OVER (PARTITION BY path, head ORDER BY line), 'n')"
@@ -442,6 +472,9 @@ def param_subset(d: Dialect, s: Settings) -> str:
     used = f"(SELECT path, head, a, b, name, listed, {named} AS used FROM {met} WHERE {d.size('names')} > 3)"
     ranked = f"(SELECT *, row_number() OVER (PARTITION BY path, head ORDER BY a) AS nth FROM {used} WHERE {d.size('used')} BETWEEN 1 AND 2)"
     title = f"concat('Extractable block in ', name, ': uses only ', {d.joined('used', ', ')}, ' of ', CAST({d.size(d.split('listed', ','))} AS STRING), ' params')"
+    if isinstance(d, Ordered):
+        each = f"(SELECT *, explode(places) AS place FROM {ranked} JOIN (SELECT places, places[0].path AS p_, places[0].line AS h_ FROM functions_long) ON path = p_ AND head = h_ WHERE nth = 1)"
+        return f"SELECT place.path AS file, place.line + a - head AS line, place.line + b - head AS line_end, 'low' AS severity, {title} AS title FROM {each}"
     return f"SELECT path AS file, a AS line, b AS line_end, 'low' AS severity, {title} AS title FROM {ranked} WHERE nth = 1"
 
 
@@ -452,8 +485,8 @@ def loop_body(d: Dialect, s: Settings) -> str:
         events = d.filter(f"transform(body, (t, i) -> {d.struct(line='head + i', opens=folds.number('{'), closes=folds.number('}'), fn=fn)})", "e", "e.opens + e.closes > 0 OR e.fn")
         held = d.filter(f"array_sort({folds.by_braces(events, 200, '0')})", "f", f"{folds.tail_of('f')} - {folds.head_of('f')} > 10")
         title = "concat('Long loop body in ', name, ' (', CAST(line_end - line AS STRING), ' lines)')"
-        both = f"SELECT path, name, {folds.head_of('f')} AS line, {folds.tail_of('f')} AS line_end FROM (SELECT path, name, explode(slice({held}, 1, 2)) AS f FROM {_long(s)})"
-        return f"SELECT path AS file, line, line_end, 'low' AS severity, {title} AS title FROM ({both})"
+        both = f"SELECT path, name, {folds.head_of('f')} AS line, {folds.tail_of('f')} AS line_end FROM (SELECT path, name, explode(slice({held}, 1, 2)) AS f FROM {_long(d, s)})"
+        return _everywhere(d, f"SELECT path AS file, line, line_end, 'low' AS severity, {title} AS title FROM ({both})")
     braces = f"(SELECT * FROM {_braces(d, CODE)})"
     starts = f"(SELECT * FROM {braces} WHERE {d.match('text', _BRACE_LOOP)})"
     closed = f"(SELECT path AS cp, line AS at_, close FROM {_closed(starts, braces, 'lang')})"
@@ -467,7 +500,8 @@ def file_nouns(d: Dialect, s: Settings) -> str:
     parts = f"CASE WHEN contains(name, '_') THEN name ELSE {d.replace('name', '([a-z])([A-Z])', '$1_$2')} END"
     last = f"lower({d.extract(f'({parts})', r'[^_]_+([^_]{3,})_*$')})"
     own = ", max(file_name) AS file_name, max(n_lines) AS n_lines" if d.name == "spark" else ""
-    words = f"(SELECT path, {last} AS noun, count(*) AS n{own} FROM fn_split GROUP BY path, {last})"
+    counted = "sum(n) AS n{} FROM functions_split" if isinstance(d, Ordered) else "count(*) AS n{} FROM fn_split"
+    words = f"(SELECT path, {last} AS noun, {counted.format(own)} GROUP BY path, {last})"
     groups = f"(SELECT path{own}, sum(n) AS n_fns, sum(CASE WHEN noun <> '' AND n >= 3 THEN 1 ELSE 0 END) AS shared FROM {words} GROUP BY path)"
     title = "concat('Split file: ', file_name, ' (', CAST(n_lines AS STRING), ' lines, ', CAST(n_fns AS STRING), ' fns)')"
     return f"SELECT path AS file, CAST(1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {title} AS title FROM {groups}{'' if own else f' JOIN {_BIG} ON path = bp'} WHERE n_lines > 300 AND n_fns > 10 AND shared >= 2"
@@ -476,6 +510,8 @@ def file_nouns(d: Dialect, s: Settings) -> str:
 def call_isolated(d: Dialect, s: Settings) -> str:
     """Files of six functions or more with two groups that never call each other."""
     title = "concat('Call-isolated groups in ', file_name, ' — functions that never call each other')"
+    if isinstance(d, Ordered):
+        return f"SELECT path AS file, CAST(1 AS BIGINT) AS line, CAST(NULL AS BIGINT) AS line_end, 'low' AS severity, {title} AS title FROM ordered WHERE kind = 'isolated'"
     if d.name == "spark":
         calls = f"array_distinct({d.extract_all(d.joined('body', chr(10)), r'\b(\w+)\s*[(]')})"
         found = f"(SELECT path, max(file_name) AS file_name, collect_set(name) AS known, flatten(collect_list({d.transform(calls, 'c', d.struct(a='name', b='c'))})) AS calls FROM fn_split WHERE n_lines >= 60 GROUP BY path HAVING count(*) >= 6)"
@@ -497,12 +533,16 @@ def shapes(d: Dialect) -> str:
     spark = d.name == "spark"
     text = d.joined("body", chr(10)) if spark else "body"
     source = "fn_body" if spark else f"(SELECT path, head, {d.listed('text', 'line', chr(10))} AS body FROM {inside(d, 'fn_body')} GROUP BY path, head)"
-    own = "tail, name, n_lines, " if spark else ""
+    own = "name, places, " if isinstance(d, Ordered) else "tail, name, n_lines, " if spark else ""
+    if isinstance(d, Ordered):  # each text once
+        source = "(SELECT 0 AS path, 0 AS head, name, places, body FROM functions_body)"
     words = f"(SELECT path, head, {own}{d.extract_all(text, r'(\w+|\W+)')} AS words FROM {source})"
     names = d.first_of_each(d.filter("words", "w", f"{d.match('w', '^[a-z_][a-zA-Z0-9_]{2,}$')} AND NOT {d.any_of('w', _KEYWORDS)}"))
     place = "coalesce(array_position(ns, w), 0)"
     renamed = d.let("ns", names, d.joined(d.transform("words", "w", f"CASE WHEN {place} > 0 THEN concat('$', CAST({place} - 1 AS STRING)) ELSE w END"), ""))
     shape = d.trim(d.replace("renamed", r"\s+", " "))
+    if isinstance(d, Ordered):
+        return f"SELECT place.path AS path, place.line AS head, name, shape FROM (SELECT name, md5(shape) AS shape, explode(places) AS place FROM (SELECT name, places, {shape} AS shape FROM (SELECT name, places, {renamed} AS renamed FROM {words})) WHERE length(shape) > 50)"
     if spark:
         return f"SELECT path, head, tail, name, n_lines, md5(shape) AS shape FROM (SELECT path, head, {own}{shape} AS shape FROM (SELECT path, head, {own}{renamed} AS renamed FROM {words})) WHERE length(shape) > 50"
     made = f"(SELECT path AS sp, head AS sh, {shape} AS shape FROM (SELECT path, head, {renamed} AS renamed FROM {words}))"
@@ -513,7 +553,7 @@ def structural_duplicates(d: Dialect, s: Settings) -> str:
     """One issue for each shape that two files have: at the first file's first such function."""
     key = f"concat({d.at('path', 'head')}, chr(1), name)"
     if d.name == "spark":
-        each = f"(SELECT shape, path, min({key}) AS f FROM ({shapes(d)}) WHERE n_lines > 10 GROUP BY shape, path)"
+        each = f"(SELECT shape, path, min({key}) AS f FROM ({shapes(d)}){'' if isinstance(d, Ordered) else ' WHERE n_lines > 10'} GROUP BY shape, path)"
         two = f"(SELECT shape, f, row_number() OVER (PARTITION BY shape ORDER BY f) AS nth FROM {each})"
         both = f"(SELECT shape, min(f) AS a, max(f) AS b FROM {two} WHERE nth <= 2 GROUP BY shape HAVING count(*) = 2)"
     else:

@@ -11,9 +11,9 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions.dialect import SPARK, TOLD
+from lintlake.functions.dialect import ORDERED, SPARK, TOLD
 from lintlake.model import Settings
-from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules
+from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules, ordered
 from lintlake.plans import report
 from lintlake.sources import corpora, repeats
 
@@ -22,7 +22,8 @@ PARALLEL = 6
 
 
 class Analysis:
-    """Issues of ``files`` (path, name, lang, content). The lines are split once and written, each once with its places, for all rules to read."""
+    """Issues of ``files`` (path, name, lang, content). The lines are split once and written, each once with its places, for all rules to read;
+    what rules ask of lines in their order is found in one pass, and written as well."""
 
     def __init__(self, files: DataFrame, settings: Settings = Settings(), categories: list[str] | None = None, advisories: DataFrame | None = None, more: dict[str, Callable[[Analysis], DataFrame]] | None = None) -> None:
         """``advisories``: as ``sources.advisories.read`` gives them. ``more``: further analyzers by category; each gives file, line,
@@ -43,31 +44,52 @@ class Analysis:
         self.spark.sql(f"{both} SELECT * FROM files").write.parquet(f"{self.folder}/files")
         self.files = self._read("files")
         self.tables = ["files"]  # the rest is made of them, side by side
-        needed = sorted({t for c, tables, _ in function_rules.RULES.values() if self.wants(c) for t in tables})
         once = repeats.distinct_lines(f"SELECT * FROM files_{key}", line_rules.path_kind(SPARK), self.spark, whole=True)
-        made = {"told": f"SELECT * FROM {once}"} | {t: function_rules.spans(SPARK, function_rules.EXTRACTORS[t]) for t in needed}
-        self._side_by_side({f"{self.folder}/{name}": (lambda sql=sql: self.sql(sql)) for name, sql in made.items()})
-        for name in ("told", *needed):
-            self._read(name)
-        self.tables += ["told", *needed]
-
-    def _read(self, name: str) -> DataFrame:
-        """A written table, and a view of it for the analysis' statements."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}")
+        made = {"told": lambda: self.sql(f"SELECT * FROM {once}")}
+        wanted = [k for k in ordered.kinds() if self.wants(k.category)]
+        if wanted:
+            self.sql("SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS rank FROM (SELECT DISTINCT path FROM files)").write.parquet(f"{self.folder}/ranks")
+            self._read("ranks")
+            ranked = f"SELECT f.path, name, coalesce(lang, '') AS lang, CAST(lines AS BIGINT) AS n_lines, rank, content FROM files_{key} AS f JOIN ranks_{key} AS r ON f.path <=> r.path"
+            made["ordered"] = lambda: ordered.found(self.spark, ranked, settings, wanted)
+        self._side_by_side({f"{self.folder}/{name}": df for name, df in made.items()})
+        self._read("told")
+        self.tables.append("told")
+        if wanted:
+            self._read("ordered", ordered.SCHEMA)
+            self.tables += ["ranks", "ordered"]
+
+    def _read(self, name: str, schema: str = "") -> DataFrame:
+        """A written table, and a view of it for the analysis' statements. ``schema``: of a table that may have no file."""
+        df = (self.spark.read.schema(schema) if schema else self.spark.read).parquet(f"{self.folder}/{name}")
         df.createOrReplaceTempView(f"{name}_{self.key}")
         return df
 
     def _side_by_side(self, made: dict[str, Callable[[], DataFrame]]) -> None:
-        """Write each table below its path, some at once."""
+        """Write each table below its path, some at once; one of several kinds of rows by kind."""
+
+        def write(x: tuple[str, Callable[[], DataFrame]]) -> None:
+            df = x[1]()
+            (df.write.partitionBy("kind") if "kind" in df.columns else df.write).parquet(x[0])
+
         with ThreadPoolExecutor(PARALLEL) as pool:
-            list(pool.map(inheritable_thread_target(self.spark)(lambda x: x[1]().write.parquet(x[0])), made.items()))
+            list(pool.map(inheritable_thread_target(self.spark)(write), made.items()))
 
     def sql(self, select: str, more: str = "", spark: SparkSession | None = None) -> DataFrame:
         spark = spark or self.spark
         # a path is listed, and its schema read by a job, for every statement that names it; a view once
-        table = (lambda n: f"{n}_{self.key}") if spark is self.spark else (lambda n: f"parquet.`{self.folder}/{n}`")
-        tables = ", ".join(f"{n} AS (SELECT * FROM {table(n)})" for n in self.tables) + (f", lines AS ({TOLD.LINES})" if "told" in self.tables else "")
-        return spark.sql(f"WITH {tables}{more} {select}")
+        own = spark is self.spark
+        table = (lambda n: f"{n}_{self.key}") if own else (lambda n: f"parquet.`{self.folder}/{n}`")
+        known = {n: f"SELECT * FROM {table(n)}" for n in self.tables}
+        if own and "ordered" in self.tables:  # reports, which other sessions ask for, read files and lines
+            known |= {n: v.format(rows=table("ordered")) for n, v in ordered.VIEWS.items()}
+        if own and "told" in self.tables:
+            known |= {n: function_rules.spans(SPARK, x) for n, x in function_rules.EXTRACTORS.items()}
+        said = f"{more} {select}"
+        lines = "told" in self.tables and "lines" in said
+        # every table of a statement is planned, whether it is read or not
+        named = [f"{n} AS ({v})" for n, v in known.items() if n == "files" or n in said or (lines and n == "told")]
+        return spark.sql(f"WITH {', '.join(named)}{f', lines AS ({TOLD.LINES})' if lines else ''}{more} {select}")
 
     def close(self) -> None:
         """Delete the written tables; what was not collected or written elsewhere by then is gone. Else Spark does it when the session ends."""
@@ -104,11 +126,11 @@ class Analysis:
 
         for key, (category, select) in (context_rules.RULES | cross_rules.RULES).items():
             if self.wants(category):
-                sql = context_rules.long_file(TOLD, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(TOLD, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(TOLD, self.settings.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(TOLD, table=self.advisories) if key == "dep_vulnerable" else select(TOLD)
+                sql = context_rules.long_file(ORDERED, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(ORDERED, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(ORDERED, self.settings.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(ORDERED, table=self.advisories) if key == "dep_vulnerable" else select(ORDERED)
                 add(category, key, self.sql(sql))
         for key, (category, _, select) in function_rules.RULES.items():
             if self.wants(category):
-                add(category, key, self.sql(select(TOLD, self.settings)))
+                add(category, key, self.sql(select(ORDERED, self.settings)))
         for category, analyzer in self.more.items():
             if self.wants(category):
                 add(category, f"{category}_more", analyzer(self))
