@@ -25,6 +25,10 @@ def _beside(d: Dialect, blocks: dict[str, tuple[int, int]], hit: Callable[[str],
     """Lines of some languages with the texts of ``blocks`` (name: first and last line behind this one). Spark takes only lines that
     ``hit`` (SQL of a text), in the row of their file: no line is sorted, and no text is joined for a line that has no issue."""
     where = f" WHERE {langs}" if langs else ""
+    if isinstance(d, Ordered):  # each line once with each of its surroundings
+        texts = "".join(f", body[{k + 1}] AS {n}" for k, n in enumerate(blocks))
+        told = d.ask("beside", {"hit": f"{langs or 'TRUE'} AND {hit('text')}"}, f"lang, body[0] AS text{texts}, places", blocks=tuple(blocks.values()))
+        return f"(SELECT place.path AS path, place.name AS name, place.line AS line, lang, text{''.join(f', {n}' for n in blocks)} FROM (SELECT *, explode(places) AS place FROM {told}))"
     if d.name != "spark":
         return f"(SELECT *, {', '.join(f'{d.block(*b)} AS {n}' for n, b in blocks.items())} FROM lines{where})"
     text = lambda first, last: f"array_join(slice(ls, greatest(i + 1 + {first}, 1), greatest(i + 1 + {last} - greatest(i + 1 + {first}, 1) + 1, 0)), '\\n')"
@@ -117,6 +121,10 @@ def in_loop(langs, start: str, hit: str, reset: str, severity: str, title: str,
     """The first line of each loop that matches ``hit``: a loop opens at ``start``, and closes at ``reset`` or a hit."""
 
     def make(d: Dialect) -> str:
+        if isinstance(d, Ordered):
+            of = d.any_of("lang", langs)
+            found = d.ask("in_loop", {n: f"{of} AND {d.match('text', p)}" for n, p in (("opens", start), ("hits", hit), ("closes", reset))})
+            return _out(d, severity, d.lit(title), found, f"NOT {d.match('path', path_not)}" if path_not else "TRUE")
         flags = f"(SELECT *, {d.match('text', start)} AS opens, {d.match('text', hit)} AS hits, {d.match('text', reset)} AS closes FROM lines WHERE {d.any_of('lang', langs)})"
         events = f"(SELECT *, CASE WHEN hits OR closes THEN 0 WHEN opens THEN 1 END AS event FROM {_events(d, flags, 'hits', 'closes', 'opens')})"
         seen = f"(SELECT *, {d.last_seen('event')} AS before FROM {events})"
@@ -126,6 +134,10 @@ def in_loop(langs, start: str, hit: str, reset: str, severity: str, title: str,
 
 
 def naked_return(d: Dialect) -> str:
+    if isinstance(d, Ordered):
+        func = f"lang = 'go' AND {d.match('text', r'^func\s')}"
+        found = d.ask("soon_after", {"before": func, "named": f"{func} AND {d.match('text', r'\)\s*\(')}", "hits": f"lang = 'go' AND {d.match('text', r'^\s*return\s*$')}"}, most=30)
+        return _out(d, "low", d.lit("Naked return — reduces readability"), found)
     marks = f"(SELECT *, CASE WHEN {d.match('text', r'^func\s')} THEN line END AS fn_line, CASE WHEN {d.match('text', r'^func\s')} THEN CASE WHEN {d.match('text', r'\)\s*\(')} THEN 1 ELSE 0 END END AS named FROM {_events(d, 'lines', d.match('text', r'^func\s'), d.match('text', r'^\s*return\s*$'))} WHERE lang = 'go')"
     seen = f"(SELECT *, {d.last_seen('fn_line')} AS fn_at, {d.last_seen('named')} AS fn_named FROM {marks})"
     return _out(d, "low", d.lit("Naked return — reduces readability"), seen, f"{d.match('text', r'^\s*return\s*$')} AND fn_named = 1 AND line - fn_at <= 30")
@@ -134,11 +146,19 @@ def naked_return(d: Dialect) -> str:
 def module_global(d: Dialect) -> str:
     top = f"min(CASE WHEN {d.match('text', r'^(?:class|def)\s')} THEN line END) OVER (PARTITION BY path)"
     name = d.extract("text", r"^([a-z_]\w*)\s*=")
-    where = f"{d.match('text', r'^[a-z_]\w*\s*=\s*.+')} AND NOT {d.match('text', r'^[a-z_]\w*\s*=\s*(?:lambda|None)')} AND {name} NOT IN ('self', 'cls', '__all__') AND (top IS NULL OR line < top)"
+    said = f"{d.match('text', r'^[a-z_]\w*\s*=\s*.+')} AND NOT {d.match('text', r'^[a-z_]\w*\s*=\s*(?:lambda|None)')} AND {name} NOT IN ('self', 'cls', '__all__')"
+    if isinstance(d, Ordered):
+        found = d.ask("until", {"until": f"lang = 'py' AND {d.match('text', r'^(?:class|def)\s')}", "hits": f"lang = 'py' AND {said}", "name": f"CASE WHEN lang = 'py' AND {said} THEN {name} END"}, "path, line, name")
+        return _out(d, "low", "concat('Module-level mutable variable: ', name)", found)
+    where = f"{said} AND (top IS NULL OR line < top)"
     return _out(d, "low", f"concat('Module-level mutable variable: ', {name})", f"(SELECT *, {top} AS top FROM {_events(d, 'lines', d.match('text', r'^(?:class|def)\s'), d.match('text', r'^[a-z_]\w*\s*='))} WHERE lang = 'py')", where)
 
 
 def buried_import(d: Dialect) -> str:
+    if isinstance(d, Ordered):
+        of = d.any_of("lang", (*JS, "mjs"))
+        found = d.ask("behind", {"before": f"{of} AND {d.match('text', r'^\s*(?:function|class|if|for|while|\{)')}", "hits": f"{of} AND {d.match('text', r'^\s+')} AND {d.match('text', r'\b(?:require|import)\s*\(')}"})
+        return _out(d, "low", d.lit("Import buried inside function/block"), found)
     opener = f"max(CASE WHEN {d.match('text', r'^\s*(?:function|class|if|for|while|\{)')} THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return _out(d, "low", d.lit("Import buried inside function/block"), f"(SELECT *, {opener} AS inner_ FROM {_events(d, 'lines', d.match('text', r'^\s*(?:function|class|if|for|while|\{)'), d.match('text', r'\b(?:require|import)\s*\('))} WHERE {d.any_of('lang', (*JS, 'mjs'))})", f"{d.match('text', r'^\s+')} AND {d.match('text', r'\b(?:require|import)\s*\(')} AND inner_ = 1")
 
@@ -146,6 +166,8 @@ def buried_import(d: Dialect) -> str:
 def repeated_import(langs, pattern: str) -> Select:
     def make(d: Dialect) -> str:
         text = d.trim("text")
+        if isinstance(d, Ordered):
+            return _out(d, "low", "concat('Duplicate import: ', name)", d.ask("again", {"name": f"CASE WHEN {d.any_of('lang', langs)} AND {d.match(text, pattern)} THEN {d.extract(text, pattern)} END"}, "path, line, name"))
         source = f"(SELECT *, {d.extract(text, pattern)} AS module FROM lines WHERE {d.any_of('lang', langs)} AND {d.match(text, pattern)})"
         ranked = f"(SELECT *, row_number() OVER (PARTITION BY path, module ORDER BY line) AS nth FROM {source})"
         return _out(d, "low", "concat('Duplicate import: ', module)", ranked, "nth > 1")
@@ -156,7 +178,10 @@ def repeated_import(langs, pattern: str) -> Select:
 def commented_code(d: Dialect) -> str:
     stripped = d.replace("text", r"^\s*(?://|#)\s*", "")
     code = " OR ".join(d.match("stripped", p) for p in (r"^\s*(?:const|let|var|def|return|if|for|while|import|from|function|class)\s", r";\s*$|\(\s*\)|=>\s*\{|\)\s*\{", r"\w+\s*\(.*\)|=\s*\w+\s*[;,]"))
-    source = f"(SELECT * FROM (SELECT *, {stripped} AS stripped FROM lines) WHERE {d.match('text', r'^\s*(?://|#)')} AND NOT {d.match('text', r'(?i)(?://|#|<!--)\s*(?:TODO|FIXME|HACK|BUG|XXX|OPTIMIZE)\b')} AND ({code}))"
+    said = f"{d.match('text', r'^\s*(?://|#)')} AND NOT {d.match('text', r'(?i)(?://|#|<!--)\s*(?:TODO|FIXME|HACK|BUG|XXX|OPTIMIZE)\b')}"
+    if isinstance(d, Ordered):
+        return _out(d, "low", d.lit("Commented-out code block"), d.ask("runs", {"hits": f"{said} AND {d.let('stripped', stripped, code)}"}, least=3))
+    source = f"(SELECT * FROM (SELECT *, {stripped} AS stripped FROM lines) WHERE {said} AND ({code}))"
     islands = f"(SELECT *, line - row_number() OVER (PARTITION BY path ORDER BY line) AS island FROM {source})"
     ranked = f"(SELECT *, row_number() OVER (PARTITION BY path, island ORDER BY line) AS nth FROM {islands})"
     return _out(d, "low", d.lit("Commented-out code block"), ranked, "nth = 3", "line - 2")
@@ -180,6 +205,9 @@ def counted(langs, pattern: str, least: int, title: str, path_not: str = _TEST,
         middle = "CASE WHEN n > 1 THEN 's' ELSE '' END" if plural else "''"
         a, _, b = after.partition("%s")
         text = f"concat({d.lit(before)}, CAST(n AS STRING), {d.lit(a)}, {middle}, {d.lit(b)})"
+        if isinstance(d, Ordered):
+            told = d.ask("counts", {"hits": f"{d.any_of('lang', langs)} AND {d.match('text', pattern)}"}, "path, n, line")
+            return _out(d, "low", text, f"(SELECT path, sum(n) AS n, min(line) AS line FROM {told} WHERE NOT {d.match('path', path_not)} GROUP BY path)", f"n >= {least}")
         source = f"(SELECT path, count(*) AS n, min(line) AS line FROM lines WHERE {d.any_of('lang', langs)} AND NOT {d.match('path', path_not)} AND {d.match('text', pattern)} GROUP BY path)"
         return _out(d, "low", text, source, f"n >= {least}")
 
@@ -190,6 +218,9 @@ def first_in_python(pattern: str, title: str, unless: str = "", also: str = "")
     """The first matching line of a Python file, if the file has no line like ``unless`` and one like ``also``."""
 
     def make(d: Dialect) -> str:
+        if isinstance(d, Ordered):
+            marks = {n: f"lang = 'py' AND {d.match('text', p)}" for n, p in (("hits", pattern), ("unless", unless), ("also", also)) if p}
+            return _out(d, "high", d.lit(title), d.ask("first", marks, narrow=True))
         more = "".join(f", max(CASE WHEN {d.match('text', p)} THEN 1 ELSE 0 END) AS {n}" for p, n in ((unless, "bad"), (also, "good")) if p)
         lines = _events(d, "lines", *(d.match("text", p) for p in (pattern, unless, also) if p))
         source = f"(SELECT path, min(CASE WHEN {d.match('text', pattern)} THEN line END) AS line{more} FROM {lines} WHERE lang = 'py' AND NOT wide GROUP BY path)"
@@ -200,6 +231,9 @@ def first_in_python(pattern: str, title: str, unless: str = "", also: str = "")
 
 
 def insecure_random(d: Dialect) -> str:
+    if isinstance(d, Ordered):
+        marks = {"hits": d.match("text", r"Math\.random\s*\(\s*\)"), "also": d.match("text", "(?i)(?:token|secret|password|key|nonce|salt|session|csrf)")}
+        return _out(d, "medium", d.lit("Insecure Randomness"), d.ask("every", marks, narrow=True))
     flag = f"max(CASE WHEN {d.match('text', '(?i)(?:token|secret|password|key|nonce|salt|session|csrf)')} THEN 1 ELSE 0 END) OVER (PARTITION BY path)"
     return _out(d, "medium", d.lit("Insecure Randomness"), f"(SELECT *, {flag} AS secret FROM {_events(d, 'lines', d.match('text', '(?i)(?:token|secret|password|key|nonce|salt|session|csrf)'), d.match('text', r'Math\.random\s*\(\s*\)'))} WHERE NOT wide)", f"secret = 1 AND {d.match('text', r'Math\.random\s*\(\s*\)')}")
 
@@ -221,6 +255,9 @@ def unpaired(on: str, off: str, most: int, title: str) -> Select:
     """The first lines of a JavaScript file that match ``on``, if none matches ``off``."""
 
     def make(d: Dialect) -> str:
+        if isinstance(d, Ordered):
+            marks = {n: f"{d.any_of('lang', JS)} AND {d.match('text', p)}" for n, p in (("hits", on), ("unless", off))}
+            return _out(d, "medium", d.lit(title), d.ask("every", marks, "path, line, n"), f"n <= {most}")
         flags = f"(SELECT path, line, {d.match('text', on)} AS hit, max(CASE WHEN {d.match('text', off)} THEN 1 ELSE 0 END) OVER (PARTITION BY path) AS paired FROM {_events(d, 'lines', d.match('text', on), d.match('text', off))} WHERE {d.any_of('lang', JS)})"
         ranked = f"(SELECT path, line, row_number() OVER (PARTITION BY path ORDER BY line) AS nth FROM {flags} WHERE hit AND paired = 0)"
         return _out(d, "medium", d.lit(title), ranked, f"nth <= {most}")

@@ -113,6 +113,9 @@ def import_sources(d: Dialect) -> str:
         (d.any_of("lang", ("java", "cs")), r"^(?:import|using)\s+([\w.]+)"),
     ]
     found = d.array([f"CASE WHEN {c} AND {d.match('text', p)} THEN {d.extract('text', p)} END" for c, p in rows])
+    if isinstance(d, Ordered):
+        told = d.ask("of_files", {"words": f"CASE WHEN {d.any_of('lang', (*js, 'py', 'go', 'java', 'cs'))} THEN {d.filter(found, 'x', 'x IS NOT NULL')} END"}, "path, name AS source")
+        return f"SELECT DISTINCT path, lower(split_part({d.replace('source', r'^.*/', '')}, '.', 1)) AS base FROM {told}"
     union = d.unnest(f"(SELECT path, {d.filter(found, 'x', 'x IS NOT NULL')} AS found FROM lines WHERE {d.any_of('lang', (*js, 'py', 'go', 'java', 'cs'))})", "found", "source", "path")
     base = f"lower(split_part({d.replace('source', r'^.*/', '')}, '.', 1))"
     return f"SELECT DISTINCT path, {base} AS base FROM ({union})"
@@ -288,9 +291,15 @@ def unused_function(d: Dialect, most: int | None = 20) -> str:
     """Functions that nothing calls; a definition is no call. In all files together, the first ``most``, or all."""
     words = d.extract_all("text", r"\b([a-zA-Z_][a-zA-Z0-9_]{2,})\s*\(")
     own = f"CASE WHEN {d.any_of('lang', tuple(USED_PATTERNS))} THEN {_definition(d)} ELSE '' END"
+    looked = lambda name: f"{name} <> '' AND NOT {d.any_of(name, CALLED_OUTSIDE)} AND NOT {d.match(name, CALLED_PATTERN)} AND NOT contains(text, 'export')"
+    if isinstance(d, Ordered):
+        calls = d.ask("distinct", {"words": f"CASE WHEN {d.any_of('lang', CODE)} AND contains(text, '(') THEN {d.let('own', own, d.filter(words, 'w', 'w <> own'))} END"}, "name")
+        told = d.ask("places", {"name": f"CASE WHEN {d.any_of('lang', tuple(USED_PATTERNS))} THEN {d.let('own', _definition(d), f'CASE WHEN {looked("own")} THEN own END')} END"}, "name, places")
+        free = f"(SELECT path, line, name FROM (SELECT name, inline(places) AS (path, file_name, line) FROM {told} AS f WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT name FROM {calls}) AS k WHERE k.name = f.name)) {_limit(most)})"
+        return _out(d, "low", "concat('Unused function: ', name)", free)
     calls = d.unnest(f"(SELECT {d.let('own', own, d.filter(words, 'w', 'w <> own'))} AS words FROM {d.texts()} WHERE {d.any_of('lang', CODE)} AND contains(text, '('))", "words", "name", "1 AS one")
     defined = f"(SELECT path, line, text, {_definition(d)} AS name FROM lines WHERE {d.any_of('lang', tuple(USED_PATTERNS))})"
-    free = f"(SELECT path, line, name FROM {defined} AS f WHERE name <> '' AND NOT {d.any_of('name', CALLED_OUTSIDE)} AND NOT {d.match('name', CALLED_PATTERN)} AND NOT contains(text, 'export') AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT name FROM ({calls})) AS k WHERE k.name = f.name) {_limit(most)})"
+    free = f"(SELECT path, line, name FROM {defined} AS f WHERE {looked('name')} AND NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT name FROM ({calls})) AS k WHERE k.name = f.name) {_limit(most)})"
     return _out(d, "low", "concat('Unused function: ', name)", free)
 
 
@@ -350,6 +359,10 @@ def magic_value(d: Dialect) -> str:
     texts = d.transform(d.filter(d.extract_all("text", quoted), "v", f"length(v) <= 62 AND NOT {d.any_of(f'lower({bare})', BORING)}"), "v", f"concat({marks}, {bare}, {marks})")
     numbers = d.transform(d.filter(d.extract_all("text", r"\b(\d{3,})\b"), "v", f"NOT {d.any_of('v', BORING_NUMBERS)}"), "v", "concat('#', v)")
     said = d.concat([texts, numbers])
+    if isinstance(d, Ordered):
+        told = d.ask("values", {"words": f"CASE WHEN {d.any_of('lang', CODE)} THEN {said} END"}, "path, line, name AS v, n", beyond=10)
+        grouped = f"(SELECT v, sum(n) AS n, count(DISTINCT path) AS f, min({d.at()}) AS place FROM {told} GROUP BY v HAVING sum(n) >= 5 AND count(DISTINCT path) >= 2)"
+        return _out(d, "low", "concat('Magic value repeated ', CAST(n AS STRING), '× across ', CAST(f AS STRING), ' files: ', v)", grouped, file=d.file_of("place"), line=d.line_of("place"))
     some = d.on_lines(f"long AND {d.any_of('lang', CODE)} AND {d.size(said)} > 0", found=said) if isinstance(d, Told) else f"(SELECT path, line, {said} AS found FROM {_long_files(d)})"
     each = d.unnest(some, "found", "v", "path, line")
     grouped = f"(SELECT v, count(*) AS n, count(DISTINCT path) AS f, min({d.at()}) AS place FROM ({each}) GROUP BY v HAVING count(*) >= 5 AND count(DISTINCT path) >= 2)"
@@ -363,6 +376,8 @@ def fn_names(d: Dialect) -> str:
     plain = _by_lang(d, NAME_PATTERNS, d.extract("text", NAME_PATTERNS["js"]))
     family = d.any_of("lang", tuple(x for x in CODE if x not in NAME_PATTERNS or x == "js"))
     name = f"CASE WHEN {plain} = '' AND {family} THEN {d.extract('text', _ARROW)} ELSE {plain} END"
+    if isinstance(d, Ordered):  # where each is first
+        return f"SELECT path, line, name FROM {d.ask('first_places', {'name': f'CASE WHEN {d.any_of("lang", CODE)} THEN {d.let("own", name, f"CASE WHEN length(own) >= 2 AND NOT {d.any_of("own", NOT_NAMES)} THEN own END")} END'}, 'path, line, name')}"
     if d.name == "spark":
         return f"SELECT path, line, fn AS name FROM {d.on_lines(f'{d.any_of("lang", CODE)} AND length({name}) >= 2 AND NOT {d.any_of(name, NOT_NAMES)}', fn=name)}"
     return f"SELECT path, line, name FROM (SELECT path, line, {name} AS name FROM lines WHERE {d.any_of('lang', CODE)}) WHERE length(name) >= 2 AND NOT {d.any_of('name', NOT_NAMES)}"
@@ -410,6 +425,8 @@ def import_edges(d: Dialect) -> str:
     java_source = dots(d.extract("text", r"^(?:import|using)\s+([\w.]+)"))
     source = f"CASE WHEN {d.any_of('lang', js)} THEN {js_source} WHEN lang = 'py' THEN {py_source} WHEN lang = 'go' THEN {go_source} WHEN {d.any_of('lang', ('java', 'cs'))} THEN {java_source} ELSE '' END"
     refs = f"(SELECT path, lang, {source} AS source FROM lines WHERE {d.any_of('lang', IMPORTING)})"
+    if isinstance(d, Ordered):
+        refs = d.ask("of_files", {"words": f"CASE WHEN {d.any_of('lang', IMPORTING)} THEN filter(array({source}), x -> x <> '') END"}, "path, lang, name AS source")
     local = f"({d.match('source', '^[.]')} OR (NOT {d.match('source', '^@')} AND contains(source, '/')) OR {d.any_of('lang', ('py', 'go', 'java', 'cs'))})"
     named = f"(SELECT DISTINCT path AS src, {d.replace(f'lower({d.replace("source", "^.*/", "")})', r'\.[^.]+$', '')} AS base FROM {refs} WHERE source <> '' AND {local})"
     known = f"(SELECT path AS dst, {_file_base(d)} AS base FROM files WHERE {d.any_of('lang', IMPORTING)})"
@@ -440,6 +457,9 @@ def source_fns(d: Dialect) -> str:
     """Functions outside test files."""
     patterns = {k: v for k, v in TESTED_PATTERNS.items() if k not in _TESTED_OTHER}
     name = _by_lang(d, patterns, d.extract("text", TESTED_PATTERNS["js"]))
+    if isinstance(d, Ordered):
+        told = d.ask("named", {"name": f"CASE WHEN {d.any_of('lang', CODE)} THEN {d.let('own', name, f'CASE WHEN length(own) >= 3 AND NOT {d.any_of("own", NOT_TESTED)} THEN own END')} END"}, "path, file_name AS name, line, name AS fn")
+        return f"SELECT path, line, fn FROM {told} WHERE NOT {_is_test(d)}"
     if d.name == "spark":
         said = d.on_lines(f"{d.any_of('lang', CODE)} AND length({name}) >= 3 AND NOT {d.any_of(name, NOT_TESTED)}", fn=name)
         return f"SELECT path, line, fn FROM {said} WHERE NOT {_is_test(d)}"

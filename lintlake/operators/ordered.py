@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,23 +21,26 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lintlake.functions.dialect import SPARK as D
+from lintlake.functions.dialect import Ordered
 from lintlake.model import CODE, JS, Settings
 from lintlake.operators import context_rules, cross_rules
 from lintlake.operators import function_rules as fns
 from lintlake.sources import repeats
 
+#: How much larger the batches are here than those of ``repeats``: many more patterns are asked of each line, and places are numbers.
+_PIECES = 3
 #: Rows of keys of blocks that one row holds.
 _CHUNK = 4096
-_FILE = pa.struct([("path", pa.string()), ("name", pa.string()), ("lang", pa.string()), ("n_lines", pa.int64()), ("rank", pa.int64())])
+_FILE = pa.struct([("path", pa.string()), ("name", pa.string()), ("lang", pa.string()), ("n_lines", pa.int64()), ("rank", pa.int64()), ("wide", pa.bool_())])
 _KEY = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("first_place", pa.int64()), ("last_rank", pa.int64())])
-_PLACE = pa.struct([("path", pa.string()), ("line", pa.int64())])
+_PLACE = pa.struct([("path", pa.string()), ("name", pa.string()), ("line", pa.int64())])
 _TOLD = pa.schema([("head", pa.list_(_FILE)), ("n", pa.int64()), ("lang", pa.string()), ("text", pa.string()), ("at", pa.list_(pa.int32()))])
 _OUT = pa.schema([
     ("kind", pa.string()), ("path", pa.string()), ("file_name", pa.string()), ("lang", pa.string()), ("n_lines", pa.int64()), ("name", pa.string()), ("sig", pa.string()), ("params", pa.int64()),
     ("line", pa.int64()), ("tail", pa.int64()), ("n", pa.int64()), ("body", pa.list_(pa.string())), ("places", pa.list_(_PLACE)), ("keys", pa.list_(_KEY)),
 ])
-SCHEMA = "kind string, path string, file_name string, lang string, n_lines long, name string, sig string, params long, line long, tail long, n long, body array<string>, places array<struct<path: string, line: long>>, keys array<struct<a: long, b: long, first_place: long, last_rank: long>>"
-_FILES_DDL = "head array<struct<path: string, name: string, lang: string, n_lines: long, rank: long>>, n long, lang string, text string, at array<int>"
+SCHEMA = "kind string, path string, file_name string, lang string, n_lines long, name string, sig string, params long, line long, tail long, n long, body array<string>, places array<struct<path: string, name: string, line: long>>, keys array<struct<a: long, b: long, first_place: long, last_rank: long>>"
+_FILES_DDL = "head array<struct<path: string, name: string, lang: string, n_lines: long, rank: long, wide: boolean>>, n long, lang string, text string, at array<int>"
 
 
 def _told(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -77,7 +81,8 @@ class Piece:
     """Some files' lines in order. A place counts lines from 0 on through all of the files; ``said`` has a row for each line of a language."""
 
     def __init__(self, files: pa.StructArray, said: pa.Table) -> None:
-        self.path, self.name, self.lang, n_lines, rank = (files.field(k) for k in range(5))
+        self.path, self.name, self.lang, n_lines, rank, wide = (files.field(k) for k in range(6))
+        self.wide = wide.to_numpy(zero_copy_only=False)
         self.n_lines, self.rank = n_lines.to_numpy(zero_copy_only=False), rank.to_numpy(zero_copy_only=False)
         self.stop = np.cumsum(self.n_lines)
         self.start = self.stop - self.n_lines
@@ -152,6 +157,19 @@ class Piece:
         nth = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each) + np.repeat(begins[u], each)
         return np.repeat(places, each), number[nth]
 
+    def places(self, every: np.ndarray, counts) -> pa.ListArray:
+        """Lists of some places that follow each other."""
+        file = pa.array(self.file[every])
+        place = pa.StructArray.from_arrays([self.path.take(file), self.name.take(file), pa.array(self.line(every))], fields=list(_PLACE))
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), place)
+
+    def named(self, column: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """The places of the lines that have a name, the numbers of the names, and the names."""
+        names = self.column(column).dictionary_encode()
+        number = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False)[self.uid]
+        at = np.flatnonzero(number >= 0)
+        return at, number[at].astype(np.int64), names.dictionary
+
     def rows(self, kind: str, size: int, /, **columns) -> pa.RecordBatch:
         made = {k: v if isinstance(v, pa.Array) else pa.array(np.asarray(v).astype(np.int64)) for k, v in columns.items()} | {"kind": pa.repeat(pa.scalar(kind), size)}
         return pa.RecordBatch.from_arrays([made[f.name].cast(f.type) if f.name in made else pa.nulls(size, f.type) for f in _OUT], schema=_OUT)
@@ -263,8 +281,7 @@ def _bodies(p: Piece, kind: str, heads: np.ndarray, tails: np.ndarray, **columns
     offsets = np.cumsum(lengths) - lengths
     at = np.arange(int(lengths.sum())) + np.repeat(heads[one] - offsets, lengths)
     body = pa.ListArray.from_arrays(pa.array(np.r_[offsets, lengths.sum()].astype(np.int32)), p.column("text").take(pa.array(p.uid[at])))
-    place = pa.StructArray.from_arrays([p.path.take(pa.array(p.file[every])), pa.array(p.line(every))], fields=list(_PLACE))
-    places = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(ks) for ks in met.values()])].astype(np.int32)), place)
+    places = p.places(every, [len(ks) for ks in met.values()])
     u = pa.array(p.uid[heads[one]])
     yield p.rows(kind, len(one), lang=p.lang.take(pa.array(p.file[heads[one]])), body=body, places=places, **{k: p.column(c).take(u) for k, c in columns.items()})
 
@@ -457,6 +474,143 @@ def _blocks(p: Piece, s: Settings) -> Iterator[pa.RecordBatch]:
     yield p.rows("blocks", len(ends) - 1, keys=pa.ListArray.from_arrays(pa.array(ends), every))
 
 
+# -- what rules ask for with ``Ordered.ask`` ----------------------------------------------------------------------
+
+
+def _beside(p: Piece, kind: str, marks: dict[str, str], blocks: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
+    """Lines with the texts of the lines from ``first`` to ``last`` behind them: a row for each of these texts, with its places."""
+    hits = p.where(marks["hit"])
+    if not len(hits):
+        return
+    file = p.file[hits]
+    bounds = [(np.maximum(hits + a, p.start[file]).tolist(), np.minimum(hits + b + 1, p.stop[file]).tolist()) for a, b in blocks]
+    met: dict[tuple, list[int]] = {}
+    for k, hit in enumerate(hits.tolist()):
+        met.setdefault((p.uid[hit], *(p.uid[begin[k] : max(end[k], begin[k])].tobytes() for begin, end in bounds)), []).append(k)
+    if not hasattr(p, "texts"):
+        p.texts = p.column("text").to_pylist()
+    bodies = [[p.texts[key[0]], *("\n".join([p.texts[u] for u in np.frombuffer(x, np.int64).tolist()]) for x in key[1:])] for key in met]
+    every = hits[np.concatenate([np.array(ks) for ks in met.values()])]
+    first = np.array([ks[0] for ks in met.values()])
+    yield p.rows(kind, len(bodies), lang=p.lang.take(pa.array(file[first])), body=pa.array(bodies, pa.list_(pa.string())), places=p.places(every, [len(ks) for ks in met.values()]))
+
+
+def _in_loop(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """The first hit of each loop: a loop opens, and closes at what closes it or a hit."""
+    opens, hits, closes = (p.lines(marks[n], False) for n in ("opens", "hits", "closes"))
+    at = np.flatnonzero(opens | hits | closes)
+    inside = ~(hits | closes)[at]
+    before = np.r_[False, inside[:-1] & (p.file[at[1:]] == p.file[at[:-1]])] if len(at) else inside
+    yield p.at_places(kind, at[hits[at] & (opens[at] | before)])
+
+
+def _last_before(p: Piece, places: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The last of ``places`` before each place, in its file; -1 where there is none."""
+    found = np.r_[-1, places][np.searchsorted(places, at)]
+    return np.where(found >= p.start[p.file[at]], found, -1)
+
+
+def _soon_after(p: Piece, kind: str, marks: dict[str, str], most: int) -> Iterator[pa.RecordBatch]:
+    """Hits whose last line before is a named one, and at most some lines before."""
+    hits = p.where(marks["hits"])
+    last = _last_before(p, p.where(marks["before"]), hits)
+    yield p.at_places(kind, hits[(last >= 0) & p.lines(marks["named"], False)[last] & (hits - last <= most)])
+
+
+def _behind(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    hits = p.where(marks["hits"])
+    yield p.at_places(kind, hits[_last_before(p, p.where(marks["before"]), hits) >= 0])
+
+
+def _until(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Hits before the first line of their file that ends them, with their names."""
+    hits = p.where(marks["hits"])
+    hits = hits[(_last_before(p, p.where(marks["until"]), hits) < 0) & ~p.lines(marks["until"], False)[hits]]
+    yield p.at_places(kind, hits, name=p.column(marks["name"]).take(pa.array(p.uid[hits])))
+
+
+def _again(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Lines with a name that an earlier line of their file has."""
+    at, name, names = p.named(marks["name"])
+    _, first = np.unique(p.file[at] * max(len(names), 1) + name, return_index=True)
+    more = np.ones(len(at), bool)
+    more[first] = False
+    yield p.at_places(kind, at[more], name=names.take(pa.array(name[more])))
+
+
+def _runs(p: Piece, kind: str, marks: dict[str, str], least: int) -> Iterator[pa.RecordBatch]:
+    """The first lines of runs of some hits or more."""
+    at = p.where(marks["hits"])
+    begins = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (p.file[at[1:]] != p.file[at[:-1]])]) if len(at) else at
+    yield p.at_places(kind, at[begins[np.diff(np.r_[begins, len(at)]) >= least]])
+
+
+def _counts(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    at = p.where(marks["hits"])
+    _, first, n = np.unique(p.file[at], return_index=True, return_counts=True)
+    yield p.at_places(kind, at[first], n=n)
+
+
+def _every(p: Piece, kind: str, marks: dict[str, str], narrow: bool = False) -> Iterator[pa.RecordBatch]:
+    """Hits, numbered in their file, of files that have a line ``also`` and none ``unless``; ``narrow``: and no very long lines."""
+    good = ~p.wide if narrow else np.ones(len(p.path), bool)
+    for mark, yes in (("also", True), ("unless", False)):
+        if mark in marks:
+            has = np.zeros(len(p.path), bool)
+            has[p.file[p.where(marks[mark])]] = True
+            good = good & (has == yes)
+    at = p.where(marks["hits"])
+    at = at[good[p.file[at]]]
+    yield p.at_places(kind, at, n=np.arange(len(at)) - np.searchsorted(p.file[at], p.file[at]) + 1)
+
+
+def _first(p: Piece, kind: str, marks: dict[str, str], narrow: bool = False) -> Iterator[pa.RecordBatch]:
+    for rows in _every(p, kind, marks, narrow):
+        yield rows.filter(pc.equal(rows["n"], 1))
+
+
+def _named(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    at, name, names = p.named(marks["name"])
+    yield p.at_places(kind, at, name=names.take(pa.array(name)), file_name=p.name.take(pa.array(p.file[at])))
+
+
+def _first_places(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Each name once, where it is first in the order of paths and lines."""
+    at, name, names = p.named(marks["name"])
+    order = np.lexsort((at, p.rank[p.file[at]], name))
+    _, first = np.unique(name[order], return_index=True)
+    some = order[first]
+    yield p.at_places(kind, at[some], name=names.take(pa.array(name[some])))
+
+
+def _places(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """Each name once, with its places."""
+    at, name, names = p.named(marks["name"])
+    order = np.argsort(name, kind="stable")
+    met, n = np.unique(name, return_counts=True)
+    yield p.rows(kind, len(met), name=names.take(pa.array(met)), places=p.places(at[order], n))
+
+
+def _distinct(p: Piece, kind: str, marks: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    words = pc.drop_null(pc.unique(p.column(marks["words"]).flatten()))
+    yield p.rows(kind, len(words), name=words)
+
+
+def _values(p: Piece, kind: str, marks: dict[str, str], beyond: int = 0) -> Iterator[pa.RecordBatch]:
+    """The words of files of more than some lines, each once for a file: how often it is there, and on which line first."""
+    known = pc.drop_null(pc.unique(p.column(marks["words"]).flatten()))
+    at, word = p.words(marks["words"], known, np.flatnonzero((p.n_lines > beyond)[p.file]))
+    _, first, n = np.unique(p.file[at] * max(len(known), 1) + word, return_index=True, return_counts=True)
+    yield p.at_places(kind, at[first], name=known.take(pa.array(word[first])), n=n, lang=p.lang.take(pa.array(p.file[at[first]])))
+
+
+#: How rows are found.
+WAYS = {
+    "beside": _beside, "in_loop": _in_loop, "soon_after": _soon_after, "behind": _behind, "until": _until, "again": _again, "runs": _runs, "counts": _counts, "every": _every, "first": _first,
+    "named": _named, "first_places": _first_places, "places": _places, "distinct": _distinct, "values": _values, "of_files": _values,
+}
+
+
 # -- the pass ----------------------------------------------------------------------------------------------
 
 
@@ -503,7 +657,23 @@ def _adds() -> str:
     return f"CAST(CASE WHEN NOT {_COUNTS} THEN 0 WHEN lang = 'py' THEN {py} ELSE {other} END AS INT)"
 
 
-def kinds() -> list[Kind]:
+def _asked(how: str, kind: str, names: dict[str, str], more: dict, p: Piece, s: Settings) -> Iterator[pa.RecordBatch]:
+    return WAYS[how](p, kind, names, **more)
+
+
+def kinds(rules: dict[str, Callable[[Ordered], str]], wants: Callable[[str], bool]) -> list[Kind]:
+    """The kinds of rows of the categories that are wanted, and those that ``rules`` ask for."""
+    d = Ordered()
+    for select in rules.values():
+        select(d)
+    asked = []
+    for kind, (how, marks, more) in d.asked.items():
+        names = {n: f"{kind}_{n}" for n in marks}
+        asked.append(Kind("", {names[n]: v for n, v in marks.items()}, partial(_asked, how, kind, names, more)))
+    return [k for k in _own() if wants(k.category)] + asked
+
+
+def _own() -> list[Kind]:
     cc, cog = fns.EXTRACTORS["fn_cc"], fns.EXTRACTORS["fn_cog"]
     plist = fns._plist(D, fns.EXTRACTORS["fn_smell"], "text")
     return [
@@ -536,9 +706,9 @@ def _found(made: list[Callable], s: Settings) -> Callable[[Iterator[pa.RecordBat
 def found(spark: SparkSession, files: str, s: Settings, wanted: list[Kind]) -> DataFrame:
     """Rows of ``SCHEMA``. ``files``: SQL of path, name, lang, n_lines, rank (paths in order) and content."""
     told = f"told_{repeats.fresh()}"
-    spark.sql(files).mapInArrow(_told(repeats.PIECE_BYTES), _FILES_DDL).createOrReplaceTempView(told)
+    spark.sql(files).mapInArrow(_told(_PIECES * repeats.PIECE_BYTES), _FILES_DDL).createOrReplaceTempView(told)
     marks = {k: v for kind in wanted for k, v in kind.marks.items()}
-    rows = f"SELECT head, n, lang, text, at, {', '.join(f'{v} AS {k}' for k, v in marks.items())} FROM {told}"
+    rows = f"SELECT head, n, lang, text, at, {', '.join(f'{v} AS {k}' for k, v in marks.items())} FROM (SELECT *, false AS wide, lower(text) AS low FROM {told})"
     if "plist" in marks:
         rows = f"SELECT *, {fns._n_params(D)} AS params FROM ({rows})"
     return spark.sql(rows).mapInArrow(_found([k.made for k in wanted], s), SCHEMA)
@@ -552,5 +722,5 @@ VIEWS = {
     "functions_split": "SELECT path, name, file_name, n_lines, n FROM {rows} WHERE kind = 'fn_split'",
     "functions_long": "SELECT lang, name, sig, body, places FROM {rows} WHERE kind = 'fn_long'",
     "functions_body": "SELECT lang, name, body, places FROM {rows} WHERE kind = 'fn_body'",
-    "ordered": "SELECT kind, path, file_name, name, line, n, n_lines, keys FROM {rows}",
+    "ordered": "SELECT kind, path, file_name, lang, name, line, n, n_lines, body, places, keys FROM {rows}",
 }

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.functions.dialect import ORDERED, SPARK, TOLD
+from lintlake.functions.dialect import ORDERED, SPARK, TOLD, Dialect
 from lintlake.model import Settings
 from lintlake.operators import context_rules, cross_rules, function_rules, graph, line_rules, ordered
 from lintlake.plans import report
@@ -46,11 +46,13 @@ class Analysis:
         self.tables = ["files"]  # the rest is made of them, side by side
         once = repeats.distinct_lines(f"SELECT * FROM files_{key}", line_rules.path_kind(SPARK), self.spark, whole=True)
         made = {"told": lambda: self.sql(f"SELECT * FROM {once}")}
-        wanted = [k for k in ordered.kinds() if self.wants(k.category)]
+        rules = {k: (c, lambda d, k=k, f=f: self._select(d, k, f)) for k, (c, f) in (context_rules.RULES | cross_rules.RULES).items()}
+        rules |= {"circular_scc": ("circular", cross_rules.import_edges), "sec_high_entropy": ("security", report.high_entropy)}
+        wanted = ordered.kinds({k: f for k, (c, f) in rules.items() if self.wants(c)}, self.wants)
         if wanted:
             self.sql("SELECT path, CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS rank FROM (SELECT DISTINCT path FROM files)").write.parquet(f"{self.folder}/ranks")
             self._read("ranks")
-            ranked = f"SELECT f.path, name, coalesce(lang, '') AS lang, CAST(lines AS BIGINT) AS n_lines, rank, content FROM files_{key} AS f JOIN ranks_{key} AS r ON f.path <=> r.path"
+            ranked = f"SELECT f.path, name, coalesce(lang, '') AS lang, CAST(lines AS BIGINT) AS n_lines, coalesce(wide, false) AS wide, rank, content FROM files_{key} AS f JOIN ranks_{key} AS r ON f.path <=> r.path"
             made["ordered"] = lambda: ordered.found(self.spark, ranked, settings, wanted)
         self._side_by_side({f"{self.folder}/{name}": df for name, df in made.items()})
         self._read("told")
@@ -105,13 +107,18 @@ class Analysis:
     def wants(self, category: str) -> bool:
         return self.categories is None or category in self.categories
 
+    def _select(self, d: Dialect, key: str, select: Callable[[Dialect], str]) -> str:
+        """The SQL of a rule with the settings."""
+        s = self.settings
+        return context_rules.long_file(d, s.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(d, s.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(d, s.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(d, table=self.advisories) if key == "dep_vulnerable" else select(d)
+
     def parts(self) -> dict[str, DataFrame]:
         """The issues before deduplication (category, rule, file, line, severity, title), in parts that are found apart."""
         return {name: part() for name, part in self._parts().items()}
 
     def _cycles(self) -> DataFrame:
         """The issues of files in import cycles; every member carries the penalty. Its steps run when it is called."""
-        members = graph.strong_components(self.sql(cross_rules.import_edges(TOLD)))
+        members = graph.strong_components(self.sql(cross_rules.import_edges(ORDERED)))
         sizes = graph.cycle_issues(members).withColumnRenamed("file", "scc")
         found = members.join(sizes, "scc").select(F.col("node").alias("file"), "line", "severity", "title")
         return found.select(F.lit("circular").alias("category"), F.lit("circular_scc").alias("rule"), *found.columns)
@@ -126,8 +133,7 @@ class Analysis:
 
         for key, (category, select) in (context_rules.RULES | cross_rules.RULES).items():
             if self.wants(category):
-                sql = context_rules.long_file(ORDERED, self.settings.file_lines) if key == "smell_long_file" else context_rules.deep_nesting(ORDERED, self.settings.nest_depth) if key == "smell_deep_nesting" else cross_rules.exact_block(ORDERED, self.settings.dup_window) if key == "dup_exact_block" else cross_rules.vulnerable(ORDERED, table=self.advisories) if key == "dep_vulnerable" else select(ORDERED)
-                add(category, key, self.sql(sql))
+                add(category, key, self.sql(self._select(ORDERED, key, select)))
         for key, (category, _, select) in function_rules.RULES.items():
             if self.wants(category):
                 add(category, key, self.sql(select(ORDERED, self.settings)))
@@ -135,7 +141,7 @@ class Analysis:
             if self.wants(category):
                 add(category, f"{category}_more", analyzer(self))
         if self.wants("security"):
-            add("security", "sec_high_entropy", self.sql(report.high_entropy(TOLD)))
+            add("security", "sec_high_entropy", self.sql(report.high_entropy(ORDERED)))
         out: dict[str, Callable[[], DataFrame]] = {"cycles": self._cycles} if self.wants("circular") else {}
         out |= {category: (lambda dfs=dfs: reduce(DataFrame.unionByName, dfs)) for category, dfs in found.items()}
         rules = [r for r in line_rules.RULES if self.wants(r.category)]
